@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quarrylight.llm import quality_rules, url_filters
+from quarrylight.llm import ngram_join, quality_rules, url_filters
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op4_url_filters": url_filters.op4_url_filters,
 }
 
 ORACLES = {
+    "op1_ngram_join": ngram_join.ORACLE_SQL,
     "op2_quality_rules": quality_rules.ORACLE_SQL,
 }
