@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarrylight.llm import ngram_join, quality_rules, url_filters
+from quarrylight.llm import ngram_join, quality_rules, token_counts, url_filters
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_token_counts": token_counts.op3_token_counts,
     "op4_url_filters": url_filters.op4_url_filters,
 }
 

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,7 +84,7 @@ def _part_of(pieces: list[str], n_parts: int) -> np.ndarray:
     return (textops.mix(h) % np.uint64(n_parts)).astype(np.int64)
 
 
-def _frequencies(path: str, n_parts: int, id_type: pa.DataType | None):
+def _frequencies(path: str, n_parts: int):
     """Documents to one row per block and part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,12 +96,11 @@ def _frequencies(path: str, n_parts: int, id_type: pa.DataType | None):
             pieces = list(known)
             packed = list(select(np.concatenate(docs), np.concatenate(keys), np.concatenate(counts), _part_of(pieces, n_parts), n_parts))
             made += 1
-            lists = [pa.concat_arrays(ids)] + [None] * (n_parts - 1)
-            first = lambda x, kind: pa.array([x] + [None] * (n_parts - 1), pa.list_(kind))
-            id_list = pa.ListArray.from_arrays(pa.array([0] + [len(lists[0])] * n_parts, pa.int32()), lists[0])
+            # ids and sizes go with the first part's row; the others' lists are empty
+            once = lambda x: pa.ListArray.from_arrays(pa.array([0] + [len(x)] * n_parts, pa.int32()), x)
             words = [[pieces[i] for i in group] for group, _ in packed]
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(n_parts, dtype=np.int32)), pa.array([(task << 32) + made] * n_parts, pa.int64()), id_list, first(sizes, pa.int64()), pa.array([len(sizes)] * n_parts, pa.int32()), pa.array(words, pa.list_(pa.string())), pa.array([p.pack() for _, p in packed], pa.binary())],
+                [pa.array(np.arange(n_parts, dtype=np.int32)), pa.array([(task << 32) + made] * n_parts, pa.int64()), once(pa.concat_arrays(ids)), once(pa.array(sizes, pa.int64())), pa.array([len(sizes)] * n_parts, pa.int32()), pa.array(words, pa.list_(pa.string())), pa.array([p.pack() for _, p in packed], pa.binary())],
                 ["part", "block", "ids", "sizes", "n_docs", "keys", "postings"],
             )
 
@@ -147,8 +147,7 @@ def _count_part(path: str):
 
 def _total(group: pa.Table) -> pa.Table:
     total = np.sum([np.frombuffer(s, np.int64) for s in group["sums"].to_pylist()], axis=0)
-    head = group.filter(group["ids"].is_valid())
-    return pa.table([pa.concat_arrays(head["ids"].combine_chunks().flatten().chunks if hasattr(head["ids"].combine_chunks(), "chunks") else [head["ids"].combine_chunks().flatten()]), head["sizes"].combine_chunks().flatten(), pa.array(total)], ["doc_id", "n_bytes", "n_tokens"])
+    return pa.table([pc.list_flatten(group["ids"]), pc.list_flatten(group["sizes"]), pa.array(total)], ["doc_id", "n_bytes", "n_tokens"])
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, parts: int | None = None) -> DataFrame:
@@ -160,7 +159,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     n_parts = parts or 2 * sized(docs.sparkSession)
-    sent = source.mapInArrow(_frequencies(tokenizer_path, n_parts, None), f"part int, block long, ids array<{kind}>, sizes array<long>, n_docs int, keys array<string>, postings binary")
+    sent = source.mapInArrow(_frequencies(tokenizer_path, n_parts), f"part int, block long, ids array<{kind}>, sizes array<long>, n_docs int, keys array<string>, postings binary")
     partial = sent.groupBy("part").applyInArrow(_count_part(tokenizer_path), f"block long, ids array<{kind}>, sizes array<long>, sums binary")
     total = partial.groupBy("block").applyInArrow(_total, f"doc_id {kind}, n_bytes long, n_tokens long")
     return total.select(F.col("doc_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
