@@ -62,7 +62,7 @@ def by_part(parts: np.ndarray, n_parts: int) -> list[np.ndarray]:
 def select(docs: np.ndarray, keys: np.ndarray, counts: np.ndarray, parts: np.ndarray, n_parts: int):
     """Yields, for each part, its key positions and their postings."""
     groups = by_part(parts, n_parts)
-    rank = np.empty(len(parts), np.int64)  # keys in order of part
+    rank = np.empty(len(parts), np.int32)  # keys in order of part
     rank[np.concatenate(groups)] = np.arange(len(parts))
     order = np.argsort(rank[keys], kind="stable")
     docs, counts, rank = docs[order], counts[order], rank[keys][order]

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from quarrylight.llm import ngram_join, quality_rules, token_counts, url_filters
+from quarrylight.llm import exact_topk, ngram_join, packing, quality_rules, token_counts, url_filters
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_url_filters": url_filters.op4_url_filters,
+    "op5_packing": packing.op5_packing,
+    "op10_exact_topk": exact_topk.op10_exact_topk,
 }
 
 ORACLES = {
     "op1_ngram_join": ngram_join.ORACLE_SQL,
     "op2_quality_rules": quality_rules.ORACLE_SQL,
+    "op10_exact_topk": exact_topk.ORACLE_SQL,
 }

@@ -14,10 +14,11 @@ table gives an empty result; only the id and text columns are read.
 
 from __future__ import annotations
 
-import base64
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from quarrylight.llm.graph import sized
 from quarrylight.llm.postings import Postings, select
 
 #: Text that a block of documents holds, unless one document is longer.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Only in such texts do the regex library and the tokenizer surely agree on
 #: what is a letter, a number or white space; others go through the tokenizer.
 PLAIN = re.compile("[\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧‰-⁞₠-₿]*")
@@ -41,6 +42,7 @@ class ByteLevel:
     """Pre-tokens of a byte-level tokenizer file and the pieces of each."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import regex
         from tokenizers import Tokenizer
 
@@ -69,6 +71,12 @@ class ByteLevel:
         return np.array(found, np.int64)
 
 
+@lru_cache(1)
+def _level(path: str) -> ByteLevel:
+    """One tokenizer per worker process."""
+    return ByteLevel(path)
+
+
 class _Ids(dict):
     """Numbers strings in order of first sight."""
 
@@ -88,7 +96,7 @@ def _frequencies(path: str, n_parts: int):
     """Documents to one row per block and part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, task, made = ByteLevel(path), TaskContext.get().partitionId(), 0
+        level, task, made = _level(path), TaskContext.get().partitionId(), 0
         ids, sizes, docs, keys, counts, known, held = [], [], [], [], [], _Ids(), 0
 
         def block() -> pa.RecordBatch:
@@ -112,15 +120,16 @@ def _frequencies(path: str, n_parts: int):
                 own = Counter(map(known.__getitem__, pieces))
                 if extra:
                     own[known[level.special.search(text).group()]] += extra
-                docs.append(np.full(len(own), len(sizes)))
-                keys.append(np.fromiter(own.keys(), np.int64, len(own)))
-                counts.append(np.fromiter(own.values(), np.int64, len(own)))
+                docs.append(np.full(len(own), len(sizes), np.int32))
+                keys.append(np.fromiter(own.keys(), np.int32, len(own)))
+                counts.append(np.fromiter(own.values(), np.int32, len(own)))
                 ids.append(batch.column(0).slice(i, 1))
                 sizes.append(int(offsets[i + 1] - offsets[i]))
                 held += sizes[-1] + 100
                 if held > BLOCK_BYTES:
                     yield block()
                     ids, sizes, docs, keys, counts, known, held = [], [], [], [], [], _Ids(), 0
+                    pa.default_memory_pool().release_unused()
         if sizes:
             yield block()
 
@@ -131,10 +140,10 @@ def _count_part(path: str):
     """All blocks of one part to partial sums per block: each distinct pre-token is counted once."""
 
     def run(group: pa.Table) -> pa.Table:
-        level, known = ByteLevel(path), _Ids()
+        level, known = _level(path), _Ids()
         local = []
         for row in range(group.num_rows):
-            local.append(np.fromiter(map(known.__getitem__, group["keys"][row].as_py()), np.int64))
+            local.append(np.fromiter(map(known.__getitem__, group["keys"][row].as_py()), np.int32))
         values = level.count(list(known)) if known else np.zeros(0, np.int64)
         sums = []
         for row, own in enumerate(local):
