@@ -82,17 +82,16 @@ def _of_class(width: int):
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cls, n, head) to one row per shingle of the head, with its position."""
+    """(cls, head) to one row per shingle of the head, with its position."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 2000):
             part = batch.slice(lo, 2000)
-            arrays = [np.frombuffer(b, np.int64) for b in part.column(2).to_pylist()]
+            arrays = [np.frombuffer(b, np.int64) for b in part.column(1).to_pylist()]
             sizes = np.array([len(a) for a in arrays])
             if not sizes.sum():
                 continue
             pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            repeat = lambda i: pa.array(np.repeat(part.column(i).to_numpy(zero_copy_only=False), sizes))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(arrays)), repeat(0), repeat(1), pa.array(pos.astype(np.int32))], ["token", "cls", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(arrays)), pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(pos.astype(np.int32))], ["token", "cls", "pos"])
 
 
 def _overlaps(width: int):
@@ -189,7 +188,7 @@ def _dense_links(posts: DataFrame, dense: DataFrame, texts: DataFrame, width: in
     missed.
     """
     spare = F.col("n") - F.ceil(F.col("n") * percent / 100)
-    buckets = checkpoint(posts.join(dense.select("cls"), "cls", "left_semi").filter(F.col("pos") <= spare).select("token", "cls", "n"))
+    buckets = checkpoint(posts.join(dense.select("cls", "n"), "cls").filter(F.col("pos") <= spare).select("token", "cls", "n"))
     found = None
     for step in range(ROUNDS + 1):
         if found is None:
@@ -225,14 +224,16 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = source.mapInArrow(_signatures(width, percent, True), f"doc_id {kind}, n long, cls long, head binary")
     # copies meet in their class before any shingle is dealt out
     classes = checkpoint(signed.filter("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "head")).alias("m")).select("cls", "n", "least_id", F.col("m.doc_id").alias("rep"), "m.head"))
-    raw = classes.select("cls", "n", "head").mapInArrow(_unpack, "token long, cls long, n long, pos int")
+    raw = classes.select("cls", "head").mapInArrow(_unpack, "token long, cls long, pos int")
     shared = raw.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     posts = checkpoint(raw.join(shared, "token"))
     plan = checkpoint(_plan(posts, classes, percent))
-    reps = classes.join(plan.select("cls"), "cls", "left_semi").select("cls", "rep")
+    pairs = checkpoint(_sparse_pairs(posts, plan, percent))
+    dense = plan.filter(~F.col("free")).select("cls", "n")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(dense.select("cls")).distinct()
+    reps = classes.join(needed, "cls", "left_semi").select("cls", "rep")
     texts = source.join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "text").mapInArrow(_of_class(width), "cls long, text string").groupBy("cls").agg(F.first("text").alias("text")).persist(StorageLevel.DISK_ONLY)
-    links = checkpoint(_linked(verify(_sparse_pairs(posts, plan, percent), texts, width), percent))
-    dense = plan.filter(~F.col("free"))
+    links = checkpoint(_linked(verify(pairs, texts, width), percent))
     if not dense.isEmpty():
         links = links.unionByName(_dense_links(posts, dense, texts, width, percent))
     roots = components(links)
