@@ -17,8 +17,9 @@ so they depend on how the input is split, but not on which executor runs it.
 from __future__ import annotations
 
 import re
-import unicodedata
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from quarrylight.llm.token_counts import PLAIN
 
 MAX_OPEN = 1024
-CACHED = 150_000
+CACHED = 600_000
 
 
 class WordEnd(dict):
@@ -65,16 +66,23 @@ class WordEnd(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) > CACHED:
             self.clear()
-        self[word] = ids = np.array(self.merge(_flagged(word.encode(), True)), "<u4").tobytes()
+        self[word] = ids = array("I", self.merge(_flagged(word.encode(), True))).tobytes()
         return ids
 
     def ids(self, text: str) -> bytes:
         """The text's ids, packed."""
         if PLAIN.fullmatch(text) and not (self.special and "<|" in text and self.special.search(text)):
-            return b"".join(map(self.__getitem__, self.find(unicodedata.normalize("NFC", text).lower())))
+            # such characters are composed already
+            return b"".join(map(self.__getitem__, self.find(text.lower())))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@lru_cache(1)
+def _words(path: str) -> WordEnd:
+    """One cache of words per worker process."""
+    return WordEnd(path)
+
+
 def _flagged(word: bytes, last: bool) -> bytes:
     out = bytearray(2 * len(word))
     out[0::2], out[1::2] = b"\xf8" * len(word), word
@@ -161,7 +169,7 @@ class Packer:
 
 def _pack(path: str, end: int, window: int, max_open: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = WordEnd(path), Packer(window, max_open)
+        words, packer = _words(path), Packer(window, max_open)
         number, tail = TaskContext.get().partitionId() << 40, np.array([end], "<u4").tobytes()
 
         def rows(windows: list[list]) -> pa.RecordBatch:
