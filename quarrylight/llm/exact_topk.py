@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 
 CANDIDATES, QUERIES = 8192, 512
 FIRST_RANKS = 32
-_LONG = (-(1 << 63), (1 << 63) - 1)
+
+
+def _long(score) -> int:
+    return min(max(int(score), -(1 << 63)), (1 << 63) - 1)
 
 
 def usable(vector: Column) -> Column:
@@ -76,11 +79,11 @@ class Lists:
             if len(scores) > k and exact:
                 floor = np.partition(scores, len(scores) - k)[len(scores) - k]
                 scores, ids = scores[scores >= floor], ids[scores >= floor]
-            best = sorted([*best, *zip((int(s) for s in scores), (int(i) for i in ids), strict=True)], key=lambda x: (-x[0], x[1]))[:k]
+            best = sorted([*best, *zip(map(_long, scores), map(int, ids), strict=True)], key=lambda x: (-x[0], x[1]))[:k]
             if hi < n and len(dims) and len(best) == k:
                 last = self.vectors[np.where(down, self.order[n - hi, dims], self.order[hi - 1, dims]), dims]
                 bound = last @ query[dims] if exact else sum(int(a) * int(b) for a, b in zip(last, query[dims], strict=True))
-                if best[-1][0] > bound:
+                if best[-1][0] > _long(bound):
                     break
             lo, ranks = hi, ranks * 2
             if hi == n:
@@ -105,7 +108,7 @@ def _search(k: int, scale: int):
                 for score, vec in lists.top(query, own, k):
                     out["query_id"].append(own)
                     out["vec_id"].append(vec)
-                    out["score"].append(min(max(score, _LONG[0]), _LONG[1]))
+                    out["score"].append(score)
         return pa.table({n: pa.array(v, pa.int64()) for n, v in out.items()})
 
     return run

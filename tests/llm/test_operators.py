@@ -1,0 +1,393 @@
+"""Small cases of every operator against plain Python, and odd input."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quarrylight.llm import classifier, exact_topk, graph, lm_scoring, mixing, ngram_join, packing, quality_rules, token_counts, url_filters
+
+tokenizers = pytest.importorskip("tokenizers")
+P = pytest.importorskip("public_tokenizers")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, cls long, token string"
+
+
+def lower(text):
+    return text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def frame(spark, texts, sources=None, parts=3):
+    rows = [(i, t, "en", sources[i] if sources else f"s{i % 3}", 0, 7, "x") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(parts, "doc_id") if rows else spark.createDataFrame([], SCHEMA)
+
+
+def odd_texts():
+    rnd = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(60)] + ["the", "of", "Été", "ǅ", "中文", "don't", "#*$", "|"]
+    base = [" ".join(rnd.choice(vocabulary) for _ in range(80)) for _ in range(6)]
+    texts = [None, "", " \t\n\x0b\r", "one", "ONE", "one two", "one\x1ctwo", "a\u00a0b \u2028 c", "<|endoftext|>", "x<|endoftext|><|startoftext|>y"]
+    texts += base + base[:2] + [base[0].upper(), base[1] + " tail"]
+    for i in range(12):
+        words = base[i % 3].split()
+        words[i * 5 % 80] = f"n{i}"
+        texts.append(" ".join(words))
+    texts += ["rep eat " * 300, "line\n" * 30 + "other words here\n", "long " + "z" * 5000]
+    return texts
+
+
+def test_ngram_join_equals_brute_force(spark):
+    texts = odd_texts()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(frame(spark, texts)).collect()}
+    assert got == brute_components(texts)
+
+
+def brute_components(texts, width=3, percent=90):
+    sets = []
+    for t in texts:
+        w = WORD.findall(lower(t or ""))
+        sets.append({tuple(w)} if 0 < len(w) < width else {tuple(w[i : i + width]) for i in range(len(w) - width + 1)})
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i)) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("common", [2, 4])
+def test_ngram_join_with_dense_groups(spark, monkeypatch, common):
+    """Most shingles are common here, so classes take the pivot rounds, mixed with sparse ones."""
+    monkeypatch.setattr(ngram_join, "COMMON", common)
+    monkeypatch.setattr(ngram_join, "COST", 2)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 2)
+    rnd = random.Random(common)
+    bases = [[f"b{g}w{i}" for i in range(70)] for g in range(3)]
+    shared = [f"c{i}" for i in range(40)]
+    texts = []
+    for k in range(60):
+        words = list(bases[k % 3])
+        for _ in range(rnd.randint(0, 3)):
+            words[rnd.randrange(70)] = f"e{rnd.randrange(9)}"
+        if k % 5 == 0:
+            words = shared + words[: rnd.randint(5, 30)]
+        if k % 7 == 0:
+            words = words[rnd.randint(0, 4) :]
+        texts.append(" ".join(words))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(frame(spark, texts)).collect()}
+    assert got == brute_components(texts)
+
+
+def test_ngram_join_empty_and_repeated(spark):
+    assert ngram_join.ngram_join(frame(spark, [])).collect() == []
+    df = spark.createDataFrame([(5, "a b c d"), (5, "a b c d"), (None, "a b c d"), (2, "x y z w"), (2, "q q"), (9, "X Y Z W")], "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_join(df).collect())
+    assert got == Counter({(5, 2, 5): 2, (None, 2, 5): 1, (2, 2, 2): 1, (2, 1, 2): 1, (9, 2, 2): 1})
+
+
+def test_components_of_a_long_path(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102)], "a long, b long")
+    got = {r.node: r.root for r in graph.components(links).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_quality_rules_measures(spark):
+    texts = odd_texts()
+    got = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, texts)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        words = WORD.findall(t or "")
+        windows = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+        covered = {p for k in range(len(words) - 4) if windows[tuple(words[k : k + 5])] > 1 for p in range(k, k + 5)}
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(covered)), t
+        assert r.base_failed == (len(words) < 10 or 100 * len(covered) > 20 * len(words))
+        assert not (r.base_failed and r.kept)
+    assert quality_rules.quality_rules(frame(spark, [])).collect() == []
+
+
+def test_quality_rules_host_verdicts(spark):
+    good = " ".join(f"word{i}" for i in range(40))
+    rows = [(i, good if i % 20 else "short", "fine") for i in range(400)] + [(1000 + i, "short" if i % 10 else good, "bad") for i in range(200)] + [(5000, "short", "new"), (5001, good, None)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1].kept and not got[0].kept
+    assert got[1000].host_failed and not got[1000].kept  # a good text on a failing host
+    assert not got[5000].host_failed and got[5001].kept  # one failure doesn't condemn a host
+
+
+def test_token_counts_equal_the_library(spark):
+    texts = odd_texts()
+    path = P.path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    for parts in (1, 5):
+        got = {r.doc_id: r for r in token_counts.token_counts(frame(spark, texts), path, parts=parts, limit=100).collect()}
+        for i, t in enumerate(texts):
+            n = len(library.encode(t or "", add_special_tokens=False).ids)
+            assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 100)
+    assert token_counts.token_counts(frame(spark, []), path).collect() == []
+
+
+def test_token_counts_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "BLOCK_BYTES", 500)
+    texts = odd_texts() * 2
+    library = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(frame(spark, texts), P.path("byte_bpe_50k.json")).collect()}
+    assert got == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def host_path(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest).group()
+    return lower(host), re.match(r"[^?#]*", rest[len(host) :]).group()
+
+
+@pytest.mark.parametrize("inline", [256, 0])
+def test_url_rules(spark, monkeypatch, inline):
+    monkeypatch.setattr(url_filters, "INLINE_RULES", inline)
+    urls = [None, "", "nourl", "http://A.Example.com/en/7x?q", "https://com/en/", "http://xcom/en/1", "http://b.example.net/de/80#t", "http://example.net/de/7", "http://o.org/es/5", "http://o.org/fr/5", "http://o.org", "x://a.org/es/?://", "http://a.example.com/en/8"] * 2
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    none = pages.limit(0).select("url", F.lit(True).alias("bad"))
+    got = {r.page_id: r for r in url_filters.url_filters(pages, none).collect()}
+    assert len(got) == len(urls)
+    for i, u in enumerate(urls):
+        host, path = host_path(u)
+        fits = [(r, v) for r, v in url_filters.RULES if (host == (h := r.split("/")[0]) or host.endswith("." + h)) and path.startswith(r[len(h) :])]
+        best = max(fits, key=lambda x: len(x[0]), default=(None, "allow"))
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, *best), u
+
+
+def test_url_rules_are_mined(spark):
+    rnd = random.Random(1)
+    urls, bad = [], []
+    for i in range(600):
+        spam = i % 4 == 0
+        host = rnd.choice(["a.site.info", "b.site.info", "c.other.info"])
+        urls.append(f"http://{host}/{'win' if spam else 'news'}/{'now' if spam or i % 3 else 'later'}/{i}")
+        bad.append(spam)
+    labelled = spark.createDataFrame(list(zip(urls, bad, strict=True)), "url string, bad boolean")
+    fresh = ["http://z.site.info/win/now/1", "http://z.site.info/news/now/1", "http://a.site.info/win/later/2"]
+    pages = spark.createDataFrame(list(enumerate([*urls, *fresh])), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filters.url_filters(pages, labelled, rules=[]).collect()}
+    assert all((got[i] == "block") == b for i, b in enumerate(bad))
+    assert [got[600 + i] for i in range(3)] == ["block", "allow", "block"]
+    assert brute_rules(spark, labelled) == {tuple(sorted(r.antecedent)) for r in url_filters.mine_rules(split(labelled), 0.005, 20, 0.9).collect()}
+
+
+def split(labelled):
+    host, path = url_filters.host_path(F.col("url"))
+    return labelled.withColumns({"host": host, "path": path}).select(url_filters.url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"), "bad")
+
+
+def brute_rules(spark, labelled):
+    from itertools import combinations
+
+    rows = split(labelled).collect()
+    n, least = len(rows), max(0.005 * len(rows), 20)
+    frequent = {t for t, c in Counter(t for r in rows for t in r.tokens).items() if c >= least}
+    seen, hit = Counter(), Counter()
+    for r in rows:
+        own = sorted(frequent & set(r.tokens))
+        for k in range(1, len(own) + 1):
+            for c in combinations(own, k):
+                seen[c] += 1
+                hit[c] += r.bad
+    assert n
+    return {c for c in seen if hit[c] >= least and hit[c] / seen[c] >= 0.9}
+
+
+def test_packing(spark):
+    texts = odd_texts() + ["many words here " * 3000]
+    path = P.path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    for window, most in ((2048, 1024), (64, 4)):
+        rows = packing.pack(frame(spark, texts), path, window=window, max_open=most).collect()
+        ids = {i: np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in enumerate(texts)}
+        pieces, windows = defaultdict(list), defaultdict(list)
+        for r in rows:
+            assert bytes(r.ids) == ids[r.doc_id][r.start : r.start + r.length].tobytes() and r.doc_tokens == len(ids[r.doc_id])
+            pieces[r.doc_id].append((r.start, r.length))
+            windows[r.sequence_id].append((r.offset, r.length))
+        for d, own in pieces.items():
+            assert gapless(own) == len(ids[d])
+        assert len(pieces) == len(texts)
+        for own in windows.values():
+            n = gapless(own)
+            assert n == window or n & (n - 1) == 0
+    digest = {(r.doc_id, r.start): r.ids_crc32 for r in packing.digest(packing.pack(frame(spark, texts), path)).collect()}
+    assert digest[(0, 0)] == zlib.crc32(ids[0].tobytes())
+    assert packing.pack(frame(spark, []), path).collect() == []
+
+
+def gapless(pieces):
+    at = 0
+    for start, length in sorted(pieces):
+        assert start == at and length > 0
+        at += length
+    return at
+
+
+def test_packing_level_minimises_the_sum_of_squares():
+    rnd = random.Random(2)
+    packer = packing.Packer(32, 1000)
+    for _ in range(400):
+        size = rnd.randint(1, 31)
+        counts = packer.counts.copy()
+
+        def cost(level, counts=counts, size=size):
+            c = counts.copy()
+            c[level] -= level > 0
+            if level + size < 32:
+                c[level + size] += 1
+            return (c[1:32] ** 2).sum()
+
+        level = packer._level(size)
+        options = [h for h in range(32 - size + 1) if h == 0 or counts[h]]
+        assert level in options and cost(level) == min(map(cost, options))
+        packer.place("d", bytes(4 * size))
+
+
+@pytest.mark.parametrize(("order", "leave_out"), [(1, False), (2, True), (3, True), (3, False)])
+def test_lm_scores(spark, order, leave_out):
+    texts = odd_texts()
+    got = {r.doc_id: r for r in lm_scoring.lm_scores(frame(spark, texts), order=order, leave_out=leave_out, blocks=3).collect()}
+    docs = [WORD.findall(lower(t or "")) for t in texts]
+    grams = lambda w: Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    every = sum(map(grams, docs), Counter())
+    for i, w in enumerate(docs):
+        c = every - grams(w) if leave_out else every
+        n = sum(map(len, docs)) - len(w) * leave_out
+        total = 0.0
+        for k in range(len(w)):
+            for m in range(order, 0, -1):
+                g = tuple(w[k - m + 1 : k + 1]) if k >= m - 1 else None
+                if m == 1:
+                    s = 0.4 ** (order - 1) * max(c[(w[k],)], 1) / max(n, 1)
+                elif g and c[g]:
+                    s = 0.4 ** (order - m) * c[g] / max(c[g[:-1]], c[g])
+                else:
+                    continue
+                total += math.log(s)
+                break
+        assert got[i].n_words == len(w) and got[i].log_score == pytest.approx(total, abs=1e-4), texts[i]
+        assert (got[i].mean_log_score is None) == (not w)
+    assert lm_scoring.lm_scores(frame(spark, [])).collect() == []
+
+
+def test_mixing_keeps_every_source_within_a_block(spark):
+    sources = ["a"] * 900 + ["b"] * 400 + ["c"] * 100 + [None] * 7
+    docs = frame(spark, ["t"] * len(sources), sources)
+    targets = {"a": 0.25, "b": 0.45, "c": 0.3}
+    rows = mixing.mix_sources(docs, targets, block_docs=4).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(sources)))
+    blocks = {(r.source, r.block): r for r in rows}
+    assert len({r.slot for r in blocks.values()}) == len(blocks) == max(r.slot for r in rows) + 1
+    assert all(r.release <= r.slot < r.deadline for r in rows)
+    counts = Counter(r.source for r in rows)
+    weights = mixing.integer_weights(counts, targets)
+    first_out = min(max(r.slot for r in rows if r.source == s) for s in counts)
+    order = [s for _, s in sorted((r.slot, s) for (s, _), r in blocks.items())]
+    for n in range(1, first_out + 1):
+        for s, w in weights.items():
+            assert abs(order[:n].count(s) - n * w / sum(weights.values())) < 1
+    assert mixing.mix_sources(frame(spark, [])).collect() == []
+
+
+def test_period_equals_an_exhaustive_schedule():
+    weights = {"a": 5, "b": 3, "c": 1, "d": 2}
+    place, length = mixing.period_slots(weights), 11
+    assert sorted(x for p in place.values() for x in p) == list(range(length))
+    for s, w in weights.items():
+        for j, slot in enumerate(place[s], 1):
+            assert (j - 1) * length // w <= slot < -(-j * length // w)
+
+
+def test_interleave_keeps_rows_and_columns(spark):
+    docs = frame(spark, [f"t{i}" for i in range(50)], [f"s{i % 3}" for i in range(50)])
+    twice = docs.union(docs.filter("doc_id = 3")).union(spark.createDataFrame([(None, None, None, None, None, None, None)], SCHEMA))
+    got = mixing.interleave(twice)
+    assert got.columns == docs.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, twice.collect()))
+
+
+def test_classifier_holds_out(spark):
+    rnd = random.Random(5)
+    words = [f"word{i}" for i in range(300)]
+    texts, good, toxic = [], [], []
+    for i in range(900):
+        w = [rnd.choice(words) for _ in range(60)]
+        kind = i % 6
+        if kind == 0:
+            w = [x + "%%%" for x in w]
+        if kind == 1:
+            w[rnd.randrange(60)] = rnd.choice(["vile", "vileness"]) + "ly"
+        texts.append(" ".join(w))
+        good.append(int(kind != 0))
+        toxic.append(int(kind == 1))
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, good[i], toxic[i]) for i in range(600)] + [(7, None, 1), (99999, 0, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in classifier.quality_classifier(docs, labels).collect()}
+    wrong = sum(got[i] != (good[i] == 1 and toxic[i] == 0) for i in range(600, 900))
+    assert wrong <= 9
+
+
+def test_classifier_odd_input(spark):
+    texts = odd_texts()
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in classifier.quality_classifier(frame(spark, texts), labels).collect()}
+    assert all(got[i].kept == bool(WORD.search(t or "")) for i, t in enumerate(texts))
+    assert classifier.quality_classifier(frame(spark, []), labels).collect() == []
+
+
+def test_topk_equals_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in np.round(rng.normal(size=6), 1)]) for i in range(400)]
+    rows += [(400, None), (401, [1.0, None]), (402, [float("nan")] * 6), (500, [float("inf")] * 6), (None, [1.0] * 6), (600, [0.0] * 6), (700, []), (800, [2.0, 1.0]), (801, [2.0, 1.0]), (801, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in exact_topk.exact_topk(df, F.col("vec_id") % 100 == 0).collect():
+        got[r.query_id].append((r.rank, r.score, r.vec_id))
+    assert {q: sorted(v) for q, v in got.items()} == brute_topk(rows)
+
+
+def clip(score):
+    return min(max(score, -(1 << 63)), (1 << 63) - 1)
+
+
+def brute_topk(rows, k=10):
+    fine = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = {}
+    for i, q in fine:
+        if i % 100 == 0:
+            scored = sorted((-clip(sum(a * b for a, b in zip(q, v, strict=False))), j) for j, v in fine if j != i)[:k]
+            out[i] = [(n, -s, j) for n, (s, j) in enumerate(scored, 1)]
+    return out
+
+
+def test_topk_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(exact_topk, "CANDIDATES", 37)
+    monkeypatch.setattr(exact_topk, "QUERIES", 2)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(0, 900, 2)] + [(1000, [1e300, 1.0, 0.0, 0.0])]
+    got = defaultdict(list)
+    for r in exact_topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect():
+        got[r.query_id].append((r.rank, r.score, r.vec_id))
+    assert {q: sorted(v) for q, v in got.items()} == brute_topk(rows)
+
+
+def test_topk_empty(spark):
+    assert exact_topk.exact_topk(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).collect() == []
