@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrylight.llm import classifier, exact_topk, lm_scoring, mixing, ngram_join, packing, quality_rules, token_counts, url_filters
+from quarrylight.llm import classifier, exact_topk, html_text, lm_scoring, mixing, ngram_join, packing, quality_rules, token_counts, url_filters
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_lm_scoring": lm_scoring.op6_lm_scoring,
     "op7_mixing": mixing.op7_mixing,
+    "op8_html_text": html_text.op8_html_text,
     "op9_quality_classifier": classifier.op9_quality_classifier,
     "op10_exact_topk": exact_topk.op10_exact_topk,
 }
