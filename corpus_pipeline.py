@@ -1,8 +1,64 @@
-"""Corpus pipeline; the stages are added as their operators are done."""
+"""Corpus pipeline: classify, apply rules, drop near duplicates, mix, pack.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it
+kept.  All but the last return the columns of ``documents``.  Verdicts go by
+document id: rows that repeat an id stay or go together, and stay if any of
+them is kept; rows without id count as one document.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarrylight.llm import classifier, mixing, ngram_join, packing, quality_rules
+from quarrylight.llm.graph import checkpoint
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents whose ids are kept, whole."""
+    ids = kept.select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
+    return _only(docs, classifier.quality_classifier(docs, labels).filter("kept"))
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _only(docs, quality_rules.quality_rules(docs).filter("kept"))
+
+
+def dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each group of near duplicates."""
+    groups = ngram_join.ngram_join(docs, width=5, percent=80)
+    return _only(docs, groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same rows, laid out in the order of the mix."""
+    return mixing.interleave(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", classify),
+    ("quality rules", rules),
+    ("n-gram Jaccard join", dedupe),
+    ("mixing sources to target weights", mix),
+    ("packing", pack),
+]
+
+#: The classifier and the tokenizer are not SQL; tests compare with plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = checkpoint(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
