@@ -10,7 +10,7 @@ prefix holds f of them takes l = f + 1 + m, and a partner must share at least
 
 A class that is nearly all common shingles (a large group of near copies, or
 text made of passages that many share) has no such prefix: see
-:func:`_dense_links`.  Candidate pairs are verified on their whole sets.
+:func:`_among_dense`.  Candidate pairs are verified on their whole sets.
 
 Sets are 64-bit hashes: about n**2 / 2**65 false matches for n different
 shingles.  Defined results for odd input: a null or wordless text has an empty
@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm import textops
 from quarrylight.llm.graph import checkpoint, components
+from quarrylight.llm.skew import salted_join
 
 COMMON = 64
 COST = 64
-#: Pivots compared with a dense bucket in a round, and rounds before the rest is compared outright.
-PIVOTS, ROUNDS = 4, 6
+#: Members of a group of near copies that are compared at once.
+OUTSIDERS, MEMBERS = 512, 4096
 
 
 def _least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -94,6 +95,18 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(arrays)), pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(pos.astype(np.int32))], ["token", "cls", "pos"])
 
 
+def _whole_sets(width: int):
+    """(cls, text) to the whole set, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in textops.chunks(batch.column(1)):
+                packed = [s.tobytes() for s in textops.shingle_sets(batch.column(1).slice(lo, hi - lo), width)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(packed, pa.binary())], ["cls", "set"])
+
+    return run
+
+
 def _overlaps(width: int):
     """(a, b, text_a, text_b) to (a, b, same, na, nb): shingles in both sets and in each."""
 
@@ -127,10 +140,11 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_overlaps(width), "a long, b long, same long, na long, nb long")
 
 
-def _plan(posts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _plan(posts: DataFrame, classes: DataFrame, percent: int, whole: bool = False) -> DataFrame:
     """(cls, n, free, reach, need): how far each class's prefix goes and what a partner must share.
 
-    ``free`` is false where no prefix within 0.8 (1 - t) n + 1 more shingles outweighs the common ones.
+    ``free`` is false where no prefix outweighs the common shingles in it; it may
+    be lengthened by 0.8 (1 - t) n shingles, or to the whole set.
     """
     seen = posts.groupBy("cls").agg(
         F.sort_array(F.collect_list(F.when(F.col("df") > COMMON, F.col("pos")))).alias("at"),
@@ -144,7 +158,7 @@ def _plan(posts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         inside = F.size(F.filter("at", lambda p: p < first))
         return F.aggregate(F.filter("at", lambda p: p >= first), (inside + extra).cast("int"), lambda e, p: e + F.when(p < first + e, 1).otherwise(0))
 
-    room = F.floor(spare * 0.8).cast("int")
+    room = (F.col("n") - first if whole else F.floor(spare * 0.8)).cast("int")
     grown = classes.join(seen, "cls").select("cls", "n", first.alias("first"), room.alias("room"), more.alias("more"), reach(F.lit(0)).alias("e0"), reach(more).alias("e1"))
     return grown.select(
         "cls",
@@ -177,47 +191,166 @@ def _linked(overlaps: DataFrame, percent: int) -> DataFrame:
     return overlaps.filter(100 * F.col("same") >= percent * (F.col("na") + F.col("nb") - F.col("same"))).select("a", "b")
 
 
-def _dense_links(posts: DataFrame, dense: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """Links that join up the classes that have no sparse prefix.
+def _among_dense(dense: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between the classes (cls, n) without a sparse prefix.
 
-    Their buckets (one per shingle of the plain prefix) may be very large, but
-    mostly hold one group of near copies.  Two pivots per bucket, from two
-    components, are compared with all of it, which is linear; buckets whose
-    members are all linked up are done.  After ROUNDS the pairs of different
-    components that were not settled are compared outright, so no component is
-    missed.
+    They are counted anew, among themselves and on whole sets: a class with over
+    1 - t of its shingles rare here has a prefix after all.  The rest are groups
+    of near copies.
+    """
+    whole = checkpoint(dense.join(texts, "cls").select("cls", "text").mapInArrow(_whole_sets(width), "cls long, set binary").join(dense, "cls"))
+    raw = whole.select("cls", "set").mapInArrow(_unpack, "token long, cls long, pos int")
+    shared = raw.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    posts = checkpoint(raw.join(shared, "token"))
+    plan = checkpoint(_plan(posts, dense, percent, whole=True))
+    links = checkpoint(_linked(verify(_sparse_pairs(posts, plan, percent), texts, width), percent))
+    sets = whole.join(plan.filter(~F.col("free")).select("cls"), "cls", "left_semi")
+    return links if sets.isEmpty() else links.unionByName(checkpoint(_dense_links(sets, posts, texts, width, percent)))
+
+
+def _dense_links(sets: DataFrame, posts: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links that join up classes of which nine tenths of the shingles are common: groups of near copies.
+
+    Any set c gives each set x its difference d(x) = x ^ c, and |x ^ y| is
+    |d(x)| + |d(y)| - 2 |d(x) & d(y)|.  With the slack of x, (1 - t) n - (1 + t)
+    |d(x)|, sets x and y link when slack(x) + slack(y) + 2 (1 + t) |d(x) & d(y)|
+    is not negative.  So around a centre, the shingles that most of a group
+    hold, every member whose slack and the best one's make up for each other
+    links to the best member: one comparison each.  Only the outsiders that
+    don't are compared with the group, in blocks, on their differences.
+
+    The centre may be any set, so the result doesn't depend on how groups are
+    formed: members whose centres have J < 0.3 can't link unless one of them is
+    far from its own (|d| > n / 4); far ones are compared with all that share a
+    prefix shingle with them.
     """
     spare = F.col("n") - F.ceil(F.col("n") * percent / 100)
-    buckets = checkpoint(posts.join(dense.select("cls", "n"), "cls").filter(F.col("pos") <= spare).select("token", "cls", "n"))
-    found = None
-    for step in range(ROUNDS + 1):
-        if found is None:
-            labelled = buckets.withColumn("root", F.col("cls"))
-        else:
-            roots = components(found).withColumnRenamed("node", "cls")
-            labelled = buckets.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        pivot = F.struct(F.xxhash64("root", F.lit(step)).alias("h"), F.xxhash64("cls", F.lit(step)).alias("k"), F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("root").alias("proot"))
-        heads = labelled.groupBy("token").agg(F.min(pivot).alias("low"), F.max(pivot).alias("high")).filter("low.proot <> high.proot")
-        members = labelled.select("token", "cls", "n", "root")
-        if step < ROUNDS:
-            others = heads.select("token", F.explode(F.array("low", "high")).alias("m")).select("token", "m.p", "m.pn", "m.proot")
-        else:
-            others = members.join(heads.select("token"), "token", "left_semi").select("token", F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("root").alias("proot"))
-        pairs = (
-            members.join(others, "token")
-            .filter((F.col("root") != F.col("proot")) & _close(F.col("n"), F.col("pn"), percent))
-            .select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b"))
-            .distinct()
-        )
-        links = checkpoint(_linked(verify(pairs, texts, width), percent))
-        found = links if found is None else found.unionByName(links)
-        if heads.isEmpty():
-            break
-    return found
+    prefix = checkpoint(posts.join(sets.select("cls", "n"), "cls").filter(F.col("pos") <= spare).select("token", "cls", "n", "df"))
+    hot = prefix.groupBy("cls").agg(F.max_by("token", F.struct("df", "token")).alias("h"))
+    members = checkpoint(sets.join(hot, "cls"))
+    sizes = members.groupBy("h").agg(F.count("*").alias("size"))
+    held = members.select("h", "set").mapInArrow(_tally, "h long, token long, n long").groupBy("h", "token").agg(F.sum("n").alias("n"))
+    inner = held.join(sizes, "h").filter("2 * n > size")
+    centres = checkpoint(inner.groupBy("h", "size").agg(F.sort_array(F.collect_list("token")).alias("centre")))
+    alike = components(_alike(centres), "a", "b").withColumnRenamed("node", "h")
+    grouped = centres.join(alike, "h", "left").withColumn("g", F.coalesce("root", "h"))
+    best = grouped.groupBy("g").agg(F.max_by("centre", F.struct("size", "h")).alias("centre"))
+    to_centre = grouped.select("h", "g").join(best, "g").select("h", "g", "centre")
+    near = salted_join(members, to_centre, ["h"], F.col("cls")).select("cls", "n", "set", "g", "centre").mapInArrow(_differences(percent), "cls long, n long, g long, slack long, far boolean, diff binary")
+    near = checkpoint(near)
+    tops = near.groupBy("g").agg(F.max(F.struct("slack", "cls")).alias("top"), F.count("*").alias("size"))
+    placed = checkpoint(salted_join(near, tops, ["g"], F.col("cls")).withColumn("out", F.col("slack") + F.col("top.slack") < 0))
+    star = placed.filter(~F.col("out") & (F.col("cls") != F.col("top.cls"))).select(F.col("cls").alias("a"), F.col("top.cls").alias("b"))
+    return star.unionByName(_outsider_links(placed, percent)).unionByName(_far_links(placed, prefix, texts, width, percent))
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, packed set) to counts of each shingle within h, added up per batch."""
+    for batch in batches:
+        arrays = [np.frombuffer(b, np.int64) for b in batch.column(1).to_pylist()]
+        if arrays:
+            h = np.repeat(batch.column(0).to_numpy(), [len(a) for a in arrays])
+            pairs = np.stack([h, np.concatenate(arrays)], 1)
+            found, n = np.unique(pairs, axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(n.astype(np.int64))], ["h", "token", "n"])
+
+
+def _alike(centres: DataFrame) -> DataFrame:
+    """Pairs (a, b) of centres with J of 0.3 or more."""
+    listed = centres.select("h", F.size("centre").alias("size"), F.explode("centre").alias("token"))
+    other = listed.select(F.col("h").alias("h2"), F.col("size").alias("size2"), "token")
+    same = listed.join(other, "token").filter("h < h2").groupBy("h", "h2", "size", "size2").agg(F.count("*").alias("same"))
+    return same.filter("10 * same >= 3 * (size + size2 - same)").select(F.col("h").alias("a"), F.col("h2").alias("b"))
+
+
+def _differences(percent: int):
+    """(cls, n, set, g, centre) to (cls, n, g, slack, far, packed difference)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(1).to_numpy()
+            diffs = [np.setxor1d(np.frombuffer(s, np.int64), c, assume_unique=True) for s, c in zip(batch.column(2).to_pylist(), (x.values.to_numpy() for x in batch.column(4)), strict=True)]
+            size = np.array([len(d) for d in diffs], np.int64)
+            slack = (100 - percent) * n - (100 + percent) * size
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(slack), pa.array(4 * size > n), pa.array([d.tobytes() for d in diffs], pa.binary())], ["cls", "n", "g", "slack", "far", "diff"])
+
+    return run
+
+
+def _outsider_links(placed: DataFrame, percent: int) -> DataFrame:
+    """Outsiders of each group against its members, OUTSIDERS by MEMBERS at a time."""
+    out = placed.filter("out").groupBy("g").agg(F.count("*").alias("n_out"))
+    counts = placed.groupBy("g").agg(F.first("size").alias("size")).join(out, "g")
+    counts = counts.select("g", F.ceil(F.col("n_out") / OUTSIDERS).cast("int").alias("obs"), F.ceil(F.col("size") / MEMBERS).cast("int").alias("mbs"))
+    dealt = salted_join(placed.drop("size"), counts, ["g"], F.col("cls")).filter("obs is not null")
+    block = lambda n, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = dealt.filter("out").select("cls", "slack", "diff", "g", block("obs", 0).alias("ob"), each("mbs").alias("mb"))
+    right = dealt.select("cls", "slack", "diff", "out", "g", block("mbs", 1).alias("mb"), each("obs").alias("ob")).toDF("cls2", "slack2", "diff2", "out2", "g2", "mb2", "ob2")
+    return left.groupBy("g", "ob", "mb").cogroup(right.groupBy("g2", "ob2", "mb2")).applyInArrow(_compare(percent), "a long, b long")
+
+
+def _compare(percent: int):
+    """Links of outsiders with members, as few as join up the same classes.
+
+    The members within reach of the best one are one component already, so an
+    outsider needs but one link to any of them.
+    """
+    weight = 2 * (100 + percent)
+
+    def run(outsiders: pa.Table, members: pa.Table) -> pa.Table:
+        a, b = [], []
+        if outsiders.num_rows and members.num_rows:
+            cls, slack, out = members["cls2"].to_numpy(), members["slack2"].to_numpy(), members["out2"].to_numpy()
+            diffs = [np.frombuffer(d, np.int64) for d in members["diff2"].to_pylist()]
+            token, row = np.concatenate(diffs), np.repeat(np.arange(len(diffs)), [len(d) for d in diffs])
+            order = np.argsort(token, kind="stable")
+            token, row = token[order], row[order]
+            root: dict = {}
+
+            def find(x):
+                while (up := root.get(x, x)) != x:
+                    x = up
+                return x
+
+            for x, sx, d in zip(outsiders["cls"].to_pylist(), outsiders["slack"].to_pylist(), outsiders["diff"].to_pylist(), strict=True):
+                own = np.frombuffer(d, np.int64)
+                lo, hi = np.searchsorted(token, own, "left"), np.searchsorted(token, own, "right")
+                shared = np.bincount(np.concatenate([row[i:j] for i, j in zip(lo, hi, strict=True)] or [row[:0]]), minlength=len(cls))
+                ok = (sx + slack + weight * shared >= 0) & (cls != x)
+                inside = np.flatnonzero(ok & ~out)
+                for y in [*cls[ok & out].tolist(), *cls[inside[:1]].tolist()]:
+                    p, q = find(x), find(y)
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+                        a.append(x)
+                        b.append(y)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _far_links(placed: DataFrame, prefix: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Members far from their centre against those of other groups that share a prefix shingle."""
+    known = placed.select("cls", "g", "far")
+    tokens = prefix.select("token", "cls", "n").join(known, "cls")
+    left = tokens.filter("far").select("token", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("g").alias("gx"))
+    pairs = (
+        left.join(tokens.select("token", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("g").alias("gy")), "token")
+        .filter((F.col("gx") != F.col("gy")) & _close(F.col("nx"), F.col("ny"), percent))
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        .distinct()
+    )
+    return _linked(verify(pairs, texts, width), percent)
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
-    """One row per document: its id, set size (``n_shingles``) and ``component_id``."""
+    """One row per document: its id, set size (``n_shingles``) and ``component_id``.
+
+    The lengthened prefixes are long enough for thresholds from 80 percent.
+    """
+    if not 80 <= percent <= 100:
+        raise ValueError("percent must be within 80 to 100")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     rows = source.mapInArrow(_signatures(width, percent, False), f"doc_id {kind}, n long, cls long").persist()
@@ -235,7 +368,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = source.join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "text").mapInArrow(_of_class(width), "cls long, text string").groupBy("cls").agg(F.first("text").alias("text")).persist(StorageLevel.DISK_ONLY)
     links = checkpoint(_linked(verify(pairs, texts, width), percent))
     if not dense.isEmpty():
-        links = links.unionByName(_dense_links(posts, dense, texts, width, percent))
+        links = links.unionByName(_among_dense(dense, texts, width, percent))
     roots = components(links)
     ids = roots.join(classes.select(F.col("cls").alias("node"), "least_id"), "node")
     least = ids.groupBy("root").agg(F.min("least_id").alias("least"))

@@ -67,19 +67,20 @@ def brute_components(texts, width=3, percent=90):
     return {i: (len(sets[i]), find(i)) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("common", [2, 4])
-def test_ngram_join_with_dense_groups(spark, monkeypatch, common):
-    """Most shingles are common here, so classes take the pivot rounds, mixed with sparse ones."""
+@pytest.mark.parametrize(("common", "edits"), [(2, 3), (4, 3), (3, 9)])
+def test_ngram_join_with_dense_groups(spark, monkeypatch, common, edits):
+    """Most shingles are common here, so classes go by centres, mixed with sparse ones."""
     monkeypatch.setattr(ngram_join, "COMMON", common)
     monkeypatch.setattr(ngram_join, "COST", 2)
-    monkeypatch.setattr(ngram_join, "ROUNDS", 2)
-    rnd = random.Random(common)
+    monkeypatch.setattr(ngram_join, "OUTSIDERS", 5)
+    monkeypatch.setattr(ngram_join, "MEMBERS", 7)
+    rnd = random.Random(common + edits)
     bases = [[f"b{g}w{i}" for i in range(70)] for g in range(3)]
     shared = [f"c{i}" for i in range(40)]
     texts = []
     for k in range(60):
         words = list(bases[k % 3])
-        for _ in range(rnd.randint(0, 3)):
+        for _ in range(rnd.randint(0, edits)):
             words[rnd.randrange(70)] = f"e{rnd.randrange(9)}"
         if k % 5 == 0:
             words = shared + words[: rnd.randint(5, 30)]
