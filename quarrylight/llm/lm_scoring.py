@@ -21,9 +21,10 @@ empty table gives an empty result; only the id and text columns are read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +88,12 @@ def _large(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[:1].decode()}", -1, 1).astype(np.int64)
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi in textops.chunks(batch.column(0)):
+            yield pa.RecordBatch.from_arrays([pa.array([len(textops.Words(batch.column(0).slice(lo, hi - lo)).starts)], pa.int64())], ["n"])
+
+
 def _sorted(block: pa.Table) -> pa.Table:
     """Rows in an order that doesn't depend on how they arrived."""
     return block.sort_by([("id", "ascending"), ("text", "ascending")])
@@ -95,7 +102,7 @@ def _sorted(block: pa.Table) -> pa.Table:
 def _send(order: int, n_parts: int):
     def run(block: pa.Table) -> pa.Table:
         block = _sorted(block)
-        grams, _, per = _grams(block["text"].combine_chunks(), order)
+        grams, _, _ = _grams(block["text"].combine_chunks(), order)
         keys, counts, parts = _distinct(grams, n_parts)
         parts_used = [p for p, own in enumerate(parts) if len(own)]
         return pa.table(
@@ -104,7 +111,6 @@ def _send(order: int, n_parts: int):
                 "block": pa.array([block["block"][0].as_py()] * len(parts_used), pa.int32()),
                 "keys": pa.array([_packed(keys[parts[p]]) for p in parts_used], pa.binary()),
                 "counts": pa.array([_small(counts[parts[p]]) for p in parts_used], pa.binary()),
-                "words": pa.array([int(per.sum()) if i == 0 else 0 for i in range(len(parts_used))], pa.int64()),
             }
         )
 
@@ -184,10 +190,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     dealt = source.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
     kind = source.schema["id"].dataType.simpleString()
-    sent = dealt.groupBy("block").applyInArrow(_send(order, n), "part int, block int, keys binary, counts binary, words long")
-    sent = sent.persist(StorageLevel.DISK_ONLY)
-    total = sent.agg(F.sum("words")).first()[0] or 0
-    answers = sent.select("part", "block", "keys", "counts").groupBy("part").applyInArrow(_answer, "block int, part int, counts binary")
+    sent = dealt.groupBy("block").applyInArrow(_send(order, n), "part int, block int, keys binary, counts binary")
+    total = source.select("text").mapInArrow(_count_words, "n long").agg(F.sum("n")).first()[0] or 0
+    answers = sent.groupBy("part").applyInArrow(_answer, "block int, part int, counts binary")
     scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order, n, leave_out, total), f"id {kind}, n_words long, log_score double")
     return scored.select(F.col("id").alias(id_col), "n_words", F.round("log_score", 6).alias("log_score"), F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6)).alias("mean_log_score"))
 
