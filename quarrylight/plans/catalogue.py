@@ -1,4 +1,475 @@
-"""The library's own queries over the standard tables, and their SQL."""
+"""The library's operators applied to the standard tables, each with its SQL.
 
-QUERIES = {}
-ORACLES = {}
+The tables hold no source code, so columns stand in for code concepts: a
+customer refers to a nation, a document is a file, a url is a path.  Every
+query runs over its whole tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarrylight.functions import ranges, text
+from quarrylight.operators import dedupe, diff, graph, intervals, paging, paths, refs, resolve, scope, search, summary
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with the SQL that gives the same rows."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_TOKENS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+_BM25 = """
+w AS (SELECT doc_id, {tokens} AS ws FROM documents WHERE text IS NOT NULL), d AS (SELECT doc_id, ws, len(ws) AS l FROM w WHERE len(ws) > 0),
+t AS (SELECT count(*) AS n, sum(l) / count(*)::DOUBLE AS mean FROM d)
+""".format(tokens=_TOKENS.format("text"))
+
+
+def _bm25_term(term: str) -> str:
+    tf = f"len(list_filter(ws, lambda x: x = '{term}'))"
+    df = f"(SELECT count(*) FROM d WHERE list_contains(ws, '{term}'))"
+    return f"ln(1 + (n - {df} + 0.5) / ({df} + 0.5)) * {tf} * 2.2 / ({tf} + 1.2 * (0.25 + 0.75 * l / mean))"
+
+
+@query(f"WITH {_BM25} SELECT doc_id, round(-({_bm25_term('the')} + {_bm25_term('version')}), 6) AS rank FROM d, t WHERE list_contains(ws, 'the') AND list_contains(ws, 'version') ORDER BY rank, doc_id LIMIT 50")
+def bm25_search(spark, sf_dir):
+    """The best 50 documents for two words."""
+    hits = search.search(table(spark, sf_dir, "documents"), "the version", "doc_id", ["text"])
+    return hits.select(F.col("id").alias("doc_id"), "rank").orderBy("rank", "doc_id").limit(50)
+
+
+@query(f"""WITH {_BM25}, s AS (SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' AS j FROM d)
+SELECT doc_id FROM s WHERE contains(j, ' apache license ') AND (list_contains(ws, 'the') OR list_contains(ws, 'de')) AND NOT list_contains(ws, 'idiot') AND len(list_filter(ws, lambda x: starts_with(x, 'vers'))) > 0""")
+def query_syntax(spark, sf_dir):
+    """A phrase, an OR, a NOT and a prefix."""
+    return search.search(table(spark, sf_dir, "documents"), '"Apache License" the OR de NOT idiot vers*', "doc_id", ["text"]).select(F.col("id").alias("doc_id"))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(' ' || array_to_string(" + _TOKENS.format("text") + ", ' ') || ' ', ' version 2 ')")
+def malformed_query(spark, sf_dir):
+    """A query that doesn't parse is one phrase."""
+    return search.search(table(spark, sf_dir, "documents"), '"Version (2', "doc_id", ["text"]).select(F.col("id").alias("doc_id"))
+
+
+@query("SELECT t AS term, doc_id AS id, count(*) AS tf, any_value(l) AS length FROM (SELECT doc_id, len(ws) AS l, unnest(ws) AS t FROM (SELECT doc_id, " + _TOKENS.format("text") + " AS ws FROM documents WHERE text IS NOT NULL)) GROUP BY t, doc_id")
+def postings(spark, sf_dir):
+    """The inverted index of the documents."""
+    return search.postings(table(spark, sf_dir, "documents"), "doc_id", ["text"]).withColumn("length", F.col("length").cast("long"))
+
+
+@query(f"""WITH {_BM25}, q AS (SELECT DISTINCT item_id, unnest(list_distinct({_TOKENS.format('text')})[1:3]) AS t FROM benchmark),
+qs AS (SELECT item_id, count(*) AS k FROM q GROUP BY item_id), p AS (SELECT t AS term, doc_id, any_value(l) AS l, count(*) AS tf FROM (SELECT doc_id, l, unnest(ws) AS t FROM d) GROUP BY t, doc_id),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term), h AS (SELECT item_id, doc_id, count(*) AS found, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))) AS s FROM q JOIN p ON p.term = q.t JOIN f USING (term), t GROUP BY item_id, doc_id)
+SELECT item_id, doc_id, round(-s, 4) AS rank FROM h JOIN qs USING (item_id) WHERE found = k""".replace("list_distinct(", "list_sort(list_distinct(").replace(")[1:3]", "))[1:3]"))
+def search_many(spark, sf_dir):
+    """The first three words of every benchmark item, in order, searched at once."""
+    index = search.postings(table(spark, sf_dir, "documents"), "doc_id", ["text"]).persist()
+    lengths = index.select("id", "length").distinct().agg(F.count("*"), F.avg("length")).first()
+    words = F.slice(F.array_sort(F.array_distinct(text.tokens(F.col("text")))), 1, 3)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(words).alias("term"))
+    return search.search_many(index, asked, lengths[0], lengths[1] or 1.0).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("rank", 4).alias("rank"))
+
+
+@query("""WITH x AS (SELECT min(p_name) AS q FROM part) SELECT p_partkey, 1.0::DOUBLE AS rank FROM part, x WHERE p_name = q
+UNION ALL SELECT p_partkey, CASE WHEN p_name = q THEN 2.0 ELSE 5.0 END::DOUBLE FROM part, x WHERE p_name ILIKE '%' || q || '%'""")
+def search_name_fallback(spark, sf_dir):
+    """No full-text hit: exact names at rank 1, then names that contain the query."""
+    part = table(spark, sf_dir, "part")
+    name = part.agg(F.min("p_name")).first()[0]
+    hits = search.search(table(spark, sf_dir, "documents"), "zzz" + name.replace(" ", "zzz"), "doc_id", ["text"])
+    exact = search.with_fallback(hits, part, name, "p_partkey", "p_name")
+    return exact.unionByName(search.loose_hits(part, name, "p_partkey", "p_name")).select(F.col("id").alias("p_partkey"), "rank")
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def count_by_group(spark, sf_dir):
+    return summary.count_by(table(spark, sf_dir, "documents"), "lang")
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE event_type = 'purchase') AS purchases,
+count(*) FILTER (WHERE event_type NOT IN ('error', 'purchase')) AS other FROM events""")
+def conditional_counts(spark, sf_dir):
+    kind = F.col("event_type")
+    return summary.conditional_counts(table(spark, sf_dir, "events"), {"errors": kind == "error", "purchases": kind == "purchase"})
+
+
+@query("""SELECT n_nationkey, coalesce(c, 0) AS customers, coalesce(s, 0) AS suppliers, coalesce(o, 0) AS orders FROM nation
+LEFT JOIN (SELECT c_nationkey AS n_nationkey, count(*) AS c FROM customer GROUP BY 1) USING (n_nationkey)
+LEFT JOIN (SELECT s_nationkey AS n_nationkey, count(*) AS s FROM supplier GROUP BY 1) USING (n_nationkey)
+LEFT JOIN (SELECT c_nationkey AS n_nationkey, count(*) AS o FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) USING (n_nationkey)""")
+def workspace_summary(spark, sf_dir):
+    """Independent counts per nation beside each other."""
+    customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    count = lambda df, name: df.groupBy("n_nationkey").agg(F.count("*").alias(name))
+    parts = {"customers": count(customer, "customers"), "suppliers": count(supplier, "suppliers"), "orders": count(orders.join(customer, "c_custkey"), "orders")}
+    return summary.composite(table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey", parts)
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1")
+def latest_row(spark, sf_dir):
+    """Each customer's newest order."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
+    return summary.latest(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"])
+
+
+_REFS = """r AS (SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_nationkey END AS target, n_name AS name, [c_nationkey, c_nationkey + 5] AS candidates FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+def _customer_refs(spark, sf_dir):
+    named = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return named.select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey")).alias("target"), F.col("n_name").alias("name"), F.array("c_nationkey", F.col("c_nationkey") + 5).alias("candidates"))
+
+
+@query(f"WITH {_REFS} SELECT DISTINCT c_custkey, n_nationkey AS symbol_id FROM r, nation WHERE target = n_nationkey OR (target IS NULL AND name = n_name) OR list_contains(candidates, n_nationkey)")
+def find_referencers(spark, sf_dir):
+    """Customers that refer to a nation by key, by name where there is no key, or as a candidate."""
+    return refs.referencers(_customer_refs(spark, sf_dir), table(spark, sf_dir, "nation"), "c_custkey", "target", "name", "candidates", "n_nationkey", "n_name").select("c_custkey", "symbol_id")
+
+
+@query("SELECT DISTINCT l_partkey AS symbol_id, l_suppkey AS caller_id FROM lineitem")
+def callers(spark, sf_dir):
+    return refs.callers(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey")
+
+
+@query("SELECT DISTINCT l_suppkey AS symbol_id, l_partkey AS callee_id FROM lineitem")
+def callees(spark, sf_dir):
+    return refs.callees(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey")
+
+
+@query("""WITH x AS (SELECT split_part(min(p_name), ' ', 1) AS q FROM part)
+SELECT p_partkey, p_name, CASE WHEN lower(p_name) = lower(q) THEN 0 WHEN p_name ILIKE q || '%' THEN 1 ELSE 2 END::INTEGER AS bucket FROM part, x WHERE p_name ILIKE '%' || q || '%'""")
+def unresolved_bucketed(spark, sf_dir):
+    """Names like a query: the very name, a beginning, or inside."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    word = part.agg(F.min("p_name")).first()[0].split(" ")[0]
+    return search.bucketed(part, word, "p_name")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation)")
+def json_candidates(spark, sf_dir):
+    """A JSON field as a semi-join key."""
+    parsed = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k string")["k"].alias("k"))
+    return parsed.join(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("k")), "k", "left_semi").select("event_id", "k")
+
+
+_LINES = """s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> ''), u AS (SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS t FROM s),
+lines AS (SELECT doc_id, line, coalesce(sum(strlen(t) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_byte, t FROM u)"""
+
+
+@query(f"WITH {_LINES} SELECT doc_id, line::INTEGER AS line, start_byte::BIGINT AS start_byte, (start_byte + strlen(t))::BIGINT AS end_byte FROM lines")
+def line_spans(spark, sf_dir):
+    """Byte ranges of every line of every document."""
+    return ranges.line_spans(table(spark, sf_dir, "documents"), "text", ["doc_id"]).drop("text")
+
+
+@query("""WITH b AS (SELECT s_suppkey, s_nationkey AS k, floor(s_acctbal / 10)::BIGINT AS lo, floor(s_acctbal / 10)::BIGINT + 150 AS hi FROM supplier),
+a AS (SELECT c_custkey, c_nationkey AS k, floor(c_acctbal / 10)::BIGINT AS lo, floor(c_acctbal / 10)::BIGINT + 20 AS hi FROM customer)
+SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, s_suppkey, row_number() OVER (PARTITION BY c_custkey ORDER BY b.hi - b.lo, s_suppkey) AS r FROM a JOIN b ON a.k = b.k AND b.lo <= a.lo AND b.hi >= a.hi) WHERE r = 1""")
+def smallest_enclosing(spark, sf_dir):
+    """For each customer's balance range the shortest supplier range of the nation that holds it."""
+    span = lambda df, key, nation, money, width: df.select(key, F.col(nation).alias("k"), F.floor(F.col(money) / 10).alias("start"), (F.floor(F.col(money) / 10) + width).alias("end"))
+    inner = span(table(spark, sf_dir, "customer"), "c_custkey", "c_nationkey", "c_acctbal", 20)
+    outer = span(table(spark, sf_dir, "supplier"), "s_suppkey", "s_nationkey", "s_acctbal", 150)
+    return intervals.smallest_enclosing(inner, outer, ["k"], "c_custkey", "s_suppkey", grid=256).select("c_custkey", "s_suppkey")
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS slice, strlen(array_to_string(string_split(text, chr(10))[2:4], chr(10)))::BIGINT AS bytes FROM documents WHERE text IS NOT NULL")
+def range_slice(spark, sf_dir):
+    """Lines 1 to 3 (from 0) of each document."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", ranges.slice_lines(F.col("text"), F.lit(1), F.lit(3)).alias("slice"))
+    return docs.withColumn("bytes", F.octet_length("slice").cast("long"))
+
+
+@query("""WITH p AS (SELECT regexp_extract(url, '^[a-z]+://(.*)$', 1) AS path FROM pages), c AS (SELECT split_part(path, '/', 1) AS name, contains(path, '/') AS d FROM p WHERE path <> '')
+SELECT name, max(d) AS is_dir FROM c WHERE name <> '' GROUP BY name""")
+def tree_children(spark, sf_dir):
+    """What lies right below the root of all urls."""
+    return paths.children(table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://(.*)$", 1).alias("path")), "path")
+
+
+@query("""WITH k AS (SELECT n_name AS path, n_nationkey AS v FROM nation UNION ALL SELECT r_name, -1 - r_regionkey FROM region), c AS (SELECT p_partkey, [p_brand, upper(p_type), (SELECT min(n_name) FROM nation), (SELECT min(r_name) FROM region)] AS ps FROM part),
+u AS (SELECT p_partkey, unnest(range(4)) AS i, unnest(ps) AS path FROM c), h AS (SELECT p_partkey, v, i, row_number() OVER (PARTITION BY p_partkey ORDER BY i, v) AS r FROM u JOIN k USING (path))
+SELECT p_partkey, v::INTEGER AS v, i::INTEGER AS probe FROM h WHERE r = 1""")
+def path_probe_first(spark, sf_dir):
+    """Ordered candidates per part; the first that is known."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    known = nation.select(F.col("n_name").alias("path"), F.col("n_nationkey").alias("v")).unionByName(region.select(F.col("r_name").alias("path"), (-1 - F.col("r_regionkey")).alias("v")))
+    first, second = nation.agg(F.min("n_name")).first()[0], region.agg(F.min("r_name")).first()[0]
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.array("p_brand", F.upper("p_type"), F.lit(first), F.lit(second)).alias("ps"))
+    return paths.probe_first(rows, "ps", known, "path", "p_partkey", "v")
+
+
+@query("""WITH s AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS path FROM pages), x AS (SELECT page_id, array_to_string(string_split(path, '/')[i:], '/') AS suffix FROM (SELECT page_id, path, unnest(range(1, len(string_split(path, '/')) + 1)) AS i FROM s)),
+q AS (SELECT DISTINCT split_part(path, '/', -2) || '/' || split_part(path, '/', -1) AS suffix FROM s)
+SELECT suffix, min(page_id) AS page_id FROM x JOIN q USING (suffix) GROUP BY suffix HAVING count(*) = 1""")
+def unique_suffix(spark, sf_dir):
+    """The last two parts of each url path, where just one page ends in them."""
+    path = F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1)
+    known = table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
+    parts = F.split("path", "/", -1)
+    names = known.select(F.concat(F.coalesce(F.get(parts, F.size(parts) - 2), F.lit("")), F.lit("/"), F.get(parts, F.size(parts) - 1)).alias("suffix"))
+    return paths.unique_suffix(names, "suffix", known, "path", "page_id")
+
+
+_SNAPSHOTS = """f AS (SELECT doc_id AS path, sha256(text) AS h, lang, n_chars FROM documents),
+g AS (SELECT d.doc_id AS path, CASE WHEN d.lang = 'fr' THEN NULL ELSE sha256(d.text) END AS h, CASE WHEN d.lang = 'de' AND l.toxic = 1 THEN 'en' ELSE d.lang END AS lang, d.n_chars + l.toxic AS n_chars, l.quality = 0 AS gone FROM documents d JOIN labels l USING (doc_id)
+UNION ALL SELECT -1 - item_id, sha256(text), 'en', length(text), item_id < 5 FROM benchmark)"""
+
+
+def _snapshots(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    digest = F.sha2("text", 256)
+    found = docs.select(F.col("doc_id").alias("path"), digest.alias("h"), "lang", "n_chars")
+    stored = docs.join(labels, "doc_id").select(
+        F.col("doc_id").alias("path"),
+        F.when(F.col("lang") != "fr", digest).alias("h"),
+        F.when((F.col("lang") == "de") & (F.col("toxic") == 1), "en").otherwise(F.col("lang")).alias("lang"),
+        (F.col("n_chars") + F.col("toxic")).alias("n_chars"),
+        (F.col("quality") == 0).alias("gone"),
+    )
+    extra = table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("path"), digest.alias("h"), F.lit("en").alias("lang"), F.char_length("text").cast("long").alias("n_chars"), (F.col("item_id") < 5).alias("gone"))
+    return found, stored.unionByName(extra)
+
+
+@query(f"""WITH {_SNAPSHOTS}, j AS (SELECT coalesce(f.path, g.path) AS path, CASE WHEN f.path IS NULL AND g.gone THEN NULL WHEN f.path IS NULL THEN 'missing' WHEN g.path IS NULL THEN 'new' WHEN g.gone THEN 'recreated'
+WHEN f.h IS DISTINCT FROM g.h THEN 'content_changed' WHEN f.lang IS DISTINCT FROM g.lang THEN 'language_changed' WHEN f.n_chars IS DISTINCT FROM g.n_chars THEN 'metadata_changed' ELSE 'unchanged' END AS reason FROM f FULL JOIN g ON f.path = g.path)
+SELECT path, CASE reason WHEN 'unchanged' THEN 'skip' WHEN 'metadata_changed' THEN 'touch' WHEN 'missing' THEN 'remove' ELSE 'process' END AS action, reason FROM j WHERE reason IS NOT NULL""")
+def snapshot_diff(spark, sf_dir):
+    """What an incremental run does with every path, and why."""
+    found, stored = _snapshots(spark, sf_dir)
+    return diff.plan(found, stored, "path", "h", "lang", ["n_chars"], "gone")
+
+
+@query(f"WITH {_SNAPSHOTS} SELECT path, h, lang, n_chars, (gone OR path NOT IN (SELECT path FROM f)) AS gone FROM g")
+def tombstone(spark, sf_dir):
+    """Stored files, those not found flagged."""
+    found, stored = _snapshots(spark, sf_dir)
+    return diff.tombstone(stored, found, "path", "gone")
+
+
+@query(f"WITH {_SNAPSHOTS} SELECT doc_id, quality, toxic FROM labels WHERE doc_id IN (SELECT path FROM g WHERE NOT gone)")
+def tombstone_cleanup(spark, sf_dir):
+    """Derived rows of files that are still there."""
+    _, stored = _snapshots(spark, sf_dir)
+    return diff.without_deleted(table(spark, sf_dir, "labels"), stored.withColumnRenamed("path", "doc_id"), "doc_id", "gone")
+
+
+@query(f"WITH {_SNAPSHOTS} SELECT path, h, lang, n_chars FROM g WHERE path NOT IN (SELECT path FROM f) UNION ALL SELECT path, h, lang, n_chars FROM f")
+def upsert(spark, sf_dir):
+    found, stored = _snapshots(spark, sf_dir)
+    return diff.upsert(stored.drop("gone"), found, ["path"])
+
+
+@query(f"WITH {_SNAPSHOTS} SELECT path, h, lang, n_chars FROM g UNION ALL SELECT path, h, lang, n_chars FROM f WHERE path NOT IN (SELECT path FROM g)")
+def insert_missing(spark, sf_dir):
+    found, stored = _snapshots(spark, sf_dir)
+    return diff.insert_missing(stored.drop("gone"), found, ["path"])
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) THEN o_custkey END AS o_custkey FROM orders")
+def cascade_set_null(spark, sf_dir):
+    """References to removed parents are nulled."""
+    parents = table(spark, sf_dir, "customer").filter("c_acctbal >= 0")
+    return diff.set_null(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), parents, "o_custkey", "c_custkey")
+
+
+@query("SELECT sha256(text) AS content_hash, count(*) AS members, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1")
+def content_duplicates(spark, sf_dir):
+    return dedupe.content_copies(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+
+
+_TIERS = """c AS (SELECT c_custkey, c_nationkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey), s AS (SELECT s_suppkey, s_nationkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 4000),
+a AS (SELECT s_nationkey AS k, count(*) AS n, min(s_suppkey) AS f FROM s GROUP BY 1), b AS (SELECT n_regionkey AS k, count(*) AS n, min(s_suppkey) AS f FROM s GROUP BY 1),
+res AS (SELECT c_custkey, coalesce(a.n, b.n, 0) AS n_candidates, coalesce(a.f, b.f) AS target, CASE WHEN a.n IS NOT NULL THEN 'nation' WHEN b.n IS NOT NULL THEN 'region' ELSE 'none' END AS reason, CASE WHEN a.n IS NOT NULL THEN 1.0 WHEN b.n IS NOT NULL THEN 0.9 ELSE 0.0 END AS top FROM c LEFT JOIN a ON a.k = c_nationkey LEFT JOIN b ON b.k = c.n_regionkey),
+rr AS (SELECT c_custkey, CASE WHEN n_candidates = 0 THEN 'unresolved' WHEN n_candidates = 1 THEN 'resolved' ELSE 'ambiguous' END AS resolution, target, CASE WHEN n_candidates > 1 THEN 0.5 ELSE top END::DOUBLE AS confidence, reason, n_candidates FROM res)"""
+
+
+def _resolved(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    occurrences = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_nationkey", "n_regionkey")
+    symbols = table(spark, sf_dir, "supplier").filter("s_acctbal > 4000").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_nationkey", "n_regionkey")
+    tiers = [("nation", 1.0, ["n_nationkey"], symbols), ("region", 0.9, ["n_regionkey"], symbols)]
+    return resolve.resolve_tiers(occurrences, tiers, "s_suppkey").select("c_custkey", "resolution", "target", "confidence", "reason", "n_candidates")
+
+
+@query(f"WITH {_TIERS} SELECT * FROM rr")
+def tiered_resolution(spark, sf_dir):
+    """Customer to supplier: the same nation first, then the same region."""
+    return _resolved(spark, sf_dir)
+
+
+@query(f"WITH {_TIERS} SELECT count(*) AS total, count(*) FILTER (WHERE resolution = 'resolved') AS resolved, count(*) FILTER (WHERE resolution = 'ambiguous') AS ambiguous, count(*) FILTER (WHERE resolution = 'unresolved') AS unresolved, count(*) FILTER (WHERE resolution = 'external') AS external FROM rr")
+def resolution_stats(spark, sf_dir):
+    return summary.resolution_counts(_resolved(spark, sf_dir), "resolution", resolve.STATES)
+
+
+@query("""WITH p AS (SELECT p_partkey, p_brand, p_type FROM part), t AS (SELECT a.p_partkey, b.p_partkey AS c, 0 AS tier FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey
+UNION ALL SELECT p_partkey, s_suppkey, 1 FROM part JOIN supplier ON p_size = s_nationkey), m AS (SELECT p_partkey, min(tier) AS tier FROM t GROUP BY 1), g AS (SELECT p_partkey, tier, count(DISTINCT c) AS n, min(c) AS target FROM t JOIN m USING (p_partkey, tier) GROUP BY 1, 2)
+SELECT p.p_partkey, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS resolution, target, coalesce(n, 0) AS n_candidates FROM p LEFT JOIN g USING (p_partkey)""")
+def candidate_tiers(spark, sf_dir):
+    """Tiers given as candidate rows: parts of the same brand and type, else suppliers by size."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    other = part.select(F.col("p_partkey").alias("c"), "p_brand", "p_type")
+    near = part.join(other, ["p_brand", "p_type"]).filter("p_partkey <> c").select("p_partkey", "c")
+    wide = part.join(table(spark, sf_dir, "supplier"), F.col("p_size") == F.col("s_nationkey")).select("p_partkey", F.col("s_suppkey").alias("c"))
+    tiers = resolve.candidate_tiers([("alike", 1.0, near), ("size", 0.8, wide)], "p_partkey", "c")
+    return resolve.resolve(part.select("p_partkey"), "p_partkey", tiers).select("p_partkey", "resolution", "target", "n_candidates")
+
+
+_LINKS = """l AS (SELECT DISTINCT a.n_regionkey AS source, b.n_regionkey AS target FROM nation a JOIN nation b ON left(a.n_name, 1) = left(b.n_name, 1) AND a.n_regionkey < b.n_regionkey),
+v AS (SELECT r_regionkey AS viewer, r_regionkey AS owner FROM region UNION SELECT source, target FROM l)"""
+
+
+def _visibility(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").select(F.substring("n_name", 1, 1).alias("i"), "n_regionkey")
+    links = nation.join(nation.select("i", F.col("n_regionkey").alias("other")), "i").filter("n_regionkey < other").select(F.col("n_regionkey").alias("source"), F.col("other").alias("target")).distinct()
+    return scope.visibility(table(spark, sf_dir, "region"), "r_regionkey", links)
+
+
+@query(f"WITH {_LINKS} SELECT viewer, c_custkey FROM v JOIN nation ON n_regionkey = owner JOIN customer ON c_nationkey = n_nationkey")
+def linked_scope(spark, sf_dir):
+    """What each region sees: its own customers and those of regions it links to."""
+    owned = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_regionkey")
+    return scope.visible(owned, "n_regionkey", _visibility(spark, sf_dir)).select("viewer", "c_custkey")
+
+
+@query(f"""WITH {_LINKS}, x AS (SELECT DISTINCT cn.n_regionkey AS viewer, l_suppkey AS target, sn.n_regionkey AS owner FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey)
+SELECT x.viewer, x.owner, CASE WHEN v.viewer IS NULL THEN NULL ELSE target END AS target, CASE WHEN v.viewer IS NULL THEN 'unresolved' ELSE 'resolved' END AS state FROM x LEFT JOIN v ON v.viewer = x.viewer AND v.owner = x.owner""")
+def redacted_targets(spark, sf_dir):
+    """Suppliers that customers of a region bought from; hidden where their region isn't visible."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    buyers = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", F.col("n_regionkey").alias("viewer"))
+    sellers = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("target"), F.col("n_regionkey").alias("owner"))
+    bought = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("target")).join(buyers, "o_orderkey").select("viewer", "target").distinct()
+    rows = bought.join(sellers, "target").select("viewer", "owner", "target", F.lit("resolved").alias("state"))
+    return scope.redact(rows, "viewer", "owner", ["target"], "state", _visibility(spark, sf_dir))
+
+
+# a graph of regions, nations, customers and suppliers, with a way back from nations to regions
+_EDGES = """e AS (SELECT n_regionkey::BIGINT AS s, 100 + n_nationkey::BIGINT AS t, 'contains' AS kind FROM nation UNION ALL SELECT 100 + n_nationkey, n_regionkey, 'calls' FROM nation
+UNION ALL SELECT 100 + c_nationkey, 1000 + c_custkey, 'contains' FROM customer UNION ALL SELECT 100 + s_nationkey, -s_suppkey, 'imports' FROM supplier)"""
+
+
+def _edges(spark, sf_dir):
+    nation, customer, supplier = (table(spark, sf_dir, t) for t in ("nation", "customer", "supplier"))
+    long = lambda c: c.cast("long")
+    parts = [
+        nation.select(long(F.col("n_regionkey")).alias("s"), long(100 + F.col("n_nationkey")).alias("t"), F.lit("contains").alias("kind")),
+        nation.select(long(100 + F.col("n_nationkey")).alias("s"), long(F.col("n_regionkey")).alias("t"), F.lit("calls").alias("kind")),
+        customer.select(long(100 + F.col("c_nationkey")).alias("s"), (1000 + F.col("c_custkey")).alias("t"), F.lit("contains").alias("kind")),
+        supplier.select(long(100 + F.col("s_nationkey")).alias("s"), (-F.col("s_suppkey")).alias("t"), F.lit("imports").alias("kind")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, c AS (SELECT r_regionkey::BIGINT AS root, r_regionkey::BIGINT AS node, 0 AS level FROM region UNION SELECT root, e.t, level + 1 FROM c JOIN e ON e.s = c.node WHERE level < 5)
+SELECT root, node, min(level)::INTEGER AS level FROM c GROUP BY root, node""")
+def transitive_closure(spark, sf_dir):
+    """Everything each region leads to, over cycles, at its smallest depth."""
+    return graph.closure(_edges(spark, sf_dir), table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("node")), "s", "t", "node", depth=5)
+
+
+@query(f"""WITH {_EDGES}, n0 AS (SELECT 0::BIGINT AS id), e1 AS (SELECT s, t, kind FROM e WHERE (s IN (SELECT id FROM n0) AND kind = 'contains') OR (t IN (SELECT id FROM n0) AND kind = 'calls')), n1 AS (SELECT s AS id FROM e1 UNION SELECT t FROM e1),
+e2 AS (SELECT s, t, kind FROM e WHERE (s IN (SELECT id FROM n1) AND kind = 'contains') OR (t IN (SELECT id FROM n1) AND kind = 'calls')), g AS (SELECT *, 1 AS level FROM e1 UNION ALL SELECT *, 2 FROM e2)
+SELECT s AS source, t AS target, kind, min(level)::INTEGER AS level, false AS dangling FROM g GROUP BY s, t, kind""")
+def graph_expand(spark, sf_dir):
+    """Edges within two steps of a region: what it contains, and calls into it."""
+    _, edges, _ = graph.expand(_edges(spark, sf_dir), 0, "s", "t", "kind", ["contains"], ["calls"], depth=2)
+    return edges
+
+
+@query()
+def graph_expand_capped(spark, sf_dir):
+    """As graph_expand, cut to 30 nodes and 40 edges in a fixed order."""
+    _, edges, _ = graph.expand(_edges(spark, sf_dir), 0, "s", "t", "kind", ["contains"], ["calls"], depth=2, max_nodes=30, max_edges=40)
+    return edges
+
+
+@query("""WITH s AS (SELECT r_regionkey::BIGINT AS id, NULL::BIGINT AS parent, r_name AS name FROM region UNION ALL SELECT 100 + n_nationkey, n_regionkey, n_name FROM nation UNION ALL SELECT 1000 + c_custkey, 100 + c_nationkey, c_name FROM customer),
+k AS (SELECT id, row_number() OVER (PARTITION BY parent ORDER BY name, id) AS place FROM s)
+SELECT id, (CASE WHEN id < 100 THEN 0 WHEN id < 1000 THEN 1 ELSE 2 END)::INTEGER AS level, place::INTEGER AS place FROM k""")
+def outline(spark, sf_dir):
+    """A tree of regions, nations and customers: depth, and place among siblings."""
+    region, nation, customer = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    rows = region.select(F.col("r_regionkey").cast("long").alias("id"), F.lit(None).cast("long").alias("parent"), F.col("r_name").alias("name"))
+    rows = rows.unionByName(nation.select((100 + F.col("n_nationkey")).cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("parent"), F.col("n_name").alias("name")))
+    rows = rows.unionByName(customer.select((1000 + F.col("c_custkey")).alias("id"), (100 + F.col("c_nationkey")).cast("long").alias("parent"), F.col("c_name").alias("name")))
+    return graph.outline(rows, "id", "parent", ["name", "id"]).drop("path")
+
+
+@query("""SELECT a.n_nationkey AS derived, b.n_nationkey AS base, x.c_mktsegment AS name, x.c_custkey AS derived_member, y.c_custkey AS base_member FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey > b.n_nationkey
+JOIN customer x ON x.c_nationkey = a.n_nationkey JOIN customer y ON y.c_nationkey = b.n_nationkey AND y.c_mktsegment = x.c_mktsegment WHERE x.c_acctbal > 9000 AND y.c_acctbal > 9000""")
+def override_pairs(spark, sf_dir):
+    """Members of the same name in linked nations."""
+    nation = table(spark, sf_dir, "nation")
+    links = nation.select(F.col("n_nationkey").alias("derived"), "n_regionkey").join(nation.select(F.col("n_nationkey").alias("base"), "n_regionkey"), "n_regionkey").filter("derived > base")
+    members = table(spark, sf_dir, "customer").filter("c_acctbal > 9000")
+    return refs.pairs_by_name(members, members, links, "c_nationkey", "c_mktsegment", "c_custkey")
+
+
+@query("SELECT p_partkey, 'part:' || p_brand || '#' || p_type || '#' || p_name || CASE WHEN p_size > 25 THEN '#' || p_size ELSE '' END AS symbol_key FROM part")
+def symbol_key(spark, sf_dir):
+    key = text.symbol_key(F.lit("part"), F.col("p_brand"), F.col("p_type"), F.col("p_name"), F.when(F.col("p_size") > 25, F.col("p_size").cast("string")))
+    return table(spark, sf_dir, "part").select("p_partkey", key.alias("symbol_key"))
+
+
+@query("SELECT DISTINCT ON (l_orderkey, l_partkey) l_orderkey, l_partkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_orderkey, l_partkey, l_linenumber, l_quantity")
+def dedup_first_wins(spark, sf_dir):
+    """Of the lines of an order for one part, the first."""
+    return dedupe.first_by(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity"), ["l_orderkey", "l_partkey"], ["l_linenumber"])
+
+
+@query("SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total, (SELECT 150 + 50 < count(*) FROM orders) AS has_more FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 150")
+def paged_listing(spark, sf_dir):
+    """The fourth page of orders by price."""
+    return paging.page(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 50, 150)
+
+
+@query("""WITH u AS (SELECT 'customer' AS owner, c_custkey AS id, c_acctbal AS rank FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_acctbal FROM supplier)
+SELECT owner, id, rank, (SELECT count(*) FROM u) AS total, (SELECT 20 + 20 < count(*) FROM u) AS has_more FROM u ORDER BY rank, owner, id LIMIT 20 OFFSET 20""")
+def merged_page(spark, sf_dir):
+    """One page over two ranked lists."""
+    parts = [table(spark, sf_dir, t).select(F.lit(t).alias("owner"), F.col(k).alias("id"), F.col(r).alias("rank")) for t, k, r in (("customer", "c_custkey", "c_acctbal"), ("supplier", "s_suppkey", "s_acctbal"))]
+    return paging.merge_pages(parts, [F.col("rank"), F.col("owner"), F.col("id")], 20, 20)
+
+
+@query("""SELECT n_nationkey, unnest(CASE WHEN contains(n_name, ' ') THEN [n_name, split_part(n_name, ' ', 1), ''] ELSE [n_name, ''] END) AS scope, unnest(range(CASE WHEN contains(n_name, ' ') THEN 3 ELSE 2 END))::INTEGER AS depth FROM nation""")
+def scope_hierarchy(spark, sf_dir):
+    """Scopes around each name, innermost first (names have two parts at most)."""
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(text.scope_hierarchy(F.col("n_name"), " ")).alias("depth", "scope")).select("n_nationkey", "scope", "depth")
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages")
+def html_escaped(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.escape_html(F.col("html")).alias("escaped"))
+
+
+@query("SELECT doc_id, sha256(coalesce(lang, '') || '|' || coalesce(source, '') || '|' || coalesce(n_chars::VARCHAR, '')) AS fingerprint FROM documents")
+def settings_fingerprint(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.fingerprint(F.col("lang"), F.col("source"), F.col("n_chars")).alias("fingerprint"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 50000 AND 150000 AND o_orderstatus IN ('F', 'O')")
+def range_and_list_filter(spark, sf_dir):
+    """Range containment and an IN list, both in the scan's pushed filters."""
+    orders = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus").isin("F", "O"))
+    return intervals.inside(orders, 50000, 150000, "o_totalprice", "o_totalprice").select("o_orderkey", "o_custkey", "o_totalprice")
