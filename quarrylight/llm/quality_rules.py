@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight.llm.skew import salted_join
+
 #: Characters that separate words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -102,7 +104,7 @@ def judge(measured: DataFrame) -> DataFrame:
     flagged = measured.withColumns({"base_failed": base_failed, "rule_failed": rule_failed})
     hosts = flagged.groupBy("_domain").agg(F.count("*").alias("n"), F.count_if("rule_failed").alias("f"))
     verdicts = host_verdicts(hosts)
-    return flagged.join(verdicts, "_domain", "left").withColumn("kept", ~F.col("rule_failed") & ~F.col("host_failed"))
+    return salted_join(flagged, verdicts, ["_domain"], F.col("_id")).withColumn("kept", ~F.col("rule_failed") & ~F.col("host_failed"))
 
 
 def host_verdicts(hosts: DataFrame) -> DataFrame:
