@@ -119,16 +119,16 @@ def fit(examples: list[np.ndarray], targets: np.ndarray, rounds: int = 100, pace
     weights = np.zeros((1 << BITS) + 1)
     if not len(targets) or targets.min() == targets.max():
         return weights
-    sizes = np.array([len(x) for x in examples])
-    used, index = np.unique(np.concatenate(examples), return_inverse=True)
-    row = np.repeat(np.arange(len(examples)), sizes)
+    flat = np.concatenate(examples)
+    row = np.repeat(np.arange(len(examples), dtype=np.int32), [len(x) for x in examples])
     # features whose share differs little between the two kinds would only be learnt by heart
     good, bad = targets.sum(), len(targets) - targets.sum()
-    seen, within = np.bincount(index), np.bincount(index, targets[row])
+    seen, within = (np.bincount(x, minlength=1 << BITS) for x in (flat, flat[targets[row] == 1]))
     rate = seen / len(targets)
     apart = (within / good - (seen - within) / bad) / np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / good + 1 / bad))
-    keep = (np.abs(apart) >= least_z)[index] & (seen[index] >= 3)
-    index, row = index[keep], row[keep]
+    telling = (np.abs(apart) >= least_z) & (seen >= 3)
+    used, keep = np.flatnonzero(telling), telling[flat]
+    index, row = (np.cumsum(telling) - 1)[flat[keep]], row[keep]
     share = np.where(targets == 1, 0.5 / max(targets.mean(), 1e-9), 0.5 / max(1 - targets.mean(), 1e-9))
     w, b = np.zeros(len(used)), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -212,7 +212,9 @@ def quality_classifier(
     target = lambda c: (rows[c].to_numpy() > 0).astype(np.float64)
     order = sorted(range(len(examples)), key=lambda i: (len(examples[i]), examples[i].tobytes()))  # rows come in any order
     examples = [examples[i] for i in order]
-    heads = [fit(examples, target(c)[order]) for c in ("good", "toxic")]
+    wanted = [target(c)[order] for c in ("good", "toxic")]
+    del rows
+    heads = [fit(examples, y) for y in wanted]
     scored = source.mapInArrow(_score(heads), f"_id {kind}, _host string, _path string, _words long, _good long, _toxic long").persist()
     judged = salted_join(scored, site_shifts(scored), ["_host", "_path"], F.col("_id"))
     odds = lambda h: F.col(f"_{h}") / 1e6 + F.col(f"_{h}_shift")
