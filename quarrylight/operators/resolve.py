@@ -66,12 +66,14 @@ def resolve_tiers(occurrences: DataFrame, tiers: list[tuple[str, float, list[str
     for i, (reason, confidence, keys, candidates) in enumerate(tiers):
         rank = F.struct(F.col(prefer) if prefer else F.lit(0), F.col(candidate))
         distinct = candidates.select(*keys, candidate, *([prefer] if prefer else [])).distinct()
-        merged = distinct.groupBy(*keys).agg(
+        found = F.struct(
             F.count_distinct(candidate).alias("n"),
             F.min_by(candidate, rank).alias("candidate"),
+            F.lit(reason).alias("reason"),
+            F.lit(confidence).alias("confidence"),
             F.slice(F.sort_array(F.collect_set(candidate)), 1, saved).alias("all"),
         )
-        merged = merged.select(*keys, F.struct("n", "candidate", F.lit(reason).alias("reason"), F.lit(confidence).alias("confidence"), "all").alias(f"_t{i}"))
+        merged = distinct.groupBy(*keys).agg(found.alias(f"_t{i}"))
         out = out.join(merged, keys, "left")
         hits.append(F.col(f"_t{i}"))
     b = F.coalesce(*hits)
