@@ -34,6 +34,8 @@ SAMPLE = 12_000
 PRIOR = 50.0
 #: How far a site's log-odds shift a document's own.
 SITE_WEIGHT = 0.5
+#: Odds this near to even reject nothing, whatever rounding does.
+EVEN = 1e-6
 STARTS = (5, 6, 7, 8)
 
 _PUNCTUATION = np.zeros(256, bool)
@@ -224,7 +226,7 @@ def quality_classifier(
         F.col("_words").alias("n_words"),
         chance("good").alias("quality"),
         chance("toxic").alias("toxicity"),
-        ((F.col("_words") > 0) & (odds("good") >= 0) & (odds("toxic") <= 0)).alias("kept"),
+        ((F.col("_words") > 0) & (odds("good") >= -EVEN) & (odds("toxic") <= EVEN)).alias("kept"),
     )
 
 
