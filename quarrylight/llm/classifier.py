@@ -35,7 +35,7 @@ PRIOR = 50.0
 #: How far a site's log-odds shift a document's own.
 SITE_WEIGHT = 0.5
 #: Odds this near to even reject nothing, whatever rounding does.
-EVEN = 1e-6
+EVEN = 1e-3
 STARTS = (5, 6, 7, 8)
 
 _PUNCTUATION = np.zeros(256, bool)
@@ -128,7 +128,7 @@ def fit(examples: list[np.ndarray], targets: np.ndarray, rounds: int = 100, pace
     seen, within = (np.bincount(x, minlength=1 << BITS) for x in (flat, flat[targets[row] == 1]))
     rate = seen / len(targets)
     apart = (within / good - (seen - within) / bad) / np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / good + 1 / bad))
-    telling = (np.abs(apart) >= least_z) & (seen >= 3)
+    telling = (np.abs(apart) >= min(least_z, 0.6 * np.sqrt(len(targets)))) & (seen >= 3)  # z can't pass the root of n
     used, keep = np.flatnonzero(telling), telling[flat]
     index, row = (np.cumsum(telling) - 1)[flat[keep]], row[keep]
     share = np.where(targets == 1, 0.5 / max(targets.mean(), 1e-9), 0.5 / max(1 - targets.mean(), 1e-9))
