@@ -116,7 +116,7 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(packed, pa.binary())], ["good", "toxic", "features"])
 
 
-def fit(examples: list[np.ndarray], targets: np.ndarray, rounds: int = 100, pace: float = 0.1, decay: float = 1e-4, least_z: float = 5.0) -> np.ndarray:
+def fit(examples: list[np.ndarray], targets: np.ndarray, rounds: int = 300, pace: float = 0.1, decay: float = 3e-5, least_z: float = 5.0) -> np.ndarray:
     """Logistic weights, the last one the intercept; zero where there is but one kind of target."""
     weights = np.zeros((1 << BITS) + 1)
     if not len(targets) or targets.min() == targets.max():
