@@ -373,7 +373,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = roots.join(classes.select(F.col("cls").alias("node"), "least_id"), "node")
     least = ids.groupBy("root").agg(F.min("least_id").alias("least"))
     merged = ids.join(least, "root").select(F.col("node").alias("cls"), "least")
-    known = classes.select("cls", "least_id").join(merged, "cls", "left").select("cls", F.coalesce("least", "least_id").alias("component_id"))
+    # a table of its own, so that the last join has two plain sides and a hot class can be split
+    known = checkpoint(classes.select("cls", "least_id").join(merged, "cls", "left").select("cls", F.coalesce("least", "least_id").alias("component_id")))
     return rows.join(known, "cls", "left").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
