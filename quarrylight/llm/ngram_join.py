@@ -230,7 +230,7 @@ def _dense_links(sets: DataFrame, posts: DataFrame, texts: DataFrame, width: int
     members = checkpoint(sets.join(hot, "cls"))
     sizes = members.groupBy("h").agg(F.count("*").alias("size"))
     held = members.select("h", "set").mapInArrow(_tally, "h long, token long, n long").groupBy("h", "token").agg(F.sum("n").alias("n"))
-    inner = held.join(sizes, "h").filter("2 * n > size")
+    inner = salted_join(held, sizes, ["h"], F.col("token")).filter("2 * n > size")
     centres = checkpoint(inner.groupBy("h", "size").agg(F.sort_array(F.collect_list("token")).alias("centre")))
     alike = components(_alike(centres), "a", "b").withColumnRenamed("node", "h")
     grouped = centres.join(alike, "h", "left").withColumn("g", F.coalesce("root", "h"))
