@@ -43,7 +43,7 @@ _JAVA_METHOD = r"^[ \t]*(?:(?:public|private|protected|internal|static|final|abs
 RULES: dict[str, Rules] = {
     "c": Rules("//", ("/*", "*/"), "\"'", r"\b(?P<kind>struct|union|enum)[ \t]+(?P<name>\w+)[ \t\n]*(?P<end>[{])", _C_FUNCTION, _C_IMPORTS, macros=r"^[ \t]*#[ \t]*define[ \t]+(?P<name>\w+)", delimiter="::"),
     "cpp": Rules("//", ("/*", "*/"), "\"'", r"\b(?P<kind>class|struct|union|namespace|enum(?:[ \t]+class)?)[ \t]+(?P<name>\w+)[ \t\n]*(?:final[ \t\n]*)?(?P<bases>:[^;{]*)?(?P<end>[{])", _C_FUNCTION, _C_IMPORTS, bases=r"(?:public|private|protected|virtual|\s)*(?P<name>[\w:]+)", macros=r"^[ \t]*#[ \t]*define[ \t]+(?P<name>\w+)", delimiter="::"),
-    "csharp": Rules("//", ("/*", "*/"), "\"'", r"\b(?P<kind>class|struct|interface|enum|record|namespace)[ \t]+(?P<name>[\w.]+)(?:<[^>{]*>)?[ \t\n]*(?P<bases>:[^;{]*)?(?P<end>[{])", _JAVA_METHOD, r"^[ \t]*(?:global[ \t]+)?using[ \t]+(?:static[ \t]+)?(?:\w+[ \t]*=[ \t]*)?(?P<name>[\w.]+)[ \t]*;", bases=r"(?P<name>[\w.]+)(?:<[^>]*>)?"),
+    "csharp": Rules("//", ("/*", "*/"), "\"'", r"\b(?P<kind>class|struct|interface|enum|record|namespace)[ \t]+(?P<name>[\w.]+)(?:<[^>{]*>)?[ \t\n]*(?P<bases>:[^;{]*)?(?P<end>[{])", _JAVA_METHOD, r"^[ \t]*(?:global[ \t]+)?using[ \t]+(?:static[ \t]+)?(?:(?P<alias>\w+)[ \t]*=[ \t]*)?(?P<name>[\w.]+)[ \t]*;", bases=r"(?P<name>[\w.]+)(?:<[^>]*>)?"),
     "java": Rules("//", ("/*", "*/"), "\"'", r"\b(?P<kind>class|interface|enum|record)[ \t]+(?P<name>\w+)(?:<[^>{]*>)?(?:\([^)]*\))?[ \t\n]*(?P<bases>(?:extends|implements)[^;{]*)?(?P<end>[{])", _JAVA_METHOD, r"^[ \t]*import[ \t]+(?:static[ \t]+)?(?P<name>[\w.*]+)[ \t]*;", bases=r"(?!extends\b|implements\b)(?P<name>[\w.]+)(?:<[^>]*>)?"),
     "javascript": Rules("//", ("/*", "*/"), "\"'`", r"\b(?P<kind>class)[ \t]+(?P<name>\w+)[ \t\n]*(?P<bases>extends[^{]*)?(?P<end>[{])", r"(?:\bfunction\b[ \t*]*(?P<name>\w+)[ \t]*(?P<sig>\([^{}]*?\))|^[ \t]*(?:static[ \t]+|async[ \t]+|get[ \t]+|set[ \t]+)*(?P<name2>\w+)[ \t]*(?P<sig2>\([^{};]*?\)))[ \t\n]*(?P<end>[{])", _JS_IMPORT, bases=r"(?!extends\b)(?P<name>[\w.]+)", variables=r"\b(?:const|let|var)[ \t]+(?P<name>\w+)"),
     "typescript": Rules("//", ("/*", "*/"), "\"'`", r"\b(?P<kind>class|interface|enum|namespace)[ \t]+(?P<name>\w+)(?:<[^>{]*>)?[ \t\n]*(?P<bases>(?:extends|implements)[^{]*)?(?P<end>[{])", r"(?:\bfunction\b[ \t*]*(?P<name>\w+)[ \t]*(?:<[^>()]*>)?(?P<sig>\([^{}]*?\))|^[ \t]*(?:public[ \t]+|private[ \t]+|protected[ \t]+|static[ \t]+|async[ \t]+|get[ \t]+|set[ \t]+)*(?P<name2>\w+)[ \t]*(?P<sig2>\([^{};]*?\)))(?:[ \t]*:[^{;=\n]+)?[ \t\n]*(?P<end>[{])", _JS_IMPORT, bases=r"(?!extends\b|implements\b)(?P<name>[\w.]+)(?:<[^>]*>)?", variables=r"\b(?:const|let|var)[ \t]+(?P<name>\w+)"),
@@ -119,7 +119,7 @@ def extractor(language: str):
                 facts.symbol(m["name"], kind, scope_at(m.start("name")), byte(m.start("name")), byte(m.end("name")), delimiter=rules.delimiter)
         for m in re.finditer(rules.imports, uncommented, re.MULTILINE):
             dynamic = bool(re.search(r"[$`{}]", m["name"]))
-            facts.occurrence(m["name"].strip("\"'"), "include" if language in ("c", "cpp") else "import", scope_at(m.start()), byte(m.start("name")), byte(m.end("name")), 0.0 if dynamic else SEEN, metadata=json.dumps({"dynamic": True}) if dynamic else None)
+            facts.occurrence(m["name"].strip("\"'"), "include" if language in ("c", "cpp") else "import", scope_at(m.start()), byte(m.start("name")), byte(m.end("name")), 0.0 if dynamic else SEEN, metadata=json.dumps({"dynamic": True}) if dynamic else json.dumps({"alias": m["alias"]}) if m.groupdict().get("alias") else None)
         taken = {a for a, _ in declared}
         for m in calls.finditer(bare):
             if m["name"] not in NOT_CALLS and m.start("name") not in taken:

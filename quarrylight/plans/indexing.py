@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight import extract, schema
-from quarrylight.functions.text import arity, looks_like_interface, scope_hierarchy
-from quarrylight.operators import dependencies, diff, graph, relations, resolve
+from quarrylight.functions.text import arity, dotted_name, looks_like_interface, scope_hierarchy
+from quarrylight.operators import dependencies, diff, graph, relations, resolve, summary
 from quarrylight.sources import discovery
 from quarrylight.sources.store import Store
 
@@ -30,14 +30,25 @@ def files_of(spark: SparkSession, root: str, workspace_id: int, **options) -> Da
     )
 
 
-def import_edges(facts_occurrences: DataFrame, files: DataFrame, search: DataFrame | None = None, module: str | None = None) -> DataFrame:
-    """The dependency table: one row per (file, name, kind)."""
-    made = facts_occurrences.filter(F.col("kind").isin("import", "include")).select("workspace_id", F.col("file_id").alias("source_file_id"), F.col("name").alias("raw_name"), "kind").distinct()
-    keyed = made.withColumn("_key", schema.identifier(F.col("source_file_id"), F.col("raw_name"), F.col("kind")))
-    located = keyed.join(files.select(F.col("file_id").alias("source_file_id"), "path", "language"), "source_file_id")
-    known = files.select("path", "language", F.col("file_id").alias("id"))
-    targets = dependencies.resolve(located.select("_key", "path", "language", "raw_name"), known, "_key", search, module)
-    return keyed.join(targets, "_key").select("workspace_id", "source_file_id", "target_file_id", "raw_name", "kind", "resolution", "confidence", "reason")
+def import_edges(made: DataFrame, files: DataFrame, library: DataFrame | None = None, search: DataFrame | None = None, module: str | None = None) -> DataFrame:
+    """The dependency table: one row per (file, name, kind).
+
+    An import leads into the project where it can; else into a linked
+    workspace's files (library: file_id, path, language, owner).
+    """
+    wanted = made.filter(F.col("kind").isin("import", "include")).select("workspace_id", F.col("file_id").alias("source_file_id"), F.col("name").alias("raw_name"), "kind").distinct()
+    keyed = wanted.withColumn("_key", schema.identifier(F.col("source_file_id"), F.col("raw_name"), F.col("kind")))
+    located = keyed.join(files.select(F.col("file_id").alias("source_file_id"), "path", "language"), "source_file_id").select("_key", "path", "language", "raw_name")
+    known = lambda df: df.select("path", "language", F.col("file_id").alias("id"))
+    found = dependencies.resolve(located, known(files), "_key", search, module)
+    if library is not None:
+        lost = located.join(found.filter("target_file_id is null"), "_key", "left_semi")
+        # equal paths of several linked workspaces: the smallest owner's
+        first = library.groupBy("path").agg(F.min_by(F.struct("file_id", "language", "owner"), "owner").alias("f")).select("path", "f.*")
+        there = dependencies.resolve(lost, known(first), "_key", search, module).filter("target_file_id is not null")
+        there = there.join(first.select(F.col("file_id").alias("target_file_id"), "owner"), "target_file_id").withColumn("reason", F.concat(F.lit("workspace:"), "owner")).drop("owner")
+        found = found.join(there.select("_key"), "_key", "left_anti").unionByName(there)
+    return keyed.join(found, "_key").select("workspace_id", "source_file_id", "target_file_id", "raw_name", "kind", "resolution", "confidence", "reason")
 
 
 def resolve_occurrences(occurrences: DataFrame, symbols: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
@@ -56,22 +67,44 @@ def resolve_occurrences(occurrences: DataFrame, symbols: DataFrame, edges: DataF
     fits = F.col("s_arity").isNull() | F.col("o_arity").isNull() | (F.col("s_arity") == F.col("o_arity"))
     own = F.col("receiver").isNull() | F.col("receiver").isin("this", "self", "cls") | ~F.col("s_kind").isin("method", "function") | (F.col("s_scope") == F.col("receiver"))
     bare = F.regexp_replace("name", "^::", "")
-    explicit = o.filter(F.col("name").rlike(r"::|\.")).withColumn("qualified_name", bare).join(s, "qualified_name").filter((F.col("workspace_id") == F.col("s_ws")) & resolve.compatible(F.col("language"), F.col("s_language"))).select("id", "candidate")
+    steps = edges.filter("target_file_id is not null").select("source_file_id", "target_file_id")
+    reach = graph.closure(steps, steps.select("source_file_id").distinct(), "source_file_id", "target_file_id", "source_file_id").filter("level > 0").select(F.col("root").alias("file_id"), F.col("node").alias("s_file"))
+    # a linked workspace's symbols count where the file imports theirs; the project's come first
+    named = o.filter(F.col("name").rlike(r"::|\.")).withColumn("qualified_name", bare).join(s, "qualified_name").filter(resolve.compatible(F.col("language"), F.col("s_language")))
+    explicit = named.filter(F.col("workspace_id") == F.col("s_ws")).select("id", "candidate")
+    linked = named.filter(F.col("workspace_id") != F.col("s_ws")).join(reach, ["file_id", "s_file"], "left_semi").select("id", "candidate")
     scopes = plain.select("*", F.posexplode(scope_hierarchy(F.col("scope"))).alias("_depth", "_scope"))
     lexical = scopes.join(s, (scopes["file_id"] == s["s_file"]) & (scopes["name"] == s["s_name"]) & (scopes["_scope"] == s["s_scope"])).filter(fits & own)
     nearest = lexical.groupBy("id").agg(F.min("_depth").alias("_near"))
     lexical = lexical.join(nearest, "id").filter("_depth = _near").select("id", "candidate")
     in_file = plain.join(s, (F.col("file_id") == F.col("s_file")) & (F.col("name") == F.col("s_name"))).filter(fits & own).select("id", "candidate")
-    steps = edges.filter("target_file_id is not null").select("source_file_id", "target_file_id")
-    reach = graph.closure(steps, steps.select("source_file_id").distinct(), "source_file_id", "target_file_id", "source_file_id").filter("level > 0").select(F.col("root").alias("file_id"), F.col("node").alias("s_file"))
     imported = plain.join(reach, "file_id").join(s, ["s_file"]).filter((F.col("name") == F.col("s_name")) & fits).select("id", "candidate")
     anywhere = plain.join(s, (F.col("workspace_id") == F.col("s_ws")) & (F.col("name") == F.col("s_name"))).filter(fits & resolve.compatible(F.col("language"), F.col("s_language"))).select("id", "candidate")
-    tiers = resolve.candidate_tiers([("explicit", 1.0, explicit), ("lexical", 1.0, lexical), ("same_file", 1.0, in_file), ("import", IMPORTED, imported), ("workspace", WORKSPACE, anywhere)], "id", "candidate")
+    tiers = resolve.candidate_tiers(
+        [("explicit", 1.0, explicit), ("explicit_linked", 1.0, linked), ("lexical", 1.0, lexical), ("same_file", 1.0, in_file), *_csharp(plain, occurrences, s), ("import", IMPORTED, imported), ("workspace", WORKSPACE, anywhere)],
+        "id",
+        "candidate",
+    )
     interfaces = s.select("candidate", F.when(F.col("s_interface"), 0).otherwise(1).alias("rank"))
     ranked = tiers.join(interfaces, "candidate")
     return resolve.resolve(occurrences.drop("resolution", "confidence"), "id", ranked, prefer="rank")
 
 
+def _csharp(plain: DataFrame, occurrences: DataFrame, symbols: DataFrame) -> list[tuple[str, float, DataFrame]]:
+    """C#'s own tiers for plain names: the enclosing namespaces in any file, an alias, then what ``using`` opens."""
+    own = plain.filter("language = 'csharp'")
+    there = symbols.filter("s_language = 'csharp'").select("candidate", "s_ws", F.col("qualified_name").alias("_q"))
+    uses = occurrences.filter("kind = 'import'").select("file_id", dotted_name(F.col("name")).alias("_opened"), F.get_json_object("metadata", "$.alias").alias("_alias"))
+    at = lambda df: df.join(there, "_q").filter(F.col("workspace_id") == F.col("s_ws"))
+    joined = lambda scope: F.when(F.col(scope) == "", F.col("name")).otherwise(F.concat_ws(".", scope, "name"))
+    around = at(own.select("*", F.posexplode(scope_hierarchy(F.col("scope"))).alias("_depth", "_scope")).filter("_scope <> ''").withColumn("_q", joined("_scope")))
+    near = around.join(around.groupBy("id").agg(F.min("_depth").alias("_near")), "id").filter("_depth = _near")
+    opened = own.join(uses, "file_id")
+    alias = at(opened.filter("_alias = name").withColumn("_q", F.col("_opened")))
+    using = at(opened.filter("_alias is null").withColumn("_q", joined("_opened")))
+    return [("namespace", 1.0, near.select("id", "candidate")), ("alias", 1.0, alias.select("id", "candidate")), ("using", 0.9, using.select("id", "candidate"))]
+
+
 def references_of(resolved: DataFrame, symbols: DataFrame) -> DataFrame:
     """The reference table: who refers to what; the source is the symbol whose qualified name is the scope."""
     owner = symbols.groupBy("file_id", F.col("qualified_name").alias("scope")).agg(F.min("id").alias("source_symbol_id"))
@@ -79,45 +112,60 @@ def references_of(resolved: DataFrame, symbols: DataFrame) -> DataFrame:
     return rows.select("id", "workspace_id", "file_id", "source_symbol_id", F.col("target").alias("target_symbol_id"), "kind", "name", "resolution", "confidence", "candidates", "start_line", "start_column")
 
 
-def index(spark: SparkSession, store: Store, root: str, workspace_id: int, force: bool = False, **options) -> dict[str, int]:
+def index(spark: SparkSession, store: Store, root: str, workspace_id: int, force: bool = False, search: DataFrame | None = None, module: str | None = None, **options) -> dict[str, int]:
     """Indexes a tree into the store; only new and changed files are parsed.
 
     Returns the counts of the run.  Unreadable files keep what the store has of
-    them and are reported as diagnostics.
+    them and are reported as diagnostics.  Workspaces that link to this one are
+    resolved anew, those that link to them are not.  ``search`` holds search
+    paths of a compile database, ``module`` a Go module's name.
     """
     found = graph.checkpoint(files_of(spark, root, workspace_id, **options))
-    stored = store.table("file").filter(F.col("workspace_id") == workspace_id)
+    mine = lambda name: store.table(name).filter(F.col("workspace_id") == workspace_id)
+    stored = mine("file")
     planned = graph.checkpoint(diff.plan(found, stored, "path", "content_hash", "language", ["size"], "is_deleted", force))
     counts = {r["action"]: r["n"] for r in planned.groupBy("action").agg(F.count("*").alias("n")).collect()}
     work = found.join(planned.filter("action = 'process'").select("path"), "path", "left_semi").filter(~F.col("is_binary"))
     facts = graph.checkpoint(extract.extract_facts(work))
     gone = planned.filter("action = 'remove'").select(schema.identifier(F.lit(workspace_id).cast("bigint"), F.col("path")).alias("file_id"))
     replaced = graph.checkpoint(work.select("file_id").unionByName(gone))
-    keep = lambda name, key="file_id": store.table(name).join(replaced.select(F.col("file_id").alias(key)), key, "left_anti")
-    symbols = graph.checkpoint(keep("symbol").unionByName(extract.symbols(facts)))
-    occurrences = graph.checkpoint(keep("occurrence").unionByName(extract.occurrences(facts)))
-    mine = lambda df: df.filter(F.col("workspace_id") == workspace_id)
-    edges = graph.checkpoint(import_edges(mine(occurrences), found))
-    resolved = graph.checkpoint(resolve_occurrences(mine(occurrences), mine(symbols), edges, found))
-    refs = references_of(resolved, mine(symbols))
-    occ = resolved.withColumn("symbol_id", F.when(F.col("resolution") == "resolved", F.col("target")))
-    related = relations.build(mine(symbols), occ, refs, edges)
-    others = lambda name: store.table(name).filter(F.col("workspace_id") != workspace_id)
+    keep = lambda name: mine(name).join(replaced, "file_id", "left_anti")
     columns = lambda df, name: df.select(*extract._names(name))
     file_rows = found.select(F.col("file_id").alias("id"), "workspace_id", "path", "language", "size", "mtime", "content_hash", "is_binary", F.lit(False).alias("is_deleted"))
     dead = stored.join(found.select("path"), "path", "left_anti").withColumn("is_deleted", F.lit(True))
-    fresh = extract.diagnostics(facts)
     unread = discovery.failed(found).join(found.select("path", "file_id", "workspace_id"), "path")
     unread = unread.withColumns({"id": schema.identifier(F.col("file_id"), F.lit("capture")), "start_line": F.lit(0), "start_column": F.lit(0), "at": F.current_timestamp()})
-    tables = {
-        "file": others("file").unionByName(columns(file_rows, "file")).unionByName(columns(dead, "file")),
-        "file_content": others("file_content").unionByName(found.filter("text is not null").select("file_id", "workspace_id", "text")),
-        "symbol": symbols,
-        "occurrence": columns(others("occurrence"), "occurrence").unionByName(columns(occ, "occurrence")),
-        "reference": others("reference").unionByName(columns(refs, "reference")),
-        "relation": others("relation").unionByName(columns(related, "relation")),
-        "dependency": others("dependency").unionByName(columns(edges, "dependency")),
-        "diagnostic": columns(keep("diagnostic").filter("source <> 'capture'"), "diagnostic").unionByName(fresh).unionByName(columns(unread, "diagnostic")),
-    }
-    store.commit(tables)
+    store.commit(
+        {
+            "file": columns(file_rows, "file").unionByName(columns(dead, "file")),
+            "file_content": found.filter("text is not null").select("file_id", "workspace_id", "text"),
+            "symbol": keep("symbol").unionByName(extract.symbols(facts)),
+            "occurrence": keep("occurrence").unionByName(extract.occurrences(facts)),
+            "diagnostic": columns(keep("diagnostic").filter("source <> 'capture'"), "diagnostic").unionByName(extract.diagnostics(facts)).unionByName(columns(unread, "diagnostic")),
+        },
+        workspace_id,
+    )
+    resolve_workspace(store, workspace_id, search, module)
+    for row in store.table("workspace_link").filter(F.col("target") == workspace_id).select("source").distinct().collect():
+        resolve_workspace(store, row["source"])
     return {"processed": counts.get("process", 0), "skipped": counts.get("skip", 0) + counts.get("touch", 0), "removed": counts.get("remove", 0)}
+
+
+def resolve_workspace(store: Store, workspace_id: int, search: DataFrame | None = None, module: str | None = None) -> dict[str, int]:
+    """Imports, occurrences, references and relations of one workspace, anew from its facts and those it links to."""
+    linked = [r["target"] for r in store.table("workspace_link").filter(F.col("source") == workspace_id).select("target").distinct().collect()]
+    seen = lambda name: store.table(name).filter(F.col("workspace_id").isin([workspace_id, *linked]))
+    own = F.col("workspace_id") == workspace_id
+    files = seen("file").filter(~F.col("is_deleted")).select(F.col("id").alias("file_id"), "workspace_id", "path", "language")
+    symbols, occurrences = graph.checkpoint(seen("symbol")), graph.checkpoint(seen("occurrence"))
+    library = files.filter(~own).withColumnRenamed("workspace_id", "owner") if linked else None
+    edges = graph.checkpoint(import_edges(occurrences.filter(own), files.filter(own), library, search, module))
+    # a linked workspace's own imports carry on from where this one's lead into it
+    onward = edges.unionByName(store.table("dependency").filter(F.col("workspace_id").isin(linked))) if linked else edges
+    resolved = graph.checkpoint(resolve_occurrences(occurrences.filter(own), symbols, onward, files))
+    refs = references_of(resolved, symbols.filter(own))
+    occ = resolved.withColumn("symbol_id", F.when(F.col("resolution") == "resolved", F.col("target")))
+    related = relations.build(symbols.filter(own), occ, refs, edges)
+    columns = lambda df, name: df.select(*extract._names(name))
+    store.commit({"occurrence": columns(occ, "occurrence"), "reference": columns(refs, "reference"), "relation": columns(related, "relation"), "dependency": columns(edges, "dependency")}, workspace_id)
+    return summary.resolution_counts(resolved, "resolution", resolve.STATES).first().asDict()

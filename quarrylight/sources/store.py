@@ -1,12 +1,16 @@
-"""The tables on disk: versioned Parquet directories with one current version.
+"""The tables on disk: Parquet directories that a versioned manifest names.
 
-A write goes to a new version directory; only when it is whole does the small
-pointer file name it, so readers see the old tables or the new, and a lost
-executor or a failed job leaves the current version alone.
+A write goes to new directories; only when they are whole does a new manifest
+name them, so readers see the old tables or the new, and a lost executor or a
+failed job leaves the current version alone.  What a write doesn't touch is not
+copied: the manifest goes on naming the old directories.  A workspace's part of
+a table has a directory of its own, so indexing one leaves the others' alone.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,7 @@ from quarrylight.operators import dedupe, diff
 
 #: Tables that are split by workspace on disk.
 BY_WORKSPACE = {"file", "file_content", "symbol", "occurrence", "reference", "relation", "dependency", "diagnostic"}
+ALL = "*"
 
 
 class Store:
@@ -28,25 +33,42 @@ class Store:
 
     def version(self) -> int:
         """The current version; 0 before the first."""
-        done = [int(s.getPath().getName()[len("version=") : -len(".done")]) for s in (self._fs.listStatus(self._path(self.root)) if self._fs.exists(self._path(self.root)) else []) if s.getPath().getName().endswith(".done")]
-        return max(done, default=0)
+        root = self._path(f"{self.root}/manifests")
+        names = [s.getPath().getName() for s in (self._fs.listStatus(root) if self._fs.exists(root) else [])]
+        return max((int(n[: -len(".json")]) for n in names if n.endswith(".json")), default=0)
+
+    def manifest(self, version: int | None = None) -> dict[str, dict[str, str]]:
+        """Table to workspace (or all) to directory."""
+        version = self.version() if version is None else version
+        if not version:
+            return {}
+        row = self.spark.read.text(f"{self.root}/manifests/{version}.json", wholetext=True).first()
+        return json.loads(row["value"])
 
     def table(self, name: str) -> DataFrame:
-        at = f"{self.root}/version={self.version()}/{name}"
-        if not self._fs.exists(self._path(at)):
-            return schema.empty(self.spark, name)
-        return self.spark.read.schema(schema.columns(name)).parquet(at)
-
-    def commit(self, tables: dict[str, DataFrame]) -> int:
-        """Writes a new version: the given tables, and the others as they are."""
-        old, new = self.version(), self.version() + 1
-        for name in schema.TABLES:
-            if name not in tables and not (old and self._fs.exists(self._path(f"{self.root}/version={old}/{name}"))):
-                continue
-            df = tables.get(name, self.table(name))
-            writer = df.select(*(f.split()[0] for f in _fields(name))).write.mode("overwrite")
-            (writer.partitionBy("workspace_id") if name in BY_WORKSPACE else writer).parquet(f"{self.root}/version={new}/{name}")
-        self._fs.create(self._path(f"{self.root}/version={new}.done")).close()
+        parts = self.manifest().get(name, {})
+        out = schema.empty(self.spark, name)
+        own = [int(k) for k in parts if k != ALL]
+        for key, at in sorted(parts.items()):
+            df = self.spark.read.schema(schema.columns(name)).parquet(f"{self.root}/{at}")
+            if key == ALL and own:
+                df = df.filter(~F.col("workspace_id").isin(own))
+            out = out.unionByName(df)
+        return out
+
+    def commit(self, tables: dict[str, DataFrame], workspace: int | None = None) -> int:
+        """A new version with these tables; of a split table only the workspace's rows, where one is given."""
+        manifest, new = self.manifest(), self.version() + 1
+        for name, df in tables.items():
+            key = str(workspace) if workspace is not None and name in BY_WORKSPACE else ALL
+            at = f"data/{new}/{name}" + ("" if key == ALL else f"/{key}")
+            df.select(*(f.split()[0] for f in _fields(name))).write.mode("overwrite").parquet(f"{self.root}/{at}")
+            manifest[name] = {ALL: at} if key == ALL else manifest.get(name, {}) | {key: at}
+        stream = self._fs.create(self._path(f"{self.root}/manifests/.{new}"), True)
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
+        if not self._fs.rename(self._path(f"{self.root}/manifests/.{new}"), self._path(f"{self.root}/manifests/{new}.json")):
+            raise RuntimeError(f"version {new} was written by someone else")
         return new
 
     def append(self, name: str, rows: DataFrame) -> int:
@@ -58,15 +80,6 @@ class Store:
     def insert_missing(self, name: str, rows: DataFrame, key: list[str]) -> int:
         return self.commit({name: diff.insert_missing(self.table(name), rows, key)})
 
-    def replace_files(self, file_ids: DataFrame, fresh: dict[str, DataFrame]) -> int:
-        """All derived rows of some files at once: the old ones go, the fresh ones come."""
-        out = {}
-        for name, rows in fresh.items():
-            key = "source_file_id" if name == "dependency" else "id" if name == "file" else "file_id"
-            gone = file_ids.select(F.col("file_id").alias(key)).distinct()
-            out[name] = self.table(name).join(gone, key, "left_anti").unionByName(rows)
-        return self.commit(out)
-
     def delete_workspace(self, workspace_id: int) -> int:
         """A workspace with everything that hangs on it."""
         out = {}

@@ -154,6 +154,32 @@ def test_incremental_run(spark, indexed, tmp_path):
     assert store.table("symbol").count() == 0
 
 
+def test_linked_workspaces(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    api = Api(store)
+    write(tmp_path / "sdk", {"inc/sdk.h": '#include "more.h"\nint start(int a);\n', "inc/more.h": "int more(int a);\n", "inc/hidden.h": "int hidden(int a);\n"})
+    write(tmp_path / "app", {"main.c": '#include "inc/sdk.h"\nint main(void) { start(1); more(2); hidden(3); return 0; }\n'})
+    sdk, app = api.create_workspace("sdk", "/sdk"), api.create_workspace("app", "/app")
+    api.link(app, sdk)
+    indexing.index(spark, store, str(tmp_path / "app"), app)
+    calls = lambda: {r.name: r.resolution for r in store.table("occurrence").filter((F.col("workspace_id") == app) & (F.col("kind") == "call")).collect()}
+    assert set(calls().values()) == {"unresolved"}
+    indexing.index(spark, store, str(tmp_path / "sdk"), sdk)  # and the app, which links to it, anew
+    assert calls() == {"start": "resolved", "more": "resolved", "hidden": "unresolved"}
+    assert {(r.raw_name, r.reason) for r in store.table("dependency").filter(F.col("workspace_id") == app).collect()} == {("inc/sdk.h", f"workspace:{sdk}")}
+    api.unlink(app, sdk)
+    assert indexing.resolve_workspace(store, app)["resolved"] == 0
+
+
+def test_csharp_names(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    write(tmp_path / "t", {"a.cs": "namespace N.Sub {\n class Tool {\n  public void Go() { }\n }\n}\n", "b.cs": "using N.Sub;\nusing Other = M.Thing;\nnamespace P {\n class Q : Tool {\n }\n class R : Other {\n }\n class S : Q {\n }\n}\n", "c.cs": "namespace M {\n class Thing {\n }\n}\nnamespace P {\n class T : Q {\n }\n}\n"})
+    indexing.index(spark, store, str(tmp_path / "t"), 3)
+    names = {r.id: r.qualified_name for r in store.table("symbol").collect()}
+    got = {(r.scope, r.name): (names.get(r.symbol_id), r.resolution) for r in store.table("occurrence").filter("kind in ('inheritance', 'implementation')").collect()}
+    assert got == {("P.Q", "Tool"): ("N.Sub.Tool", "resolved"), ("P.R", "Other"): ("M.Thing", "resolved"), ("P.S", "Q"): ("P.Q", "resolved"), ("P.T", "Q"): ("P.Q", "resolved")}
+
+
 def test_python_facts():
     f = py.extract("import a.b as c\n@deco\ndef é(x, *, y=1):\n    return self.z(x)\n", "p/m.py")
     names = [(s["qualified_name"], s["kind"]) for s in f.symbols]
