@@ -178,11 +178,11 @@ def site_shifts(scored: DataFrame) -> DataFrame:
     chance = lambda c: F.round(1e6 / (1 + F.exp(-F.col(c) / 1e6))).cast("long")
     paths = scored.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum(chance("_good")).alias("good"), F.sum(chance("_toxic")).alias("toxic"))
     hosts = paths.groupBy("_host").agg(F.sum("n").alias("hn"), F.sum("good").alias("hgood"), F.sum("toxic").alias("htoxic"))
-    every = paths.agg(F.sum("n").alias("an"), F.sum("good").alias("agood"), F.sum("toxic").alias("atoxic")).withColumn("_one", F.lit(1))
-    joined = paths.join(hosts, "_host").withColumn("_one", F.lit(1)).join(F.broadcast(every), "_one")  # one row of three sums
+    every = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("toxic").alias("toxic")).first()
+    joined = paths.join(hosts, "_host")
     out = []
     for head in ("good", "toxic"):
-        prior = F.col(f"a{head}") / 1e6 / F.col("an")
+        prior = F.lit((every[head] or 0) / 1e6 / max(every["n"] or 0, 1))
         host = (F.col(f"h{head}") / 1e6 + PRIOR * prior) / (F.col("hn") + PRIOR)
         path = (F.col(head) / 1e6 + PRIOR * host) / (F.col("n") + PRIOR)
         out.append((SITE_WEIGHT * (_logit(path) - _logit(prior))).alias(f"_{head}_shift"))

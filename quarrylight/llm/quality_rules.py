@@ -114,16 +114,13 @@ def host_verdicts(hosts: DataFrame) -> DataFrame:
     domains' rates weighted by their documents, concentration within 1 to 10000.
     """
     rate = F.col("f") / F.col("n")
-    mean = hosts.agg((F.sum("f") / F.sum("n")).alias("mean"), F.sum("n").alias("total"), F.sum(F.col("f") * rate).alias("ff"))
-    prior = mean.select(
-        "mean",
-        F.greatest(F.col("ff") / F.col("total") - F.col("mean") * F.col("mean"), F.lit(1e-9)).alias("variance"),
-    ).select("mean", F.least(F.greatest(F.col("mean") * (1 - F.col("mean")) / F.col("variance") - 1, F.lit(1.0)), F.lit(1e4)).alias("size"))
-    # one row: the two numbers of the prior
-    k = F.col("size")
-    post = (F.col("f") + F.col("mean") * k) / (F.col("n") + k)
-    spread = F.sqrt(post * (1 - post) / (F.col("n") + k + 1))
-    return hosts.withColumn("_one", F.lit(1)).join(F.broadcast(prior.withColumn("_one", F.lit(1))), "_one").select("_domain", (post - 2 * spread > MAX_HOST_RATE).alias("host_failed"))
+    total, failed, squares = hosts.agg(F.sum("n"), F.sum("f"), F.sum(F.col("f") * rate)).first()
+    mean = (failed or 0) / max(total or 0, 1)
+    variance = max((squares or 0.0) / max(total or 0, 1) - mean * mean, 1e-9)
+    size = min(max(mean * (1 - mean) / variance - 1, 1.0), 1e4)
+    post = (F.col("f") + mean * size) / (F.col("n") + size)
+    spread = F.sqrt(post * (1 - post) / (F.col("n") + size + 1))
+    return hosts.select("_domain", (post - 2 * spread > MAX_HOST_RATE).alias("host_failed"))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "source") -> DataFrame:
