@@ -10,7 +10,8 @@ query with the values last read.  The blocks' winners are then ranked.
 Defined results for odd input: vectors that are null, or hold a null or a
 non-finite component, and rows without id take no part; shorter vectors count
 as padded with zeros; rows with the query's id are its own; repeated rows are
-candidates each, and a repeated query is answered once; scores out of the range
+candidates each, and a repeated query is answered once, for its smallest
+vector; scores out of the range
 of a long take its nearest end; empty tables give an empty result.
 """
 
@@ -121,7 +122,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str =
     cb, qb = max(1, -(-n // CANDIDATES)), max(1, -(-nq // QUERIES))
     blocks = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     rows = usable_rows.select("id", "vector", F.pmod(F.monotonically_increasing_id(), F.lit(cb)).cast("int").alias("cb"), blocks(qb).alias("qb"))
-    queries = usable_rows.filter("q").select("id", "vector").dropDuplicates(["id"]).select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(qb)).cast("int").alias("qb"), blocks(cb).alias("cb"))
+    queries = usable_rows.filter("q").groupBy("id").agg(F.min("vector").alias("vector")).select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(qb)).cast("int").alias("qb"), blocks(cb).alias("cb"))
     found = queries.groupBy("qb", "cb").cogroup(rows.groupBy("qb", "cb")).applyInArrow(_search(k, scale), "query_id long, vec_id long, score long")
     from pyspark.sql import Window
 

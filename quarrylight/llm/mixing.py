@@ -122,9 +122,9 @@ def interleave(docs: DataFrame, targets: dict[str, float] | None = None, id_col:
     Rows that share an id, which the mix counts once, lie together.
     """
     once = docs.select(id_col, source_col).groupBy(id_col).agg(F.min(source_col).alias(source_col))
-    order = mix_sources(once, targets, id_col, source_col).select(F.col(id_col).alias("_id"), F.col("slot").alias("_slot"), F.col("place").alias("_place"))
-    joined = docs.join(order, F.col(id_col).eqNullSafe(F.col("_id")))
-    return joined.repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place").select(*docs.columns)
+    order = mix_sources(once, targets, id_col, source_col).select(F.col(id_col).alias("__mix_id"), F.col("slot").alias("__mix_slot"), F.col("place").alias("__mix_place"))
+    joined = docs.join(order, F.col(id_col).eqNullSafe(F.col("__mix_id")))
+    return joined.repartitionByRange("__mix_slot", "__mix_place").sortWithinPartitions("__mix_slot", "__mix_place").select(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
