@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarrylight import schema
 from quarrylight.functions import ranges
+from quarrylight.functions.text import modifier_mask
 from quarrylight.operators import graph, intervals, paging, paths, refs, scope, search, summary
 from quarrylight.sources.store import Store
 
@@ -123,10 +124,12 @@ class Api:
         return shown.withColumns({"symbol_id": F.when(~hidden, F.col("symbol_id")), "resolution": F.when(hidden, "unresolved").otherwise(F.col("resolution"))}).drop("_seen").orderBy("start_byte", "end_byte")
 
     def highlights(self, ws: int, file_id: int) -> DataFrame:
-        """Tokens (type, modifiers) by line and column, from a file's symbols and occurrences."""
-        names = self.file_symbols(ws, file_id).select("start_line", "start_column", (F.col("end_byte") - F.col("start_byte")).alias("length"), F.col("kind").alias("type"), F.array(F.lit("declaration")).alias("modifiers"))
+        """Tokens by line and column, from a file's symbols and occurrences; type and modifiers as places in the legend."""
+        names = self.file_symbols(ws, file_id).filter("kind <> 'module'").select("start_line", "start_column", (F.col("end_byte") - F.col("start_byte")).alias("length"), F.when(F.col("kind") == "field", "property").when(F.col("kind") == "enum_member", "enumMember").when(F.col("kind") == "type_alias", "type").otherwise(F.col("kind")).alias("type"), F.when(F.col("is_definition"), F.array(F.lit("declaration"), F.lit("definition"))).otherwise(F.array(F.lit("declaration"))).alias("modifiers"))
         uses = self.occurrences(ws, file_id).filter("kind in ('call', 'reference')").select("start_line", "start_column", (F.col("end_byte") - F.col("start_byte")).alias("length"), F.when(F.col("kind") == "call", "function").otherwise("variable").alias("type"), F.array().cast("array<string>").alias("modifiers"))
-        return names.filter("type <> 'module'").unionByName(uses).orderBy("start_line", "start_column")
+        places = F.create_map(*(x for i, t in enumerate(schema.TOKEN_TYPES) for x in (F.lit(t), F.lit(i))))
+        coded = names.unionByName(uses).withColumns({"token_type": F.coalesce(F.try_element_at(places, F.col("type")), F.lit(schema.TOKEN_TYPES.index("type"))), "token_modifiers": modifier_mask(F.col("modifiers"), schema.TOKEN_MODIFIERS)})
+        return coded.orderBy("start_line", "start_column")
 
     def diagnostics(self, ws: int, severity: str | None = None, file_id: int | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
         rows = self._own("diagnostic", ws)

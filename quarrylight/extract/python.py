@@ -54,7 +54,10 @@ class _Visitor:
             for t in targets:
                 for n in ast.walk(t):
                     if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store):
-                        self.f.symbol(n.id, "field" if owner == "class" else "variable", scope, *self.at(n), body=self.at(node))
+                        if owner == "function":  # a local name is a use, not a symbol
+                            self.f.occurrence(n.id, "reference", scope, *self.at(n))
+                        else:
+                            self.f.symbol(n.id, "variable", scope, *self.at(n), body=self.at(node))
             self.expressions([c for c in (getattr(node, "value", None), getattr(node, "annotation", None)) if c], scope)
         else:
             children = list(ast.iter_child_nodes(node))
@@ -96,10 +99,10 @@ class _Visitor:
         prefix = "." * getattr(node, "level", 0) + (getattr(node, "module", None) or "")
         for alias in node.names:
             whole = alias.name if isinstance(node, ast.Import) else f"{prefix}.{alias.name}" if prefix.strip(".") else f"{prefix}{alias.name}"
-            self.f.occurrence(whole, "import", scope, *self.at(alias), metadata=json.dumps({"module": alias.name if isinstance(node, ast.Import) else prefix}))
+            self.f.occurrence(alias.name, "import", scope, *self.at(alias), metadata=json.dumps({"module": alias.name if isinstance(node, ast.Import) else prefix, "path": whole}))
             if alias.asname:
                 end = self.at(alias)[1]
-                self.f.symbol(alias.asname, "alias", scope, end - len(alias.asname.encode()), end)
+                self.f.symbol(alias.asname, "type_alias", scope, end - len(alias.asname.encode()), end)
 
     def expressions(self, nodes, scope: str) -> None:
         stack = list(reversed(nodes))

@@ -36,7 +36,7 @@ def import_edges(made: DataFrame, files: DataFrame, library: DataFrame | None =
     An import leads into the project where it can; else into a linked
     workspace's files (library: file_id, path, language, owner).
     """
-    wanted = made.filter(F.col("kind").isin("import", "include")).select("workspace_id", F.col("file_id").alias("source_file_id"), F.col("name").alias("raw_name"), "kind").distinct()
+    wanted = made.filter(F.col("kind").isin("import", "include")).select("workspace_id", F.col("file_id").alias("source_file_id"), F.coalesce(F.get_json_object("metadata", "$.path"), F.col("name")).alias("raw_name"), "kind").distinct()
     keyed = wanted.withColumn("_key", schema.identifier(F.col("source_file_id"), F.col("raw_name"), F.col("kind")))
     located = keyed.join(files.select(F.col("file_id").alias("source_file_id"), "path", "language"), "source_file_id").select("_key", "path", "language", "raw_name")
     known = lambda df: df.select("path", "language", F.col("file_id").alias("id"))
@@ -134,14 +134,14 @@ def index(spark: SparkSession, store: Store, root: str, workspace_id: int, force
     file_rows = found.select(F.col("file_id").alias("id"), "workspace_id", "path", "language", "size", "mtime", "content_hash", "is_binary", F.lit(False).alias("is_deleted"))
     dead = stored.join(found.select("path"), "path", "left_anti").withColumn("is_deleted", F.lit(True))
     unread = discovery.failed(found).join(found.select("path", "file_id", "workspace_id"), "path")
-    unread = unread.withColumns({"id": schema.identifier(F.col("file_id"), F.lit("capture")), "start_line": F.lit(0), "start_column": F.lit(0), "at": F.current_timestamp()})
+    unread = unread.withColumns({"id": schema.identifier(F.col("file_id"), F.lit("filesystem")), "start_line": F.lit(0), "start_column": F.lit(0), "at": F.current_timestamp()})
     store.commit(
         {
             "file": columns(file_rows, "file").unionByName(columns(dead, "file")),
             "file_content": found.filter("text is not null").select("file_id", "workspace_id", "text"),
             "symbol": keep("symbol").unionByName(extract.symbols(facts)),
             "occurrence": keep("occurrence").unionByName(extract.occurrences(facts)),
-            "diagnostic": columns(keep("diagnostic").filter("source <> 'capture'"), "diagnostic").unionByName(extract.diagnostics(facts)).unionByName(columns(unread, "diagnostic")),
+            "diagnostic": columns(keep("diagnostic").filter("source <> 'filesystem'"), "diagnostic").unionByName(extract.diagnostics(facts)).unionByName(columns(unread, "diagnostic")),
         },
         workspace_id,
     )

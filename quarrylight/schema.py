@@ -10,29 +10,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Language codes, and the file extensions that mean them.
-LANGUAGES = ["c", "cpp", "csharp", "go", "java", "javascript", "python", "typescript", "shell", "bash", "unknown"]
+LANGUAGES = ["c", "cpp", "csharp", "python", "typescript", "javascript", "go", "java", "shell", "bash", "unknown"]
 EXTENSIONS = {
-    "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "c++": "cpp", "hh": "cpp", "hpp": "cpp", "hxx": "cpp", "h++": "cpp",
-    "cs": "csharp", "go": "go", "java": "java", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
-    "py": "python", "pyi": "python", "pyw": "python", "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript",
-    "sh": "shell", "bash": "bash", "zsh": "bash",
+    "c": "c", "h": "c", "i": "c",
+    "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "tpp": "cpp", "ipp": "cpp", "c++": "cpp", "h++": "cpp",
+    "cs": "csharp", "py": "python", "pyi": "python", "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript",
+    "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "go": "go", "java": "java",
+    "sh": "shell", "command": "shell", "bash": "bash",
 }
 #: Other names for a language.
 ALIASES = {
-    "c++": "cpp", "cxx": "cpp", "c#": "csharp", "cs": "csharp", "golang": "go", "js": "javascript", "jsx": "javascript", "py": "python",
-    "ts": "typescript", "tsx": "typescript", "sh": "shell", "posix-shell": "shell", "posix shell": "shell",
+    "c++": "cpp", "cxx": "cpp", "c#": "csharp", "cs": "csharp", "py": "python", "ts": "typescript", "tsx": "typescript", "mts": "typescript",
+    "cts": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "sh": "shell",
+    "posix-shell": "shell", "posix shell": "shell",
 }
-#: Interpreters named in a first line, and their language.
-INTERPRETERS = {"python": "python", "python2": "python", "python3": "python", "node": "javascript", "bash": "bash", "zsh": "bash", "sh": "shell", "dash": "shell", "ksh": "shell"}
+#: Interpreters named in a first line (python with any version), and their language.
+INTERPRETERS = {"bash": "bash", "sh": "shell", "dash": "shell", "python": "python", "node": "javascript"}
 
 #: Fixed values of the enumerated columns.
-SYMBOL_KINDS = ["module", "namespace", "package", "class", "struct", "interface", "enum", "function", "method", "variable", "field", "property", "macro", "alias", "parameter"]
+SYMBOL_KINDS = ["file", "namespace", "class", "struct", "interface", "function", "method", "variable", "module", "package", "macro", "enum", "type_alias", "field", "enum_member"]
 OCCURRENCE_KINDS = ["definition", "declaration", "reference", "call", "import", "include", "inheritance", "implementation"]
 RELATION_KINDS = ["contains", "calls", "inherits", "implements", "overrides", "imports", "includes"]
 RESOLUTIONS = ["resolved", "ambiguous", "unresolved", "external"]
-SEVERITIES = ["error", "warning", "info"]
-JOB_STATES = ["queued", "running", "completed", "failed", "cancelled", "interrupted"]
+SEVERITIES = ["info", "warning", "error"]
+DIAGNOSTIC_SOURCES = ["filesystem", "parser", "adapter", "resolver", "database", "indexer"]
+JOB_TYPES = ["full", "incremental", "resolve", "rebuild_search"]
+JOB_STATES = ["queued", "running", "cancelling", "cancelled", "completed", "failed"]
 WORKSPACE_STATES = ["idle", "indexing", "ready", "error"]
+#: What highlight tokens may be, and their modifiers, bit by bit.
+TOKEN_TYPES = [
+    "type", "class", "enum", "interface", "struct", "typeParameter", "parameter", "variable", "property", "enumMember", "event", "function",
+    "method", "macro", "keyword", "modifier", "comment", "string", "number", "regexp", "operator", "decorator", "label",
+]
+TOKEN_MODIFIERS = ["declaration", "definition", "readonly", "static", "deprecated", "abstract", "async", "modification", "documentation", "defaultLibrary"]
 
 
 _RANGE = "start_byte bigint, end_byte bigint, start_line int, start_column int, end_line int, end_column int"

@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from quarrylight import schema
 
 #: Directory and file names that are never indexed.
-DEFAULT_IGNORED = [".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", "build", "dist", "target"]
+DEFAULT_IGNORED = [".git", "node_modules", "build", "dist", "target", "vendor", ".cache"]
 IGNORE_FILES = (".gitignore", ".indexignore")
-MAX_FILES, MAX_DEPTH = 1_000_000, 64
+MAX_FILES, MAX_DEPTH, MAX_BYTES = 1_000_000, 64, 32 << 20
 SNIFF_BYTES, FULL_SNIFF_BYTES = 1024, 8192
 
 
@@ -134,7 +134,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, lo = [], i + 1
 
 
-def discover(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, max_files: int = MAX_FILES, max_depth: int = MAX_DEPTH, max_bytes: int | None = None, overrides: dict[str, str] | None = None) -> DataFrame:
+def discover(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, max_files: int = MAX_FILES, max_depth: int = MAX_DEPTH, max_bytes: int | None = MAX_BYTES, overrides: dict[str, str] | None = None, headers: str | None = None, extensionless: str | None = None) -> DataFrame:
     """The files that are to be indexed: path, size, mtime, content, language, hash and whether they are binary."""
     listed = list_tree(spark, root, max_files, max_depth)
     named = listed.filter(F.element_at(F.split("path", "/"), -1).isin(*IGNORE_FILES)).select("path").collect()  # within the listing's limit
@@ -147,7 +147,7 @@ def discover(spark: SparkSession, root: str, include: list[str] | None = None, e
     if max_bytes is not None:
         kept = kept.filter(F.col("size") <= max_bytes)
     files = kept.mapInArrow(_read, "path string, size bigint, mtime timestamp, content binary")
-    return with_language(files, overrides).withColumns({"content_hash": F.sha2("content", 256), "is_binary": is_binary(F.col("content"))})
+    return with_language(files, overrides, headers, extensionless).withColumns({"content_hash": F.sha2("content", 256), "is_binary": is_binary(F.col("content"))})
 
 
 def has_nul(content: Column, n: int = SNIFF_BYTES) -> Column:
@@ -169,15 +169,16 @@ def text_of(content: Column) -> Column:
 def shebang(content: Column) -> Column:
     """The language that a first line names; null without one."""
     line = F.regexp_extract(F.decode(F.substring(content, F.lit(1), F.lit(256)), "UTF-8"), r"^#!\s*(\S+)(?:\s+(?:-\S+\s+)*(\S+))?", 0)
-    program = F.regexp_extract(line, r"^#!\s*\S*/(?:env\s+(?:-\S+\s+)*)?([A-Za-z]+[0-9]?)[0-9.]*(?:\s|$)", 1)
+    program = F.regexp_extract(line, r"^#!\s*\S*/(?:env\s+(?:-\S+\s+)*)?([A-Za-z]+)[0-9.]*(?:\s|$)", 1)
     known = F.create_map(*(x for k, v in schema.INTERPRETERS.items() for x in (F.lit(k), F.lit(v))))
     return F.try_element_at(known, program)
 
 
-def with_language(files: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
+def with_language(files: DataFrame, overrides: dict[str, str] | None = None, headers: str | None = None, extensionless: str | None = None) -> DataFrame:
     """Language by path override, extension override, header rules, extension, first line, else unknown.
 
-    overrides maps globs over paths, or ``.ext``, to languages.
+    overrides maps globs over paths, or ``.ext``, to languages; headers sets the
+    language of all ``.h`` files, extensionless that of names without a dot.
     """
     overrides = overrides or {}
     path = F.col("path")
@@ -186,9 +187,11 @@ def with_language(files: DataFrame, overrides: dict[str, str] | None = None) ->
     by_override = F.coalesce(*(F.when(extension == g[1:].lower(), F.lit(v)) for g, v in overrides.items() if g.startswith(".")), F.lit(None).cast("string"))
     known = F.create_map(*(x for k, v in schema.EXTENSIONS.items() for x in (F.lit(k), F.lit(v))))
     typed = files.withColumns({"_ext": extension, "_set": F.coalesce(by_path, by_override)})
-    headers = header_languages(typed)
-    joined = typed.join(headers, "path", "left")
-    return joined.withColumn("language", F.coalesce("_set", "_header", F.try_element_at(known, F.col("_ext")), shebang(F.col("content")), F.lit("unknown"))).drop("_ext", "_set", "_header")
+    if headers:
+        joined = typed.withColumn("_header", F.when(F.col("_ext") == "h", F.lit(headers)))
+    else:
+        joined = typed.join(header_languages(typed), "path", "left")
+    return joined.withColumn("language", F.coalesce("_set", "_header", F.try_element_at(known, F.col("_ext")), shebang(F.col("content")), F.when(F.col("_ext") == "", F.lit(extensionless)), F.lit("unknown"))).drop("_ext", "_set", "_header")
 
 
 def header_languages(files: DataFrame) -> DataFrame:
@@ -209,7 +212,7 @@ def header_languages(files: DataFrame) -> DataFrame:
 
 def failed(files: DataFrame) -> DataFrame:
     """Files that can't be read as text, as diagnostics; their old index stays."""
-    return files.filter("is_binary").select("path", F.lit("error").alias("severity"), F.lit("capture").alias("source"), F.lit("file.binary").alias("code"), F.lit("binary or not UTF-8").alias("message"))
+    return files.filter("is_binary").select("path", F.lit("error").alias("severity"), F.lit("filesystem").alias("source"), F.lit("file.binary").alias("code"), F.lit("binary or not UTF-8").alias("message"))
 
 
 def latest_per_path(files: DataFrame) -> DataFrame:

@@ -183,7 +183,7 @@ def test_csharp_names(spark, tmp_path):
 def test_python_facts():
     f = py.extract("import a.b as c\n@deco\ndef é(x, *, y=1):\n    return self.z(x)\n", "p/m.py")
     names = [(s["qualified_name"], s["kind"]) for s in f.symbols]
-    assert names == [("m", "module"), ("c", "alias"), ("é", "function")]
+    assert names == [("m", "module"), ("c", "type_alias"), ("é", "function")]
     e = f.symbols[2]
     assert f.raw[e["start_byte"] : e["end_byte"]].decode() == "é" and e["signature"] == "(x, *, y=1)"
     assert ("z", "call", 0.9) in {(o["name"], o["kind"], o["confidence"]) for o in f.occurrences}
@@ -256,3 +256,20 @@ def test_broken_extractor_is_reported(spark, monkeypatch):
     files = spark.createDataFrame([(1, 1, "a.py", "python", "x = '\ud83d'" if False else "def f(): pass"), (2, 1, "b.txt", "unknown", "zz"), (3, 1, "c.py", "python", None)], "file_id long, workspace_id long, path string, language string, text string")
     facts = extract.extract_facts(files)
     assert extract.symbols(facts).filter("kind = 'function'").count() == 1 and extract.occurrences(facts).count() == 0
+
+
+def test_python_names_in_scopes():
+    f = py.extract("from math import sqrt as root\n\nclass A:\n    kind = 1\n\n    def f(self, x):\n        y = root(x)\n        return y\n", "m.py")
+    assert [(s["qualified_name"], s["kind"]) for s in f.symbols] == [("m", "module"), ("root", "type_alias"), ("A", "class"), ("A.kind", "variable"), ("A.f", "method")]
+    uses = [(o["name"], o["kind"]) for o in f.occurrences]
+    assert ("sqrt", "import") in uses and ("y", "reference") in uses and ("root", "call") in uses
+    assert json.loads(f.occurrences[0]["metadata"]) == {"module": "math", "path": "math.sqrt"}
+
+
+def test_language_settings(spark):
+    rows = [("a.h", b"int x;"), ("b", b"#!/usr/bin/env -S python3.11 -u\n"), ("c", b"#!/bin/dash\n"), ("d", b"text"), ("e.x", b"#! /usr/bin/node\n"), ("f.weird", b""), ("g.tpp", b"")]
+    df = spark.createDataFrame(rows, "path string, content binary")
+    language = lambda **k: {r.path: r.language for r in discovery.with_language(df, **k).collect()}
+    assert language() == {"a.h": "c", "b": "python", "c": "shell", "d": "unknown", "e.x": "javascript", "f.weird": "unknown", "g.tpp": "cpp"}
+    got = language(headers="cpp", extensionless="cpp", overrides={".weird": "go", "d": "java"})
+    assert got["a.h"] == "cpp" and got["d"] == "java" and got["f.weird"] == "go" and got["c"] == "shell"
