@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.token_counts import PLAIN
+from quarrylight.llm.token_counts import LETTERS, NUMBERS, PLAIN
 
 MAX_OPEN = 1024
 CACHED = 600_000
@@ -44,7 +44,6 @@ class WordEnd(dict):
     def __init__(self, path: str):
         import json
 
-        import regex
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -59,7 +58,7 @@ class WordEnd(dict):
             last = token.endswith("</w>") and len(token) > 4
             ranks[_flagged(bytes(byte_of[c] for c in (token[:-4] if last else token)), last)] = i
         self.merge = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.find = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+").findall
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
 

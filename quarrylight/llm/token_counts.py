@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,9 +34,14 @@ from quarrylight.llm.postings import Postings, select
 
 #: Text that a block of documents holds, unless one document is longer.
 BLOCK_BYTES = 6 << 20
-#: Only in such texts do the regex library and the tokenizer surely agree on
+#: Only in texts of these characters do Python and the tokenizers surely agree on
 #: what is a letter, a number or white space; others go through the tokenizer.
-PLAIN = re.compile("[\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧‰-⁞₠-₿]*")
+_PLAIN_RANGES = [(9, 10), (13, 13), (0x20, 0x7E), (0xA1, 0xAC), (0xAE, 0x24F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20BF)]
+_PLAIN_CHARS = [chr(c) for lo, hi in _PLAIN_RANGES for c in range(lo, hi + 1)]
+PLAIN = re.compile("[" + "".join(f"\\U{lo:08x}-\\U{hi:08x}" for lo, hi in _PLAIN_RANGES) + "]*")
+#: The letters and the numbers among them and their lower cases, as the insides of a character class.
+_CASED = sorted({c for p in _PLAIN_CHARS for c in p + p.lower()})
+LETTERS, NUMBERS = ("".join(c for c in _CASED if unicodedata.category(c)[0] == kind) for kind in "LN")
 
 
 class ByteLevel:
@@ -43,12 +49,10 @@ class ByteLevel:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        self.find = regex.compile(pattern).findall
+        self.find = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+").findall
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
 
