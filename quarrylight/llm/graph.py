@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +13,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts lineage with files in the folder that ``spark.checkpoint.dir`` names.
 
     A folder of our own is set only where the setting is missing, as in tests.
+    The shuffle files that led here go when the driver's garbage does, so that
+    is collected at once: otherwise they stay until its heap happens to fill.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
