@@ -29,7 +29,7 @@ from quarrylight.llm import textops
 from quarrylight.llm.skew import salted_join
 
 BITS = 18
-SAMPLE = 12_000
+SAMPLE = 8_000
 #: Pseudo-documents by which a host shrinks towards all and a path towards its host.
 PRIOR = 50.0
 #: How far a site's log-odds shift a document's own.
@@ -106,23 +106,25 @@ def _style(raw: np.ndarray, words: textops.Words, whole: np.ndarray, n_rows: int
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(good, toxic, text) to (good, toxic, packed features)."""
+    """(key, good, toxic, text) to (key, good, toxic, packed features)."""
     for batch in batches:
-        for lo, hi in textops.chunks(batch.column(2)):
-            row, feature, _ = features(batch.column(2).slice(lo, hi - lo))
+        for lo, hi in textops.chunks(batch.column(3)):
+            row, feature, _ = features(batch.column(3).slice(lo, hi - lo))
             cuts = np.searchsorted(row, np.arange(hi - lo + 1))
             feature = feature.astype(np.uint32)
             packed = [feature[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(packed, pa.binary())], ["good", "toxic", "features"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(3)), pa.array(packed, pa.binary())], ["key", "good", "toxic", "features"])
 
 
-def fit(examples: list[np.ndarray], targets: np.ndarray, rounds: int = 300, pace: float = 0.1, decay: float = 3e-5, least_z: float = 5.0) -> np.ndarray:
-    """Logistic weights, the last one the intercept; zero where there is but one kind of target."""
-    weights = np.zeros((1 << BITS) + 1)
+def fit(flat: np.ndarray, sizes: np.ndarray, targets: np.ndarray, rounds: int = 300, pace: float = 0.1, decay: float = 3e-5, least_z: float = 5.0) -> np.ndarray:
+    """Logistic weights, the last one the intercept; zero where there is but one kind of target.
+
+    ``flat`` holds the examples' features one after the other, ``sizes`` of them each.
+    """
+    weights = np.zeros((1 << BITS) + 1, np.float32)
     if not len(targets) or targets.min() == targets.max():
         return weights
-    flat = np.concatenate(examples)
-    row = np.repeat(np.arange(len(examples), dtype=np.int32), [len(x) for x in examples])
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     # features whose share differs little between the two kinds would only be learnt by heart
     good, bad = targets.sum(), len(targets) - targets.sum()
     seen, within = (np.bincount(x, minlength=1 << BITS) for x in (flat, flat[targets[row] == 1]))
@@ -135,7 +137,7 @@ def fit(examples: list[np.ndarray], targets: np.ndarray, rounds: int = 300, pace
     w, b = np.zeros(len(used)), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = np.bincount(row, w[index], minlength=len(examples)) + b
+        z = np.bincount(row, w[index], minlength=len(sizes)) + b
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - targets) * share / len(targets)
         gw, gb = np.bincount(index, g[row], minlength=len(used)) + decay * w, g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
@@ -148,6 +150,16 @@ def fit(examples: list[np.ndarray], targets: np.ndarray, rounds: int = 300, pace
     return weights
 
 
+def _heads(rows: pa.Table) -> list[np.ndarray]:
+    """The weights of both heads, from the sample in an order of its own."""
+    packed = rows["features"].combine_chunks()
+    packed = packed.cast(pa.large_binary()) if not pa.types.is_large_binary(packed.type) else packed
+    _, offsets, data = packed.buffers()
+    at = np.frombuffer(offsets, np.int64, len(packed) + 1, packed.offset * 8) if len(packed) else np.zeros(1, np.int64)
+    flat = np.frombuffer(data, np.uint32, int(at[-1] - at[0]) // 4, int(at[0])) if data is not None and at[-1] > at[0] else np.zeros(0, np.uint32)
+    return [fit(flat, np.diff(at) // 4, (rows[c].to_numpy() > 0).astype(np.float64)) for c in ("good", "toxic")]
+
+
 def _score(heads: list[np.ndarray]):
     """(id, host, path, text) to (id, host, path, n_words, log-odds of each head in millionths)."""
     tables = [h.astype(np.float32) for h in heads]
@@ -208,15 +220,8 @@ def quality_classifier(
     usable = labels.select(F.col(id_col).alias("_id"), "quality", "toxic").dropna().groupBy("_id").agg(F.min("quality").alias("good"), F.max("toxic").alias("toxic"))
     n = usable.count()
     few = usable if n <= sample else usable.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
-    texts = source.select("_id", "_text").dropna().join(few, "_id").select("good", "toxic", "_text")
-    rows = texts.mapInArrow(_sample_features, "good int, toxic int, features binary").toArrow()
-    examples = [np.frombuffer(x, np.uint32) for x in rows["features"].to_pylist()]
-    target = lambda c: (rows[c].to_numpy() > 0).astype(np.float64)
-    order = sorted(range(len(examples)), key=lambda i: (len(examples[i]), examples[i].tobytes()))  # rows come in any order
-    examples = [examples[i] for i in order]
-    wanted = [target(c)[order] for c in ("good", "toxic")]
-    del rows
-    heads = [fit(examples, y) for y in wanted]
+    texts = source.select("_id", "_text").dropna().join(few, "_id").select(F.xxhash64("_id", "_text").alias("key"), "good", "toxic", "_text")
+    heads = _heads(texts.mapInArrow(_sample_features, "key long, good int, toxic int, features binary").toArrow().sort_by("key"))
     scored = source.mapInArrow(_score(heads), f"_id {kind}, _host string, _path string, _words long, _good long, _toxic long").persist()
     judged = salted_join(scored, site_shifts(scored), ["_host", "_path"], F.col("_id"))
     odds = lambda h: F.col(f"_{h}") / 1e6 + F.col(f"_{h}_shift")
