@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight import schema
@@ -35,7 +35,7 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             symbols.append(facts.symbols)
             occurrences.append(facts.occurrences)
             diagnostics.append(facts.diagnostics)
-        kinds = {n: t for n, t in zip(("symbols", "occurrences", "diagnostics"), map(_arrow, (_SYMBOL, _OCCURRENCE, _DIAGNOSTIC)), strict=True)}
+        kinds = dict(zip(("symbols", "occurrences", "diagnostics"), map(_arrow, (_SYMBOL, _OCCURRENCE, _DIAGNOSTIC)), strict=True))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(symbols, kinds["symbols"]), pa.array(occurrences, kinds["occurrences"]), pa.array(diagnostics, kinds["diagnostics"])], ["file_id", "workspace_id", "path", "language", "symbols", "occurrences", "diagnostics"])
 
 
@@ -53,8 +53,6 @@ def symbols(facts: DataFrame) -> DataFrame:
     """The symbol table; a symbol's parent is the file's first symbol whose qualified name is its scope."""
     rows = facts.select("file_id", "workspace_id", "path", "language", F.posexplode("symbols").alias("_n", "s")).select("file_id", "workspace_id", "path", "language", "_n", "s.*")
     key = symbol_key(F.col("language"), F.col("path"), F.col("kind"), F.col("qualified_name"), F.col("signature"))
-    from pyspark.sql import Window
-
     # equal keys within a file are told apart by their order, not their offset
     ordinal = F.row_number().over(Window.partitionBy("file_id", "_key").orderBy("start_byte"))
     keyed = rows.withColumn("_key", key).withColumn("_ord", ordinal).withColumn("symbol_key", F.when(F.col("_ord") == 1, F.col("_key")).otherwise(F.concat("_key", F.lit("~"), "_ord")))
