@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarrylight.llm import html_text, html_train
 
@@ -39,7 +40,7 @@ def test_held_out_accuracy():
 
 def test_extraction(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "v", ""), (4, "w", "<script>x</script>"), (5, "x", "<article>" + "<p>Some words here.</p>" * 3000 + "</article>")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("clash"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = html_text.extract_text(df).collect()
     assert len(got) == len(rows)
     by = {r.page_id: r for r in got}
