@@ -46,7 +46,7 @@ def _least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _signatures(width: int, percent: int, heads: bool):
-    """Per row: n, class id and, with heads, the 2 (1 - t) n + 2 lowest shingles as packed 64-bit integers."""
+    """Per row: n, class id and, with heads, the 1.5 (1 - t) n + 3 lowest shingles as packed 64-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,7 +56,9 @@ def _signatures(width: int, percent: int, heads: bool):
                 n, key = _class_ids(sets)
                 columns = [ids.slice(lo, hi - lo), pa.array(n), pa.array(key)]
                 if heads:
-                    region = 2 * (n - _least_overlap(n, percent)) + 2
+                    spare = n - _least_overlap(n, percent)
+                    # the plain prefix, and what a free partner may be lengthened by
+                    region = spare + 1 + -(-spare // 2) + 1
                     columns.append(pa.array([s[:k].tobytes() for s, k in zip(sets, region.tolist(), strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", "head"][: len(columns)])
 
@@ -144,7 +146,7 @@ def _plan(posts: DataFrame, classes: DataFrame, percent: int, whole: bool = Fals
     """(cls, n, free, reach, need): how far each class's prefix goes and what a partner must share.
 
     ``free`` is false where no prefix outweighs the common shingles in it; it may
-    be lengthened by 0.8 (1 - t) n shingles, or to the whole set.
+    be lengthened by 0.4 (1 - t) n shingles, or to the whole set.
     """
     seen = posts.groupBy("cls").agg(
         F.sort_array(F.collect_list(F.when(F.col("df") > COMMON, F.col("pos")))).alias("at"),
@@ -158,7 +160,7 @@ def _plan(posts: DataFrame, classes: DataFrame, percent: int, whole: bool = Fals
         inside = F.size(F.filter("at", lambda p: p < first))
         return F.aggregate(F.filter("at", lambda p: p >= first), (inside + extra).cast("int"), lambda e, p: e + F.when(p < first + e, 1).otherwise(0))
 
-    room = (F.col("n") - first if whole else F.floor(spare * 0.8)).cast("int")
+    room = (F.col("n") - first if whole else F.floor(spare * 0.4)).cast("int")
     grown = classes.join(seen, "cls").select("cls", "n", first.alias("first"), room.alias("room"), more.alias("more"), reach(F.lit(0)).alias("e0"), reach(more).alias("e1"))
     return grown.select(
         "cls",
