@@ -1,88 +1,117 @@
 """Mixing sources to target weights by proportionate-fair (Pfair) scheduling.
 
-Each source's documents form blocks.  Block j (from 1) of a source with weight
-w is released at slot floor((j - 1) / w) and due by slot ceil(j / w);
-earliest-deadline-first over the released blocks gives every source, after any
-number of slots, less than one block more or less than its weight.
-
-Weights are integers, so the schedule repeats after their sum.  Only that one
-period is simulated, on the driver, over a table whose size is the sum of the
-weights (PERIOD, plus one for every source); a block's slot is then its period
-times the period's length plus its place in the table, an equi-join.  When a
-source has no blocks left, a new phase starts in which the others keep their
-ratios, so every document gets a slot.
+Each source's documents form blocks.  In an ideal mix every source that has
+blocks left gets, all the time, its weight's share of all weights left.  Block j
+(from 1) of a source is released at the slot in which its ideal share begins and
+due when that ends; earliest-deadline-first over the released blocks gives every
+source, after any number of slots, less than one block more or less than its
+ideal share.  When a source has no blocks left, the others keep their ratios, so
+every document gets a slot.
+
+The weights are taken exactly, as the fractions that their floats are, and every
+block is scheduled, so the deviation stays below one block however long the mix
+is.  The schedule is a sequence: one task deals it out, from one row a source to
+one row a block, holding one block a source at a time.
 
 Defined results for odd input: a null source is the source ''; a source without
-a target weight gets weight by the square root of its documents; documents of a
-source are ordered by the hash of their id, then id, and repeated rows each get
-a place; an empty table gives an empty result; only the id and source columns
-are read.  More than MAX_SOURCES sources are an error.
+a target weight gets weight by the square root of its documents; sources of
+weight 0 or less follow after all others; documents of a source are ordered by
+the hash of their id, then id, and repeated rows each get a place; an empty
+table gives an empty result; only the id and source columns are read.  A weight
+that isn't finite is an error, as are more than MAX_SOURCES sources.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import accumulate, islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.skew import salted_join
-
-PERIOD = 1024
 BLOCK_DOCS = 16
 BUCKETS = 1024
 MAX_SOURCES = 512
+#: Rows of the schedule that a task sends at once.
+SENT = 1 << 16
 
 
-def integer_weights(documents: dict[str, int], targets: dict[str, float] | None, period: int = PERIOD) -> dict[str, int]:
-    """Weights that sum to about ``period``, at least 1 each."""
+def integer_weights(documents: dict[str, int], targets: dict[str, float] | None) -> dict[str, int]:
+    """Whole numbers in exactly the ratio of the weights."""
     targets = targets or {}
-    share = {s: float(targets.get(s, math.sqrt(n))) for s, n in documents.items()}
-    total = sum(share.values()) or 1.0
-    return {s: max(1, round(period * x / total)) for s, x in share.items()}
+    share = {s: max(Fraction(float(targets.get(s, math.sqrt(n)))), Fraction(0)) for s, n in documents.items()}
+    scale = math.lcm(*(x.denominator for x in share.values()))
+    return {s: x.numerator * (scale // x.denominator) for s, x in share.items()}
+
+
+def schedule(blocks: dict[str, int], weights: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, slot, release, deadline) of every block, by slot; blocks count from 0."""
+    some = {s: n for s, n in blocks.items() if weights[s] > 0}
+    none = {s: n for s, n in blocks.items() if weights[s] <= 0}
+    yield from _fair(some, weights, 0)
+    yield from _fair(none, integer_weights(none, None), sum(some.values()))
+
+
+def _fair(blocks: dict[str, int], weights: dict[str, int], start: int) -> Iterator[tuple[str, int, int, int, int]]:
+    """The schedule of sources with weights above 0, from slot ``start``.
+
+    A source has had j ideal blocks at the virtual time j / weight.  By that
+    time v, all sources together have had sum(min(weight * v, blocks)) slots.
+    """
+    names = sorted(blocks)
+    ends = sorted((Fraction(blocks[s], weights[s]), blocks[s], weights[s]) for s in names)
+    near = [float(e) for e, _, _ in ends]
+    over = list(accumulate((n for _, n, _ in ends), initial=0))
+    total = sum(w for _, _, w in ends)
+    left = [total - w for w in accumulate((w for _, _, w in ends), initial=0)]
+
+    def slots(j: int, w: int) -> tuple[int, int]:
+        k = bisect_left(near, j / w)
+        while k and ends[k - 1][1] * w > j * ends[k - 1][2]:
+            k -= 1
+        while k < len(ends) and ends[k][1] * w < j * ends[k][2]:
+            k += 1
+        return divmod(over[k] * w + left[k] * j, w)
+
+    waiting = [(0, i, 1) for i in range(len(names))]  # release, source, block
+    ready: list[tuple[int, int, int, int, int]] = []
+    for slot in range(over[-1]):
+        while waiting and waiting[0][0] <= slot:
+            release, i, j = heapq.heappop(waiting)
+            whole, rest = slots(j, weights[names[i]])
+            heapq.heappush(ready, (whole + (rest > 0), i, j, release, whole))
+        deadline, i, j, release, whole = heapq.heappop(ready)
+        yield names[i], j - 1, start + slot, start + release, start + deadline
+        if j < blocks[names[i]]:
+            heapq.heappush(waiting, (whole, i, j + 1))
 
 
 def period_slots(weights: dict[str, int]) -> dict[str, list[int]]:
-    """For each source, the slots of its blocks in one period, by earliest deadline first."""
-    length = sum(weights.values())
+    """For each source with as many blocks as its weight, their slots."""
     place: dict[str, list[int]] = {s: [] for s in weights}
-    waiting = [(0, s, 1) for s in sorted(weights)]  # release, source, block
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, str, int]] = []
-    for slot in range(length):
-        while waiting and waiting[0][0] <= slot:
-            _, s, j = heapq.heappop(waiting)
-            # of equal deadlines, the block whose successor is due first
-            heapq.heappush(ready, (-(-j * length // weights[s]), -(-(j + 1) * length // weights[s]), s, j))
-        _, _, s, j = heapq.heappop(ready)
+    for s, _, slot, _, _ in schedule(weights, weights):
         place[s].append(slot)
-        if j < weights[s]:
-            heapq.heappush(waiting, (j * length // weights[s], s, j + 1))
     return place
 
 
-def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[tuple]:
-    """(phase, source, first block, blocks, first slot, weight, period) rows and the phases' slot tables."""
-    left, done, start, rows, tables = dict(blocks), dict.fromkeys(blocks, 0), 0, [], []
-    while left := {s: n for s, n in left.items() if n}:
-        active = {s: weights[s] for s in left}
-        length, place = sum(active.values()), period_slots(active)
-        at = lambda s, n: (n - 1) // active[s] * length + place[s][(n - 1) % active[s]]  # noqa: E731,B023
-        end = min(at(s, n) for s, n in left.items()) + 1
-        given = {s: end // length * w + sum(x < end % length for x in place[s]) for s, w in active.items()}
-        for s, n in given.items():
-            rows.append((len(tables), s, done[s], n, start, active[s], length))
-            done[s] += n
-            left[s] -= n
-        tables.append(place)
-        start += end
-    return rows, tables
+def _dealt(targets: dict[str, float] | None, block_docs: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = {s: n for b in batches for s, n in zip(b["source"].to_pylist(), b["n"].to_pylist(), strict=True)}
+        rows = schedule({s: -(-n // block_docs) for s, n in sizes.items()}, integer_weights(sizes, targets))
+        while some := list(islice(rows, SENT)):
+            columns = [pa.array(c, t) for c, t in zip(zip(*some, strict=True), [pa.string()] + [pa.int64()] * 4, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["source", "block", "slot", "release", "deadline"])
+
+    return run
 
 
 def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_docs: int = BLOCK_DOCS, buckets: int = BUCKETS) -> DataFrame:
     """One row per document: its source, block, slot in the mix, place in the block, release and deadline."""
-    spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"))
     hashed = slim.withColumn("_h", F.xxhash64("_id")).withColumn("_bucket", F.pmod("_h", F.lit(buckets)).cast("int")).persist()
     sizes = hashed.groupBy("source", "_bucket").agg(F.count("*").alias("_n"))
@@ -91,28 +120,19 @@ def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, id_col
     # a place within (source, bucket), plus what lies in the buckets before
     inside = Window.partitionBy("source", "_bucket").orderBy("_h", "_id")
     ranked = hashed.withColumn("_in", F.row_number().over(inside) - 1).join(offsets.drop("_n"), ["source", "_bucket"]).withColumn("_rank", F.col("_in") + F.col("_before"))
-    totals = {r["source"]: r["n"] for r in sizes.groupBy("source").agg(F.sum("_n").alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(totals) > MAX_SOURCES:
+    totals = sizes.groupBy("source").agg(F.sum("_n").alias("n"))
+    if totals.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    weights = integer_weights(totals, targets)
-    plan, tables = phases({s: -(-n // block_docs) for s, n in totals.items()}, weights)
-    placed = [(p, s, j, slot) for p, table in enumerate(tables) for s, slots in table.items() for j, slot in enumerate(slots)]
-    phase_rows = spark.createDataFrame(plan, "_phase int, source string, _first long, _blocks long, _start long, _w long, _length long")
-    place_rows = spark.createDataFrame(placed, "_phase int, source string, _j long, _slot long")
-    by_source = phase_rows.groupBy("source").agg(F.collect_list(F.struct("_phase", "_first", "_blocks", "_start", "_w", "_length")).alias("_phases"))
+    placed = totals.repartition(1).mapInArrow(_dealt(targets, block_docs), "source string, block long, slot long, release long, deadline long")
     blocks = ranked.withColumn("block", F.floor(F.col("_rank") / block_docs).cast("long"))
-    found = salted_join(blocks, by_source, ["source"], F.col("block")).withColumn("_p", F.get(F.filter("_phases", lambda p: (F.col("block") >= p["_first"]) & (F.col("block") < p["_first"] + p["_blocks"])), F.lit(0)))
-    j = F.col("block") - F.col("_p._first")
-    keyed = found.select("_id", "source", "block", "_rank", F.col("_p._phase").alias("_phase"), F.col("_p._start").alias("_start"), F.col("_p._length").alias("_length"), F.col("_p._w").alias("_w"), (j % F.col("_p._w")).alias("_j"), F.floor(j / F.col("_p._w")).alias("_q"))
-    base = F.col("_start") + F.col("_q") * F.col("_length")
-    return keyed.join(place_rows, ["_phase", "source", "_j"]).select(
+    return blocks.join(placed, ["source", "block"]).select(
         F.col("_id").alias(id_col),
         "source",
         "block",
-        (base + F.col("_slot")).alias("slot"),
+        "slot",
         (F.col("_rank") % block_docs).cast("long").alias("place"),
-        (base + F.floor(F.col("_j") * F.col("_length") / F.col("_w"))).alias("release"),
-        (base + F.ceil((F.col("_j") + 1) * F.col("_length") / F.col("_w"))).alias("deadline"),
+        "release",
+        "deadline",
     )
 
 

@@ -5,6 +5,8 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
+from itertools import islice
 
 import numpy as np
 import pytest
@@ -317,6 +319,66 @@ def test_period_equals_an_exhaustive_schedule():
             assert (j - 1) * length // w <= slot < -(-j * length // w)
 
 
+def worst_deviation(blocks, targets, slots):
+    """The most that a source's blocks differ from its target after any of the first slots."""
+    rows = mixing.schedule(blocks, mixing.integer_weights(blocks, targets))
+    total, given, worst = sum(map(Fraction, targets.values())), Counter(), 0
+    for n, (s, block, slot, release, deadline) in enumerate(islice(rows, slots), 1):
+        assert block == given[s] and slot == n - 1 and release <= slot < deadline
+        given[s] += 1
+        # between its own blocks a source only falls behind: its ends are checked by the deadlines
+        ideal = n * Fraction(targets[s]) / total
+        worst = max(worst, abs(given[s] - ideal), abs(given[s] - 1 - (n - 1) * Fraction(targets[s]) / total))
+    ideals = {s: slots * Fraction(w) / total for s, w in targets.items()}
+    return float(max(worst, *(abs(given[s] - ideals[s]) for s in targets)))
+
+
+def test_mixing_keeps_targets_over_a_long_mix():
+    documents = {f"s{i}": 1_000_000 if i == 0 else 105_000 for i in range(20)}
+    targets = {s: math.sqrt(n) for s, n in documents.items()}
+    blocks = {s: -(-n // mixing.BLOCK_DOCS) for s, n in documents.items()}
+    assert mixing.integer_weights(documents, None) == mixing.integer_weights(documents, targets)
+    assert worst_deviation(blocks, targets, 140_000) < 1
+    assert worst_deviation({"a": 50_000, "b": 50_000}, {"a": 0.9999, "b": 0.0001}, 50_000) < 1
+
+
+def test_mixing_gives_a_rare_source_its_target(spark):
+    docs = frame(spark, ["t"] * 6000, ["b"] * 3 + ["a"] * 5997)
+    rows = mixing.mix_sources(docs, {"a": 0.9999, "b": 0.0001}, block_docs=1).collect()
+    slots = sorted(r.slot for r in rows)
+    assert slots == list(range(6000)) and all(r.release <= r.slot < r.deadline for r in rows)
+    # 0.6 of a block is b's by the time a is used up: its first at most, where a period of 1025 gave it all three
+    assert sorted(r.slot for r in rows if r.source == "b")[1:] == [5998, 5999]
+
+
+def test_mixing_takes_sources_of_no_weight_last():
+    rows = list(mixing.schedule({"a": 3, "b": 5, "c": 2}, mixing.integer_weights({"a": 3, "b": 5, "c": 2}, {"a": 0.0, "b": 1.0, "c": -1.0})))
+    assert [s for s, *_ in rows[:5]] == ["b"] * 5 and Counter(s for s, *_ in rows[5:]) == {"a": 3, "c": 2}
+    assert [r[2] for r in rows] == list(range(10)) and all(release <= slot < deadline for _, _, slot, release, deadline in rows)
+
+
+def test_mixing_keeps_ratios_as_sources_run_out():
+    rnd = random.Random(2)
+    for _ in range(60):
+        blocks = {f"s{i}": rnd.randint(1, 30) for i in range(rnd.randint(1, 9))}
+        weights = mixing.integer_weights(blocks, {s: rnd.choice([rnd.random(), rnd.randint(1, 4), n]) for s, n in blocks.items()})
+        rows = list(mixing.schedule(blocks, weights))
+        assert [r[2] for r in rows] == list(range(sum(blocks.values())))
+        ideal, given = dict.fromkeys(blocks, Fraction(0)), Counter()
+        for s, _, slot, release, deadline in rows:
+            assert release <= slot < deadline
+            given[s] += 1
+            share = Fraction(1)
+            while share:  # this slot's ideal share, up to where the next source runs out
+                left = {s: w for s, w in weights.items() if ideal[s] < blocks[s]}
+                step = min(share, *((blocks[s] - ideal[s]) * sum(left.values()) / Fraction(w) for s, w in left.items()))
+                for s, w in left.items():
+                    ideal[s] += step * w / sum(left.values())
+                share -= step
+            assert all(abs(given[s] - ideal[s]) < 1 for s in blocks)
+        assert ideal == given == blocks
+
+
 def test_interleave_keeps_rows_and_columns(spark):
     docs = frame(spark, [f"t{i}" for i in range(50)], [f"s{i % 3}" for i in range(50)])
     twice = docs.union(docs.filter("doc_id = 3")).union(spark.createDataFrame([(None, None, None, None, None, None, None)], SCHEMA))
