@@ -18,7 +18,7 @@ a target weight gets weight by the square root of its documents; sources of
 weight 0 or less follow after all others; documents of a source are ordered by
 the hash of their id, then id, and repeated rows each get a place; an empty
 table gives an empty result; only the id and source columns are read.  A weight
-that isn't finite is an error, as are more than MAX_SOURCES sources.
+that isn't finite is an error.  There may be any number of sources.
 """
 
 from __future__ import annotations
@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 
 BLOCK_DOCS = 16
 BUCKETS = 1024
-MAX_SOURCES = 512
 #: Rows of the schedule that a task sends at once.
 SENT = 1 << 16
 
@@ -121,8 +120,6 @@ def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, id_col
     inside = Window.partitionBy("source", "_bucket").orderBy("_h", "_id")
     ranked = hashed.withColumn("_in", F.row_number().over(inside) - 1).join(offsets.drop("_n"), ["source", "_bucket"]).withColumn("_rank", F.col("_in") + F.col("_before"))
     totals = sizes.groupBy("source").agg(F.sum("_n").alias("n"))
-    if totals.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
     placed = totals.repartition(1).mapInArrow(_dealt(targets, block_docs), "source string, block long, slot long, release long, deadline long")
     blocks = ranked.withColumn("block", F.floor(F.col("_rank") / block_docs).cast("long"))
     return blocks.join(placed, ["source", "block"]).select(

@@ -379,6 +379,15 @@ def test_mixing_keeps_ratios_as_sources_run_out():
         assert ideal == given == blocks
 
 
+def test_mixing_takes_many_sources(spark):
+    sources = [f"host{i % 1300}" for i in range(3000)]
+    rows = mixing.mix_sources(frame(spark, ["t"] * len(sources), sources), block_docs=2).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(sources)))
+    blocks = {(r.source, r.block): r for r in rows}
+    assert sorted(r.slot for r in blocks.values()) == list(range(len(blocks)))
+    assert all(r.source == sources[r.doc_id] and r.release <= r.slot < r.deadline for r in rows)
+
+
 def test_interleave_keeps_rows_and_columns(spark):
     docs = frame(spark, [f"t{i}" for i in range(50)], [f"s{i % 3}" for i in range(50)])
     twice = docs.union(docs.filter("doc_id = 3")).union(spark.createDataFrame([(None, None, None, None, None, None, None)], SCHEMA))
