@@ -2,7 +2,9 @@
 
 The tables hold no source code, so columns stand in for code concepts: a
 customer refers to a nation, a document is a file, a url is a path.  Every
-query runs over its whole tables.
+query runs over its whole tables, but for those whose SQL filters them:
+override_pairs (customers above 9000), tiered_resolution and resolution_stats
+(suppliers above 4000).  Each has a namesake in _whole without the filter.
 """
 
 from __future__ import annotations
@@ -306,10 +308,10 @@ res AS (SELECT c_custkey, coalesce(a.n, b.n, 0) AS n_candidates, coalesce(a.f, b
 rr AS (SELECT c_custkey, CASE WHEN n_candidates = 0 THEN 'unresolved' WHEN n_candidates = 1 THEN 'resolved' ELSE 'ambiguous' END AS resolution, target, CASE WHEN n_candidates > 1 THEN 0.5 ELSE top END::DOUBLE AS confidence, reason, n_candidates FROM res)"""
 
 
-def _resolved(spark, sf_dir):
+def _resolved(spark, sf_dir, suppliers="s_acctbal > 4000"):
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     occurrences = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_nationkey", "n_regionkey")
-    symbols = table(spark, sf_dir, "supplier").filter("s_acctbal > 4000").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_nationkey", "n_regionkey")
+    symbols = table(spark, sf_dir, "supplier").filter(suppliers).join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_nationkey", "n_regionkey")
     tiers = [("nation", 1.0, ["n_nationkey"], symbols), ("region", 0.9, ["n_regionkey"], symbols)]
     return resolve.resolve_tiers(occurrences, tiers, "s_suppkey").select("c_custkey", "resolution", "target", "confidence", "reason", "n_candidates")
 
@@ -325,6 +327,17 @@ def resolution_stats(spark, sf_dir):
     return summary.resolution_counts(_resolved(spark, sf_dir), "resolution", resolve.STATES)
 
 
+@query()
+def tiered_resolution_whole(spark, sf_dir):
+    """As tiered_resolution, among all suppliers."""
+    return _resolved(spark, sf_dir, "true")
+
+
+@query()
+def resolution_stats_whole(spark, sf_dir):
+    return summary.resolution_counts(_resolved(spark, sf_dir, "true"), "resolution", resolve.STATES)
+
+
 @query("""WITH p AS (SELECT p_partkey, p_brand, p_type FROM part), t AS (SELECT a.p_partkey, b.p_partkey AS c, 0 AS tier FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey
 UNION ALL SELECT p_partkey, s_suppkey, 1 FROM part JOIN supplier ON p_size = s_nationkey), m AS (SELECT p_partkey, min(tier) AS tier FROM t GROUP BY 1), g AS (SELECT p_partkey, tier, count(DISTINCT c) AS n, min(c) AS target FROM t JOIN m USING (p_partkey, tier) GROUP BY 1, 2)
 SELECT p.p_partkey, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS resolution, target, coalesce(n, 0) AS n_candidates FROM p LEFT JOIN g USING (p_partkey)""")
@@ -423,9 +436,18 @@ def outline(spark, sf_dir):
 JOIN customer x ON x.c_nationkey = a.n_nationkey JOIN customer y ON y.c_nationkey = b.n_nationkey AND y.c_mktsegment = x.c_mktsegment WHERE x.c_acctbal > 9000 AND y.c_acctbal > 9000""")
 def override_pairs(spark, sf_dir):
     """Members of the same name in linked nations."""
+    return _override_pairs(spark, sf_dir, table(spark, sf_dir, "customer").filter("c_acctbal > 9000"))
+
+
+@query()
+def override_pairs_whole(spark, sf_dir):
+    """As override_pairs, among all customers."""
+    return _override_pairs(spark, sf_dir, table(spark, sf_dir, "customer"))
+
+
+def _override_pairs(spark, sf_dir, members):
     nation = table(spark, sf_dir, "nation")
     links = nation.select(F.col("n_nationkey").alias("derived"), "n_regionkey").join(nation.select(F.col("n_nationkey").alias("base"), "n_regionkey"), "n_regionkey").filter("derived > base")
-    members = table(spark, sf_dir, "customer").filter("c_acctbal > 9000")
     return refs.pairs_by_name(members, members, links, "c_nationkey", "c_mktsegment", "c_custkey")
 
 
