@@ -198,4 +198,4 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), order=3)

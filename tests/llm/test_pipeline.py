@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from oracle import agree
-from quarrylight.llm import queries
+from quarrylight.llm import lm_scoring, queries
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not Path(SF).is_dir(), reason="no test data")
@@ -25,6 +25,13 @@ def test_query_runs(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
 
 
+@needs_data
+def test_lm_scoring_counts_trigrams(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    trigrams = lm_scoring.lm_scores(docs, order=3)
+    assert sorted(map(repr, queries.QUERIES["op6_lm_scoring"](spark, SF).collect())) == sorted(map(repr, trigrams.collect()))
+
+
 @pytest.fixture
 def tables(spark, tmp_path):
     good = [" ".join(f"w{i}x{j}" for j in range(60)) + "." for i in range(40)]
