@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 STATES = ["resolved", "ambiguous", "unresolved", "external"]
 #: Languages that see each other's symbols.
 COMPATIBLE = [("c", "cpp"), ("shell", "bash"), ("typescript", "javascript")]
-#: Candidates of one occurrence that are saved.
-SAVED = 32
 
 
 def compatible(a: Column, b: Column) -> Column:
@@ -28,19 +26,19 @@ def candidate_tiers(tiers: list[tuple[str, float, DataFrame]], key: str, candida
     return out
 
 
-def resolve(occurrences: DataFrame, key: str, candidates: DataFrame, prefer: str | None = None, saved: int = SAVED) -> DataFrame:
-    """Per occurrence: state, target, confidence, reason, number of candidates and the first of them.
+def resolve(occurrences: DataFrame, key: str, candidates: DataFrame, prefer: str | None = None) -> DataFrame:
+    """Per occurrence: state, target, confidence, reason, number of candidates and all of them.
 
     Only the first tier with any candidate counts.  One candidate resolves with
     the tier's confidence, several are ambiguous at 0.5 with the first as the
     target, none is unresolved at 0.  Two aggregations: the candidates are
-    merged per (occurrence, tier) before the tiers are compared, and no row
-    carries more than ``saved`` candidates.
+    merged per (occurrence, tier) before the tiers are compared.  Edges and
+    referencers are made from the saved candidates, so none is left out.
     """
     rank = F.struct(F.col(prefer) if prefer else F.lit(0), F.col("candidate"))
     distinct = candidates.groupBy(key, "tier", "candidate").agg(F.min(F.col(prefer) if prefer else F.lit(0)).alias(prefer or "_0"), F.first("reason").alias("reason"), F.first("confidence").alias("confidence"))
     per_tier = distinct.groupBy(key, "tier").agg(F.count("*").alias("n"), F.min(rank).alias("first"), F.first("reason").alias("reason"), F.first("confidence").alias("confidence"), F.sort_array(F.collect_list("candidate")).alias("all"))
-    best = per_tier.groupBy(key).agg(F.min(F.struct("tier", "n", "first.candidate", "reason", "confidence", F.slice("all", 1, saved).alias("all"))).alias("b"))
+    best = per_tier.groupBy(key).agg(F.min(F.struct("tier", "n", "first.candidate", "reason", "confidence", "all")).alias("b"))
     joined = occurrences.join(best, key, "left")
     n = F.coalesce(F.col("b.n"), F.lit(0))
     return joined.select(
@@ -54,7 +52,7 @@ def resolve(occurrences: DataFrame, key: str, candidates: DataFrame, prefer: str
     )
 
 
-def resolve_tiers(occurrences: DataFrame, tiers: list[tuple[str, float, list[str], DataFrame]], candidate: str, prefer: str | None = None, saved: int = SAVED) -> DataFrame:
+def resolve_tiers(occurrences: DataFrame, tiers: list[tuple[str, float, list[str], DataFrame]], candidate: str, prefer: str | None = None) -> DataFrame:
     """As :func:`resolve`, for tiers that are looked up by key columns.
 
     Each tier is (reason, confidence, key columns, candidates with those
@@ -71,7 +69,7 @@ def resolve_tiers(occurrences: DataFrame, tiers: list[tuple[str, float, list[str
             F.min_by(candidate, rank).alias("candidate"),
             F.lit(reason).alias("reason"),
             F.lit(confidence).alias("confidence"),
-            F.slice(F.sort_array(F.collect_set(candidate)), 1, saved).alias("all"),
+            F.sort_array(F.collect_set(candidate)).alias("all"),
         )
         merged = distinct.groupBy(*keys).agg(found.alias(f"_t{i}"))
         out = out.join(merged, keys, "left")

@@ -235,3 +235,14 @@ def test_stream_of_events(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.start.hour, r.event_type, r.n) for r in spark.table("counts").collect()) == [(1, "a", 2), (1, "b", 1), (2, "a", 1)]
+
+
+def test_resolve_keeps_all_candidates(spark):
+    calls = spark.createDataFrame([(1, "get")], "id long, n string")
+    symbols = spark.createDataFrame([("get", i) for i in range(100)], "n string, s long")
+    by_key = resolve.resolve_tiers(calls, [("near", 1.0, ["n"], symbols)], "s").first()
+    tiers = resolve.candidate_tiers([("near", 1.0, calls.join(symbols, "n").select("id", "s"))], "id", "s")
+    assert by_key.candidates == resolve.resolve(calls, "id", tiers).first().candidates == list(range(100))
+    refs_ = resolve.resolve_tiers(calls, [("near", 1.0, ["n"], symbols)], "s")
+    found = refs.referencers(refs_, symbols, "id", "target", "n", "candidates", "s", "n").collect()
+    assert {r.symbol_id for r in found} == set(range(100))
