@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm import textops
-from quarrylight.llm.skew import salted_join
+from quarrylight.llm.skew import hot_join
 
 BITS = 18
 SAMPLE = 8_000
@@ -54,19 +54,17 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ends -= _PUNCTUATION[words.bytes[ends - 1]] & (ends - starts > 1)
     for _ in range(2):
         starts += _PUNCTUATION[words.bytes[starts]] & (ends - starts > 1)
-    up, down = textops._power_table(len(raw))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((words.bytes.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
+    view = textops.eights(words.bytes)
     mask = np.uint64((1 << BITS) - 1)
     rows, found = [], []
-    whole = (sums[ends] - sums[starts]) * down[starts]
+    whole = textops.span_hashes(words.bytes, starts, ends)
     rows.append(words.row)
-    found.append(textops.mix(whole) & mask)
+    found.append(whole & mask)
     for k in STARTS:
         long = ends - starts > k
         s = starts[long]
         rows.append(words.row[long])
-        found.append(textops.mix((sums[s + k] - sums[s]) * down[s] + np.uint64(k)) & mask)
+        found.append(textops.mix(view[s] & np.uint64((1 << 8 * k) - 1) ^ np.uint64(k << 58)) & mask)
     style_rows, style = _style(raw, words, whole, n_rows)
     rows.append(style_rows)
     found.append(style)
@@ -82,7 +80,7 @@ def _style(raw: np.ndarray, words: textops.Words, whole: np.ndarray, n_rows: int
     at = words.offsets
     per = lambda mask: np.diff(np.concatenate(([0], np.cumsum(mask)))[at])
     symbol = np.isin(raw, np.frombuffer(b"#*$%&|<>", np.uint8))
-    pair = np.unique((words.row.astype(np.uint64) << np.uint64(44)) ^ (textops.mix(whole) >> np.uint64(20)))
+    pair = np.unique((words.row.astype(np.uint64) << np.uint64(44)) ^ (whole >> np.uint64(20)))
     distinct = np.bincount((pair >> np.uint64(44)).astype(np.int64), minlength=n_rows)[:n_rows]
     same = np.zeros(len(whole), bool)
     if len(whole) > 1:
@@ -182,8 +180,8 @@ def _logit(p: Column) -> Column:
     return F.log(inside / (1 - inside))
 
 
-def site_shifts(scored: DataFrame) -> DataFrame:
-    """(_host, _path) to the shift of either head's log-odds.
+def site_shifts(scored: DataFrame) -> tuple[DataFrame, int]:
+    """(_host, _path, n) with the shift of either head's log-odds, and the sum of n.
 
     Evidence is summed as integers, so the sums don't depend on their order.
     """
@@ -198,7 +196,7 @@ def site_shifts(scored: DataFrame) -> DataFrame:
         host = (F.col(f"h{head}") / 1e6 + PRIOR * prior) / (F.col("hn") + PRIOR)
         path = (F.col(head) / 1e6 + PRIOR * host) / (F.col("n") + PRIOR)
         out.append((SITE_WEIGHT * (_logit(path) - _logit(prior))).alias(f"_{head}_shift"))
-    return joined.select("_host", "_path", *out)
+    return joined.select("_host", "_path", "n", *out), every["n"] or 0
 
 
 def quality_classifier(
@@ -223,7 +221,8 @@ def quality_classifier(
     texts = source.select("_id", "_text").dropna().join(few, "_id").select(F.xxhash64("_id", "_text").alias("key"), "good", "toxic", "_text")
     heads = _heads(texts.mapInArrow(_sample_features, "key long, good int, toxic int, features binary").toArrow().sort_by("key"))
     scored = source.mapInArrow(_score(heads), f"_id {kind}, _host string, _path string, _words long, _good long, _toxic long").persist()
-    judged = salted_join(scored, site_shifts(scored), ["_host", "_path"], F.col("_id"))
+    shifts, total = site_shifts(scored)
+    judged = hot_join(scored, shifts, ["_host", "_path"], "n", total, F.monotonically_increasing_id())
     odds = lambda h: F.col(f"_{h}") / 1e6 + F.col(f"_{h}_shift")
     chance = lambda h: F.round(1 / (1 + F.exp(-odds(h))), 6)
     return judged.select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +13,15 @@ from pyspark.sql import functions as F
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts lineage with files in the folder that ``spark.checkpoint.dir`` names.
 
-    A folder of our own is set only where the setting is missing, as in tests.
+    Where the setting is missing, a folder of our own serves a local master, as
+    in tests; on a cluster, where executors couldn't read it, that is an error.
     The shuffle files that led here go when the driver's garbage does, so that
     is collected at once: otherwise they stay until its heap happens to fill.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     out = df.checkpoint()
     del df
@@ -31,7 +35,7 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node with a link; root is the smallest node reachable.
 
     Alternates large-star and small-star steps until the edges stay the same,
@@ -40,9 +44,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
     """
     edges = checkpoint(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     before = _fingerprint(edges)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -60,8 +62,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

@@ -12,8 +12,8 @@ A class that is nearly all common shingles (a large group of near copies, or
 text made of passages that many share) has no such prefix: see
 :func:`_among_dense`.  Candidate pairs are verified on their whole sets.
 
-Sets are 64-bit hashes: about n**2 / 2**65 false matches for n different
-shingles.  Defined results for odd input: a null or wordless text has an empty
+Sets are 64-bit hashes of shingles, and a class is a 64-bit hash of its set: of n
+different ones, about n**2 / 2**65 pairs are taken for equal.  Defined results for odd input: a null or wordless text has an empty
 set, links with nothing and is its own component; repeated rows and ids all
 stay, and rows of equal sets are linked; a row whose id is null takes the
 smallest id of its class, if any; an empty table gives an empty result; only
@@ -26,13 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm import textops
 from quarrylight.llm.graph import checkpoint, components
-from quarrylight.llm.skew import salted_join
+from quarrylight.llm.skew import hot_join
 
 COMMON = 64
 COST = 64
@@ -46,7 +45,7 @@ def _least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _signatures(width: int, percent: int, heads: bool):
-    """Per row: n, class id and, with heads, the 1.5 (1 - t) n + 3 lowest shingles as packed 64-bit integers."""
+    """Per row (id, text, key): n, class id and, with heads, the 1.5 (1 - t) n + 3 lowest shingles as packed 64-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,7 +59,8 @@ def _signatures(width: int, percent: int, heads: bool):
                     # the plain prefix, and what a free partner may be lengthened by
                     region = spare + 1 + -(-spare // 2) + 1
                     columns.append(pa.array([s[:k].tobytes() for s, k in zip(sets, region.tolist(), strict=True)], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", "head"][: len(columns)])
+                    columns.append(batch.column(2).slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", "head", "key"][: len(columns)])
 
     return run
 
@@ -72,7 +72,7 @@ def _class_ids(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _of_class(width: int):
-    """(cls, text) rows whose text has that class: an id may stand on rows of several texts."""
+    """(cls, text) rows whose text has that class: different rows may have one key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,8 +87,8 @@ def _of_class(width: int):
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(cls, head) to one row per shingle of the head, with its position."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 2000):
-            part = batch.slice(lo, 2000)
+        for lo, hi in textops.chunks(batch.column(1)):
+            part = batch.slice(lo, hi - lo)
             arrays = [np.frombuffer(b, np.int64) for b in part.column(1).to_pylist()]
             sizes = np.array([len(a) for a in arrays])
             if not sizes.sum():
@@ -115,8 +115,8 @@ def _overlaps(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
+            for lo, hi in textops.chunks(batch.column(2), rows=64):
+                part = batch.slice(lo, hi - lo)
                 a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
                 fresh: dict = {}
                 for keys, texts in ((a, part.column(2)), (b, part.column(3))):
@@ -203,7 +203,8 @@ def _among_dense(dense: DataFrame, texts: DataFrame, width: int, percent: int) -
     whole = checkpoint(dense.join(texts, "cls").select("cls", "text").mapInArrow(_whole_sets(width), "cls long, set binary").join(dense, "cls"))
     raw = whole.select("cls", "set").mapInArrow(_unpack, "token long, cls long, pos int")
     shared = raw.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    posts = checkpoint(raw.join(shared, "token"))
+    total = dense.agg(F.sum("n")).first()[0] or 0
+    posts = checkpoint(hot_join(raw, shared, ["token"], "df", total, F.col("cls"), "inner"))
     plan = checkpoint(_plan(posts, dense, percent, whole=True))
     links = checkpoint(_linked(verify(_sparse_pairs(posts, plan, percent), texts, width), percent))
     sets = whole.join(plan.filter(~F.col("free")).select("cls"), "cls", "left_semi")
@@ -230,31 +231,34 @@ def _dense_links(sets: DataFrame, posts: DataFrame, texts: DataFrame, width: int
     prefix = checkpoint(posts.join(sets.select("cls", "n"), "cls").filter(F.col("pos") <= spare).select("token", "cls", "n", "df"))
     hot = prefix.groupBy("cls").agg(F.max_by("token", F.struct("df", "token")).alias("h"))
     members = checkpoint(sets.join(hot, "cls"))
+    total = members.count()
     sizes = members.groupBy("h").agg(F.count("*").alias("size"))
     held = members.select("h", "set").mapInArrow(_tally, "h long, token long, n long").groupBy("h", "token").agg(F.sum("n").alias("n"))
-    inner = salted_join(held, sizes, ["h"], F.col("token")).filter("2 * n > size")
+    inner = hot_join(held, sizes, ["h"], "size", total, F.col("token")).filter("2 * n > size")
     centres = checkpoint(inner.groupBy("h", "size").agg(F.sort_array(F.collect_list("token")).alias("centre")))
     alike = components(_alike(centres), "a", "b").withColumnRenamed("node", "h")
     grouped = centres.join(alike, "h", "left").withColumn("g", F.coalesce("root", "h"))
     best = grouped.groupBy("g").agg(F.max_by("centre", F.struct("size", "h")).alias("centre"))
-    to_centre = grouped.select("h", "g").join(best, "g").select("h", "g", "centre")
-    near = salted_join(members, to_centre, ["h"], F.col("cls")).select("cls", "n", "set", "g", "centre").mapInArrow(_differences(percent), "cls long, n long, g long, slack long, far boolean, diff binary")
+    to_centre = grouped.select("h", "g", "size").join(best, "g").select("h", "g", "centre", "size")
+    near = hot_join(members, to_centre, ["h"], "size", total, F.col("cls")).select("cls", "n", "set", "g", "centre").mapInArrow(_differences(percent), "cls long, n long, g long, slack long, far boolean, diff binary")
     near = checkpoint(near)
     tops = near.groupBy("g").agg(F.max(F.struct("slack", "cls")).alias("top"), F.count("*").alias("size"))
-    placed = checkpoint(salted_join(near, tops, ["g"], F.col("cls")).withColumn("out", F.col("slack") + F.col("top.slack") < 0))
+    placed = checkpoint(hot_join(near, tops, ["g"], "size", total, F.col("cls")).withColumn("out", F.col("slack") + F.col("top.slack") < 0))
     star = placed.filter(~F.col("out") & (F.col("cls") != F.col("top.cls"))).select(F.col("cls").alias("a"), F.col("top.cls").alias("b"))
-    return star.unionByName(_outsider_links(placed, percent)).unionByName(_far_links(placed, prefix, texts, width, percent))
+    return star.unionByName(_outsider_links(placed, total, percent)).unionByName(_far_links(placed, prefix, texts, width, percent))
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, packed set) to counts of each shingle within h, added up per batch."""
+    """(h, packed set) to counts of each shingle within h, added up per chunk."""
     for batch in batches:
-        arrays = [np.frombuffer(b, np.int64) for b in batch.column(1).to_pylist()]
-        if arrays:
-            h = np.repeat(batch.column(0).to_numpy(), [len(a) for a in arrays])
-            pairs = np.stack([h, np.concatenate(arrays)], 1)
-            found, n = np.unique(pairs, axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(n.astype(np.int64))], ["h", "token", "n"])
+        for lo, hi in textops.chunks(batch.column(1)):
+            part = batch.slice(lo, hi - lo)
+            arrays = [np.frombuffer(b, np.int64) for b in part.column(1).to_pylist()]
+            h, token = np.repeat(part.column(0).to_numpy(), [len(a) for a in arrays]), np.concatenate(arrays)
+            order = np.lexsort((token, h))
+            h, token = h[order], token[order]
+            new = np.flatnonzero(np.concatenate((np.ones(min(len(h), 1), bool), (h[1:] != h[:-1]) | (token[1:] != token[:-1]))))
+            yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(token[new]), pa.array(np.diff(np.append(new, len(h))))], ["h", "token", "n"])
 
 
 def _alike(centres: DataFrame) -> DataFrame:
@@ -270,21 +274,23 @@ def _differences(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column(1).to_numpy()
-            diffs = [np.setxor1d(np.frombuffer(s, np.int64), c, assume_unique=True) for s, c in zip(batch.column(2).to_pylist(), (x.values.to_numpy() for x in batch.column(4)), strict=True)]
-            size = np.array([len(d) for d in diffs], np.int64)
-            slack = (100 - percent) * n - (100 + percent) * size
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(slack), pa.array(4 * size > n), pa.array([d.tobytes() for d in diffs], pa.binary())], ["cls", "n", "g", "slack", "far", "diff"])
+            for lo, hi in textops.chunks(batch.column(2)):
+                part = batch.slice(lo, hi - lo)
+                n = part.column(1).to_numpy()
+                diffs = [np.setxor1d(np.frombuffer(s, np.int64), c, assume_unique=True) for s, c in zip(part.column(2).to_pylist(), (x.values.to_numpy() for x in part.column(4)), strict=True)]
+                size = np.array([len(d) for d in diffs], np.int64)
+                slack = (100 - percent) * n - (100 + percent) * size
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(slack), pa.array(4 * size > n), pa.array([d.tobytes() for d in diffs], pa.binary())], ["cls", "n", "g", "slack", "far", "diff"])
 
     return run
 
 
-def _outsider_links(placed: DataFrame, percent: int) -> DataFrame:
+def _outsider_links(placed: DataFrame, total: int, percent: int) -> DataFrame:
     """Outsiders of each group against its members, OUTSIDERS by MEMBERS at a time."""
     out = placed.filter("out").groupBy("g").agg(F.count("*").alias("n_out"))
     counts = placed.groupBy("g").agg(F.first("size").alias("size")).join(out, "g")
-    counts = counts.select("g", F.ceil(F.col("n_out") / OUTSIDERS).cast("int").alias("obs"), F.ceil(F.col("size") / MEMBERS).cast("int").alias("mbs"))
-    dealt = salted_join(placed.drop("size"), counts, ["g"], F.col("cls")).filter("obs is not null")
+    counts = counts.select("g", F.ceil(F.col("n_out") / OUTSIDERS).cast("int").alias("obs"), F.ceil(F.col("size") / MEMBERS).cast("int").alias("mbs"), "size")
+    dealt = hot_join(placed.drop("size"), counts, ["g"], "size", total, F.col("cls"), "inner")
     block = lambda n, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = dealt.filter("out").select("cls", "slack", "diff", "g", block("obs", 0).alias("ob"), each("mbs").alias("mb"))
@@ -354,20 +360,24 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not 80 <= percent <= 100:
         raise ValueError("percent must be within 80 to 100")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = source.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    rows = source.mapInArrow(_signatures(width, percent, False), f"doc_id {kind}, n long, cls long").persist()
-    signed = source.mapInArrow(_signatures(width, percent, True), f"doc_id {kind}, n long, cls long, head binary")
-    # copies meet in their class before any shingle is dealt out
-    classes = checkpoint(signed.filter("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "head")).alias("m")).select("cls", "n", "least_id", F.col("m.doc_id").alias("rep"), "m.head"))
+    rows = source.select("doc_id", "text").mapInArrow(_signatures(width, percent, False), f"doc_id {kind}, n long, cls long")
+    signed = source.mapInArrow(_signatures(width, percent, True), f"doc_id {kind}, n long, cls long, head binary, key long")
+    # copies meet in their class before any shingle is dealt out; one row's key stands for the class's text
+    copies = signed.filter("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("key", "head")).alias("m"), F.count("*").alias("rows"))
+    classes = checkpoint(copies.select("cls", "n", "least_id", "rows", "m.key", "m.head"))
+    n_rows, n_heads = classes.agg(F.sum("rows"), F.sum(F.octet_length("head"))).first()
     raw = classes.select("cls", "head").mapInArrow(_unpack, "token long, cls long, pos int")
     shared = raw.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    posts = checkpoint(raw.join(shared, "token"))
+    posts = checkpoint(hot_join(raw, shared, ["token"], "df", (n_heads or 0) // 8, F.col("cls"), "inner"))
     plan = checkpoint(_plan(posts, classes, percent))
     pairs = checkpoint(_sparse_pairs(posts, plan, percent))
     dense = plan.filter(~F.col("free")).select("cls", "n")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(dense.select("cls")).distinct()
-    reps = classes.join(needed, "cls", "left_semi").select("cls", "rep")
-    texts = source.join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "text").mapInArrow(_of_class(width), "cls long, text string").groupBy("cls").agg(F.first("text").alias("text")).persist(StorageLevel.DISK_ONLY)
+    reps = classes.join(needed, "cls", "left_semi").select("key", "cls", "rows")
+    found = hot_join(source.select("key", "text"), reps, ["key"], "rows", n_rows or 0, F.monotonically_increasing_id(), "inner")
+    texts = checkpoint(found.select("cls", "text").mapInArrow(_of_class(width), "cls long, text string").groupBy("cls").agg(F.first("text").alias("text")))
     links = checkpoint(_linked(verify(pairs, texts, width), percent))
     if not dense.isEmpty():
         links = links.unionByName(_among_dense(dense, texts, width, percent))
@@ -375,9 +385,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = roots.join(classes.select(F.col("cls").alias("node"), "least_id"), "node")
     least = ids.groupBy("root").agg(F.min("least_id").alias("least"))
     merged = ids.join(least, "root").select(F.col("node").alias("cls"), "least")
-    # a table of its own, so that the last join has two plain sides and a hot class can be split
-    known = checkpoint(classes.select("cls", "least_id").join(merged, "cls", "left").select("cls", F.coalesce("least", "least_id").alias("component_id")))
-    return rows.join(known, "cls", "left").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    known = checkpoint(classes.select("cls", "least_id", "rows").join(merged, "cls", "left").select("cls", "rows", F.coalesce("least", "least_id").alias("component_id")))
+    named = hot_join(rows, known, ["cls"], "rows", n_rows or 0, F.monotonically_increasing_id())
+    return named.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

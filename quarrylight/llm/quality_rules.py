@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.skew import salted_join
+from quarrylight.llm.skew import hot_join
 
 #: Characters that separate words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -103,12 +103,12 @@ def judge(measured: DataFrame) -> DataFrame:
     )
     flagged = measured.withColumns({"base_failed": base_failed, "rule_failed": rule_failed})
     hosts = flagged.groupBy("_domain").agg(F.count("*").alias("n"), F.count_if("rule_failed").alias("f"))
-    verdicts = host_verdicts(hosts)
-    return salted_join(flagged, verdicts, ["_domain"], F.col("_id")).withColumn("kept", ~F.col("rule_failed") & ~F.col("host_failed"))
+    verdicts, total = host_verdicts(hosts)
+    return hot_join(flagged, verdicts, ["_domain"], "n", total, F.monotonically_increasing_id()).withColumn("kept", ~F.col("rule_failed") & ~F.col("host_failed"))
 
 
-def host_verdicts(hosts: DataFrame) -> DataFrame:
-    """(_domain, n, f) to (_domain, host_failed).
+def host_verdicts(hosts: DataFrame) -> tuple[DataFrame, int]:
+    """(_domain, n, f) to (_domain, n, host_failed), and the sum of n.
 
     The beta prior is fitted by moments: mean of all documents, variance of the
     domains' rates weighted by their documents, concentration within 1 to 10000.
@@ -120,7 +120,7 @@ def host_verdicts(hosts: DataFrame) -> DataFrame:
     size = min(max(mean * (1 - mean) / variance - 1, 1.0), 1e4)
     post = (F.col("f") + mean * size) / (F.col("n") + size)
     spread = F.sqrt(post * (1 - post) / (F.col("n") + size + 1))
-    return hosts.select("_domain", (post - 2 * spread > MAX_HOST_RATE).alias("host_failed"))
+    return hosts.select("_domain", "n", (post - 2 * spread > MAX_HOST_RATE).alias("host_failed")), total or 0
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "source") -> DataFrame:

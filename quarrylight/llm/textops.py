@@ -8,9 +8,11 @@ CHUNK_BYTES of text, or one longer text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 19
 
@@ -19,21 +21,6 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of the hash base and of its inverse, modulo 2**64."""
-    if len(_powers.get("up", ())) <= n:
-        for key, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            steps = np.full(max(n, CHUNK_BYTES) + 1, base, np.uint64)
-            steps[0] = 1
-            _powers[key] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (splitmix64's finaliser)."""
     x = x.astype(np.uint64, copy=True)
@@ -45,15 +32,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``most`` bytes of text each."""
-    sizes = np.diff(byte_view(texts)[1])
+def chunks(texts: pa.Array, most: int = CHUNK_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``most`` bytes of text, and of ``rows`` rows at most."""
+    sizes = pc.binary_length(texts).fill_null(0).to_pylist()
     lo = total = 0
     for i, size in enumerate(sizes):
-        if total and total + size > most:
+        if (total and total + size > most) or i - lo >= rows:
             yield lo, i
             lo, total = i, 0
-        total += int(size)
+        total += size
     if lo < len(sizes):
         yield lo, len(sizes)
 
@@ -70,6 +57,40 @@ def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans longer than this are hashed one by one.
+LONG_SPAN = 64
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each place the eight bytes from there on, as one number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span's length and bytes.
+
+    Every eight bytes are mixed into what came before, so spans of up to eight
+    bytes and one length never collide, and no structure of longer ones carries
+    over to their hashes.
+    """
+    size, view = ends - starts, eights(data)
+    h = mix(size.astype(np.uint64))
+    if not len(size):
+        return h
+    at = np.arange(len(size))
+    for k in range(0, min(int(size.max()), LONG_SPAN), 8):
+        if k:
+            at = at[size[at] > k]
+        part = view[starts[at] + k] & _MASKS[np.minimum(size[at] - k, 8)]
+        h[at] = mix(h[at] ^ part)
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        h[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 class Words:
     """Where the words of a chunk lie: byte starts and ends, and each word's row."""
 
@@ -91,10 +112,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        up, down = _power_table(len(self.bytes))
-        sums = np.zeros(len(self.bytes) + 1, np.uint64)
-        np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * up[: len(self.bytes)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] ^ (self.ends - self.starts).astype(np.uint64))
+        return span_hashes(self.bytes, self.starts, self.ends)
 
 
 _SEQUENCE = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -120,8 +138,8 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
             s = np.sort(rolled[lo : lo + n - width + 1])
             sets.append(s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) > 1 else s)
         elif n:
-            short = (h[lo : lo + n] * _SEQUENCE[:n]).sum(dtype=np.uint64) + _SEQUENCE[32 + n]
-            sets.append(mix(np.array([short], np.uint64)))
+            terms = np.append(h[lo : lo + n] * _SEQUENCE[:n], _SEQUENCE[32 + n])
+            sets.append(mix(terms.sum(dtype=np.uint64, keepdims=True)))
         else:
             sets.append(np.zeros(0, np.uint64))
     return sets

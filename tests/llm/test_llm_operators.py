@@ -9,10 +9,11 @@ from fractions import Fraction
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylight.llm import classifier, exact_topk, graph, lm_scoring, mixing, ngram_join, packing, quality_rules, token_counts, url_filters
+from quarrylight.llm import classifier, exact_topk, graph, lm_scoring, mixing, ngram_join, packing, quality_rules, skew, textops, token_counts, url_filters
 
 tokenizers = pytest.importorskip("tokenizers")
 P = pytest.importorskip("public_tokenizers")
@@ -100,6 +101,37 @@ def test_ngram_join_empty_and_repeated(spark):
     assert got == Counter({(5, 2, 5): 2, (None, 2, 5): 1, (2, 2, 2): 1, (2, 1, 2): 1, (9, 2, 2): 1})
 
 
+def test_words_without_structure_in_their_hashes(spark):
+    """Sequences that polynomial hashes modulo a power of two can't tell apart, and words of every length."""
+    thue = lambda a, b: "".join(b if i.bit_count() % 2 else a for i in range(1024))
+    texts = [thue("a", "b"), thue("b", "a"), thue("ab ", "cd "), thue("cd ", "ab "), "x" * 64, "x" * 65, "x" * 66, *("y" * n for n in range(1, 20))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(frame(spark, texts)).collect()}
+    assert got == brute_components(texts)
+    words = textops.Words(pa.array([" ".join(f"{i:x}".rjust(n, "0") for n in (1, 8, 9, 16, 63, 64, 65, 200) for i in range(500))]))
+    text = [bytes(words.bytes[a:b]) for a, b in zip(words.starts, words.ends, strict=True)]
+    assert len(set(words.hashes().tolist())) == len(set(text))
+
+
+def test_ngram_join_without_ids(spark):
+    """Rows without id, or of one id, are joined by their texts: no pair of them is made for its id."""
+    pairs = [f"{' '.join(f'p{i}w{k}' for k in range(60))}{end}" for i in range(150) for end in ("", " more")]
+    for key in (None, 4):
+        df = spark.createDataFrame([(key, t) for t in pairs] + [(key, pairs[0])] * 40, "doc_id long, text string").repartition(3)
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_join(df).collect())
+        assert got == Counter({(key, 58, key): 190, (key, 59, key): 150})
+
+
+def test_hot_join_equals_a_join(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SMALL", 3)
+    monkeypatch.setattr(skew, "PARTS", 5)
+    rows = [(i, "a" if i % 3 else f"k{i % 17}") for i in range(300)] + [(1000, "none")]
+    df = spark.createDataFrame(rows, "i long, k string")
+    table = df.filter("i < 1000").groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("least"))
+    for how in ("left", "inner"):
+        got = skew.hot_join(df, table, ["k"], "n", 300, F.col("i"), how)
+        assert Counter(map(tuple, got.select("i", "k", "n", "least").collect())) == Counter(map(tuple, df.join(table, "k", how).select("i", "k", "n", "least").collect()))
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102)], "a long, b long")
     got = {r.node: r.root for r in graph.components(links).collect()}
