@@ -156,7 +156,7 @@ def examples(maker: Maker, n: int):
         blocks += own
         first.append(len(blocks))
     first = np.array(first)
-    return html_text.vectors(blocks, first), first, np.array(marks, np.float32)
+    return html_text.vectors(blocks, html_text.shares(first)), first, np.array(marks, np.float32)
 
 
 def _steps(x: np.ndarray, wh: np.ndarray):
