@@ -1,18 +1,22 @@
 """Exact top-k inner products by the threshold algorithm.
 
-Candidates are dealt to blocks of bounded size, queries to blocks of their own,
-and every pair of blocks is one task's group.  A candidate block sorts its ids
-once per dimension.  For a query the lists are read from the end that its sign
-prefers, a batch of ranks at a time; every id seen is scored in full, and
-reading stops when the kth best score beats the bound, the inner product of the
-query with the values last read.  The blocks' winners are then ranked.
+Candidates are dealt to blocks of bounded size, and so are queries.  A candidate
+block sorts its rows once per dimension and then answers a block of queries.
+For a query the lists are read from the end that its sign prefers, a batch of
+ranks at a time; every row seen is scored in full, and reading stops when the
+kth best score beats the bound, the inner product of the query with the values
+last read.  Every query first meets one candidate block; its kth best score
+there is a floor that the other blocks' bounds are held against as well.  The
+blocks' winners are then ranked.
 
 Defined results for odd input: vectors that are null, or hold a null or a
 non-finite component, and rows without id take no part; shorter vectors count
-as padded with zeros; rows with the query's id are its own; repeated rows are
-candidates each, and a repeated query is answered once, for its smallest
-vector; scores out of the range
-of a long take its nearest end; empty tables give an empty result.
+as padded with zeros, and vectors of any length are read whole; every query row
+is answered by itself and leaves out itself alone, so rows that repeat its id
+are candidates and an id on two query rows has two answers; ties go to the
+smaller id; scores out of the range of a long take its nearest end; empty
+tables give an empty result; only the id and vector columns, and what the
+choice of queries names, are read.
 """
 
 from __future__ import annotations
@@ -22,7 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CANDIDATES, QUERIES = 8192, 512
+from quarrylight.llm.graph import checkpoint, sized
+
+CANDIDATES, QUERIES = 32768, 8192
+#: Fewer candidates than this aren't split further to keep more tasks busy.
+FEW = 2048
 FIRST_RANKS = 32
 
 
@@ -47,17 +55,18 @@ def scaled(vectors: pa.ChunkedArray, scale: int, dims: int) -> np.ndarray:
 
 
 class Lists:
-    """A block's vectors with its ids sorted by each dimension."""
+    """A block's vectors with its rows sorted by each dimension."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
+        self.rows, self.ids, self.vectors = rows, ids, vectors
+        self.largest = float(np.abs(vectors).max(initial=0))
         self.order = np.argsort(vectors, axis=0, kind="stable")
 
-    def top(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id), ties to the smaller id, without the id ``own``."""
+    def top(self, query: np.ndarray, own: int, k: int, floor: int | None = None) -> list[tuple[int, int]]:
+        """The k best (score, id), ties to the smaller id, without the row ``own``; those below ``floor`` may lack."""
         n = len(self.ids)
         dims = np.flatnonzero(query != 0)
-        exact = float(np.abs(self.vectors).max(initial=0)) * float(np.abs(query).max(initial=0)) * max(len(query), 1) < 2**53
+        exact = self.largest * float(np.abs(query).max(initial=0)) * max(len(query), 1) < 2**53
         seen = np.zeros(n, bool)
         best: list[tuple[int, int]] = []
         down = query[dims] > 0
@@ -74,17 +83,17 @@ class Lists:
                 new = np.flatnonzero(~seen)
             seen[new] = True
             scores = self.scores(new, query, exact)
-            ids = self.ids[new]
-            keep = ids != own
-            scores, ids = scores[keep], ids[keep]
+            keep = self.rows[new] != own
+            scores, ids = scores[keep], self.ids[new][keep]
             if len(scores) > k and exact:
-                floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-                scores, ids = scores[scores >= floor], ids[scores >= floor]
+                least = np.partition(scores, len(scores) - k)[len(scores) - k]
+                scores, ids = scores[scores >= least], ids[scores >= least]
             best = sorted([*best, *zip(map(_long, scores), map(int, ids), strict=True)], key=lambda x: (-x[0], x[1]))[:k]
-            if hi < n and len(dims) and len(best) == k:
+            if hi < n and len(dims) and (len(best) == k or floor is not None):
                 last = self.vectors[np.where(down, self.order[n - hi, dims], self.order[hi - 1, dims]), dims]
                 bound = last @ query[dims] if exact else sum(int(a) * int(b) for a, b in zip(last, query[dims], strict=True))
-                if best[-1][0] > _long(bound):
+                beaten = max(best[-1][0] if len(best) == k else -(1 << 63), -(1 << 63) if floor is None else floor)
+                if beaten > _long(bound):
                     break
             lo, ranks = hi, ranks * 2
             if hi == n:
@@ -98,18 +107,20 @@ class Lists:
         return np.array([sum(int(a) * b for a, b in zip(v, q, strict=True)) for v in self.vectors[rows]], object)
 
 
+FOUND = "query long, query_id long, vec_id long, score long"
+
+
 def _search(k: int, scale: int):
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        out: dict[str, list] = {"query": [], "query_id": [], "vec_id": [], "score": []}
         if queries.num_rows and rows.num_rows:
-            size = lambda t: max(t["vector"].combine_chunks().value_lengths().to_pylist(), default=0)
-            dims = max(size(queries), size(rows))
-            lists = Lists(rows["id"].to_numpy(), scaled(rows["vector"], scale, dims))
-            for own, query in zip(queries["id"].to_pylist(), scaled(queries["vector"], scale, dims), strict=True):
-                for score, vec in lists.top(query, own, k):
-                    out["query_id"].append(own)
-                    out["vec_id"].append(vec)
-                    out["score"].append(score)
+            size = lambda v: max(v.combine_chunks().value_lengths().to_pylist(), default=0)
+            dims = max(size(queries["vector"]), size(rows["c_vector"]))
+            lists = Lists(rows["c_row"].to_numpy(), rows["c_id"].to_numpy(), scaled(rows["c_vector"], scale, dims))
+            for own, id_, floor, query in zip(queries["row"].to_pylist(), queries["id"].to_pylist(), queries["floor"].to_pylist(), scaled(queries["vector"], scale, dims), strict=True):
+                for score, vec in lists.top(query, own, k, floor):
+                    for name, value in zip(out, (own, id_, vec, score), strict=True):
+                        out[name].append(value)
         return pa.table({n: pa.array(v, pa.int64()) for n, v in out.items()})
 
     return run
@@ -118,13 +129,25 @@ def _search(k: int, scale: int):
 def exact_topk(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """The k best rows for each query row: query_id, rank, vec_id, score."""
     usable_rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("q")).filter(F.col("id").isNotNull() & usable(F.col("vector")))
+    # a row is told from others by its number, which is written down with it
+    usable_rows = checkpoint(usable_rows.withColumn("row", F.monotonically_increasing_id()))
     n, nq = usable_rows.agg(F.count("*"), F.count_if("q")).first()
-    cb, qb = max(1, -(-n // CANDIDATES)), max(1, -(-nq // QUERIES))
-    blocks = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    rows = usable_rows.select("id", "vector", F.pmod(F.monotonically_increasing_id(), F.lit(cb)).cast("int").alias("cb"), blocks(qb).alias("qb"))
-    queries = usable_rows.filter("q").groupBy("id").agg(F.min("vector").alias("vector")).select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(qb)).cast("int").alias("qb"), blocks(cb).alias("cb"))
-    found = queries.groupBy("qb", "cb").cogroup(rows.groupBy("qb", "cb")).applyInArrow(_search(k, scale), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    cb, qb = max(1, -(-n // CANDIDATES), min(sized(vectors.sparkSession), -(-n // FEW))), max(1, -(-nq // QUERIES))
+    dealt = lambda seed, m: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(m)).cast("int")
+    rows = usable_rows.select("row", "id", "vector", dealt(0, cb)).toDF("c_row", "c_id", "c_vector", "c_cb")
+    queries = usable_rows.filter("q").select("row", "id", "vector", dealt(1, qb).alias("qb"), dealt(2, cb).alias("home"))
+    search = _search(k, scale)
+
+    def against(asked: DataFrame, among: DataFrame) -> DataFrame:
+        each = among.withColumn("c_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
+        return asked.groupBy("qb", "cb").cogroup(each.groupBy("c_qb", "c_cb")).applyInArrow(search, FOUND)
+
+    found = checkpoint(against(queries.select("row", "id", "vector", "qb", F.col("home").alias("cb"), F.lit(None).cast("long").alias("floor")), rows))
+    if cb > 1:
+        floors = found.groupBy("query").agg(F.when(F.count("*") == k, F.min("score")).alias("floor")).withColumnRenamed("query", "of")
+        rest = queries.join(floors, F.col("row") == F.col("of"), "left").withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))).filter("cb <> home")
+        found = found.unionByName(against(rest.select("row", "id", "vector", "qb", "cb", "floor"), rows))
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -135,13 +158,13 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+  SELECT q.r AS query, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.r <> q.r
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 """
