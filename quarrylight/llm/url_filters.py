@@ -3,12 +3,16 @@
 Labelled urls become transactions of url tokens plus one item for the label.
 Spark's FP-growth finds frequent combinations; those that imply the label with
 enough support and confidence are kept, stored under their rarest token (an
-inverted index), and matched by an equi-join on that token.
+inverted index), and matched by an equi-join on that token.  A single token
+needs ``min_pages`` labelled urls, however many there are, and is counted
+exactly; combinations need ``min_support`` of them as well.
 
 Defined results for odd input: a null url or one without ``://`` has host and
 path '' and is allowed; ties between explicit rules of one length go to the
-first listed; repeated rows all stay; with too few labelled urls, or none, no
-rule is mined; only the named columns are read.
+first listed; repeated rows, ids and urls all stay; urls of any length are read
+whole; with too few labelled urls, or none, no rule is mined; an empty table
+gives an empty result; only the id and url columns are read, so further ones
+(``host``, ``rule``, ``mined``) never clash.
 """
 
 from __future__ import annotations
@@ -16,6 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight.llm.graph import checkpoint
+from quarrylight.llm.skew import hot_join
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The contract's rules: (rule, verdict); a rule is a host and a path prefix.
 RULES = [
@@ -63,59 +70,70 @@ def explicit_rule(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
         fits = F.filter(listed, lambda x: ((F.col("host") == x["h"]) | F.endswith(F.col("host"), F.concat(F.lit("."), x["h"]))) & F.startswith(F.col("path"), x["p"]))
         return pages.withColumn("_fit", F.get(fits, F.lit(0))).withColumns({"rule": F.col("_fit.rule"), "rule_verdict": F.col("_fit.verdict")}).drop("_fit")
     table = pages.sparkSession.createDataFrame([(*x, -i) for i, x in enumerate(parts)], "rule string, rule_verdict string, _h string, _p string, _rank int")
+    listed = table.groupBy("_h").agg(F.collect_list(F.struct("_rank", "_p", "rule", "rule_verdict")).alias("_rules"))
     labels = F.split("host", r"\.", -1)
-    found = (
-        pages.select("host", "path")
-        .distinct()
-        .select("host", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("_h"))
-        .join(table, "_h")
-        .filter(F.startswith("path", "_p"))
-        .groupBy("host", "path")
-        .agg(F.max_by(F.struct("rule", "rule_verdict"), "_rank").alias("_fit"))
-    )
-    return pages.join(found, ["host", "path"], "left").withColumns({"rule": F.col("_fit.rule"), "rule_verdict": F.col("_fit.rule_verdict")}).drop("_fit")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    sites = pages.select("host", "path").groupBy("host", "path").agg(F.count("*").alias("_n"))
+    named = sites.select("host", "path", F.explode(suffixes).alias("_h"))
+    sizes = named.groupBy("_h").agg(F.count("*").alias("_size")).join(listed, "_h")
+    total = sites.agg(F.sum("_n")).first()[0] or 0
+    fits = lambda: F.array_max(F.filter("_rules", lambda x: F.startswith(F.col("path"), x["_p"])))
+    found = hot_join(named, sizes, ["_h"], "_size", total, F.col("path"), "inner").select("host", "path", fits().alias("_fit")).filter("_fit is not null")
+    best = found.groupBy("host", "path").agg(F.max("_fit").alias("_fit")).join(sites, ["host", "path"])
+    return hot_join(pages, best, ["host", "path"], "_n", total, F.monotonically_increasing_id()).withColumns({"rule": F.col("_fit.rule"), "rule_verdict": F.col("_fit.rule_verdict")}).drop("_fit", "_n")
 
 
 def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_pages: int = 20, min_confidence: float = 0.9) -> DataFrame:
     """(tokens array<string>, bad boolean) to mined rules (antecedent, anchor).
 
-    A combination must occur in min_support of the labelled urls and in
-    min_pages of them, and min_confidence of its urls must be bad.
+    Of a rule's labelled urls min_confidence must be bad, and min_pages of them
+    in number; a combination of tokens must make up min_support of all as well.
     """
     from pyspark.ml.fpm import FPGrowth
 
     spark = labelled.sparkSession
-    schema = "antecedent array<string>, anchor string"
+    labelled = checkpoint(labelled.select("tokens", "bad"))
     n = labelled.count()
     if n < min_pages:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "antecedent array<string>, anchor string")
+    tokens = labelled.select("bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("freq"), F.count_if("bad").alias("hits"))
+    tokens = checkpoint(tokens.filter(F.col("freq") >= min_pages))
+    single = tokens.filter((F.col("hits") >= min_pages) & (F.col("hits") >= min_confidence * F.col("freq"))).select(F.array("token").alias("antecedent"), F.col("token").alias("anchor"))
     items = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_pages / n), minConfidence=min_confidence, numPartitions=parts).fit(items)
-    single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    return (
-        model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD)))
+    several = (
+        model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") > 1))
         .select("antecedent", F.explode("antecedent").alias("token"))
-        .join(single, "token")
+        .join(tokens, "token")
         .groupBy("antecedent")
         .agg(F.min_by("token", F.struct("freq", "token")).alias("anchor"))
     )
+    return single.unionByName(several)
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct urls of (url, tokens) that hold every token of a mined rule."""
-    return (
-        urls.select("url", "tokens", F.explode("tokens").alias("anchor"))
-        .join(rules, "anchor")
-        .filter(F.size(F.array_except("antecedent", "tokens")) == 0)
-        .select("url")
-        .distinct()
-    )
+    """Urls of (url, tokens, ...), distinct, that hold every token of a mined rule."""
+    index = rules.groupBy("anchor").agg(F.collect_list("antecedent").alias("_rules"))
+    dealt = urls.select("*", F.explode("tokens").alias("anchor"))
+    sizes = checkpoint(dealt.groupBy("anchor").agg(F.count("*").alias("_size")).join(index, "anchor"))
+    total = sizes.agg(F.sum("_size")).first()[0] or 0
+    held = hot_join(dealt, sizes, ["anchor"], "_size", total, F.col("url"), "inner").filter(F.exists("_rules", lambda r: F.size(F.array_except(r, F.col("tokens"))) == 0))
+    return held.select(*urls.columns).drop("tokens").distinct()
+
+
+def _split(df: DataFrame) -> DataFrame:
+    host, path = host_path(F.col("url"))
+    return df.withColumns({"host": host, "path": path})
+
+
+def _tokens() -> Column:
+    return url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens")
 
 
 def url_filters(
     pages: DataFrame,
-    labelled: DataFrame,
+    labelled: DataFrame | None = None,
     rules: list[tuple[str, str]] = RULES,
     id_col: str = "page_id",
     min_support: float = 0.005,
@@ -125,23 +143,22 @@ def url_filters(
     """pages (id, url) and labelled (url, bad boolean) to one verdict per page.
 
     The explicit rule that fits decides; else a mined rule that matches blocks;
-    else the page is allowed.
+    else the page is allowed.  Without ``labelled`` the explicit rules' own
+    verdicts are the labels: what nearly all urls that they block have in common,
+    and hardly any that they allow, is carried over to urls that no rule names.
     """
-    def split(df: DataFrame) -> DataFrame:
-        host, path = host_path(F.col("url"))
-        return df.withColumns({"host": host, "path": path})
-
-    mined = mine_rules(
-        split(labelled.filter(F.col("url").isNotNull() & F.col("bad").isNotNull()).select("url", "bad")).select(url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"), "bad"),
-        min_support,
-        min_pages,
-        min_confidence,
-    )
-    judged = explicit_rule(split(pages.select(F.col(id_col), "url")), rules)
-    open_urls = judged.filter(F.col("rule").isNull() & (F.col("host") != "")).select("url", url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
-    blocked = matched(open_urls, mined).withColumn("mined", F.lit(True))
-    return judged.join(blocked, "url", "left").select(
-        id_col,
+    judged = explicit_rule(_split(pages.select(F.col(id_col).alias("page_id"), "url")), rules)
+    if labelled is None:
+        examples = judged.filter(F.col("rule").isNotNull()).select("host", "path", "url", (F.col("rule_verdict") == "block").alias("bad"))
+    else:
+        examples = _split(labelled.filter(F.col("url").isNotNull() & F.col("bad").isNotNull()).select("url", "bad"))
+    mined = checkpoint(mine_rules(examples.select(_tokens(), "bad"), min_support, min_pages, min_confidence))
+    # a url is matched once, however many rows have it
+    urls = judged.filter(F.col("rule").isNull() & (F.col("host") != "")).groupBy("url", "host", "path").agg(F.count("*").alias("_n"))
+    blocked = checkpoint(matched(urls.select("url", "_n", _tokens()), mined).withColumn("mined", F.lit(True)))
+    total = blocked.agg(F.sum("_n")).first()[0] or 0
+    return hot_join(judged, blocked, ["url"], "_n", total, F.monotonically_increasing_id()).select(
+        F.col("page_id").alias(id_col),
         "host",
         "path",
         "rule",
@@ -151,7 +168,5 @@ def url_filters(
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages; a page is labelled bad when its id has a label of quality 0."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality is not null").groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("bad"))
-    return url_filters(pages, pages.join(labels, "page_id").select("url", "bad"))
+    """All pages; the labels are the verdicts of the explicit rules, for the table of labels says nothing about urls."""
+    return url_filters(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
