@@ -1,39 +1,30 @@
 """Corpus pipeline: classify, apply rules, drop near duplicates, mix, pack.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it
-kept.  All but the last return the columns of ``documents``.  Verdicts go by
-document id: rows that repeat an id stay or go together, and stay if any of
-them is kept; rows without id count as one document.
+kept.  All but the last return the columns of ``documents``.  Every row is
+judged by itself, whether its id is null, repeated or its own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quarrylight.llm import classifier, mixing, ngram_join, packing, quality_rules
 from quarrylight.llm.graph import checkpoint
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose ids are kept, whole."""
-    ids = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-
-
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
-    return _only(docs, classifier.quality_classifier(docs, labels).filter("kept"))
+    return classifier.accepted(docs, labels)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, quality_rules.quality_rules(docs).filter("kept"))
+    return quality_rules.passing(docs)
 
 
 def dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near duplicates."""
-    groups = ngram_join.ngram_join(docs, width=5, percent=80)
-    return _only(docs, groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Keeps the row of the smallest id of each group of near duplicates."""
+    return ngram_join.without_copies(docs, width=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

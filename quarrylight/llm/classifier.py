@@ -2,8 +2,8 @@
 
 A document's own evidence is a logistic classifier over hashed words, word
 beginnings and binned style measures, with one head for quality and one for
-toxicity.  It is fitted on at most about SAMPLE labelled documents, chosen by
-the hash of their id; that bound is the only sample taken.  Every document is
+toxicity.  It is fitted on at most about SAMPLE labelled documents of SAMPLE_BYTES,
+chosen by hash, one row an id; that bound is the only sample taken.  Every document is
 then scored, the evidence is summed per host and per path of a host, the host
 posterior shrinks towards all documents and the path posterior towards its
 host, and the path posterior shifts the document's log-odds.
@@ -12,7 +12,8 @@ Defined results for odd input: a null or empty text has the prior's evidence
 and is rejected (it holds no words); null hosts and paths are ''; labels that
 are null, or of ids that the table lacks, are left out, and an id with several
 labels counts as bad if one is; without both good and bad labels a head gives
-even odds and rejects nothing; repeated rows are judged each; an empty table
+even odds and rejects nothing; repeated rows and ids are judged each; odds that
+tie with even ones reject nothing; texts of any length are scored whole; an empty table
 gives an empty result; only the named columns are read.
 """
 
@@ -22,14 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylight.llm import textops
+from quarrylight.llm.graph import bounded_batches, checkpoint
 from quarrylight.llm.skew import hot_join
 
 BITS = 18
 SAMPLE = 8_000
+#: Bytes of packed features that the fit takes at most; labelled documents beyond, in order of their hash, are left out of it.
+SAMPLE_BYTES = 96 << 20
 #: Pseudo-documents by which a host shrinks towards all and a path towards its host.
 PRIOR = 50.0
 #: How far a site's log-odds shift a document's own.
@@ -159,7 +163,7 @@ def _heads(rows: pa.Table) -> list[np.ndarray]:
 
 
 def _score(heads: list[np.ndarray]):
-    """(id, host, path, text) to (id, host, path, n_words, log-odds of each head in millionths)."""
+    """(id, host, path, text), the id being one column or a whole row, to (id, host, path, n_words, log-odds of each head in millionths)."""
     tables = [h.astype(np.float32) for h in heads]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +191,7 @@ def site_shifts(scored: DataFrame) -> tuple[DataFrame, int]:
     """
     chance = lambda c: F.round(1e6 / (1 + F.exp(-F.col(c) / 1e6))).cast("long")
     paths = scored.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum(chance("_good")).alias("good"), F.sum(chance("_toxic")).alias("toxic"))
+    paths = checkpoint(paths)
     hosts = paths.groupBy("_host").agg(F.sum("n").alias("hn"), F.sum("good").alias("hgood"), F.sum("toxic").alias("htoxic"))
     every = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("toxic").alias("toxic")).first()
     joined = paths.join(hosts, "_host")
@@ -199,6 +204,39 @@ def site_shifts(scored: DataFrame) -> tuple[DataFrame, int]:
     return joined.select("_host", "_path", "n", *out), every["n"] or 0
 
 
+def _sources(docs: DataFrame, what: Column, text_col: str, host_col: str, path_col: str) -> DataFrame:
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return docs.select(what.alias("_id"), part(host_col).alias("_host"), part(path_col).alias("_path"), F.col(text_col).cast("string").alias("_text"))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> list[np.ndarray]:
+    """The weights of both heads.  labels holds (id, quality 0/1, toxic 0/1)."""
+    usable = labels.select(F.col(id_col).alias("_id"), "quality", "toxic").dropna().groupBy("_id").agg(F.min("quality").alias("good"), F.max("toxic").alias("toxic"))
+    n, wide = usable.count(), 1 << 50
+    few = usable if n <= sample else usable.filter(F.pmod(F.xxhash64("_id"), F.lit(wide)) < int(sample / n * wide))
+    # of rows that share an id the least text counts, so an id is one example however many rows it has
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).dropna().join(few, "_id")
+    texts = texts.groupBy("_id", "good", "toxic").agg(F.min("_text").alias("_text")).select(F.xxhash64("_id", "_text").alias("key"), "good", "toxic", "_text")
+    held = texts.mapInArrow(_sample_features, "key long, good int, toxic int, features binary")
+    # the sample is at most about ``sample`` rows, so one task may add up its bytes
+    bounded = held.withColumn("_sum", F.sum(F.octet_length("features")).over(Window.orderBy("key", "good", "toxic"))).filter(F.col("_sum") <= sample_bytes).drop("_sum")
+    return _heads(bounded.toArrow().sort_by("key"))
+
+
+def _scored(source: DataFrame, heads: list[np.ndarray]) -> DataFrame:
+    kind = source.schema["_id"].dataType.simpleString()
+    return source.mapInArrow(_score(heads), f"_id {kind}, _host string, _path string, _words long, _good long, _toxic long")
+
+
+def _judged(scored: DataFrame, sites: tuple[DataFrame, int]) -> DataFrame:
+    """Adds the posterior chances of both heads and ``kept``."""
+    shifts, total = sites
+    judged = hot_join(scored, shifts, ["_host", "_path"], "n", total, F.monotonically_increasing_id())
+    odds = lambda h: F.col(f"_{h}") / 1e6 + F.col(f"_{h}_shift")
+    chance = lambda h: F.round(1 / (1 + F.exp(-odds(h))), 6)
+    return judged.withColumns({"quality": chance("good"), "toxicity": chance("toxic"), "kept": (F.col("_words") > 0) & (odds("good") >= -EVEN) & (odds("toxic") <= EVEN)})
+
+
 def quality_classifier(
     docs: DataFrame,
     labels: DataFrame,
@@ -208,30 +246,25 @@ def quality_classifier(
     path_col: str = "lang",
     sample: int = SAMPLE,
 ) -> DataFrame:
-    """Per document: posterior chances of quality and of toxicity, and ``kept``.
+    """Per document: posterior chances of quality and of toxicity, and ``kept``."""
+    bounded_batches(docs.sparkSession)
+    heads = train(docs, labels, id_col, text_col, sample)
+    # a few numbers a document, read twice: for the sites' sums and for the verdicts
+    scored = checkpoint(_scored(_sources(docs, F.col(id_col), text_col, host_col, path_col), heads))
+    return _judged(scored, site_shifts(scored)).select(F.col("_id").alias(id_col), F.col("_words").alias("n_words"), "quality", "toxicity", "kept")
+
 
-    labels holds (id, quality 0/1, toxic 0/1).
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
+    """The documents, whole, that the classifier keeps, each row by its own verdict.
+
+    Rows are scored twice, for the sites' sums and with the row at hand, so that
+    no text is shuffled to meet its verdict.
     """
-    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    source = docs.select(F.col(id_col).alias("_id"), part(host_col).alias("_host"), part(path_col).alias("_path"), F.col(text_col).cast("string").alias("_text"))
-    kind = source.schema["_id"].dataType.simpleString()
-    usable = labels.select(F.col(id_col).alias("_id"), "quality", "toxic").dropna().groupBy("_id").agg(F.min("quality").alias("good"), F.max("toxic").alias("toxic"))
-    n = usable.count()
-    few = usable if n <= sample else usable.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
-    texts = source.select("_id", "_text").dropna().join(few, "_id").select(F.xxhash64("_id", "_text").alias("key"), "good", "toxic", "_text")
-    heads = _heads(texts.mapInArrow(_sample_features, "key long, good int, toxic int, features binary").toArrow().sort_by("key"))
-    scored = source.mapInArrow(_score(heads), f"_id {kind}, _host string, _path string, _words long, _good long, _toxic long").persist()
-    shifts, total = site_shifts(scored)
-    judged = hot_join(scored, shifts, ["_host", "_path"], "n", total, F.monotonically_increasing_id())
-    odds = lambda h: F.col(f"_{h}") / 1e6 + F.col(f"_{h}_shift")
-    chance = lambda h: F.round(1 / (1 + F.exp(-odds(h))), 6)
-    return judged.select(
-        F.col("_id").alias(id_col),
-        F.col("_words").alias("n_words"),
-        chance("good").alias("quality"),
-        chance("toxic").alias("toxicity"),
-        ((F.col("_words") > 0) & (odds("good") >= -EVEN) & (odds("toxic") <= EVEN)).alias("kept"),
-    )
+    bounded_batches(docs.sparkSession)
+    heads = train(docs, labels, id_col, text_col, sample)
+    shifts, total = site_shifts(_scored(_sources(docs, F.lit(0), text_col, host_col, path_col), heads))
+    whole = _sources(docs, F.struct(*docs.columns), text_col, host_col, path_col)
+    return _judged(_scored(whole, heads), (checkpoint(shifts), total)).filter("kept").select("_id.*")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

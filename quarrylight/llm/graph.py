@@ -9,6 +9,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
+
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts lineage with files in the folder that ``spark.checkpoint.dir`` names.
@@ -23,8 +26,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    out = df.checkpoint()
-    del df
+    held = df.persist()  # the checkpoint is a job of its own, which would compute everything again
+    out = held.checkpoint()
+    held.unpersist(True)
+    del df, held
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return out
@@ -65,6 +70,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches end at BATCH_BYTES, unless the session has a bound of its own.
+
+    A worker holds a batch of texts several times over while it works on it, and
+    the JVM holds it beside its heap.
+    """
+    key, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def sized(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -136,11 +136,12 @@ def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, id_col
 def interleave(docs: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The documents, whole, in the order of the mix: each partition is a run of slots.
 
-    Rows that share an id, which the mix counts once, lie together.
+    Rows that agree in every column, which the mix counts once, lie together.
     """
-    once = docs.select(id_col, source_col).groupBy(id_col).agg(F.min(source_col).alias(source_col))
-    order = mix_sources(once, targets, id_col, source_col).select(F.col(id_col).alias("__mix_id"), F.col("slot").alias("__mix_slot"), F.col("place").alias("__mix_place"))
-    joined = docs.join(order, F.col(id_col).eqNullSafe(F.col("__mix_id")))
+    key = F.xxhash64(*docs.columns).alias("__mix_key")
+    once = docs.select(key, F.col(source_col)).groupBy("__mix_key").agg(F.min(source_col).alias(source_col))
+    order = mix_sources(once, targets, "__mix_key", source_col).select("__mix_key", F.col("slot").alias("__mix_slot"), F.col("place").alias("__mix_place"))
+    joined = docs.select("*", key).join(order, "__mix_key")
     return joined.repartitionByRange("__mix_slot", "__mix_place").sortWithinPartitions("__mix_slot", "__mix_place").select(*docs.columns)
 
 

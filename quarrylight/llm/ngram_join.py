@@ -16,7 +16,7 @@ Sets are 64-bit hashes of shingles, and a class is a 64-bit hash of its set: of
 different ones, about n**2 / 2**65 pairs are taken for equal.  Defined results for odd input: a null or wordless text has an empty
 set, links with nothing and is its own component; repeated rows and ids all
 stay, and rows of equal sets are linked; a row whose id is null takes the
-smallest id of its class, if any; an empty table gives an empty result; only
+smallest id of its group, if any; very long texts are read whole; an empty table gives an empty result; only
 the named columns are read.
 """
 
@@ -30,13 +30,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm import textops
-from quarrylight.llm.graph import checkpoint, components
+from quarrylight.llm.graph import bounded_batches, checkpoint, components
 from quarrylight.llm.skew import hot_join
 
+WORD_CHAR = r"[^\x20\x09-\x0D]"
 COMMON = 64
 COST = 64
 #: Members of a group of near copies that are compared at once.
-OUTSIDERS, MEMBERS = 512, 4096
+OUTSIDERS, MEMBERS = 512, 1024
 
 
 def _least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -352,44 +353,80 @@ def _far_links(placed: DataFrame, prefix: DataFrame, texts: DataFrame, width: in
     return _linked(verify(pairs, texts, width), percent)
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
-    """One row per document: its id, set size (``n_shingles``) and ``component_id``.
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, key): the key is a hash of both, so only rows that repeat an id with its text share one."""
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return source.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
 
-    The lengthened prefixes are long enough for thresholds from 80 percent.
+
+def _classes(source: DataFrame, width: int, percent: int) -> tuple[DataFrame, int]:
+    """(cls, rows, least_id, key, component_id, component_key) per class, and the number of rows with words.
+
+    ``key`` is that of the class's row of the smallest id, null ids last.
     """
     if not 80 <= percent <= 100:
         raise ValueError("percent must be within 80 to 100")
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    source = source.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    bounded_batches(source.sparkSession)
     kind = source.schema["doc_id"].dataType.simpleString()
-    rows = source.select("doc_id", "text").mapInArrow(_signatures(width, percent, False), f"doc_id {kind}, n long, cls long")
     signed = source.mapInArrow(_signatures(width, percent, True), f"doc_id {kind}, n long, cls long, head binary, key long")
     # copies meet in their class before any shingle is dealt out; one row's key stands for the class's text
-    copies = signed.filter("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("key", "head")).alias("m"), F.count("*").alias("rows"))
-    classes = checkpoint(copies.select("cls", "n", "least_id", "rows", "m.key", "m.head"))
-    n_rows, n_heads = classes.agg(F.sum("rows"), F.sum(F.octet_length("head"))).first()
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key", "head")).alias("m")
+    copies = signed.filter("n > 0").groupBy("cls", "n").agg(first, F.count("*").alias("rows"))
+    classes = checkpoint(copies.select("cls", "n", "rows", F.col("m.doc_id").alias("least_id"), "m.key", "m.head"))
+    n_rows, n_heads = (x or 0 for x in classes.agg(F.sum("rows"), F.sum(F.octet_length("head"))).first())
     raw = classes.select("cls", "head").mapInArrow(_unpack, "token long, cls long, pos int")
     shared = raw.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    posts = checkpoint(hot_join(raw, shared, ["token"], "df", (n_heads or 0) // 8, F.col("cls"), "inner"))
+    posts = checkpoint(hot_join(raw, shared, ["token"], "df", n_heads // 8, F.col("cls"), "inner"))
     plan = checkpoint(_plan(posts, classes, percent))
     pairs = checkpoint(_sparse_pairs(posts, plan, percent))
     dense = plan.filter(~F.col("free")).select("cls", "n")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(dense.select("cls")).distinct()
     reps = classes.join(needed, "cls", "left_semi").select("key", "cls", "rows")
-    found = hot_join(source.select("key", "text"), reps, ["key"], "rows", n_rows or 0, F.monotonically_increasing_id(), "inner")
+    found = hot_join(source.select("key", "text"), reps, ["key"], "rows", n_rows, F.monotonically_increasing_id(), "inner")
     texts = checkpoint(found.select("cls", "text").mapInArrow(_of_class(width), "cls long, text string").groupBy("cls").agg(F.first("text").alias("text")))
     links = checkpoint(_linked(verify(pairs, texts, width), percent))
     if not dense.isEmpty():
         links = links.unionByName(_among_dense(dense, texts, width, percent))
-    roots = components(links)
-    ids = roots.join(classes.select(F.col("cls").alias("node"), "least_id"), "node")
-    least = ids.groupBy("root").agg(F.min("least_id").alias("least"))
-    merged = ids.join(least, "root").select(F.col("node").alias("cls"), "least")
-    known = checkpoint(classes.select("cls", "least_id", "rows").join(merged, "cls", "left").select("cls", "rows", F.coalesce("least", "least_id").alias("component_id")))
-    named = hot_join(rows, known, ["cls"], "rows", n_rows or 0, F.monotonically_increasing_id())
+    ids = components(links).withColumnRenamed("node", "cls").join(classes.select("cls", "least_id", "key"), "cls")
+    least = ids.groupBy("root").agg(F.min(F.struct(F.isnull("least_id").alias("none"), "least_id", "key")).alias("m"))
+    merged = ids.join(least, "root").select("cls", F.col("m.least_id").alias("least"), F.col("m.key").alias("first_key"))
+    # a table of its own, so that what reads it reads it once
+    known = classes.select("cls", "rows", "least_id", "key").join(merged, "cls", "left")
+    return checkpoint(known.select("cls", "rows", "least_id", "key", F.coalesce("least", "least_id").alias("component_id"), F.coalesce("first_key", "key").alias("component_key"))), n_rows
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
+    """One row per document: its id, set size (``n_shingles``) and ``component_id``.
+
+    The lengthened prefixes are long enough for thresholds from 80 percent.
+    """
+    source = _rows(docs, id_col, text_col)
+    known, n_rows = _classes(source, width, percent)
+    kind = source.schema["doc_id"].dataType.simpleString()
+    rows = source.select("doc_id", "text").mapInArrow(_signatures(width, percent, False), f"doc_id {kind}, n long, cls long")
+    named = hot_join(rows, known.select("cls", "rows", "component_id"), ["cls"], "rows", n_rows, F.monotonically_increasing_id())
     return named.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, whole, with one row of each group of near duplicates: that of the smallest id, null ids last.
+
+    Of rows that repeat an id with its text one stays.  Rows without words, which
+    are nobody's duplicates, all stay.
+    """
+    key = F.xxhash64(id_col, F.col(text_col).cast("string")).alias("__key")
+    source = _rows(docs, id_col, text_col)
+    known, _ = _classes(source, width, percent)
+    keyed = docs.select("*", key)
+    wordless = ~F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(WORD_CHAR)
+    kept = known.filter("key = component_key").select(F.col("key").alias("__key"))
+    often = checkpoint(source.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("__key")).join(kept, "__key", "left_semi"))
+    once = keyed.join(kept.withColumn("__kept", F.lit(True)), "__key", "left").filter(F.col("__kept") | wordless).drop("__kept")
+    if not often.isEmpty():
+        once = once.join(often, "__key", "left_anti").unionByName(keyed.join(often, "__key", "left_semi").dropDuplicates(["__key"]))
+    return once.drop("__key")
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 

@@ -6,8 +6,9 @@ fitted to all domains, and the domain verdicts are joined back.
 
 Defined results for odd input: a null text counts as empty (0 words, fails the
 base rule); a null domain is the domain ''; repeated rows are judged one by one
-and all stay; an empty table gives an empty result; only the named id, text and
-domain columns are read, so further columns never clash.
+and all stay; an empty table gives an empty result; texts of any length are
+measured whole; ties of words and lines are by their bytes; only the named id,
+text and domain columns are read, so further columns never clash.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight.llm.graph import checkpoint
 from quarrylight.llm.skew import hot_join
 
 #: Characters that separate words: space and U+0009 to U+000D.
@@ -37,12 +39,12 @@ def _without(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "source") -> DataFrame:
-    """Per document: id, domain and the counts the rules need."""
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "source", whole: bool = False) -> DataFrame:
+    """Per document: id (or, as ``_id``, the whole row), domain and the counts the rules need."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     trimmed = F.btrim(text, F.lit(SPACES))
     base = docs.select(
-        F.col(id_col).alias("_id"),
+        (F.struct(*docs.columns) if whole else F.col(id_col)).alias("_id"),
         F.coalesce(F.col(domain_col).cast("string"), F.lit("")).alias("_domain"),
         F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN, -1)).alias("_words"),
         F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD_CHAR)).alias("_lines"),
@@ -91,18 +93,26 @@ def _covered(windows: Column) -> Column:
     )
 
 
-def judge(measured: DataFrame) -> DataFrame:
-    """Adds base_failed, rule_failed, host_failed and kept to :func:`measures`."""
+def rule_failed(measured: DataFrame) -> DataFrame:
+    """Adds base_failed and rule_failed to :func:`measures`."""
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    rule_failed = (
+    failed = (
         base_failed
         | (SYMBOLS_PER_WORD[1] * F.col("n_symbols") > SYMBOLS_PER_WORD[0] * F.col("n_words"))
         | (DUP_LINES_PER_LINE[1] * F.col("n_dup_lines") > DUP_LINES_PER_LINE[0] * F.col("n_lines"))
         | (F.col("word_chars") < MEAN_WORD_CHARS[0] * F.col("n_words"))
         | (F.col("word_chars") > MEAN_WORD_CHARS[1] * F.col("n_words"))
     )
-    flagged = measured.withColumns({"base_failed": base_failed, "rule_failed": rule_failed})
-    hosts = flagged.groupBy("_domain").agg(F.count("*").alias("n"), F.count_if("rule_failed").alias("f"))
+    return measured.withColumns({"base_failed": base_failed, "rule_failed": failed})
+
+
+def domains(flagged: DataFrame) -> DataFrame:
+    """(_domain, n, f): documents and failures of each domain."""
+    return flagged.groupBy("_domain").agg(F.count("*").alias("n"), F.count_if("rule_failed").alias("f"))
+
+
+def judge(flagged: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Adds host_failed and kept to the rows, by the rates of their domains."""
     verdicts, total = host_verdicts(hosts)
     return hot_join(flagged, verdicts, ["_domain"], "n", total, F.monotonically_increasing_id()).withColumn("kept", ~F.col("rule_failed") & ~F.col("host_failed"))
 
@@ -125,9 +135,9 @@ def host_verdicts(hosts: DataFrame) -> tuple[DataFrame, int]:
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "source") -> DataFrame:
     """One row per document with its measures and verdicts."""
-    # read twice (domain totals, then the join), computed once; lost blocks are recomputed
-    measured = measures(docs, id_col, text_col, domain_col).persist()
-    return judge(measured).select(
+    # a few numbers a document, read twice: for the domains' totals and for the verdicts
+    flagged = checkpoint(rule_failed(measures(docs, id_col, text_col, domain_col)))
+    return judge(flagged, domains(flagged)).select(
         F.col("_id").alias(id_col),
         "n_words",
         "word_chars",
@@ -141,6 +151,16 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
+def passing(docs: DataFrame, text_col: str = "text", domain_col: str = "source") -> DataFrame:
+    """The documents, whole, that the rules keep, each row by its own verdict.
+
+    Rows are measured twice, for the domains' totals and with the row at hand, so
+    that no text is shuffled to meet its verdict.
+    """
+    hosts = checkpoint(domains(rule_failed(measures(docs, text_col, text_col, domain_col))))
+    return judge(rule_failed(measures(docs, text_col, text_col, domain_col, whole=True)), hosts).filter("kept").select("_id.*")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
 

@@ -223,6 +223,22 @@ def test_url_rules_are_mined(spark):
     assert brute_rules(spark, labelled) == {tuple(sorted(r.antecedent)) for r in url_filters.mine_rules(split(labelled), 0.005, 20, 0.9).collect()}
 
 
+def test_url_rules_are_mined_from_explicit_verdicts(spark):
+    """Urls that no rule names follow what the named ones have in common; ids, urls and column names repeat."""
+    urls = [f"http://h{i % 9}.{'com' if i % 2 else 'org'}/{'es' if i % 2 == 0 else 'fr'}/{i}" for i in range(200)] + ["http://a.net/es/1", "http://a.net/fr/1", None, None, "http://b.net/es/2", "http://b.net/es/2"]
+    pages = spark.createDataFrame([(i % 50, u, "h", "p", "r", True) for i, u in enumerate(urls)], "page_id long, url string, host string, path string, rule string, mined boolean")
+    rows = url_filters.url_filters(pages, rules=[("org/es/", "block"), ("com/fr/", "allow"), ("org/es/", "allow")]).collect()
+    got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict, r.mined) for r in rows)
+    wanted = Counter()
+    for i, u in enumerate(urls):
+        host, path = host_path(u)
+        rule = "org/es/" if host.endswith("org") else "com/fr/" if host.endswith("com") else None
+        verdict = "block" if path.startswith("/es/") else "allow"
+        wanted[(i % 50, host, path, rule, verdict, rule is None and verdict == "block")] += 1
+    assert got == wanted
+    assert url_filters.url_filters(pages.limit(0)).collect() == []
+
+
 def split(labelled):
     host, path = url_filters.host_path(F.col("url"))
     return labelled.withColumns({"host": host, "path": path}).select(url_filters.url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"), "bad")
@@ -461,7 +477,8 @@ def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=6), 1)]) for i in range(400)]
     rows += [(400, None), (401, [1.0, None]), (402, [float("nan")] * 6), (500, [float("inf")] * 6), (None, [1.0] * 6), (600, [0.0] * 6), (700, []), (800, [2.0, 1.0]), (801, [2.0, 1.0]), (801, [2.0, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows += [(300, [9.0, -1.0]), (300, [9.0, -1.0]), (100, [1.0, 5.0, 2.0])]  # ids of several query rows
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, row int, floor int")
     got = defaultdict(list)
     for r in exact_topk.exact_topk(df, F.col("vec_id") % 100 == 0).collect():
         got[r.query_id].append((r.rank, r.score, r.vec_id))
@@ -475,16 +492,17 @@ def clip(score):
 def brute_topk(rows, k=10):
     fine = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = {}
-    for i, q in fine:
+    for own, (i, q) in enumerate(fine):
         if i % 100 == 0:
-            scored = sorted((-clip(sum(a * b for a, b in zip(q, v, strict=False))), j) for j, v in fine if j != i)[:k]
-            out[i] = [(n, -s, j) for n, (s, j) in enumerate(scored, 1)]
+            scored = sorted((-clip(sum(a * b for a, b in zip(q, v, strict=False))), j) for m, (j, v) in enumerate(fine) if m != own)[:k]
+            out[i] = sorted(out.get(i, []) + [(n, -s, j) for n, (s, j) in enumerate(scored, 1)])
     return out
 
 
 def test_topk_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(exact_topk, "CANDIDATES", 37)
     monkeypatch.setattr(exact_topk, "QUERIES", 2)
+    monkeypatch.setattr(exact_topk, "FEW", 100)
     rng = np.random.default_rng(8)
     rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(0, 900, 2)] + [(1000, [1e300, 1.0, 0.0, 0.0])]
     got = defaultdict(list)
