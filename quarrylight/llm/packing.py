@@ -3,15 +3,19 @@
 Each task packs its own documents, in order, with no shuffle.  What a document
 has beyond full windows is placed into the fill level that leaves the smallest
 sum of squared counts of partly filled windows per level (a fresh window is
-level 0); the counts are one array over levels.  When a task ends, or more than
-``max_open`` windows are open, the contents of the open windows are laid end to
-end and cut into full windows; the last rest is cut into windows of power-of-two
-lengths, which need no padding.  So every window is full or a power of two.
+level 0); the counts are one array over levels.  Every document is placed so.
+
+Memory is bounded by ``max_open`` windows: when one more is open, the fullest is
+filled up from the emptiest, whose last document is cut if need be.  When a task
+ends, levels that fill each other up are joined first, then the rest the same
+way, and the last window is cut into powers of two, which need no padding.  So
+every window is full or a power of two.
 
 Defined results for odd input: a null or empty text has only the end token;
-repeated rows and ids are packed each; an empty table gives an empty result;
-only the id and text columns are read.  Window numbers hold the task's number,
-so they depend on how the input is split, but not on which executor runs it.
+texts of any length are packed whole; repeated rows and ids are packed each;
+levels that tie go to the fullest; an empty table gives an empty result; only
+the id and text columns are read.  Window numbers hold the task's number, so
+they depend on how the input is split, but not on which executor runs it.
 """
 
 from __future__ import annotations
@@ -27,10 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight.llm.graph import bounded_batches
 from quarrylight.llm.token_counts import LETTERS, NUMBERS, PLAIN
 
-MAX_OPEN = 1024
-CACHED = 600_000
+MAX_OPEN = 4096
+#: Words whose ids a worker keeps.
+CACHED = 150_000
 
 
 class WordEnd(dict):
@@ -99,30 +105,58 @@ class Packer:
         self.open: dict[int, list[list]] = {}
         self.n_open = 0
         self.done: list[list] = []
+        #: Tokens of windows that placement alone filled, and of all.
+        self.placed = self.total = 0
+
+    def _take(self, level: int) -> list:
+        pieces = self.open[level].pop()
+        self.counts[level] -= 1
+        self.n_open -= 1
+        if not self.open[level]:
+            del self.open[level]
+        return pieces
+
+    def _put(self, level: int, pieces: list) -> None:
+        if level == self.window:
+            self.done.append(pieces)
+        elif level:
+            self.open.setdefault(level, []).append(pieces)
+            self.counts[level] += 1
+            self.n_open += 1
 
     def place(self, row, ids: bytes) -> None:
         size, full = len(ids) // 4, self.window
-        start = 0
-        while size - start >= full:
-            self.done.append([(row, start, ids[4 * start : 4 * (start + full)])])
-            start += full
-        rest = size - start
-        if not rest:
-            return
-        level = self._level(rest)
-        pieces = self.open[level].pop() if level else []
-        if level:
-            self.counts[level] -= 1
-            self.n_open -= 1
-        pieces.append((row, start, ids[4 * start :]))
-        if level + rest == full:
-            self.done.append(pieces)
-        else:
-            self.open.setdefault(level + rest, []).append(pieces)
-            self.counts[level + rest] += 1
-            self.n_open += 1
+        self.total += size
+        start = size - size % full
+        for at in range(0, start, full):
+            self.done.append([(row, at, ids[4 * at : 4 * (at + full)])])
+        self.placed += start
+        if rest := size - start:
+            level = self._level(rest)
+            pieces = self._take(level) if level else []
+            pieces.append((row, start, ids[4 * start :]))
+            self._put(level + rest, pieces)
+            self.placed += full * (level + rest == full)
             if self.n_open > self.max_open:
-                self.drain(False)
+                self._fill_one()
+
+    def _fill_one(self) -> None:
+        """Fills the fullest open window up from the emptiest."""
+        high = max(self.open)
+        pieces = self._take(high)
+        room = self.window - high
+        while room and self.n_open:
+            level = min(self.open)
+            source = self._take(level)
+            while room and source:
+                row, start, ids = source.pop()
+                n = min(room, len(ids) // 4)
+                pieces.append((row, start, ids[: 4 * n]))
+                if 4 * n < len(ids):
+                    source.append((row, start + n, ids[4 * n :]))
+                room, level = room - n, level - n
+            self._put(level, source)
+        self._put(self.window - room, pieces)
 
     def _level(self, size: int) -> int:
         """The level whose choice adds least to the sum of squared counts; the fuller one on a tie."""
@@ -137,29 +171,31 @@ class Packer:
             return top - int(np.argmin(change[::-1]))
         return 0
 
-    def drain(self, last: bool) -> None:
-        """Cuts what the open windows hold into full windows; the rest stays open or, at last, becomes powers of two."""
-        pieces = [p for level in sorted(self.open, reverse=True) for w in self.open[level] for p in w]
-        self.open, self.n_open = {}, 0
-        self.counts[:] = 0
-        total, room, now = sum(len(p[2]) // 4 for p in pieces), 0, []
-        filled = 0
-        for row, start, ids in pieces:
-            at, n = 0, len(ids) // 4
-            while at < n:
-                if not room:
-                    left = total - filled
-                    room = self.window if left >= self.window or not last else 1 << (left.bit_length() - 1)
-                    now = []
-                take = min(room, n - at)
-                now.append((row, start + at, ids[4 * at : 4 * (at + take)]))
-                at, room, filled = at + take, room - take, filled + take
-                if not room:
-                    self.done.append(now)
-                    now = []
-        if now:
-            level = self.window - room
-            self.open[level], self.counts[level], self.n_open = [now], 1, 1
+    def finish(self) -> None:
+        """Closes all that is open: complementary levels, then the fullest from the emptiest, at last powers of two."""
+        for level in sorted(self.open):
+            other = self.window - level
+            while level < other and level in self.open and other in self.open:
+                self.done.append(self._take(other) + self._take(level))
+                self.placed += self.window
+            while level == other and len(self.open.get(level, ())) > 1:
+                self.done.append(self._take(level) + self._take(level))
+                self.placed += self.window
+        while self.n_open > 1:
+            self._fill_one()
+        for level in list(self.open):
+            pieces, left = self._take(level)[::-1], level
+            while left:
+                room, now = 1 << (left.bit_length() - 1), []
+                left -= room
+                while room:
+                    row, start, ids = pieces.pop()
+                    n = min(room, len(ids) // 4)
+                    now.append((row, start, ids[: 4 * n]))
+                    if 4 * n < len(ids):
+                        pieces.append((row, start + n, ids[4 * n :]))
+                    room -= n
+                self.done.append(now)
 
     def take(self) -> list[list]:
         out, self.done = self.done, []
@@ -190,15 +226,17 @@ def _pack(path: str, end: int, window: int, max_open: int):
                 packer.place((batch.column(0).slice(i, 1), len(ids) // 4), ids)
                 if len(packer.done) >= 256:
                     yield rows(packer.take())
-        packer.drain(True)
-        if packer.done:
-            yield rows(packer.take())
+        packer.finish()
+        done = packer.take()
+        for lo in range(0, len(done), 256):
+            yield rows(done[lo : lo + 256])
 
     return run
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end: int = 1, max_open: int = MAX_OPEN) -> DataFrame:
     """One row per piece: its document, place in it and in its window, and its ids as packed little-endian 32-bit integers."""
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     packed = source.mapInArrow(_pack(tokenizer_path, end, window, max_open), f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -292,9 +292,29 @@ def gapless(pieces):
     return at
 
 
+def test_packing_places_nearly_all_by_the_method():
+    """The share of tokens in windows that placement alone filled, and memory bounded where nothing fits together."""
+    rnd = random.Random(4)
+    for n, least in ((250, 0.3), (1000, 0.5), (8000, 0.85)):
+        packer = packing.Packer(2048)
+        for i in range(n):
+            packer.place(i, bytes(4 * max(1, int(rnd.lognormvariate(6, 1)))))
+        packer.finish()
+        assert packer.placed / packer.total > least
+    packer = packing.Packer(2048, 50)
+    for i in range(2000):
+        packer.place(i, bytes(4 * 1500))
+        assert packer.n_open <= 50
+    packer.finish()
+    sizes = Counter(sum(len(ids) // 4 for _, _, ids in w) for w in packer.done)
+    assert sum(k * v for k, v in sizes.items()) == packer.total == 3_000_000 and all(k & (k - 1) == 0 for k in sizes)
+    cut = Counter(row for w in packer.done for row, _, _ in w)
+    assert sum(v - 1 for v in cut.values()) <= len(packer.done)
+
+
 def test_packing_level_minimises_the_sum_of_squares():
     rnd = random.Random(2)
-    packer = packing.Packer(32, 1000)
+    packer = packing.Packer(32)
     for _ in range(400):
         size = rnd.randint(1, 31)
         counts = packer.counts.copy()
