@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm import textops
+from quarrylight.llm.graph import bounded_batches
 
 WEIGHTS = Path(__file__).with_name("html_weights.npz")
 HIDDEN = 24
@@ -356,6 +357,7 @@ def _extract(weights: dict[str, np.ndarray]):
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: id, url, main text and its length in code points."""
+    bounded_batches(pages.sparkSession)
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
     kinds = dict(source.dtypes)
     texts = source.mapInArrow(_extract(load_weights()), f"page_id {kinds['page_id']}, url {kinds['url']}, text string")

@@ -1,22 +1,24 @@
 """Stupid-backoff language-model scores against the corpus itself.
 
 Count tables of word n-grams are partitioned by hash.  Documents are dealt to
-blocks by the hash of their id; a block explodes its texts into n-grams and
-sends its distinct ones, with their counts, to the parts of the table; a part
-adds up the counts of all blocks and answers each block for the n-grams it
-sent; the block joins the answers to its n-grams and sums the scores of each
-document.  A frequent n-gram is one entry per block.
+blocks; a block explodes its texts into n-grams and sends its distinct ones,
+with their counts, to the parts of the table; a part adds up the counts of all
+blocks and answers each block for the n-grams it sent; the block joins the
+answers to its n-grams and sums the scores of each document.  So the exchange
+is that of a count, a join and a sum, but a row holds all n-grams that a block
+and a part have in common, packed: a frequent n-gram is one entry per block.
 
 The score of a word is the first that applies of c(w1 w2 w3) / c(w1 w2), then
 0.4 c(w2 w3) / c(w2), then 0.16 c(w3) / N, and 0.4**k / N for a word never
 seen; ``order`` says how long the longest n-gram is.  With ``leave_out`` a
 document's own n-grams are taken off the counts, so none is scored by itself.
-All counts are over all documents.
+All counts are over all documents; n-grams are 64-bit hashes.
 
 Words are runs of characters other than space and U+0009 to U+000D, with A-Z
 lower-cased.  Defined results for odd input: a null or wordless text has 0
-words, a sum of 0 and no mean; repeated rows and ids are documents each; an
-empty table gives an empty result; only the id and text columns are read.
+words, a sum of 0 and no mean; repeated rows and ids are documents each; a very
+long text is read whole, in a block of its own; an empty table gives an empty
+result; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -29,12 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm import textops
-from quarrylight.llm.graph import sized
+from quarrylight.llm.graph import bounded_batches
 from quarrylight.llm.postings import by_part
 
 BACKOFF = 0.4
-#: Bytes of a key that are sent; the part it goes to is a function of the rest too.
-KEY_BYTES = 5
+#: Text of a block; a worker holds its n-grams, some 12 times as much.
+BLOCK_BYTES = 8 << 20
 
 
 def _grams(texts: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -68,30 +70,52 @@ def _distinct(grams: list[np.ndarray], n_parts: int) -> tuple[np.ndarray, np.nda
 
 
 def _packed(keys: np.ndarray) -> bytes:
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, -KEY_BYTES:].tobytes()
+    """Sorted distinct keys: of many, the high bits as steps from key to key, one bit each, and the low bytes as they are."""
+    n = len(keys)
+    low = 6 if n >= 4096 else 7 if n >= 32 else 8
+    out = [np.array([low, n], "<u4").tobytes()]
+    if low < 8:
+        bits = np.zeros((1 << 64 - 8 * low) + n, np.uint8)
+        bits[(keys >> np.uint64(8 * low)).astype(np.int64) + np.arange(n)] = 1
+        out.append(np.packbits(bits).tobytes())
+    out.append(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :low].tobytes())
+    return b"".join(out)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :KEY_BYTES] = raw
-    return out.view("<u8").ravel()
+    low, n = np.frombuffer(data, "<u4", 2).tolist()
+    size = -(-((1 << 64 - 8 * low) + n) // 8) if low < 8 else 0
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :low] = np.frombuffer(data, np.uint8, n * low, 8 + size).reshape(-1, low)
+    keys = out.view("<u8").ravel()
+    if low < 8:
+        at = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, size, 8)))
+        keys = keys | (at - np.arange(n)).astype(np.uint64) << np.uint64(8 * low)
+    return keys
 
 
 def _small(counts: np.ndarray) -> bytes:
-    """Counts in the fewest bytes each that hold the largest."""
-    kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if counts.max(initial=0) <= np.iinfo(k).max)
-    return kind[-1].encode() + counts.astype(kind).tobytes()
+    """Counts of 1 or more: a bit tells whether there is more than 1, a byte how many, and eight where that is too few."""
+    more = counts[counts > 1]
+    wide = more[more > 254]
+    return b"".join((np.array([len(counts), len(more)], "<u4").tobytes(), np.packbits(counts > 1).tobytes(), np.minimum(more, 255).astype(np.uint8).tobytes(), wide.astype("<i8").tobytes()))
 
 
 def _large(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[:1].decode()}", -1, 1).astype(np.int64)
+    n, n_more = np.frombuffer(data, "<u4", 2).tolist()
+    at = 8 + -(-n // 8)
+    out = np.ones(n, np.int64)
+    more = np.frombuffer(data, np.uint8, n_more, at).astype(np.int64)
+    more[more == 255] = np.frombuffer(data, "<i8", -1, at + n_more) if len(data) > at + n_more else []
+    out[np.unpackbits(np.frombuffer(data, np.uint8, at - 8, 8), count=n).astype(bool)] = more
+    return out
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi in textops.chunks(batch.column(0)):
-            yield pa.RecordBatch.from_arrays([pa.array([len(textops.Words(batch.column(0).slice(lo, hi - lo)).starts)], pa.int64())], ["n"])
+            words = textops.Words(batch.column(0).slice(lo, hi - lo))
+            yield pa.RecordBatch.from_arrays([pa.array([len(words.starts)], pa.int64()), pa.array([len(words.bytes)], pa.int64())], ["n", "size"])
 
 
 def _sorted(block: pa.Table) -> pa.Table:
@@ -180,22 +204,23 @@ def _corpus_counts(grams: np.ndarray, row: np.ndarray, keys: np.ndarray, counts:
     return out
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, leave_out: bool = True, blocks: int | None = None) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, leave_out: bool = True, blocks: int | None = None) -> DataFrame:
     """Per document: words, sum of the words' log scores, and their mean.
 
-    ``blocks`` is how many blocks and parts there are; the default is twice the
-    session's shuffle partitions, so it is sized with the data.
+    ``blocks`` is how many blocks and parts there are; the default is one for
+    BLOCK_BYTES of text, and one for each core at least.
     """
-    n = blocks or 2 * sized(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    dealt = source.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
+    total, size = (x or 0 for x in source.select("text").mapInArrow(_count_words, "n long, size long").agg(F.sum("n"), F.sum("size")).first())
+    n = blocks or max(-(-size // BLOCK_BYTES), docs.sparkSession.sparkContext.defaultParallelism)
+    dealt = source.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int"))
     kind = source.schema["id"].dataType.simpleString()
     sent = dealt.groupBy("block").applyInArrow(_send(order, n), "part int, block int, keys binary, counts binary")
-    total = source.select("text").mapInArrow(_count_words, "n long").agg(F.sum("n")).first()[0] or 0
     answers = sent.groupBy("part").applyInArrow(_answer, "block int, part int, counts binary")
     scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order, n, leave_out, total), f"id {kind}, n_words long, log_score double")
     return scored.select(F.col("id").alias(id_col), "n_words", F.round("log_score", 6).alias("log_score"), F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6)).alias("mean_log_score"))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), order=3)
+    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

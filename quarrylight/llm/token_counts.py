@@ -4,7 +4,8 @@ A tokenizer's pieces never cross pre-tokens, so a document's count is the sum
 over its pre-tokens.  Each block of documents sends its distinct pre-tokens and
 their per-document frequencies to hash parts (see :mod:`.postings`); a part
 counts the pieces of every distinct pre-token once, joins the counts to the
-frequencies, and returns partial sums.  No ids are ever built.
+frequencies, and returns partial sums.  A document's ids are never built: only
+the library's own for one pre-token at a time, to be counted.
 
 Defined results for odd input: a null text counts as empty (0 bytes, 0 tokens);
 the tokenizer's special strings inside a text are one token each, as is the
@@ -29,11 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm import textops
-from quarrylight.llm.graph import sized
+from quarrylight.llm.graph import bounded_batches
 from quarrylight.llm.postings import Postings, select
 
 #: Text that a block of documents holds, unless one document is longer.
 BLOCK_BYTES = 6 << 20
+#: Text for which there is one part.
+PART_BYTES = 16 << 20
 #: Only in texts of these characters do Python and the tokenizers surely agree on
 #: what is a letter, a number or white space; others go through the tokenizer.
 _PLAIN_RANGES = [(9, 10), (13, 13), (0x20, 0x7E), (0xA1, 0xAC), (0xAE, 0x24F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20BF)]
@@ -167,11 +170,13 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """Per document: UTF-8 bytes, tokens, and whether the tokens are over the limit.
 
     ``parts`` is how many hash parts the pre-tokens are dealt to; the default is
-    twice the session's shuffle partitions, so it is sized with the data.
+    one for PART_BYTES of text, and one for each core at least.
     """
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    n_parts = parts or 2 * sized(docs.sparkSession)
+    size = 0 if parts else source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_parts = parts or max(-(-size // PART_BYTES), docs.sparkSession.sparkContext.defaultParallelism)
     sent = source.mapInArrow(_frequencies(tokenizer_path, n_parts), f"part int, block long, ids array<{kind}>, sizes array<long>, n_docs int, keys array<string>, postings binary")
     partial = sent.groupBy("part").applyInArrow(_count_part(tokenizer_path), f"block long, ids array<{kind}>, sizes array<long>, sums binary")
     total = partial.groupBy("block").applyInArrow(_total, f"doc_id {kind}, n_bytes long, n_tokens long")

@@ -359,6 +359,17 @@ def test_lm_scores(spark, order, leave_out):
     assert lm_scoring.lm_scores(frame(spark, [])).collect() == []
 
 
+def test_lm_packing_is_a_round_trip():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 31, 32, 4095, 4096, 70_000):
+        keys = np.unique(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False))
+        assert (lm_scoring._unpacked(lm_scoring._packed(keys)) == keys).all()
+        counts = rng.choice([1, 1, 1, 2, 254, 255, 256, 1 << 40], n)
+        assert (lm_scoring._large(lm_scoring._small(counts)) == counts).all()
+    ends = np.array([0, 1, (1 << 64) - 1] + list(range(5, 5000)), np.uint64)
+    assert (lm_scoring._unpacked(lm_scoring._packed(np.sort(ends))) == np.sort(ends)).all()
+
+
 def test_mixing_keeps_every_source_within_a_block(spark):
     sources = ["a"] * 900 + ["b"] * 400 + ["c"] * 100 + [None] * 7
     docs = frame(spark, ["t"] * len(sources), sources)
