@@ -19,7 +19,7 @@ _DIAGNOSTIC = "severity string, code string, message string, start_line int, sta
 FACTS = f"file_id bigint, workspace_id bigint, path string, language string, symbols array<struct<{_SYMBOL.replace(' ', ':').replace(',:', ',')}>>, occurrences array<struct<{_OCCURRENCE.replace(' ', ':').replace(',:', ',')}>>, diagnostics array<struct<{_DIAGNOSTIC.replace(' ', ':').replace(',:', ',')}>>"
 
 #: The extractor of each language: (text, path) to facts.  Add to it to support another.
-EXTRACTORS: dict[str, Callable[[str, str], Facts]] = {"python": python.extract} | {code: scanner.extractor(code) for code in scanner.RULES}
+EXTRACTORS: dict[str, Callable[[str, str], Facts]] = {"python": python.extract} | {code: scanner.extractor(code) for code in scanner.LANGUAGES}
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -192,7 +192,7 @@ def test_python_facts():
 
 @pytest.mark.parametrize(("language", "text", "symbols", "calls"), [
     ("c", "#define N 1\nstruct P { int x; };\nint add(int a, int b);\nint add(int a, int b) { /* no(); */ return mul(a, b); }\n", {"P", "add", "N"}, {("mul", 2)}),
-    ("go", 'package m\nimport "fmt"\ntype T struct { x int }\nfunc (t *T) Do(a int) int { return help(a) }\n', {"T", "T.Do"}, {("help", 1)}),
+    ("go", 'package m\nimport "fmt"\ntype T struct { x int }\nfunc (t *T) Do(a int) int { return help(a) }\n', {"m", "m.T", "m.T.x", "m.T.Do"}, {("help", 1)}),
     ("java", "package p;\nimport java.util.List;\npublic class A extends B implements C {\n  public int f(int x) { return g(x, \"h()\"); }\n}\n", {"A", "A.f"}, {("g", 2)}),
     ("csharp", "using System;\nnamespace N {\n class A : B, IC {\n  public void F() { G(); }\n }\n}\n", {"N", "N.A", "N.A.F"}, {("G", 0)}),
     ("javascript", "const r = require('x');\nfunction f(a) { return r(a, [1, 2]); }\n", {"f", "r"}, {("r", 2), ("require", 1)}),
@@ -206,6 +206,87 @@ def test_scanned_facts(language, text, symbols, calls):
         assert f.raw[s["start_byte"] : s["end_byte"]].decode() == s["name"]
 
 
+#: Written for this test: each language's text, what it declares as kind and qualified name, and what it calls.
+SOURCES = {
+    "c": (
+        "#include <a.h>\n#define CAP 8\n#define TWICE(x) ((x) + (x))\ntypedef unsigned long word_t;\ntypedef struct { int w; } box_t;\nenum tone { LOW, HIGH = 3 };\nunion cell { int i; char c[4]; };\n"
+        "extern int total;\nstatic const int first = 1, *second = 0;\nint (*hook)(int);\nstruct cell_list *grow(struct cell_list *l, int n);\nstatic int run(int n) {\n  int k = TWICE(n);\n  for (int i = 0; i < n && k > 0; i++) { step(i, k); }\n  return k;\n}\n",
+        "macro CAP, macro TWICE, type_alias word_t, type_alias box_t, enum tone, enum_member tone::LOW, enum_member tone::HIGH, struct cell, field cell::i, field cell::c, variable total, variable first, variable second, variable hook, function grow, function run, variable run::k",
+        "TWICE step",
+    ),
+    "cpp": (
+        "#include <vector>\nnamespace a::b {\ntemplate <typename T> class Pile : public Base<T>, private Other {\npublic:\n  explicit Pile(int n) : size_(n), items_{} {}\n  virtual ~Pile() = default;\n  bool operator==(const Pile& o) const;\n  T pop() const override { return items_.back(); }\n"
+        "private:\n  std::vector<T> items_;\n  int size_ = 0;\n};\nenum class Tone : int { Low, High };\nusing Name = std::string;\ntemplate <typename T> T Pile<T>::top() { return peek(); }\n}\nnamespace { int hidden; }\nvoid go() {\n  auto f = [](int x) { return twice(x); };\n  a::b::Pile<int> p(3);\n  p.pop();\n}\n",
+        "namespace a::b, class a::b::Pile, method a::b::Pile::Pile, method a::b::Pile::~Pile, method a::b::Pile::pop, field a::b::Pile::items_, field a::b::Pile::size_, enum a::b::Tone, enum_member a::b::Tone::Low, enum_member a::b::Tone::High, type_alias a::b::Name, method a::b::Pile::top, variable hidden, function go, variable go::f, variable go::p",
+        "back peek twice pop",
+    ),
+    "csharp": (
+        "using System;\nnamespace Shop.Core {\npublic enum Tone { Low, High }\npublic interface ICart<T> where T : class { int Count { get; } void Add(T item); }\n[Serializable]\npublic sealed class Cart : Base, ICart<Item> {\n  private readonly List<Item> _items = new List<Item>();\n  public int Count => _items.Count;\n  public string Name { get; set; } = \"x\";\n"
+        "  public Cart(int n) : base(n) { Reset(); }\n  public void Add(Item item) { if (item != null) { _items.Add(item); } }\n  public async Task<int> Sum<T>(Func<T, int> f) { return f(default); }\n}\n}\n",
+        "namespace Shop.Core, enum Shop.Core.Tone, enum_member Shop.Core.Tone.Low, enum_member Shop.Core.Tone.High, interface Shop.Core.ICart, field Shop.Core.ICart.Count, method Shop.Core.ICart.Add, class Shop.Core.Cart, field Shop.Core.Cart._items, field Shop.Core.Cart.Count, field Shop.Core.Cart.Name, method Shop.Core.Cart.Cart, method Shop.Core.Cart.Add, method Shop.Core.Cart.Sum",
+        "List Reset Add f",
+    ),
+    "java": (
+        "package p.q;\nimport java.util.List;\n@Deprecated\npublic enum Tone implements Named { LOW(1), HIGH(2) { int x() { return 1; } }; private final int v; Tone(int v) { this.v = v; } }\npublic abstract class Bag<T extends Comparable<T>> extends Base implements Named, Sized {\n  protected List<T> items = new ArrayList<>();\n  private int[] sizes;\n"
+        "  public Bag() { super(); clear(); }\n  @Override public <R> R fold(R start, Fn<R> f) { for (T t : items) { start = f.apply(start); } return start; }\n  abstract int weigh(T item);\n  static class Inner { Runnable r = () -> { run(); }; }\n  interface Sink { void take(int a, String b); }\n}\n",
+        "package p.q, enum Tone, enum_member Tone.LOW, enum_member Tone.HIGH, field Tone.v, method Tone.Tone, class Bag, field Bag.items, field Bag.sizes, method Bag.Bag, method Bag.fold, method Bag.weigh, class Bag.Inner, field Bag.Inner.r, interface Bag.Sink, method Bag.Sink.take",
+        "ArrayList clear apply run",
+    ),
+    "javascript": (
+        "import dflt, { a as b } from './m';\nimport * as ns from 'n'\nexport { helper as tool } from './t'\nconst fs = require('fs'), { join, sep: bar } = require('path');\nlet n = 1\nexport default async function main(x, { y } = {}) {\n  const again = (z) => {\n    ping(z)\n  }\n  return again(x) / 2 // '\n}\n"
+        "const add = (p, q) => p + q\nclass Box extends Base {\n  #hidden = 1;\n  static make() { return new Box() }\n  get size() { return this.count(); }\n}\nBox.prototype.shake = function (k) { rattle(k); };\nconst re = /[/'\"]{2}/g;\nfs.on('x', function () { done(); });\n",
+        "variable dflt, type_alias b, namespace ns, type_alias tool, variable fs, variable join, variable bar, variable n, function main, function main.again, function add, class Box, method Box.make, method Box.size, method Box.shake, variable re",
+        "require ping again Box count rattle on done",
+    ),
+    "typescript": (
+        "export type Id = string | { a: number };\nexport enum Tone { Low = 1, High }\nexport interface Sink<T> extends Base {\n  name: string;\n  take(item: T): void;\n  onDone?: () => void;\n}\nabstract class Pipe<T> implements Sink<T>, Other {\n  private items: Map<string, T> = new Map();\n  constructor(readonly id: Id) { super(id); open(id); }\n"
+        "  abstract flush(): void;\n  async take(item: T): Promise<void> { await this.push<T>(item); }\n}\nnamespace Util { export function f(x?: number): number { return g(x!); } }\nexport const View = (p: { label: string }) => { return <Panel.Head label={p.label}><Row /></Panel.Head>; };\n",
+        "type_alias Id, enum Tone, enum_member Tone.Low, enum_member Tone.High, interface Sink, field Sink.name, method Sink.take, field Sink.onDone, class Pipe, variable Pipe.items, method Pipe.constructor, method Pipe.flush, method Pipe.take, namespace Util, function Util.f, function View",
+        "Map open push g Panel.Head Row",
+    ),
+    "go": (
+        "package store\n\nimport (\n\t\"fmt\"\n\tio2 \"io\"\n)\n\nconst (\n\tMax = 3\n\tMin\n)\n\nvar cache, spare map[string]int\n\ntype ID = string\ntype Table struct {\n\tBase\n\tName, Label string\n\trows []Row `json:\"rows\"`\n}\n\ntype Reader interface {\n\tio2.Closer\n\tRead(n int) (int, error)\n}\n\n"
+        "func (t *Table) Get(k string) (r Row, err error) {\n\tif v := find(k); v > 0 {\n\t\treturn t.rows[v], nil\n\t}\n\trow := Row{Name: k}\n\tdefer func() { done() }()\n\treturn row, fmt.Errorf(\"x\")\n}\n\nfunc Map[T any](xs []T, f func(T) T) []T { return f(xs[0]) }\n",
+        "package store, variable store.Max, variable store.Min, variable store.cache, variable store.spare, type_alias store.ID, struct store.Table, field store.Table.Name, field store.Table.Label, field store.Table.rows, interface store.Reader, method store.Reader.Read, method store.Table.Get, function store.Map",
+        "find done Errorf f",
+    ),
+    "shell": (
+        "#!/bin/sh\n. ./lib.sh\nsource \"$HOME/rc\"\nNAME=one OTHER=\"two $(whoami)\"\nexport PATH_X=/a:/b\nalias ll='ls -l'\nbuild() {\n  local out=$1\n  if [ -f \"$out\" ]; then\n    make all && notify done # not this\n  fi\n  for f in a b; do cp \"$f\" /tmp; done\n}\nfunction clean { rm -rf out; }\ncat <<EOF\nnot_a_command\nEOF\nbuild | tee log\nclean\n",
+        "variable NAME, variable OTHER, variable PATH_X, macro ll, function build, variable build.out, function clean",
+        "whoami make notify cp rm cat build tee clean",
+    ),
+}
+
+
+@pytest.mark.parametrize("language", sorted(SOURCES))
+def test_declarations_and_calls(language):
+    text, declared, called = SOURCES[language]
+    f = scanner.extractor(language)(text, "x.tsx" if language == "typescript" else "x")
+    symbols = [f"{s['kind']} {s['qualified_name']}" for s in f.symbols]
+    calls = [o["name"] for o in f.occurrences if o["kind"] == "call"]
+    wanted = declared.split(", ")
+    assert [w for w in wanted if w not in symbols] == []
+    assert len(set(symbols) - set(wanted)) <= 2, set(symbols) - set(wanted)
+    assert [c for c in called.split() if c not in calls] == []
+    assert len(set(calls) - set(called.split())) <= 2, set(calls) - set(called.split())
+    assert not f.diagnostics
+    for s in f.symbols:
+        assert f.raw[s["start_byte"] : s["end_byte"]].decode() == s["name"] and s["body_start"] <= s["start_byte"] < s["body_end"]
+
+
+@pytest.mark.parametrize("language", sorted(SOURCES))
+def test_odd_text_takes_linear_time(language):
+    import time
+
+    took = time.thread_time()
+    for text in (" && ".join(f"a{i}" for i in range(5000)), "a*" * 5000, "f(" * 3000, "{" * 5000, "a<" * 3000, "x = " * 5000, "((((" * 2000 + "))))" * 2000, '"' * 999, "/*" * 999, "a b " * 5000 + ";"):
+        scanner.extractor(language)(text + "\n", "x")
+    assert time.thread_time() - took < 20
+    short = time.thread_time()
+    scanner.extractor(language)("x = " + " && ".join(f"a{i}" for i in range(5000)) + ";\n", "x")
+    assert time.thread_time() - short < 2
+
+
 def test_ignore_rules_and_globs(spark):
     rules = discovery.ignore_rules("*.log\n!keep.log\n/top\nsub/x\nonly/\n", "") + discovery.ignore_rules("*.txt\n", "docs")
     names = ["a.log", "d/a.log", "keep.log", "top", "d/top", "sub/x/y", "d/sub/x", "only/a", "d/only/b", "only", "docs/a.txt", "a.txt"]
