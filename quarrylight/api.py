@@ -15,9 +15,6 @@ from quarrylight.functions.text import modifier_mask
 from quarrylight.operators import graph, intervals, paging, paths, refs, scope, search, summary
 from quarrylight.sources.store import Store
 
-MAX_REFERENCERS = 100_000
-
-
 class Api:
     """Reads one version of the store."""
 
@@ -139,15 +136,16 @@ class Api:
         return rows.orderBy(F.desc("at"), "id").offset(offset).limit(limit)
 
     # symbols
-    def symbols(self, ws: int, query: str | None = None, kind: str | None = None, language: str | None = None, file_id: int | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    def symbols(self, ws: int, query: str | None = None, kind: str | None = None, language: str | None = None, file_id: int | None = None, limit: int = 50, offset: int = 0, hits: int | None = None) -> DataFrame:
         rows = self._seen("symbol", ws)
-        if query:
-            hits = search.search(rows, query, "id", ["name", "qualified_name", "signature", "documentation"]).orderBy("rank", "id").limit(search.LISTING_HITS)
-            rows = rows.join(hits.select("id"), "id", "left_semi")
         if language:
             rows = rows.join(self._seen("file", ws).filter(F.col("language") == language).select(F.col("id").alias("file_id")), "file_id", "left_semi")
         for column, value in (("kind", kind), ("file_id", file_id)):
             rows = rows.filter(F.col(column) == value) if value is not None else rows
+        if query:  # after the filters, so that none of their hits is lost; hits limits the search itself
+            found = search.search(rows, query, "id", ["name", "qualified_name", "signature", "documentation"], folded=True)
+            found = found.orderBy("rank", "id").limit(hits) if hits else found
+            rows = rows.join(found.select("id"), "id", "left_semi")
         return paging.page(rows, [F.col("name"), F.col("id")], limit, offset)
 
     def symbol(self, ws: int, symbol_id: int) -> DataFrame:
@@ -193,9 +191,9 @@ class Api:
     # search
     def search_source(self, ws: int, query: str, limit: int = 50, offset: int = 0) -> DataFrame:
         """Files of the workspace alone, best first, with a snippet."""
-        parsed = search.parse_query(query)
+        parsed = search.parse_query(query, ["text"])
         texts = self._own("file_content", ws)
-        hits = search.search(texts, parsed, "file_id", ["text"])
+        hits = search.search(texts, parsed, "file_id", ["text"], folded=True)
         best = paging.page(hits, [F.col("rank"), F.col("id")], limit, offset)
         files = self._own("file", ws).select("id", "path")
         shown = best.join(texts.select(F.col("file_id").alias("id"), "text"), "id").join(files, "id")
@@ -204,7 +202,7 @@ class Api:
     def search_symbols(self, ws: int, query: str, limit: int = 50, offset: int = 0) -> DataFrame:
         """Full-text hits, else exact names, and calls of that name that lead nowhere."""
         symbols = self._seen("symbol", ws)
-        hits = search.with_fallback(search.search(symbols, query, "id", ["name", "qualified_name", "signature", "documentation"]), symbols, query, "id", "name")
+        hits = search.with_fallback(search.search(symbols, query, "id", ["name", "qualified_name", "signature", "documentation"], folded=True), symbols, query, "id", "name")
         unresolved = self._own("reference", ws).filter("target_symbol_id is null and kind = 'call'").withColumn("_id", F.coalesce("source_symbol_id", "id"))
         loose = search.loose_hits(unresolved, query, "_id", "name").distinct() if query else hits.limit(0)
         return paging.page(hits.unionByName(loose), [F.col("rank"), F.col("id")], limit, offset).join(symbols.select("id", "name", "qualified_name", "kind", "file_id"), "id", "left").orderBy("rank", "id")

@@ -13,8 +13,8 @@ BARE = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuu
 
 
 def fold(text: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(text), MARKED, BARE)
+    """Lower case without diacritics, whether letter and mark are one character or two."""
+    return F.translate(F.regexp_replace(F.lower(text), r"\p{M}+", ""), MARKED, BARE)
 
 
 def tokens(text: Column, folded: bool = False) -> Column:
@@ -42,12 +42,19 @@ def symbol_key(language: Column, path: Column, kind: Column, qualified_name: Col
     return F.when(F.coalesce(signature, F.lit("")) == "", key).otherwise(F.concat(key, F.lit("#"), signature))
 
 
-def without_nested(text: Column, open_: str, close: str, depth: int = 8) -> Column:
-    """The text without bracketed parts, from the innermost out; up to ``depth`` levels."""
-    inner = "\\" + open_ + "[^\\" + open_ + "\\" + close + "]*\\" + close
-    for _ in range(depth):
-        text = F.regexp_replace(text, inner, "")
-    return text
+def without_nested(text: Column, open_: str, close: str) -> Column:
+    """The text without bracketed parts, however deep; a bracket without a partner stays out of the count."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("kept"))
+
+    def step(acc: Column, c: Column) -> Column:
+        inside = (acc["depth"] > 0) & (c == close)
+        return F.struct(
+            F.when(c == open_, acc["depth"] + 1).when(inside, acc["depth"] - 1).otherwise(acc["depth"]).alias("depth"),
+            F.when((c == open_) | inside | (acc["depth"] > 0), acc["kept"]).otherwise(F.concat(acc["kept"], c)).alias("kept"),
+        )
+
+    walked = F.aggregate(F.split(text, ""), start, step, lambda acc: acc["kept"])
+    return F.when(text.contains(open_), walked).otherwise(text)
 
 
 def parameters(signature: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,22 +10,26 @@ from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder that ``spark.checkpoint.dir`` names; one of our own only where it is unset."""
+    """Cuts lineage in the folder that ``spark.checkpoint.dir`` names; one of our own only for a local master, where it is unset."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
-def closure(edges: DataFrame, starts: DataFrame, source: str, target: str, node: str, depth: int = 65) -> DataFrame:
-    """(root, node, level): what each start reaches, at its smallest level, in at most ``depth`` steps; roots lead to themselves at level 0.
+def closure(edges: DataFrame, starts: DataFrame, source: str, target: str, node: str, depth: int | None = None) -> DataFrame:
+    """(root, node, level): what each start reaches, at its smallest level, in at most ``depth`` steps if given; roots lead to themselves at level 0.
 
     Breadth first: each round joins only the pairs found last, and drops those known.
     """
     step = edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")).filter(F.col("_from").isNotNull() & F.col("_to").isNotNull()).distinct()
     front = checkpoint(starts.select(F.col(node).alias("root"), F.col(node).alias("node")).distinct())
     seen = front.withColumn("level", F.lit(0))
-    for level in range(1, depth + 1):
+    level = 0
+    while depth is None or level < depth:
+        level += 1
         fresh = front.join(step, front["node"] == step["_from"]).select("root", F.col("_to").alias("node")).distinct()
         front = checkpoint(fresh.join(seen.select("root", "node"), ["root", "node"], "left_anti"))
         if front.isEmpty():
@@ -72,21 +77,41 @@ def expand(edges: DataFrame, start: Column | int, source: str, target: str, kind
     return nodes, ends.select("source", "target", "kind", "level", "dangling"), cut
 
 
-def outline(symbols: DataFrame, id_col: str, parent_col: str, order: list[str], depth: int = 32) -> DataFrame:
-    """(id, level, path): each symbol's place in the tree of its parents, by one join per level.
+def neighbours(edges: DataFrame, node: Column | int, source: str, target: str, kind: str) -> DataFrame:
+    """(source, target, kind, way): a node's distinct edges, those from it (``out``) by kind and target, then those to it (``in``) by kind and source."""
+    e = edges.select(F.col(source).alias("source"), F.col(target).alias("target"), F.col(kind).alias("kind")).filter((F.col("source") == node) | (F.col("target") == node)).distinct()
+    way = F.when(F.col("source") == node, "out").otherwise("in")
+    return e.withColumn("way", way).orderBy(F.desc("way"), "kind", F.when(F.col("way") == "out", F.col("target")).otherwise(F.col("source")))
+
+
+def outline(symbols: DataFrame, id_col: str, parent_col: str, order: list[str]) -> DataFrame:
+    """(id, level, path, place): each symbol's place in the tree of its parents, by one join per level, however many there are.
 
-    A parent that isn't there makes a root; ``path`` holds the ids from the root down.
+    A parent that isn't there makes a root, and so does the smallest id of a
+    cycle of parents; ``path`` holds the ids from the root down.
     """
     s = symbols.select(F.col(id_col).alias("id"), F.col(parent_col).alias("_parent"))
     known = s.select(F.col("id").alias("_p"))
-    roots = s.join(known, s["_parent"] == known["_p"], "left").filter("_p is null").select("id", F.lit(0).alias("level"), F.array("id").alias("path"))
-    front, out = checkpoint(roots), roots
-    for level in range(1, depth + 1):
-        parents = front.select(F.col("id").alias("_parent"), F.col("path").alias("_path"))
-        front = checkpoint(s.join(parents, "_parent").filter(~F.expr("array_contains(_path, id)")).select("id", F.lit(level).alias("level"), F.array_append("_path", F.col("id")).alias("path")))
-        if front.isEmpty():
-            break
-        out = out.unionByName(front)
+    found = _below(s, s.join(known, s["_parent"] == known["_p"], "left").filter("_p is null").select("id"))
+    missing = checkpoint(s.join(found.select("id"), "id", "left_anti"))
+    if not missing.isEmpty():  # cycles, and what hangs on them
+        up = closure(missing, missing.select("id"), "id", "_parent", "id")
+        looped = missing.join(up, (missing["_parent"] == up["root"]) & (missing["id"] == up["node"])).select(F.col("id").alias("root"))
+        heads = up.join(looped, "root", "left_semi").groupBy("root").agg(F.min("node").alias("least")).filter("root = least").select(F.col("root").alias("id"))
+        cut = missing.join(heads, "id", "left_anti").unionByName(heads.select("id", F.lit(None).cast(s.schema["_parent"].dataType).alias("_parent")))
+        found = found.unionByName(_below(cut, heads))
     rank = Window.partitionBy("_parent").orderBy(*order)
     places = symbols.select(F.col(id_col).alias("id"), F.col(parent_col).alias("_parent"), *[c for c in order if c not in (id_col, parent_col)]).withColumn("place", F.row_number().over(rank)).select("id", "place")
-    return out.join(places, "id").select("id", "level", "path", "place")
+    return found.join(places, "id").select("id", "level", "path", "place")
+
+
+def _below(s: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, level, path) of the roots and all below them."""
+    front = out = checkpoint(roots.select("id", F.lit(0).alias("level"), F.array("id").alias("path")))
+    level = 0
+    while not front.isEmpty():
+        level += 1
+        parents = front.select(F.col("id").alias("_parent"), F.col("path").alias("_path"))
+        front = checkpoint(s.join(parents, "_parent").select("id", F.lit(level).alias("level"), F.array_append("_path", F.col("id")).alias("path")))
+        out = out.unionByName(front)
+    return out

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,79 +12,177 @@ from quarrylight.functions.text import tokens
 
 #: BM25's constants, as published by Robertson and Zaragoza (2009).
 K1, B = 1.2, 0.75
-#: A listing that filters by a query looks at so many hits at most.
-LISTING_HITS = 1000
+
+#: An expression: ("word" | "prefix", text), ("phrase", words, prefix), ("and" | "or", parts), ("not", yes, no), ("in", column, part).
+Tree = tuple
 
 
 @dataclass
 class Query:
-    """A parsed query: every ``terms`` word, any of each ``either`` group, no ``without`` word, and phrases; ``x*`` is a prefix."""
+    """A parsed query; no tree where it holds no word."""
 
-    terms: list[str] = field(default_factory=list)
-    prefixes: list[str] = field(default_factory=list)
-    phrases: list[list[str]] = field(default_factory=list)
-    either: list[list[str]] = field(default_factory=list)
-    without: list[str] = field(default_factory=list)
+    tree: Tree | None = None
 
     def scored(self) -> list[str]:
         """The words that count for rank, sorted so that sums have one order."""
-        return sorted({*self.terms, *(w for p in self.phrases for w in p), *(w for g in self.either for w in g)})
+        words, left = set(), [self.tree] if self.tree else []
+        while left:
+            kind, *rest = left.pop()
+            if kind == "word":
+                words.add(rest[0])
+            elif kind == "phrase":
+                words.update(rest[0][:-1] if rest[1] else rest[0])
+            elif kind in ("and", "or"):
+                left += rest[0]
+            elif kind in ("not", "in"):
+                left.append(rest[0] if kind == "not" else rest[1])
+        return sorted(words)
 
     def __bool__(self) -> bool:
-        return bool(self.terms or self.prefixes or self.phrases or self.either)
+        return self.tree is not None
+
+
+class _Malformed(Exception):
+    pass
 
 
 _WORD = re.compile(r"[^\W_]+")
+_PIECE = re.compile(r'"([^"]*)"(\*)?|([()])|([^\s()"]+)')
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def parse_query(text: str) -> Query:
-    """Words (all must occur), ``a OR b``, ``NOT c``, ``"a phrase"`` and ``pre*``.
-
-    What doesn't follow this syntax is taken as one phrase rather than refused;
-    a query without any word is empty.
+class _Parser:
+    """Recursive descent: OR binds least, then AND, then NOT, and parts that only stand side by side bind most."""
+
+    DEEPEST = 100
+
+    def __init__(self, text: str):
+        if text.count('"') % 2 or "^" in text:
+            raise _Malformed
+        self.pieces = [(m[0], m[1]) for m in _PIECE.finditer(text)]
+        self.at = self.depth = 0
+
+    def next(self) -> str | None:
+        return self.pieces[self.at][0] if self.at < len(self.pieces) else None
+
+    def chain(self, word: str, kind: str, part) -> Tree | None:
+        found = [part()]
+        while self.next() == word:
+            self.at += 1
+            found.append(part())
+        found = [x for x in found if x]
+        return (kind, found) if len(found) > 1 else found[0] if found else None
+
+    def either(self) -> Tree | None:
+        self.depth += 1
+        if self.depth > self.DEEPEST:
+            raise _Malformed
+        out = self.chain("OR", "or", lambda: self.chain("AND", "and", self.without))
+        self.depth -= 1
+        return out
+
+    def without(self) -> Tree | None:
+        out = self.beside()
+        while self.next() == "NOT":
+            self.at += 1
+            no = self.beside()
+            out = ("not", out, no) if out and no else out
+        return out
+
+    def beside(self) -> Tree | None:
+        found, some = [], False
+        while (piece := self.next()) is not None and piece not in ("OR", "AND", "NOT", ")"):
+            some = True
+            if part := self.primary():
+                found.append(part)
+        if not some:
+            raise _Malformed
+        return ("and", found) if len(found) > 1 else found[0] if found else None
+
+    def primary(self) -> Tree | None:
+        piece, quoted = self.pieces[self.at]
+        self.at += 1
+        if piece == "(":
+            inside = self.either()
+            if self.next() != ")":
+                raise _Malformed
+            self.at += 1
+            return inside
+        if quoted is not None:
+            return self.leaf(words_of(quoted), piece.endswith("*"))
+        if m := re.fullmatch(r"(\w+):(.*)", piece):
+            if m[2]:
+                inside = self.leaf(words_of(m[2]), m[2].endswith("*"))
+            elif self.next() in (None, "OR", "AND", "NOT", ")"):
+                raise _Malformed
+            else:
+                inside = self.primary()
+            return ("in", m[1], inside) if inside else None
+        return self.leaf(words_of(piece), piece.endswith("*"))
+
+    def leaf(self, words: list[str], prefix: bool) -> Tree | None:
+        if len(words) > 1:
+            return ("phrase", words, prefix)
+        return ("prefix" if prefix else "word", words[0]) if words else None
+
+    def whole(self) -> Tree | None:
+        if not self.pieces:
+            return None
+        out = self.either()
+        if self.next() is not None:
+            raise _Malformed
+        return out
+
+
+def parse_query(text: str, columns: list[str] | None = None) -> Query:
+    """Words side by side (all must occur), ``a AND b``, ``a OR b``, ``a NOT b``, parentheses, ``"a phrase"``, ``pre*`` and ``column:word``.
+
+    What doesn't follow this syntax, or names a column that isn't among
+    ``columns``, is taken as one phrase rather than refused; a query without any
+    word is empty.
     """
-    query = Query()
-    if text.count('"') % 2 or re.search(r"(^|\s)(OR|NOT|AND)\s*$|^\s*(OR|AND)\b|[()^:]", text):
+    try:
+        tree = _Parser(text).whole()
+        if _columns(tree) - set(columns or ()):
+            raise _Malformed
+        return Query(tree)
+    except _Malformed:
         words = words_of(text)
-        query.phrases = [words] if words else []
-        return query
-    parts = re.findall(r'"[^"]*"|\S+', text)
-    i = 0
-    while i < len(parts):
-        part = parts[i]
-        if part == "AND":
-            i += 1
-        elif part == "NOT" and i + 1 < len(parts):
-            query.without += words_of(parts[i + 1])
-            i += 2
-        elif i + 2 < len(parts) and parts[i + 1] == "OR":
-            group = words_of(part)
-            while i + 2 < len(parts) and parts[i + 1] == "OR":
-                group += words_of(parts[i + 2])
-                i += 2
-            query.either.append(group)
-            i += 1
-        else:
-            words = words_of(part)
-            if part.startswith('"') or len(words) > 1:
-                query.phrases += [words] if words else []
-            elif part.endswith("*"):
-                query.prefixes += words
-            else:
-                query.terms += words
-            i += 1
-    return query
+        return Query(("phrase", words, False) if len(words) > 1 else ("word", words[0]) if words else None)
 
 
-def postings(docs: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
-    """The inverted index: (term, id, tf, length), one row per term and document."""
+def _columns(tree: Tree | None) -> set[str]:
+    found, left = set(), [tree] if tree else []
+    while left:
+        kind, *rest = left.pop()
+        if kind == "in":
+            found.add(rest[0])
+            left.append(rest[1])
+        elif kind in ("and", "or"):
+            left += rest[0]
+        elif kind == "not":
+            left += rest
+    return found
+
+
+def postings(docs: DataFrame, id_col: str, text_cols: list[str], wanted: DataFrame | None = None, folded: bool = False) -> DataFrame:
+    """The inverted index: (term, id, tf, length), one row per term and document; of the ``wanted`` terms (term) alone, if given."""
     text = F.concat_ws(" ", *text_cols)
-    words = docs.select(F.col(id_col).alias("id"), tokens(text).alias("words")).filter(F.size("words") > 0)
-    return words.select("id", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    words = docs.select(F.col(id_col).alias("id"), tokens(text, folded).alias("words")).filter(F.size("words") > 0)
+    listed = words.select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
+    if wanted is not None:
+        listed = listed.join(wanted.select("term").distinct(), "term", "left_semi")
+    return listed.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+
+
+def lengths(docs: DataFrame, text_cols: list[str], folded: bool = False) -> tuple[int, float]:
+    """How many documents have words, and their mean number of words: one scan, nothing exploded."""
+    n = F.size(tokens(F.concat_ws(" ", *text_cols), folded))
+    row = docs.select(n.alias("n")).filter("n > 0").agg(F.count("*"), F.avg("n")).first()
+    return row[0], row[1] or 1.0
 
 
 def _equals(term: str):
@@ -95,65 +193,77 @@ def _starts(prefix: str):
     return lambda w: w.startswith(prefix)
 
 
-def _matches(words: Column, query: Query) -> Column:
-    """Whether a token array satisfies the query."""
-    ok = F.lit(True)
-    for t in query.terms:
-        ok = ok & F.array_contains(words, t)
-    for p in query.prefixes:
-        ok = ok & F.exists(words, _starts(p))
-    for group in query.either:
-        ok = ok & F.arrays_overlap(words, F.array(*map(F.lit, group)))
-    for t in query.without:
-        ok = ok & ~F.array_contains(words, t)
-    for phrase in query.phrases:
+def _matches(words: Column, tree: Tree, named: dict[str, Column]) -> Column:
+    """Whether a token array satisfies an expression; ``named`` has the token arrays of single columns."""
+    kind, *rest = tree
+    if kind == "word":
+        return F.array_contains(words, rest[0])
+    if kind == "prefix":
+        return F.exists(words, _starts(rest[0]))
+    if kind == "phrase":
         joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-        ok = ok & joined.contains(f" {' '.join(phrase)} ")
-    return ok
-
-
-def search(docs: DataFrame, query: Query | str, id_col: str, text_cols: list[str]) -> DataFrame:
+        return joined.contains(f" {' '.join(rest[0])}" + ("" if rest[1] else " "))
+    if kind == "in":
+        return _matches(named[rest[0]], rest[1], named)
+    if kind == "not":
+        return _matches(words, rest[0], named) & ~_matches(words, rest[1], named)
+    parts = [_matches(words, t, named) for t in rest[0]]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out & p if kind == "and" else out | p
+    return out
+
+
+def search(docs: DataFrame, query: Query | str, id_col: str, text_cols: list[str], folded: bool = False) -> DataFrame:
     """(id, rank) of the documents that match; rank is minus BM25, so lower is better.
 
     One scan: each document is matched and its term counts taken where it is
-    read; only a handful of totals (documents, words, documents per term) is
-    aggregated over all.  No index, shuffle or join by term is needed for one
-    query; :func:`search_many` is the form for many.
+    read, from tokens that are made once; only a handful of totals (documents,
+    words, documents per term) is aggregated over all.  No index, shuffle or
+    join by term is needed for one query; :func:`search_many` is the form for
+    many.  ``folded`` compares without diacritics.
     """
-    query = parse_query(query) if isinstance(query, str) else query
+    query = parse_query(query, text_cols) if isinstance(query, str) else query
     if not query:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("rank")).limit(0)
-    scored = query.scored()
-    words = docs.select(F.col(id_col).alias("id"), tokens(F.concat_ws(" ", *text_cols)).alias("words")).filter(F.size("words") > 0)
-    counted = words.select(
-        "id",
-        F.size("words").alias("length"),
-        _matches(F.col("words"), query).alias("hit"),
-        *(F.size(F.filter("words", _equals(t))).alias(f"tf{i}") for i, t in enumerate(scored)),
-    )
-    totals = counted.agg(F.count("*").alias("n"), F.sum("length").alias("words"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(scored))))
+    scored, used = query.scored(), sorted(_columns(query.tree))
+    arrays = F.struct(tokens(F.concat_ws(" ", *text_cols), folded).alias("all"), *(tokens(F.col(c), folded).alias(f"in_{c}") for c in used))
+
+    def measured(w: Column) -> Column:
+        words = w["all"]
+        counts = (F.size(F.filter(words, _equals(t))).alias(f"tf{i}") for i, t in enumerate(scored))
+        return F.struct(F.size(words).alias("length"), _matches(words, query.tree, {c: w[f"in_{c}"] for c in used}).alias("hit"), *counts)
+
+    # a one-element array binds the tokens to a name, so that they are made once
+    counted = docs.select(F.col(id_col).alias("id"), F.transform(F.array(arrays), measured)[0].alias("m"))
+    some = F.col("m.length") > 0
+    totals = counted.agg(F.count_if(some).alias("n"), F.sum(F.col("m.length").cast("long")).alias("words"), *(F.count_if(F.col(f"m.tf{i}") > 0).alias(f"df{i}") for i in range(len(scored))))
     row = totals.first()
     n, mean = row["n"], (row["words"] or 0) / max(row["n"], 1)
     score = F.lit(0.0)
     for i in range(len(scored)):
-        tf, df = F.col(f"tf{i}"), row[f"df{i}"]
+        tf, df = F.col(f"m.tf{i}"), row[f"df{i}"]
         idf = F.log(F.lit(1 + (n - df + 0.5) / (df + 0.5)))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(float(max(mean, 1e-9)))))
-    return counted.filter("hit").select("id", F.round(-score, 6).alias("rank"))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("m.length") / F.lit(float(max(mean, 1e-9)))))
+    return counted.filter(F.col("m.hit") & some).select("id", F.round(-score, 6).alias("rank"))
 
 
 def search_many(index: DataFrame, queries: DataFrame, n_docs: int, mean_length: float) -> DataFrame:
     """Ranks for many word queries at once: index of :func:`postings`, queries (query_id, term) all of which must occur.
 
-    Joined on the term; a term's postings are read once for all queries.
+    A query's rarest term gives its candidates; only those are held against its
+    other terms, by an equi-join on term and document.
     """
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     wanted = queries.distinct()
     sizes = wanted.groupBy("query_id").agg(F.count("*").alias("terms"))
+    known = wanted.join(df, "term")
+    rarest = known.groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count("*").alias("found")).join(sizes, "query_id").filter("found = terms")
+    candidates = rarest.select("query_id", "term", "terms").join(index.select("term", "id"), "term").select("query_id", "id", "terms")
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean_length))
-    hits = index.join(wanted, "term").join(df, "term").groupBy("query_id", "id").agg(F.count("*").alias("found"), F.sum(part).alias("score"))
-    return hits.join(sizes, "query_id").filter("found = terms").select("query_id", "id", (-F.col("score")).alias("rank"))
+    hits = candidates.join(known, "query_id").join(index, ["term", "id"]).groupBy("query_id", "id").agg(F.first("terms").alias("terms"), F.count("*").alias("found"), F.sum(part).alias("score"))
+    return hits.filter("found = terms").select("query_id", "id", (-F.col("score")).alias("rank"))
 
 
 def snippet(text: Column, terms: list[str], width: int = 10, before: str = "<b>", after: str = "</b>", ellipsis: str = "...") -> Column:

@@ -2,9 +2,7 @@
 
 The tables hold no source code, so columns stand in for code concepts: a
 customer refers to a nation, a document is a file, a url is a path.  Every
-query runs over its whole tables, but for those whose SQL filters them:
-override_pairs (customers above 9000), tiered_resolution and resolution_stats
-(suppliers above 4000).  Each has a namesake in _whole without the filter.
+query runs over its whole tables.
 """
 
 from __future__ import annotations
@@ -14,8 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight import schema
 from quarrylight.functions import ranges, text
+from quarrylight.functions.text import tokens
 from quarrylight.operators import dedupe, diff, graph, intervals, paging, paths, refs, resolve, scope, search, summary
+from quarrylight.sources import discovery
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,8 +61,50 @@ def bm25_search(spark, sf_dir):
 @query(f"""WITH {_BM25}, s AS (SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' AS j FROM d)
 SELECT doc_id FROM s WHERE contains(j, ' apache license ') AND (list_contains(ws, 'the') OR list_contains(ws, 'de')) AND NOT list_contains(ws, 'idiot') AND len(list_filter(ws, lambda x: starts_with(x, 'vers'))) > 0""")
 def query_syntax(spark, sf_dir):
-    """A phrase, an OR, a NOT and a prefix."""
-    return search.search(table(spark, sf_dir, "documents"), '"Apache License" the OR de NOT idiot vers*', "doc_id", ["text"]).select(F.col("id").alias("doc_id"))
+    """A phrase, an OR in parentheses, a NOT and a prefix."""
+    return search.search(table(spark, sf_dir, "documents"), '"Apache License" AND (the OR de) NOT idiot AND vers*', "doc_id", ["text"]).select(F.col("id").alias("doc_id"))
+
+
+@query(f"""WITH {_BM25}, s AS (SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' AS j FROM d)
+SELECT doc_id FROM s WHERE (list_contains(ws, 'the') AND list_contains(ws, 'version')) OR contains(j, ' de la ') OR (contains(j, ' apache license ') AND NOT (list_contains(ws, 'idiot') OR contains(j, ' under the ')))""")
+def query_precedence(spark, sf_dir):
+    """Side by side binds more than NOT, NOT more than AND, AND more than OR; phrases stand inside either."""
+    return search.search(table(spark, sf_dir, "documents"), 'the version OR "de la" OR "apache license" NOT (idiot OR "under the")', "doc_id", ["text"]).select(F.col("id").alias("doc_id"))
+
+
+@query("SELECT p_partkey FROM part WHERE (starts_with(lower(p_name), 's') OR regexp_matches(lower(p_name), '[^a-z0-9]s')) OR (lower(p_type) = 'economy' AND NOT regexp_matches(lower(p_brand), '(^|[^a-z0-9])1[0-9]'))")
+def query_columns(spark, sf_dir):
+    """Words that count in one column alone."""
+    hits = search.search(table(spark, sf_dir, "part"), "p_name:s* OR p_type:economy NOT p_brand:1*", "p_partkey", ["p_name", "p_type", "p_brand"])
+    return hits.select(F.col("id").alias("p_partkey"))
+
+
+@query("SELECT count(*) AS n FROM documents WHERE list_contains(" + _TOKENS.format("coalesce(text, '')") + ", 'license')")
+def search_count(spark, sf_dir):
+    """How many documents a query finds."""
+    return search.search(table(spark, sf_dir, "documents"), "license", "doc_id", ["text"]).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, 0.0::DOUBLE AS rank FROM documents WHERE false")
+def search_nothing(spark, sf_dir):
+    """A query without words finds nothing."""
+    return search.search(table(spark, sf_dir, "documents"), ' " ', "doc_id", ["text"]).select(F.col("id").alias("doc_id"), "rank")
+
+
+@query(r"""SELECT t AS term, count(*) AS n FROM (SELECT unnest(list_filter(string_split_regex(lower(strip_accents(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS t FROM documents) GROUP BY t""")
+def folded_terms(spark, sf_dir):
+    """Terms without diacritics, and how often they occur."""
+    return table(spark, sf_dir, "documents").select(F.explode(tokens(F.col("text"), folded=True)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
+h AS (SELECT *, list_transform(ws, lambda x: CASE WHEN lower(regexp_replace(x, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')) IN ('the', 'version') THEN 1 ELSE 0 END) AS hs, greatest(len(ws) - 10, 0) AS last FROM w),
+b AS (SELECT *, list_transform(range(0, last + 1), lambda i: list_sum(hs[i+1:i+10])) AS c FROM h), p AS (SELECT *, list_position(c, list_max(c)) - 1 AS best FROM b)
+SELECT doc_id, (CASE WHEN best > 0 THEN '...' ELSE '' END) || coalesce(array_to_string(list_transform(range(best + 1, least(best + 10, len(ws)) + 1), lambda i: CASE WHEN hs[i] = 1 THEN '<b>' || ws[i] || '</b>' ELSE ws[i] END), ' '), '') || (CASE WHEN best < last THEN '...' ELSE '' END) AS snippet FROM p WHERE len(ws) > 0""")
+def snippets(spark, sf_dir):
+    """The ten words of each document with the most hits, marked."""
+    docs = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
+    return docs.select("doc_id", search.snippet(F.col("text"), ["the", "version"]).alias("snippet"))
 
 
 @query("SELECT doc_id FROM documents WHERE contains(' ' || array_to_string(" + _TOKENS.format("text") + ", ' ') || ' ', ' version 2 ')")
@@ -76,20 +119,17 @@ def postings(spark, sf_dir):
     return search.postings(table(spark, sf_dir, "documents"), "doc_id", ["text"]).withColumn("length", F.col("length").cast("long"))
 
 
-_FIRST_WORDS = f"list_sort(list_distinct({_TOKENS.format('text')}))[1:3]"
-
-
-@query(f"""WITH {_BM25}, q AS (SELECT DISTINCT item_id, unnest({_FIRST_WORDS}) AS t FROM benchmark),
+@query(f"""WITH {_BM25}, q AS (SELECT DISTINCT item_id, unnest({_TOKENS.format('text')}) AS t FROM benchmark),
 qs AS (SELECT item_id, count(*) AS k FROM q GROUP BY item_id), p AS (SELECT t AS term, doc_id, any_value(l) AS l, count(*) AS tf FROM (SELECT doc_id, l, unnest(ws) AS t FROM d) GROUP BY t, doc_id),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY term), h AS (SELECT item_id, doc_id, count(*) AS found, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))) AS s FROM q JOIN p ON p.term = q.t JOIN f USING (term), t GROUP BY item_id, doc_id)
 SELECT item_id, doc_id, round(-s, 4) AS rank FROM h JOIN qs USING (item_id) WHERE found = k""")
 def search_many(spark, sf_dir):
-    """The first three words of every benchmark item, in order, searched at once."""
-    index = search.postings(table(spark, sf_dir, "documents"), "doc_id", ["text"]).persist()
-    lengths = index.select("id", "length").distinct().agg(F.count("*"), F.avg("length")).first()
-    words = F.slice(F.array_sort(F.array_distinct(text.tokens(F.col("text")))), 1, 3)
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(words).alias("term"))
-    return search.search_many(index, asked, lengths[0], lengths[1] or 1.0).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("rank", 4).alias("rank"))
+    """All words of every benchmark item, searched at once."""
+    docs = table(spark, sf_dir, "documents")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
+    index = search.postings(docs, "doc_id", ["text"], asked).persist()
+    hits = search.search_many(index, asked, *search.lengths(docs, ["text"]))
+    return hits.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("rank", 4).alias("rank"))
 
 
 @query("""WITH x AS (SELECT min(p_name) AS q FROM part) SELECT p_partkey, 1.0::DOUBLE AS rank FROM part, x WHERE p_name = q
@@ -302,16 +342,16 @@ def content_duplicates(spark, sf_dir):
     return dedupe.content_copies(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
 
 
-_TIERS = """c AS (SELECT c_custkey, c_nationkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey), s AS (SELECT s_suppkey, s_nationkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 4000),
+_TIERS = """c AS (SELECT c_custkey, c_nationkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey), s AS (SELECT s_suppkey, s_nationkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 a AS (SELECT s_nationkey AS k, count(*) AS n, min(s_suppkey) AS f FROM s GROUP BY 1), b AS (SELECT n_regionkey AS k, count(*) AS n, min(s_suppkey) AS f FROM s GROUP BY 1),
 res AS (SELECT c_custkey, coalesce(a.n, b.n, 0) AS n_candidates, coalesce(a.f, b.f) AS target, CASE WHEN a.n IS NOT NULL THEN 'nation' WHEN b.n IS NOT NULL THEN 'region' ELSE 'none' END AS reason, CASE WHEN a.n IS NOT NULL THEN 1.0 WHEN b.n IS NOT NULL THEN 0.9 ELSE 0.0 END AS top FROM c LEFT JOIN a ON a.k = c_nationkey LEFT JOIN b ON b.k = c.n_regionkey),
 rr AS (SELECT c_custkey, CASE WHEN n_candidates = 0 THEN 'unresolved' WHEN n_candidates = 1 THEN 'resolved' ELSE 'ambiguous' END AS resolution, target, CASE WHEN n_candidates > 1 THEN 0.5 ELSE top END::DOUBLE AS confidence, reason, n_candidates FROM res)"""
 
 
-def _resolved(spark, sf_dir, suppliers="s_acctbal > 4000"):
+def _resolved(spark, sf_dir):
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     occurrences = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_nationkey", "n_regionkey")
-    symbols = table(spark, sf_dir, "supplier").filter(suppliers).join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_nationkey", "n_regionkey")
+    symbols = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_nationkey", "n_regionkey")
     tiers = [("nation", 1.0, ["n_nationkey"], symbols), ("region", 0.9, ["n_regionkey"], symbols)]
     return resolve.resolve_tiers(occurrences, tiers, "s_suppkey").select("c_custkey", "resolution", "target", "confidence", "reason", "n_candidates")
 
@@ -327,17 +367,6 @@ def resolution_stats(spark, sf_dir):
     return summary.resolution_counts(_resolved(spark, sf_dir), "resolution", resolve.STATES)
 
 
-@query()
-def tiered_resolution_whole(spark, sf_dir):
-    """As tiered_resolution, among all suppliers."""
-    return _resolved(spark, sf_dir, "true")
-
-
-@query()
-def resolution_stats_whole(spark, sf_dir):
-    return summary.resolution_counts(_resolved(spark, sf_dir, "true"), "resolution", resolve.STATES)
-
-
 @query("""WITH p AS (SELECT p_partkey, p_brand, p_type FROM part), t AS (SELECT a.p_partkey, b.p_partkey AS c, 0 AS tier FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey
 UNION ALL SELECT p_partkey, s_suppkey, 1 FROM part JOIN supplier ON p_size = s_nationkey), m AS (SELECT p_partkey, min(tier) AS tier FROM t GROUP BY 1), g AS (SELECT p_partkey, tier, count(DISTINCT c) AS n, min(c) AS target FROM t JOIN m USING (p_partkey, tier) GROUP BY 1, 2)
 SELECT p.p_partkey, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS resolution, target, coalesce(n, 0) AS n_candidates FROM p LEFT JOIN g USING (p_partkey)""")
@@ -413,13 +442,25 @@ def graph_expand(spark, sf_dir):
     return edges
 
 
-@query()
+_EXPANDED = f"""{_EDGES}, n0 AS (SELECT 0::BIGINT AS id), e1 AS (SELECT s, t, kind FROM e WHERE (s IN (SELECT id FROM n0) AND kind = 'contains') OR (t IN (SELECT id FROM n0) AND kind = 'calls')), n1 AS (SELECT s AS id FROM e1 UNION SELECT t FROM e1),
+e2 AS (SELECT s, t, kind FROM e WHERE (s IN (SELECT id FROM n1) AND kind = 'contains') OR (t IN (SELECT id FROM n1) AND kind = 'calls')), g AS (SELECT *, 1 AS level FROM e1 UNION ALL SELECT *, 2 FROM e2),
+nodes AS (SELECT id, min(level) AS level FROM (SELECT id, 0 AS level FROM n0 UNION ALL SELECT s, level FROM g UNION ALL SELECT t, level FROM g) GROUP BY id), few AS (SELECT id FROM nodes ORDER BY level, id LIMIT 30)"""
+
+
+@query(f"""WITH {_EXPANDED} SELECT s AS source, t AS target, kind, level, NOT (s IN (SELECT id FROM few) AND t IN (SELECT id FROM few)) AS dangling
+FROM (SELECT s, t, kind, min(level)::INTEGER AS level FROM g GROUP BY s, t, kind ORDER BY level, s, t, kind LIMIT 40)""")
 def graph_expand_capped(spark, sf_dir):
     """As graph_expand, cut to 30 nodes and 40 edges in a fixed order."""
     _, edges, _ = graph.expand(_edges(spark, sf_dir), 0, "s", "t", "kind", ["contains"], ["calls"], depth=2, max_nodes=30, max_edges=40)
     return edges
 
 
+@query(f"WITH {_EDGES} SELECT DISTINCT s AS source, t AS target, kind, CASE WHEN s = 103 THEN 'out' ELSE 'in' END AS way FROM e WHERE s = 103 OR t = 103")
+def graph_neighbours(spark, sf_dir):
+    """Edges from and to a node."""
+    return graph.neighbours(_edges(spark, sf_dir), 103, "s", "t", "kind")
+
+
 @query("""WITH s AS (SELECT r_regionkey::BIGINT AS id, NULL::BIGINT AS parent, r_name AS name FROM region UNION ALL SELECT 100 + n_nationkey, n_regionkey, n_name FROM nation UNION ALL SELECT 1000 + c_custkey, 100 + c_nationkey, c_name FROM customer),
 k AS (SELECT id, row_number() OVER (PARTITION BY parent ORDER BY name, id) AS place FROM s)
 SELECT id, (CASE WHEN id < 100 THEN 0 WHEN id < 1000 THEN 1 ELSE 2 END)::INTEGER AS level, place::INTEGER AS place FROM k""")
@@ -433,20 +474,10 @@ def outline(spark, sf_dir):
 
 
 @query("""SELECT a.n_nationkey AS derived, b.n_nationkey AS base, x.c_mktsegment AS name, x.c_custkey AS derived_member, y.c_custkey AS base_member FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey > b.n_nationkey
-JOIN customer x ON x.c_nationkey = a.n_nationkey JOIN customer y ON y.c_nationkey = b.n_nationkey AND y.c_mktsegment = x.c_mktsegment WHERE x.c_acctbal > 9000 AND y.c_acctbal > 9000""")
+JOIN customer x ON x.c_nationkey = a.n_nationkey JOIN customer y ON y.c_nationkey = b.n_nationkey AND y.c_mktsegment = x.c_mktsegment""")
 def override_pairs(spark, sf_dir):
     """Members of the same name in linked nations."""
-    return _override_pairs(spark, sf_dir, table(spark, sf_dir, "customer").filter("c_acctbal > 9000"))
-
-
-@query()
-def override_pairs_whole(spark, sf_dir):
-    """As override_pairs, among all customers."""
-    return _override_pairs(spark, sf_dir, table(spark, sf_dir, "customer"))
-
-
-def _override_pairs(spark, sf_dir, members):
-    nation = table(spark, sf_dir, "nation")
+    nation, members = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
     links = nation.select(F.col("n_nationkey").alias("derived"), "n_regionkey").join(nation.select(F.col("n_nationkey").alias("base"), "n_regionkey"), "n_regionkey").filter("derived > base")
     return refs.pairs_by_name(members, members, links, "c_nationkey", "c_mktsegment", "c_custkey")
 
@@ -498,3 +529,107 @@ def range_and_list_filter(spark, sf_dir):
     """Range containment and an IN list, both in the scan's pushed filters."""
     orders = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus").isin("F", "O"))
     return intervals.inside(orders, 50000, 150000, "o_totalprice", "o_totalprice").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+def _page(spark, sf_dir, name, columns, order, limit, offset):
+    return paging.page(table(spark, sf_dir, name).select(*columns), order, limit, offset)
+
+
+_TOTALS = "(SELECT count(*) FROM {0}) AS total, (SELECT {1} < count(*) FROM {0}) AS has_more"
+
+
+@query(f"SELECT o_custkey, o_orderdate, o_orderkey, {_TOTALS.format('orders', 200)} FROM orders ORDER BY o_custkey, o_orderdate, o_orderkey LIMIT 100 OFFSET 100")
+def references_page(spark, sf_dir):
+    """Sorted by several keys, as references are by path, line and column."""
+    return _page(spark, sf_dir, "orders", ["o_custkey", "o_orderdate", "o_orderkey"], [F.col("o_custkey"), F.col("o_orderdate"), F.col("o_orderkey")], 100, 100)
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, {_TOTALS.format('lineitem', 60)} FROM lineitem ORDER BY l_orderkey, l_linenumber DESC, l_partkey LIMIT 50 OFFSET 10")
+def outline_order(spark, sf_dir):
+    """Start, then end from the last, then name: what encloses comes first."""
+    return _page(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey"], [F.col("l_orderkey"), F.desc("l_linenumber"), F.col("l_partkey")], 50, 10)
+
+
+@query(f"SELECT c_custkey, c_acctbal >= 0 AS is_definition, c_nationkey, {_TOTALS.format('customer', 30)} FROM customer ORDER BY is_definition DESC, c_nationkey, c_custkey LIMIT 30 OFFSET 0")
+def definitions_first(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") >= 0).alias("is_definition"), "c_nationkey")
+    return paging.page(rows, [F.desc("is_definition"), F.col("c_nationkey"), F.col("c_custkey")], 30, 0)
+
+
+@query(f"SELECT event_id, ts, {_TOTALS.format('events', 40)} FROM events ORDER BY ts DESC, event_id LIMIT 20 OFFSET 20")
+def newest_first(spark, sf_dir):
+    """As diagnostics are listed."""
+    return _page(spark, sf_dir, "events", ["event_id", "ts"], [F.desc("ts"), F.col("event_id")], 20, 20)
+
+
+@query("""WITH p AS (SELECT regexp_extract(url, '^[a-z]+://(.*)$', 1) AS path FROM pages), c AS (SELECT split_part(path, '/', 1) AS name, contains(path, '/') AS d FROM p WHERE path <> ''), k AS (SELECT name, max(d) AS is_dir FROM c WHERE name <> '' GROUP BY name)
+SELECT name, is_dir, (SELECT count(*) FROM k) AS total, (SELECT 15 < count(*) FROM k) AS has_more FROM k WHERE NOT (name LIKE '%.org' OR name = 'x')""")
+def tree_ignoring(spark, sf_dir):
+    """A directory's children without those of ignored names, directories first."""
+    below = paths.children(table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://(.*)$", 1).alias("path")), "path")
+    total = below.count()
+    return below.filter(~paths.ignored(F.col("name"), ["*.org", "x"])).withColumns({"total": F.lit(total).cast("long"), "has_more": F.lit(total > 15)})
+
+
+@query("SELECT o_orderkey, c_name, n_name FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50) JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def page_with_names(spark, sf_dir):
+    """What a page of hits shows beside them is joined, not looked up one by one."""
+    hits = table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50)
+    named = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return hits.join(named, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name", "n_name")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size = 0 THEN 0 ELSE p_size END::INTEGER AS arity, 0 AS of_void, NULL::INTEGER AS of_none FROM part")
+def arities(spark, sf_dir):
+    """Parameters of signatures with commas inside brackets, however deep."""
+    one = F.concat(F.lit("Map<A, List<B, (C, D)>> x = f({1, [2, 3]}) /* "), F.col("p_brand"), F.lit(" */"))
+    signature = F.concat(F.lit("("), F.array_join(F.when(F.col("p_size") > 0, F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda i: one)).otherwise(F.array().cast("array<string>")), ", "), F.lit(") const"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.arity(signature).alias("arity"), text.arity(F.lit("( void )")).alias("of_void"), text.arity(F.lit("x")).alias("of_none"))
+
+
+@query("SELECT p_partkey, p_brand || '.' || p_type AS name FROM part")
+def dotted_names(spark, sf_dir):
+    """C# names without global::, generics and marks."""
+    written = F.concat(F.lit("global::"), F.col("p_brand"), F.lit("::"), F.col("p_type"), F.lit("<List<int>, "), F.col("p_name"), F.lit(">[]?"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.dotted_name(written).alias("name"))
+
+
+@query("SELECT c_custkey, ((CASE WHEN c_acctbal > 0 THEN 8 ELSE 0 END) + (CASE WHEN c_mktsegment LIKE 'A%' THEN 64 ELSE 0 END) + 1)::INTEGER AS mask FROM customer")
+def modifier_masks(spark, sf_dir):
+    """Names of modifiers to bits, and back; unknown names and repeats count for nothing."""
+    names = F.filter(F.array(F.lit("declaration"), F.lit("declaration"), F.lit("unheard"), F.when(F.col("c_acctbal") > 0, "static"), F.when(F.col("c_mktsegment").startswith("A"), "async")), lambda x: x.isNotNull())
+    mask = text.modifier_mask(names, schema.TOKEN_MODIFIERS)
+    return table(spark, sf_dir, "customer").select("c_custkey", text.modifier_mask(text.mask_modifiers(mask, schema.TOKEN_MODIFIERS), schema.TOKEN_MODIFIERS).alias("mask"))
+
+
+@query("SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) ELSE printf('%.1f MB', n / 1048576.0) END AS size FROM (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents)")
+def byte_sizes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.byte_size(F.octet_length(F.coalesce("text", F.lit(""))).cast("long")).alias("size"))
+
+
+@query("SELECT page_id, url AS path, replace(url, '.', '/') AS module, regexp_matches(url, '[$`{}]') AS dynamic FROM pages")
+def path_names(spark, sf_dir):
+    """Written paths without quotes, as modules, and whether only a run could tell them."""
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", text.unquote(F.concat(F.lit("  <"), url, F.lit("> "))).alias("path"), text.module_path(url).alias("module"), text.is_dynamic(url).alias("dynamic"))
+
+
+@query("SELECT page_id, regexp_matches(url, '^([^/]*//)?.*/(en|de)/[^/]*$') AND NOT regexp_matches(url, '^(.*/)?[^/]*\\?[^/]*$') AS inside FROM pages")
+def globs(spark, sf_dir):
+    """Include and exclude patterns; excludes win."""
+    return table(spark, sf_dir, "pages").select("page_id", discovery.included(F.col("url"), ["**/en/*", "**/de/*"], ["**/*?page=*", "**/*?utm*", "**/*?ref*"]).alias("inside"))
+
+
+@query("SELECT p_partkey, p_name, CASE WHEN p_brand <> 'Brand#13' THEN p_type END AS hash FROM part")
+def settings_changed(spark, sf_dir):
+    """Files whose settings changed lose their hash, so that the next run takes them as changed."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", F.col("p_type").alias("hash"))
+    return diff.forget_hashes(rows, "hash", F.col("p_brand") == "Brand#13").drop("p_brand")
+
+
+@query("SELECT s_suppkey, count(DISTINCT l_partkey) AS callees, count(DISTINCT l_orderkey) AS referencers FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey")
+def detail_counts(spark, sf_dir):
+    """Distinct counts beside each row, for all rows at once."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), "l_partkey", "l_orderkey")
+    count = lambda c, name: lines.select("s_suppkey", c).distinct().groupBy("s_suppkey").agg(F.count("*").alias(name))
+    return summary.composite(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey", {"callees": count("l_partkey", "callees"), "referencers": count("l_orderkey", "referencers")})

@@ -16,20 +16,34 @@ def one(spark, column, value="x", kind="string"):
     return spark.createDataFrame([(value,)], f"v {kind}").select(column.alias("r")).first()["r"]
 
 
-@pytest.mark.parametrize(("query", "terms", "prefixes", "phrases", "either", "without"), [
-    ("a b", ["a", "b"], [], [], [], []),
-    ("a AND b*", ["a"], ["b"], [], [], []),
-    ("x a OR b OR c NOT d", ["x"], [], [], [["a", "b", "c"]], ["d"]),
-    ('"one two" z', ["z"], [], [["one", "two"]], [], []),
-    ("a::b", [], [], [["a", "b"]], [], []),
-    ('"open', [], [], [["open"]], [], []),
-    ("OR", [], [], [["or"]], [], []),
-    ("a AND (b", [], [], [["a", "and", "b"]], [], []),
-    ("  ", [], [], [], [], []),
+def w(*words):
+    return [("word", x) for x in words]
+
+
+@pytest.mark.parametrize(("query", "tree"), [
+    ("a b", ("and", w("a", "b"))),
+    ("a AND b*", ("and", [("word", "a"), ("prefix", "b")])),
+    ("x a OR b OR c NOT d", ("or", [("and", w("x", "a")), ("word", "b"), ("not", ("word", "c"), ("word", "d"))])),
+    ('"one two" z', ("and", [("phrase", ["one", "two"], False), ("word", "z")])),
+    ('"a b" OR c', ("or", [("phrase", ["a", "b"], False), ("word", "c")])),
+    ('x NOT "a b"', ("not", ("word", "x"), ("phrase", ["a", "b"], False))),
+    ("pre* OR x NOT y*", ("or", [("prefix", "pre"), ("not", ("word", "x"), ("prefix", "y"))])),
+    ("(a OR b) c", ("and", [("or", w("a", "b")), ("word", "c")])),
+    ("a OR b AND c", ("or", [("word", "a"), ("and", w("b", "c"))])),
+    ('"one tw"*', ("phrase", ["one", "tw"], True)),
+    ("name:x OR text:(a b)", ("or", [("in", "name", ("word", "x")), ("in", "text", ("and", w("a", "b")))])),
+    ("other:x", ("phrase", ["other", "x"], False)),
+    ("a::b", ("phrase", ["a", "b"], False)),
+    ('"open', ("word", "open")),
+    ("OR", ("word", "or")),
+    ("NOT a", ("phrase", ["not", "a"], False)),
+    ("a AND (b", ("phrase", ["a", "and", "b"], False)),
+    ("(" * 500 + "a" + ")" * 500, ("word", "a")),
+    ("  ", None),
+    ("()", None),
 ])
-def test_query_syntax(query, terms, prefixes, phrases, either, without):
-    q = search.parse_query(query)
-    assert (q.terms, q.prefixes, q.phrases, q.either, q.without) == (terms, prefixes, phrases, either, without)
+def test_query_syntax(query, tree):
+    assert search.parse_query(query, ["name", "text"]).tree == tree
 
 
 @settings(max_examples=200, suppress_health_check=list(HealthCheck), deadline=None)
@@ -50,6 +64,23 @@ def test_search_and_snippets(spark):
     assert one(spark, search.snippet(F.col("v"), ["fox"]), "short") == "short"
 
 
+def test_search_folds_diacritics(spark):
+    docs = spark.createDataFrame([(1, "Caf\u00e9 noir"), (2, "cafe\u0301 au lait"), (3, "cafe"), (4, "caf")], "id long, text string")
+    assert {r.id for r in search.search(docs, "cafe", "id", ["text"], folded=True).collect()} == {1, 2, 3}
+    assert {r.id for r in search.search(docs, "cafe", "id", ["text"]).collect()} == {2, 3}
+
+
+def test_deep_outline(spark):
+    df = spark.createDataFrame([(i, i - 1 if i else None, "n") for i in range(40)], "id long, parent long, name string")
+    got = {r.id: r.level for r in graph.outline(df, "id", "parent", ["name"]).collect()}
+    assert got == {i: i for i in range(40)}
+
+
+def test_brackets_of_any_depth(spark):
+    deep = "(" + "<" * 30 + "a, b" + ">" * 30 + " x, int y)"
+    assert one(spark, text.arity(F.col("v")), deep) == 2
+
+
 def test_wildcards_stay_in_buckets(spark):
     rows = spark.createDataFrame([("abc",), ("ABC",), ("xabc",), ("abd",), ("zz",)], "n string")
     assert {(r.n, r.bucket) for r in search.bucketed(rows, "abc", "n").collect()} == {("abc", 0), ("ABC", 0), ("xabc", 2)}
@@ -176,7 +207,8 @@ def test_closure_and_expansion(spark):
 def test_outline_of_orphans_and_loops(spark):
     df = spark.createDataFrame([(1, None, "b"), (2, 1, "y"), (3, 1, "x"), (4, 99, "a"), (5, 6, "p"), (6, 5, "q")], "id long, parent long, name string")
     got = {r.id: (r.level, r.place) for r in graph.outline(df, "id", "parent", ["name"]).collect()}
-    assert got[1][0] == 0 and got[4][0] == 0 and got[3] == (1, 1) and got[2] == (1, 2) and 5 not in got
+    assert got[1][0] == 0 and got[4][0] == 0 and got[3] == (1, 1) and got[2] == (1, 2)
+    assert got[5][0] == 0 and got[6][0] == 1 and len(got) == 6  # a cycle begins at its smallest member
 
 
 def test_paths(spark):
