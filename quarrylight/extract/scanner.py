@@ -604,7 +604,7 @@ class Scan:
         if m[1] == "define":
             self.facts.symbol(m[2], "macro", "", self.byte(lo), self.byte(hi), delimiter=self.delimiter)
         else:
-            self.facts.occurrence(m[2].strip("\"<>"), "include", ctx.scope, self.byte(lo), self.byte(hi), SEEN)
+            self.facts.occurrence(m[2].strip('"'), "include", ctx.scope, self.byte(lo), self.byte(hi), SEEN)
 
     def scopes(self):
         """The innermost scope at each place, for places in rising order."""

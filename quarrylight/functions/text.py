@@ -43,7 +43,10 @@ def symbol_key(language: Column, path: Column, kind: Column, qualified_name: Col
 
 
 def without_nested(text: Column, open_: str, close: str) -> Column:
-    """The text without bracketed parts, however deep; a bracket without a partner stays out of the count."""
+    """The text without bracketed parts, however deep: from the innermost out by patterns, and a walk where more levels are left."""
+    inner = "\\" + open_ + "[^\\" + open_ + "\\" + close + "]*\\" + close
+    for _ in range(4):
+        text = F.regexp_replace(text, inner, "")
     start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("kept"))
 
     def step(acc: Column, c: Column) -> Column:
@@ -53,8 +56,9 @@ def without_nested(text: Column, open_: str, close: str) -> Column:
             F.when((c == open_) | inside | (acc["depth"] > 0), acc["kept"]).otherwise(F.concat(acc["kept"], c)).alias("kept"),
         )
 
-    walked = F.aggregate(F.split(text, ""), start, step, lambda acc: acc["kept"])
-    return F.when(text.contains(open_), walked).otherwise(text)
+    walked = lambda t: F.aggregate(F.split(t, ""), start, step, lambda acc: acc["kept"])
+    # a one-element array binds the text to a name, so that calls within calls don't multiply
+    return F.transform(F.array(text), lambda t: F.when(F.contains(t, F.lit(open_)) & F.contains(t, F.lit(close)), walked(t)).otherwise(t))[0]
 
 
 def parameters(signature: Column) -> Column:

@@ -72,7 +72,7 @@ def query_precedence(spark, sf_dir):
     return search.search(table(spark, sf_dir, "documents"), 'the version OR "de la" OR "apache license" NOT (idiot OR "under the")', "doc_id", ["text"]).select(F.col("id").alias("doc_id"))
 
 
-@query("SELECT p_partkey FROM part WHERE (starts_with(lower(p_name), 's') OR regexp_matches(lower(p_name), '[^a-z0-9]s')) OR (lower(p_type) = 'economy' AND NOT regexp_matches(lower(p_brand), '(^|[^a-z0-9])1[0-9]'))")
+@query("SELECT p_partkey FROM part WHERE (starts_with(lower(p_name), 's') OR regexp_matches(lower(p_name), '[^a-z0-9]s')) OR (lower(p_type) = 'economy' AND NOT regexp_matches(lower(p_brand), '(^|[^a-z0-9])1'))")
 def query_columns(spark, sf_dir):
     """Words that count in one column alone."""
     hits = search.search(table(spark, sf_dir, "part"), "p_name:s* OR p_type:economy NOT p_brand:1*", "p_partkey", ["p_name", "p_type", "p_brand"])
@@ -602,7 +602,7 @@ def modifier_masks(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", text.modifier_mask(text.mask_modifiers(mask, schema.TOKEN_MODIFIERS), schema.TOKEN_MODIFIERS).alias("mask"))
 
 
-@query("SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) ELSE printf('%.1f MB', n / 1048576.0) END AS size FROM (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents)")
+@query("SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n * 10 / 1024.0 + 0.5) / 10) ELSE printf('%.1f MB', floor(n * 10 / 1048576.0 + 0.5) / 10) END AS size FROM (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents)")
 def byte_sizes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.byte_size(F.octet_length(F.coalesce("text", F.lit(""))).cast("long")).alias("size"))
 
