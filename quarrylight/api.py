@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight import schema
+from quarrylight.extract import highlight
 from quarrylight.functions import ranges
 from quarrylight.functions.text import modifier_mask
-from quarrylight.operators import graph, intervals, paging, paths, refs, scope, search, summary
+from quarrylight.operators import diff, graph, intervals, paging, paths, refs, scope, search, summary
 from quarrylight.sources.store import Store
 
 class Api:
@@ -43,6 +44,25 @@ class Api:
         self.store.insert_missing("workspace", row, ["id"])
         return id_
 
+    def workspace(self, ws: int) -> DataFrame:
+        return self.store.table("workspace").filter(F.col("id") == ws)
+
+    def change_workspace(self, ws: int, name: str | None = None, include: list[str] | None = None, exclude: list[str] | None = None) -> None:
+        """Changes what is given.  New globs take effect with the next run; the stored hashes are forgotten, so it parses every file anew."""
+        new = {"name": name, "include": include, "exclude": exclude}
+        value = lambda v: F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, list) else F.lit(v)
+        own = F.col("id") == ws
+        changed = self.store.table("workspace").withColumns({k: F.when(own, value(v)).otherwise(F.col(k)) for k, v in new.items() if v is not None})
+        self.store.commit({"workspace": changed.withColumn("revision", F.when(own, F.col("revision") + 1).otherwise(F.col("revision")))})
+        if include is not None or exclude is not None:
+            self.store.commit({"file": diff.forget_hashes(self._own("file", ws), "content_hash", F.lit(True))}, ws)
+
+    def status(self, ws: int) -> DataFrame:
+        """The workspace's state by its newest job: idle without one, indexing while it runs, error when it failed, else ready."""
+        newest = self.store.latest_jobs(ws, 1).select(F.col("workspace_id").alias("id"), F.col("status").alias("_job"), F.col("at").alias("since"))
+        state = F.when(F.col("_job").isNull(), "idle").when(F.col("_job").isin("queued", "running", "cancelling"), "indexing").when(F.col("_job") == "failed", "error").otherwise("ready")
+        return self.workspace(ws).select("id", "name", "revision").join(newest, "id", "left").select("id", "name", "revision", state.alias("status"), "since")
+
     def delete_workspace(self, ws: int) -> None:
         self.store.delete_workspace(ws)
 
@@ -121,11 +141,22 @@ class Api:
         return shown.withColumns({"symbol_id": F.when(~hidden, F.col("symbol_id")), "resolution": F.when(hidden, "unresolved").otherwise(F.col("resolution"))}).drop("_seen").orderBy("start_byte", "end_byte")
 
     def highlights(self, ws: int, file_id: int) -> DataFrame:
-        """Tokens by line and column, from a file's symbols and occurrences; type and modifiers as places in the legend."""
+        """Tokens by line and column, from a file's symbols, its occurrences and its text; type and modifiers as places in the legend.
+
+        Of tokens that begin at one place the symbol is shown, else the occurrence,
+        else what the text alone says.
+        """
         names = self.file_symbols(ws, file_id).filter("kind <> 'module'").select("start_line", "start_column", (F.col("end_byte") - F.col("start_byte")).alias("length"), F.when(F.col("kind") == "field", "property").when(F.col("kind") == "enum_member", "enumMember").when(F.col("kind") == "type_alias", "type").otherwise(F.col("kind")).alias("type"), F.when(F.col("is_definition"), F.array(F.lit("declaration"), F.lit("definition"))).otherwise(F.array(F.lit("declaration"))).alias("modifiers"))
         uses = self.occurrences(ws, file_id).filter("kind in ('call', 'reference')").select("start_line", "start_column", (F.col("end_byte") - F.col("start_byte")).alias("length"), F.when(F.col("kind") == "call", "function").otherwise("variable").alias("type"), F.array().cast("array<string>").alias("modifiers"))
+        language = self.file(ws, file_id).select(F.col("id").alias("file_id"), "language")
+        text = self._seen("file_content", ws).filter(F.col("file_id") == file_id).join(language, "file_id")
+        lexical = highlight.lexical(text).withColumn("modifiers", F.array().cast("array<string>"))
+        ranked = [df.withColumn("_rank", F.lit(i)) for i, df in enumerate((names, uses, lexical))]
+        every = ranked[0].unionByName(ranked[1]).unionByName(ranked[2])
+        first = every.groupBy("start_line", "start_column").agg(F.min(F.struct("_rank", F.col("length").alias("length"), "type", "modifiers")).alias("t"))
+        shown = first.select("start_line", "start_column", "t.length", "t.type", "t.modifiers")
         places = F.create_map(*(x for i, t in enumerate(schema.TOKEN_TYPES) for x in (F.lit(t), F.lit(i))))
-        coded = names.unionByName(uses).withColumns({"token_type": F.coalesce(F.try_element_at(places, F.col("type")), F.lit(schema.TOKEN_TYPES.index("type"))), "token_modifiers": modifier_mask(F.col("modifiers"), schema.TOKEN_MODIFIERS)})
+        coded = shown.withColumns({"token_type": F.coalesce(F.try_element_at(places, F.col("type")), F.lit(schema.TOKEN_TYPES.index("type"))), "token_modifiers": modifier_mask(F.col("modifiers"), schema.TOKEN_MODIFIERS)})
         return coded.orderBy("start_line", "start_column")
 
     def diagnostics(self, ws: int, severity: str | None = None, file_id: int | None = None, limit: int = 100, offset: int = 0) -> DataFrame:

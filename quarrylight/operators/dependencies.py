@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ ENDINGS = {
     "javascript": ["", ".js", ".jsx", ".mjs", ".cjs", ".ts", "/index.js", "/index.jsx"],
     "java": [".java"],
 }
+#: Fixed value: the folder below which a Java package may begin.
+JAVA_ROOT = "src/"
 
 
 def directory(path: Column) -> Column:
@@ -37,13 +41,30 @@ def joined(base: Column, name: Column) -> Column:
     return F.when(~walked["above"], F.array_join(walked["at"], "/"))
 
 
-def candidates(language: Column, source: Column, raw: Column, search: Column | None = None, module: str | None = None) -> Column:
+def mapped(name: Column, maps: list) -> Column:
+    """What path maps (pattern, target, base), in their order, make of a name; a ``*`` stands for the rest of it.
+
+    The maps are one array of the plan, however many there are.
+    """
+    rows = []
+    for pattern, target, base in ((m["pattern"], m["target"], m["base"]) for m in maps):
+        star = pattern.endswith("*")
+        head, found, tail = target.partition("*") if star else (target, "", "")
+        rows.append({"key": pattern[:-1] if star else pattern, "star": star, "head": head, "fill": bool(found), "tail": tail, "base": base})
+    listed = F.from_json(F.lit(json.dumps(rows)), "array<struct<key:string,star:boolean,head:string,fill:boolean,tail:string,base:string>>")
+    fits = F.filter(listed, lambda m: F.when(m["star"], F.startswith(name, m["key"])).otherwise(name == m["key"]))
+    rest = lambda m: F.when(m["fill"], F.substring(name, F.length(m["key"]) + 1, F.length(name))).otherwise("")
+    return F.transform(fits, lambda m: joined(m["base"], F.concat(m["head"], rest(m), m["tail"])))
+
+
+def candidates(language: Column, source: Column, raw: Column, search: Column | None = None, module: str | None = None, maps: list | None = None) -> Column:
     """Ordered candidate paths of an import; an empty array where the language has none.
 
     C and C++ look beside the file unless the name is in angle brackets, then
     along the search paths; Python resolves leading dots against the package;
-    TypeScript and JavaScript probe endings; Go strips the module's name; Java
-    turns dots into slashes; shells look beside the file, then at the root.
+    TypeScript and JavaScript probe endings, of what the path maps give before the
+    name itself; Go strips the module's name; Java turns dots into slashes, from
+    the root and from ``src``; shells look beside the file, then at the root.
     """
     here, name = directory(source), text.unquote(raw)
     empty = F.array().cast("array<string>")
@@ -59,15 +80,21 @@ def candidates(language: Column, source: Column, raw: Column, search: Column | N
     # from package import name: the name may be a module or stand in its package
     python = F.array(*endings(base, "python"), *endings(parent, "python"))
     relative = F.when(name.startswith("."), joined(here, name)).otherwise(name)
+    through = mapped(name, maps) if maps else empty
+
+    def script(lang: str) -> Column:
+        aliased = F.when(name.startswith("."), empty).otherwise(F.flatten(F.transform(through, lambda p: F.array(*endings(p, lang)))))
+        return F.concat(aliased, F.array(*endings(relative, lang)))
+
     go = F.regexp_replace(name, "^" + (module or "").replace(".", r"\.") + "/?", "") if module else name
     java = text.module_path(F.regexp_replace(name, r"\.\*$", ""))
     shell = F.when(text.is_dynamic(name), empty).otherwise(F.array(joined(here, name), name))
     found = (
         F.when(language.isin("c", "cpp"), include)
         .when(language == "python", python)
-        .when(language == "typescript", F.array(*endings(relative, "typescript")))
-        .when(language == "javascript", F.array(*endings(relative, "javascript")))
-        .when(language == "java", F.array(*endings(java, "java")))
+        .when(language == "typescript", script("typescript"))
+        .when(language == "javascript", script("javascript"))
+        .when(language == "java", F.array(*endings(java, "java"), *endings(F.concat(F.lit(JAVA_ROOT), java), "java")))
         .when(language == "go", F.array(go))
         .when(language.isin("shell", "bash"), shell)
         .when(language == "csharp", empty)
@@ -76,7 +103,7 @@ def candidates(language: Column, source: Column, raw: Column, search: Column | N
     return F.filter(found, lambda p: p.isNotNull() & (p != ""))
 
 
-def resolve(imports: DataFrame, files: DataFrame, key: str, search: DataFrame | None = None, module: str | None = None) -> DataFrame:
+def resolve(imports: DataFrame, files: DataFrame, key: str, search: DataFrame | None = None, module: str | None = None, maps: list | None = None) -> DataFrame:
     """imports (key, path, language, raw_name) to (key, target_file_id, resolution, confidence, reason).
 
     By the ordered probes; a C or C++ header that no probe finds by the only
@@ -84,7 +111,7 @@ def resolve(imports: DataFrame, files: DataFrame, key: str, search: DataFrame |
     remains is external for a name that isn't relative, else unresolved.
     """
     rows = imports.join(search.select(F.col("file").alias("path"), "paths"), "path", "left") if search is not None else imports.withColumn("paths", F.lit(None).cast("array<string>"))
-    probes = rows.withColumn("_probes", candidates(F.col("language"), F.col("path"), F.col("raw_name"), F.col("paths"), module))
+    probes = rows.withColumn("_probes", candidates(F.col("language"), F.col("path"), F.col("raw_name"), F.col("paths"), module, maps))
     known = files.select(F.col("path").alias("_known"), F.col("id").alias("_id"))
     first = paths.probe_first(probes, "_probes", known, "_known", key, "_id").select(key, F.col("_id").alias("_probed"), "probe")
     headers = rows.filter(F.col("language").isin("c", "cpp")).select(text.unquote(F.col("raw_name")).alias("_name"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarrylight import extract, schema
 from quarrylight.functions.text import arity, dotted_name, looks_like_interface, scope_hierarchy
 from quarrylight.operators import dependencies, diff, graph, relations, resolve, summary
-from quarrylight.sources import discovery
+from quarrylight.sources import discovery, projects
 from quarrylight.sources.store import Store
 
 LIBRARY, IMPORTED, WORKSPACE = 1.0, 0.9, 0.8
@@ -26,11 +26,12 @@ def files_of(spark: SparkSession, root: str, workspace_id: int, **options) -> Da
         "mtime",
         "content_hash",
         "is_binary",
+        "error",
         F.when(~F.col("is_binary"), discovery.text_of(F.col("content"))).alias("text"),
     )
 
 
-def import_edges(made: DataFrame, files: DataFrame, library: DataFrame | None = None, search: DataFrame | None = None, module: str | None = None) -> DataFrame:
+def import_edges(made: DataFrame, files: DataFrame, library: DataFrame | None = None, search: DataFrame | None = None, module: str | None = None, maps: list | None = None) -> DataFrame:
     """The dependency table: one row per (file, name, kind).
 
     An import leads into the project where it can; else into a linked
@@ -40,12 +41,12 @@ def import_edges(made: DataFrame, files: DataFrame, library: DataFrame | None =
     keyed = wanted.withColumn("_key", schema.identifier(F.col("source_file_id"), F.col("raw_name"), F.col("kind")))
     located = keyed.join(files.select(F.col("file_id").alias("source_file_id"), "path", "language"), "source_file_id").select("_key", "path", "language", "raw_name")
     known = lambda df: df.select("path", "language", F.col("file_id").alias("id"))
-    found = dependencies.resolve(located, known(files), "_key", search, module)
+    found = dependencies.resolve(located, known(files), "_key", search, module, maps)
     if library is not None:
         lost = located.join(found.filter("target_file_id is null"), "_key", "left_semi")
         # equal paths of several linked workspaces: the smallest owner's
         first = library.groupBy("path").agg(F.min_by(F.struct("file_id", "language", "owner"), "owner").alias("f")).select("path", "f.*")
-        there = dependencies.resolve(lost, known(first), "_key", search, module).filter("target_file_id is not null")
+        there = dependencies.resolve(lost, known(first), "_key", search, module, maps).filter("target_file_id is not null")
         there = there.join(first.select(F.col("file_id").alias("target_file_id"), "owner"), "target_file_id").withColumn("reason", F.concat(F.lit("workspace:"), "owner")).drop("owner")
         found = found.join(there.select("_key"), "_key", "left_anti").unionByName(there)
     return keyed.join(found, "_key").select("workspace_id", "source_file_id", "target_file_id", "raw_name", "kind", "resolution", "confidence", "reason")
@@ -112,20 +113,26 @@ def references_of(resolved: DataFrame, symbols: DataFrame) -> DataFrame:
     return rows.select("id", "workspace_id", "file_id", "source_symbol_id", F.col("target").alias("target_symbol_id"), "kind", "name", "resolution", "confidence", "candidates", "start_line", "start_column")
 
 
-def index(spark: SparkSession, store: Store, root: str, workspace_id: int, force: bool = False, search: DataFrame | None = None, module: str | None = None, **options) -> dict[str, int]:
+def index(spark: SparkSession, store: Store, root: str, workspace_id: int, force: bool = False, search: DataFrame | None = None, module: str | None = None, maps: list | None = None, **options) -> dict[str, int]:
     """Indexes a tree into the store; only new and changed files are parsed.
 
     Returns the counts of the run.  Unreadable files keep what the store has of
     them and are reported as diagnostics.  Workspaces that link to this one are
     resolved anew, those that link to them are not.  ``search`` holds search
-    paths of a compile database, ``module`` a Go module's name.
+    paths of a compile database, ``module`` a Go module's name, ``maps`` path maps
+    of a TypeScript project; what isn't given is taken from the project files at
+    the root.  One commit holds the run: its facts, what they resolve to, and a
+    row of the job log.
     """
+    project = projects.settings(spark, root)
+    search, module, maps = (given if given is not None else project[name] for name, given in (("search", search), ("module", module), ("maps", maps)))
     found = graph.checkpoint(files_of(spark, root, workspace_id, **options))
     mine = lambda name: store.table(name).filter(F.col("workspace_id") == workspace_id)
     stored = mine("file")
     planned = graph.checkpoint(diff.plan(found, stored, "path", "content_hash", "language", ["size"], "is_deleted", force))
     counts = {r["action"]: r["n"] for r in planned.groupBy("action").agg(F.count("*").alias("n")).collect()}
-    work = found.join(planned.filter("action = 'process'").select("path"), "path", "left_semi").filter(~F.col("is_binary"))
+    unreadable = F.col("is_binary") | F.col("error").isNotNull()
+    work = found.join(planned.filter("action = 'process'").select("path"), "path", "left_semi").filter(~unreadable)
     facts = graph.checkpoint(extract.extract_facts(work))
     gone = planned.filter("action = 'remove'").select(schema.identifier(F.lit(workspace_id).cast("bigint"), F.col("path")).alias("file_id"))
     replaced = graph.checkpoint(work.select("file_id").unionByName(gone))
@@ -135,31 +142,60 @@ def index(spark: SparkSession, store: Store, root: str, workspace_id: int, force
     dead = stored.join(found.select("path"), "path", "left_anti").withColumn("is_deleted", F.lit(True))
     unread = discovery.failed(found).join(found.select("path", "file_id", "workspace_id"), "path")
     unread = unread.withColumns({"id": schema.identifier(F.col("file_id"), F.lit("filesystem")), "start_line": F.lit(0), "start_column": F.lit(0), "at": F.current_timestamp()})
-    store.commit(
-        {
-            "file": columns(file_rows, "file").unionByName(columns(dead, "file")),
-            "file_content": found.filter("text is not null").select("file_id", "workspace_id", "text"),
-            "symbol": keep("symbol").unionByName(extract.symbols(facts)),
-            "occurrence": keep("occurrence").unionByName(extract.occurrences(facts)),
-            "diagnostic": columns(keep("diagnostic").filter("source <> 'filesystem'"), "diagnostic").unionByName(extract.diagnostics(facts)).unionByName(columns(unread, "diagnostic")),
-        },
-        workspace_id,
+    kept_text = mine("file_content").join(found.filter(unreadable).select("file_id"), "file_id", "left_semi")
+    fresh = {
+        "file": columns(file_rows, "file").unionByName(columns(dead, "file")),
+        "symbol": graph.checkpoint(keep("symbol").unionByName(extract.symbols(facts))),
+        "occurrence": graph.checkpoint(keep("occurrence").unionByName(extract.occurrences(facts))),
+    }
+    noted = graph.checkpoint(columns(keep("diagnostic").filter("source <> 'filesystem'"), "diagnostic").unionByName(extract.diagnostics(facts)).unionByName(columns(unread, "diagnostic")))
+    said = noted.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    totals = {"total": sum(counts.values()), "processed": counts.get("process", 0), "skipped": counts.get("skip", 0) + counts.get("touch", 0)}
+    job = said.select(
+        schema.identifier(F.lit(workspace_id).cast("bigint"), F.lit(store.version())).alias("id"),
+        F.lit(workspace_id).cast("bigint").alias("workspace_id"),
+        F.lit("full" if force else "incremental").alias("job_type"),
+        F.lit("completed").alias("status"),
+        *(F.lit(n).cast("bigint").alias(name) for name, n in totals.items()),
+        "errors",
+        "warnings",
+        F.current_timestamp().alias("at"),
     )
-    resolve_workspace(store, workspace_id, search, module)
+    contents = found.filter("text is not null").select("file_id", "workspace_id", "text").unionByName(kept_text.select("file_id", "workspace_id", "text"))
+    tables, _ = _resolved_tables(store, workspace_id, search, module, maps, fresh)
+    store.commit(fresh | {"file_content": contents, "diagnostic": noted} | tables, workspace_id, added={"index_job": job})
     for row in store.table("workspace_link").filter(F.col("target") == workspace_id).select("source").distinct().collect():
         resolve_workspace(store, row["source"])
     return {"processed": counts.get("process", 0), "skipped": counts.get("skip", 0) + counts.get("touch", 0), "removed": counts.get("remove", 0)}
 
 
-def resolve_workspace(store: Store, workspace_id: int, search: DataFrame | None = None, module: str | None = None) -> dict[str, int]:
-    """Imports, occurrences, references and relations of one workspace, anew from its facts and those it links to."""
+def resolve_workspace(store: Store, workspace_id: int, search: DataFrame | None = None, module: str | None = None, maps: list | None = None) -> dict[str, int]:
+    """Imports, occurrences, references and relations of one workspace, anew from its facts and those it links to.
+
+    Project settings that aren't given are taken from the files at the root the
+    workspace is registered with, if any.
+    """
+    at = store.table("workspace").filter(F.col("id") == workspace_id).select("root").first()
+    project = projects.settings(store.spark, at["root"]) if at else {}
+    search, module, maps = (given if given is not None else project.get(name) for name, given in (("search", search), ("module", module), ("maps", maps)))
+    tables, resolved = _resolved_tables(store, workspace_id, search, module, maps, {})
+    store.commit(tables, workspace_id)
+    return summary.resolution_counts(resolved, "resolution", resolve.STATES).first().asDict()
+
+
+def _resolved_tables(store: Store, workspace_id: int, search: DataFrame | None, module: str | None, maps: list | None, fresh: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The resolved tables of a workspace and its occurrences; ``fresh`` holds its tables that aren't committed yet."""
     linked = [r["target"] for r in store.table("workspace_link").filter(F.col("source") == workspace_id).select("target").distinct().collect()]
-    seen = lambda name: store.table(name).filter(F.col("workspace_id").isin([workspace_id, *linked]))
     own = F.col("workspace_id") == workspace_id
+
+    def seen(name: str) -> DataFrame:
+        stored = store.table(name).filter(F.col("workspace_id").isin([workspace_id, *linked]))
+        return stored.filter(~own).unionByName(fresh[name]) if name in fresh else stored
+
     files = seen("file").filter(~F.col("is_deleted")).select(F.col("id").alias("file_id"), "workspace_id", "path", "language")
     symbols, occurrences = graph.checkpoint(seen("symbol")), graph.checkpoint(seen("occurrence"))
     library = files.filter(~own).withColumnRenamed("workspace_id", "owner") if linked else None
-    edges = graph.checkpoint(import_edges(occurrences.filter(own), files.filter(own), library, search, module))
+    edges = graph.checkpoint(import_edges(occurrences.filter(own), files.filter(own), library, search, module, maps))
     # a linked workspace's own imports carry on from where this one's lead into it
     onward = edges.unionByName(store.table("dependency").filter(F.col("workspace_id").isin(linked))) if linked else edges
     resolved = graph.checkpoint(resolve_occurrences(occurrences.filter(own), symbols, onward, files))
@@ -167,5 +203,4 @@ def resolve_workspace(store: Store, workspace_id: int, search: DataFrame | None
     occ = resolved.withColumn("symbol_id", F.when(F.col("resolution") == "resolved", F.col("target")))
     related = relations.build(symbols.filter(own), occ, refs, edges)
     columns = lambda df, name: df.select(*extract._names(name))
-    store.commit({"occurrence": columns(occ, "occurrence"), "reference": columns(refs, "reference"), "relation": columns(related, "relation"), "dependency": columns(edges, "dependency")}, workspace_id)
-    return summary.resolution_counts(resolved, "resolution", resolve.STATES).first().asDict()
+    return {"occurrence": columns(occ, "occurrence"), "reference": columns(refs, "reference"), "relation": columns(related, "relation"), "dependency": columns(edges, "dependency")}, resolved

@@ -9,9 +9,11 @@ executors, each file where its row is.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -74,10 +76,10 @@ def ignore_rules(text: str, directory: str = "") -> list[tuple[str, bool]]:
 
 
 def ignored(path: Column, rules: list[tuple[str, bool]]) -> Column:
-    """The last rule that matches decides."""
+    """The last rule that matches decides; neighbours of one verdict are one expression, so many rules stay a flat plan."""
     out = F.lit(False)
-    for regex, hides in rules:
-        out = F.when(path.rlike(regex), F.lit(hides)).otherwise(out)
+    for hides, run in groupby(rules, key=lambda rule: rule[1]):
+        out = F.when(path.rlike("|".join(f"(?:{regex})" for regex, _ in run)), F.lit(hides)).otherwise(out)
     return out
 
 
@@ -94,23 +96,33 @@ def _file_system(root: str):
 def list_tree(spark: SparkSession, root: str, max_files: int = MAX_FILES, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(root, path, size, mtime) of the files below a root, without directories that are ignored by name.
 
-    Links are followed as the file system does; a directory that leads back to
-    one above is ended by the depth limit.  Too many files or levels are an
-    error, not a silent cut.
+    Links are followed where they stay below the root; a link to a directory
+    that is listed already adds nothing, so circles end, and real directories go
+    first, so what a path is called doesn't depend on the order of names.  Broken
+    links and links out of the root are left out.  Too many files or levels are
+    an error, not a silent cut.
     """
     from pyarrow import fs
 
     system, base = _file_system(root)
-    rows, front = [], [(base, 0)]
-    while front:
-        directory, depth = front.pop()
+    local = isinstance(system, fs.LocalFileSystem)
+    rows, front, links, listed = [], [(base, 0)], [], set()
+    while front or links:
+        directory, depth = front.pop() if front else links.pop(0)
         if depth > max_depth:
             raise ValueError(f"more than {max_depth} levels below {root}")
-        for info in system.get_file_info(fs.FileSelector(directory)):
+        if local:
+            if (real := os.path.realpath(directory)) in listed:
+                continue
+            listed.add(real)
+        for info in sorted(system.get_file_info(fs.FileSelector(directory)), key=lambda i: i.path):
             if info.base_name in DEFAULT_IGNORED:
                 continue
+            link = local and os.path.islink(info.path)
+            if link and not _inside(base, info.path):
+                continue
             if info.type == fs.FileType.Directory:
-                front.append((info.path, depth + 1))
+                (links if link else front).append((info.path, depth + 1))
             elif info.type == fs.FileType.File:
                 rows.append((root, info.path[len(base) :].lstrip("/"), info.size, info.mtime or datetime.fromtimestamp(0, UTC)))
                 if len(rows) > max_files:
@@ -119,23 +131,57 @@ def list_tree(spark: SparkSession, root: str, max_files: int = MAX_FILES, max_de
     return spark.createDataFrame(sorted(rows), "root string, path string, size bigint, mtime timestamp").repartition(parts, "path")
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the content, a bounded amount of it per batch."""
-    names = ["path", "size", "mtime", "content"]
-    for batch in batches:
-        held, lo = [], 0
-        for i, (root, path) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            system, base = _file_system(root)
-            with system.open_input_stream(f"{base.rstrip('/')}/{path}") as f:
-                held.append(f.read())
-            if sum(map(len, held)) > 32 << 20 or i == batch.num_rows - 1:
-                part = batch.slice(lo, len(held))
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), pa.array(held, pa.binary())], names)
-                held, lo = [], i + 1
+def _inside(base: str, path: str) -> bool:
+    """Whether a local path, all links followed, is below the base."""
+    top = os.path.realpath(base)
+    return os.path.realpath(path).startswith(top.rstrip("/") + "/")
+
+
+def capture(root: str, path: str, max_bytes: int | None = None) -> tuple[bytes | None, str | None]:
+    """A file's content, or the code of what keeps it from being read."""
+    from pyarrow import fs
+
+    system, base = _file_system(root)
+    full = f"{base.rstrip('/')}/{path}"
+    try:
+        if isinstance(system, fs.LocalFileSystem) and not _inside(base, full):
+            return None, "file.outside"
+        before = system.get_file_info(full)
+        if max_bytes is not None and before.size is not None and before.size > max_bytes:
+            return None, "file.too_large"
+        with system.open_input_stream(full) as f:
+            content = f.read()
+        after = system.get_file_info(full)
+    except OSError:
+        return None, "file.unreadable"
+    return (content, None) if (before.size, before.mtime) == (after.size, after.mtime) else (None, "file.changed")
+
+
+def _read(max_bytes: int | None):
+    """Adds the content or why there is none, a bounded amount of it per batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, codes, size, lo = [], [], 0, 0
+            for i, (root, path) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                content, code = capture(root, path, max_bytes)
+                held.append(content)
+                codes.append(code)
+                size += len(content or b"")
+                if size > 32 << 20 or i == batch.num_rows - 1:
+                    part = batch.slice(lo, len(held))
+                    yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), pa.array(held, pa.binary()), pa.array(codes, pa.string())], ["path", "size", "mtime", "content", "error"])
+                    held, codes, size, lo = [], [], 0, i + 1
+
+    return run
 
 
 def discover(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, max_files: int = MAX_FILES, max_depth: int = MAX_DEPTH, max_bytes: int | None = MAX_BYTES, overrides: dict[str, str] | None = None, headers: str | None = None, extensionless: str | None = None) -> DataFrame:
-    """The files that are to be indexed: path, size, mtime, content, language, hash and whether they are binary."""
+    """The files that are to be indexed: path, size, mtime, content, error, language, hash and whether they are binary.
+
+    A file that can't be read, or is larger than max_bytes, has no content but an
+    error's code.
+    """
     listed = list_tree(spark, root, max_files, max_depth)
     named = listed.filter(F.element_at(F.split("path", "/"), -1).isin(*IGNORE_FILES)).select("path").collect()  # within the listing's limit
     system, base = _file_system(root)
@@ -144,21 +190,18 @@ def discover(spark: SparkSession, root: str, include: list[str] | None = None, e
         with system.open_input_stream(f"{base.rstrip('/')}/{path}") as f:
             rules += ignore_rules(f.read().decode(errors="replace"), path.rpartition("/")[0])
     kept = listed.filter(~default_ignored(F.col("path")) & ~ignored(F.col("path"), rules) & included(F.col("path"), include or [], exclude or []))
-    if max_bytes is not None:
-        kept = kept.filter(F.col("size") <= max_bytes)
-    files = kept.mapInArrow(_read, "path string, size bigint, mtime timestamp, content binary")
-    return with_language(files, overrides, headers, extensionless).withColumns({"content_hash": F.sha2("content", 256), "is_binary": is_binary(F.col("content"))})
+    files = kept.mapInArrow(_read(max_bytes), "path string, size bigint, mtime timestamp, content binary, error string")
+    return with_language(files, overrides, headers, extensionless).withColumns({"content_hash": F.sha2("content", 256), "is_binary": F.coalesce(is_binary(F.col("content")), F.lit(False))})
 
 
 def has_nul(content: Column, n: int = SNIFF_BYTES) -> Column:
-    return F.instr(F.hex(F.substring(content, F.lit(1), F.lit(n))), F.lit("00")) % 2 == 1
+    """Whether a NUL is among the first bytes."""
+    return F.hex(F.substring(content, F.lit(1), F.lit(n))).rlike("^(?:[0-9A-F]{2})*?00")
 
 
 def is_binary(content: Column) -> Column:
     """A NUL in the first bytes, or bytes that aren't UTF-8."""
-    head = F.hex(F.substring(content, F.lit(1), F.lit(FULL_SNIFF_BYTES)))
-    nul = head.rlike("^(?:[0-9A-F]{2})*?00")
-    return nul | ~F.is_valid_utf8(content.cast("string"))
+    return has_nul(content, FULL_SNIFF_BYTES) | ~F.is_valid_utf8(content.cast("string"))
 
 
 def text_of(content: Column) -> Column:
@@ -212,7 +255,10 @@ def header_languages(files: DataFrame) -> DataFrame:
 
 def failed(files: DataFrame) -> DataFrame:
     """Files that can't be read as text, as diagnostics; their old index stays."""
-    return files.filter("is_binary").select("path", F.lit("error").alias("severity"), F.lit("filesystem").alias("source"), F.lit("file.binary").alias("code"), F.lit("binary or not UTF-8").alias("message"))
+    says = {"file.binary": "binary or not UTF-8", "file.too_large": "larger than the limit", "file.unreadable": "can't be read", "file.changed": "changed while it was read", "file.outside": "leads out of the root"}
+    code = F.when(F.col("is_binary"), F.lit("file.binary")).otherwise(F.col("error"))
+    messages = F.create_map(*(F.lit(x) for pair in says.items() for x in pair))
+    return files.filter("is_binary or error is not null").select("path", F.lit("error").alias("severity"), F.lit("filesystem").alias("source"), code.alias("code"), messages[code].alias("message"))
 
 
 def latest_per_path(files: DataFrame) -> DataFrame:

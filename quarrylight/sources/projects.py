@@ -6,9 +6,12 @@ import shlex
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight.operators.dependencies import joined
+from quarrylight.sources.discovery import capture
+
 #: Flags with a path, by what they add to.
 PATH_FLAGS = {"-iquote": "quote", "-I": "include", "-isystem": "system", "-idirafter": "after"}
 SEARCH_ORDER = ["quote", "include", "system", "after"]
@@ -68,10 +71,27 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+def rebased(contexts: DataFrame, root: str) -> DataFrame:
+    """Contexts whose file and search paths are relative to the root, worked out against the entry's directory.
+
+    Entries of files outside the root, and search paths that leave it, can't name
+    a file of the workspace and are left out.
+    """
+    top = root.removeprefix("file://").strip("/") + "/"
+
+    def below(path: Column) -> Column:
+        whole = joined(F.when(F.startswith(path, F.lit("/")), F.lit("")).otherwise(F.coalesce("directory", F.lit(""))), path)
+        return F.when(F.concat(whole, F.lit("/")) == top, F.lit("")).when(F.startswith(whole, F.lit(top)), F.substring(whole, len(top) + 1, 1 << 30))
+
+    out = contexts.withColumns({k: F.filter(F.transform(k, below), lambda p: p.isNotNull()) for k in SEARCH_ORDER})
+    return out.withColumn("file", below(F.col("file"))).filter("file is not null")
+
+
 def search_paths(contexts: DataFrame) -> DataFrame:
-    """(file, paths): the file's own directory, then every search path in order, first mention kept."""
+    """(file, paths): the file's own directory, then every search path in order, first mention kept; of several entries of a file the first in order of their paths."""
     own = F.regexp_extract("file", r"^(.*)/[^/]*$", 1)
-    return contexts.select("file", F.array_distinct(F.concat(F.array(own), *SEARCH_ORDER)).alias("paths"))
+    listed = contexts.select("file", F.array_distinct(F.concat(F.array(own), *SEARCH_ORDER)).alias("paths"))
+    return listed.groupBy("file").agg(F.min("paths").alias("paths"))
 
 
 def macro_values(contexts: DataFrame) -> DataFrame:
@@ -92,3 +112,14 @@ def go_module(spark: SparkSession, path: str) -> str | None:
     """The module name of a ``go.mod``."""
     row = spark.read.text(path).filter(F.col("value").rlike(r"^\s*module\s+\S")).select(F.regexp_extract("value", r"^\s*module\s+(\S+)", 1).alias("m")).first()
     return row["m"] if row else None
+
+
+def settings(spark: SparkSession, root: str) -> dict:
+    """What the project files at a root say: ``search`` paths, a Go ``module`` and path ``maps``, as an index run takes them; null without the file."""
+    at = lambda name: f"{root.rstrip('/')}/{name}" if capture(root, name)[0] else None
+    commands, go, script = at("compile_commands.json"), at("go.mod"), at("tsconfig.json")
+    return {
+        "search": search_paths(rebased(compile_commands(spark, commands), root)) if commands else None,
+        "module": go_module(spark, go) if go else None,
+        "maps": path_maps(spark, script).collect() if script else None,  # one project file's entries
+    }

@@ -5,11 +5,14 @@ name them, so readers see the old tables or the new, and a lost executor or a
 failed job leaves the current version alone.  What a write doesn't touch is not
 copied: the manifest goes on naming the old directories.  A workspace's part of
 a table has a directory of its own, so indexing one leaves the others' alone.
+Every commit writes below a name of its own, so of two writers at once the one
+that comes second fails and harms nothing.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,8 @@ from quarrylight.operators import dedupe, diff
 #: Tables that are split by workspace on disk.
 BY_WORKSPACE = {"file", "file_content", "symbol", "occurrence", "reference", "relation", "dependency", "diagnostic"}
 ALL = "*"
+#: Directories of added rows that a table may have before they are made one.
+MAX_PARTS = 64
 
 
 class Store:
@@ -48,7 +53,7 @@ class Store:
     def table(self, name: str) -> DataFrame:
         parts = self.manifest().get(name, {})
         out = schema.empty(self.spark, name)
-        own = [int(k) for k in parts if k != ALL]
+        own = [int(k) for k in parts if k != ALL and not k.startswith("+")]
         for key, at in sorted(parts.items()):
             df = self.spark.read.schema(schema.columns(name)).parquet(f"{self.root}/{at}")
             if key == ALL and own:
@@ -56,23 +61,41 @@ class Store:
             out = out.unionByName(df)
         return out
 
-    def commit(self, tables: dict[str, DataFrame], workspace: int | None = None) -> int:
-        """A new version with these tables; of a split table only the workspace's rows, where one is given."""
-        manifest, new = self.manifest(), self.version() + 1
+    def commit(self, tables: dict[str, DataFrame], workspace: int | None = None, added: dict[str, DataFrame] | None = None) -> int:
+        """A new version with these tables; of a split table only the workspace's rows, where one is given.
+
+        ``added`` holds rows that join those of tables that aren't split.
+        """
+        base = self.version()
+        manifest, new, own = self.manifest(base), base + 1, f"data/{base + 1}-{uuid.uuid4().hex}"
         for name, df in tables.items():
             key = str(workspace) if workspace is not None and name in BY_WORKSPACE else ALL
-            at = f"data/{new}/{name}" + ("" if key == ALL else f"/{key}")
-            df.select(*(f.split()[0] for f in _fields(name))).write.mode("overwrite").parquet(f"{self.root}/{at}")
+            at = f"{own}/{name}" + ("" if key == ALL else f"/{key}")
+            self._write(name, df, at)
             manifest[name] = {ALL: at} if key == ALL else manifest.get(name, {}) | {key: at}
-        stream = self._fs.create(self._path(f"{self.root}/manifests/.{new}"), True)
+        for name, df in (added or {}).items():
+            self._write(name, df, f"{own}/{name}+")
+            manifest[name] = manifest.get(name, {}) | {f"+{new}": f"{own}/{name}+"}
+        return self._publish(manifest, new)
+
+    def _write(self, name: str, df: DataFrame, at: str) -> None:
+        df.select(*(f.split()[0] for f in _fields(name))).write.parquet(f"{self.root}/{at}")
+
+    def _publish(self, manifest: dict, new: int) -> int:
+        draft, final = self._path(f"{self.root}/manifests/.{new}-{uuid.uuid4().hex}"), self._path(f"{self.root}/manifests/{new}.json")
+        stream = self._fs.create(draft, False)
         stream.write(bytearray(json.dumps(manifest).encode()))
         stream.close()
-        if not self._fs.rename(self._path(f"{self.root}/manifests/.{new}"), self._path(f"{self.root}/manifests/{new}.json")):
+        if self._fs.exists(final) or not self._fs.rename(draft, final):
+            self._fs.delete(draft, False)
             raise RuntimeError(f"version {new} was written by someone else")
         return new
 
     def append(self, name: str, rows: DataFrame) -> int:
-        return self.commit({name: self.table(name).unionByName(rows)})
+        """Adds rows; what a table holds already is written anew only when its parts are many, or split by workspace."""
+        if name in BY_WORKSPACE or len(self.manifest().get(name, {})) >= MAX_PARTS:
+            return self.commit({name: self.table(name).unionByName(rows)})
+        return self.commit({}, added={name: rows})
 
     def upsert(self, name: str, rows: DataFrame, key: list[str]) -> int:
         return self.commit({name: diff.upsert(self.table(name), rows, key)})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylight import extract, schema
 from quarrylight.api import Api
+from quarrylight.extract import highlight
 from quarrylight.extract import python as py
 from quarrylight.extract import scanner
 from quarrylight.operators import dependencies
@@ -60,6 +61,8 @@ def test_discovery(spark, indexed):
     _, store, _, ws, counts = indexed
     files = {r.path: r for r in store.table("file").collect()}
     assert set(files) == {p for p in TREE if not p.startswith("node_modules") and p != "logs/a.log"}
+    job = store.table("index_job").filter(F.col("workspace_id") == ws).first()
+    assert (job.status, job.total, job.processed, job.errors) == ("completed", len(files), len(files), 2)
     languages = {p: r.language for p, r in files.items()}
     assert languages["src/geo.h"] == "cpp" and languages["tool"] == "python" and languages["web/index.ts"] == "typescript" and languages["run.sh"] == "shell"
     assert files["data.bin"].is_binary and not files["run.sh"].is_binary
@@ -122,7 +125,8 @@ def test_interface(indexed):
     assert by_name["Shape"] in {r.id for r in nodes.collect()} and not cut and edges.count()
     assert api.definitions(ws, by_name["helper"]).count() == 1
     assert api.references(ws, by_name["helper"]).count() >= 1
-    assert api.highlights(ws, files["app/base.py"]).count() > 2
+    lit = {(r.start_line, r.start_column): (r.length, schema.TOKEN_TYPES[r.token_type]) for r in api.highlights(ws, files["app/base.py"]).collect()}
+    assert lit[(0, 0)] == (5, "keyword") and lit[(0, 6)] == (5, "class") and lit[(1, 4)] == (14, "string") and lit[(3, 15)] == (1, "number")
     other = api.create_workspace("o", "/o")
     assert api.symbols(other).count() == 0
     api.link(other, ws)
@@ -131,7 +135,8 @@ def test_interface(indexed):
     assert api.symbols(other).count() == 0
     api.log_job(ws, 1, "full", "running")
     api.log_job(ws, 1, "full", "completed", total=5)
-    assert [(r.status, r.total) for r in api.jobs(ws).collect()] == [("completed", 5)]
+    assert (api.jobs(ws).filter("id = 1").first().status, api.jobs(ws).filter("id = 1").first().total) == ("completed", 5)
+    assert api.status(ws).first().status == "ready" and api.status(other).first().status == "idle"
     with pytest.raises(ValueError):
         api.link(ws, ws)
 
@@ -171,6 +176,83 @@ def test_linked_workspaces(spark, tmp_path):
     assert indexing.resolve_workspace(store, app)["resolved"] == 0
 
 
+def test_links_and_unreadable_files(spark, tmp_path):
+    root = tmp_path / "t"
+    write(root, {"a/x.py": "x = 1\n", "b/y.py": "y = 1\n", "build/z.py": "z = 1\n", "big.py": "#" * 200})
+    write(tmp_path / "out", {"secret.py": "s = 1\n"})
+    for name, to in (("a/loop", root), ("A", root / "a"), ("outside", tmp_path / "out"), ("secret.py", tmp_path / "out/secret.py"), ("broken", root / "none"), ("made", root / "build"), ("y2.py", root / "b/y.py")):
+        (root / name).symlink_to(to)
+    got = {r.path: (r.error, r.content is None) for r in discovery.discover(spark, str(root), max_bytes=100).collect()}
+    assert got == {"a/x.py": (None, False), "b/y.py": (None, False), "made/z.py": (None, False), "y2.py": (None, False), "big.py": ("file.too_large", True)}
+    assert discovery.capture(str(root), "secret.py") == (None, "file.outside") and discovery.capture(str(root), "none.py") == (None, "file.unreadable")
+    store = Store(spark, str(tmp_path / "store"))
+    indexing.index(spark, store, str(root), 3)
+    before = store.table("symbol").count()
+    (root / "b/y.py").write_text("y = 1\n" * 50)  # now too large: what was known of it stays, with a diagnostic
+    indexing.index(spark, store, str(root), 3, max_bytes=100)
+    assert store.table("symbol").count() == before and store.table("file_content").filter("text like 'y%'").count() == 2
+    assert {r.code for r in store.table("diagnostic").collect()} == {"file.too_large"}
+    assert store.version() == 2  # one commit per run
+
+
+def test_project_files(spark, tmp_path):
+    root = tmp_path / "t"
+    commands = [{"directory": str(root / "out"), "file": "../src/a.c", "command": f"cc -I../inc -isystem /usr/include -I{root}/sys a.c"}, {"directory": "/elsewhere", "file": "b.c", "arguments": ["cc"]}]
+    script = {"compilerOptions": {"baseUrl": "web", "paths": {"@a/*": ["none/*", "lib/*"], "@a/deep/*": ["deep/*/main"], "whole": ["lib/b"]}}}
+    write(root, {
+        "compile_commands.json": json.dumps(commands), "tsconfig.json": json.dumps(script), "go.mod": "module example.org/m\n",
+        "src/a.c": '#include "p.h"\n#include <q.h>\n', "inc/p.h": "", "sys/q.h": "", "other/q.h": "",
+        "web/i.ts": "import { b } from '@a/b';\nimport { c } from '@a/deep/c';\nimport w from 'whole';\nimport x from '@b/b';\n", "web/lib/b.ts": "", "web/deep/c/main.ts": "",
+        "main.go": 'package main\nimport "example.org/m/pkg"\n', "pkg/p.go": "package pkg\n",
+        "Main.java": "import com.x.User;\nclass Main { }\n", "src/com/x/User.java": "package com.x;\nclass User { }\n",
+    })
+    found = projects.search_paths(projects.rebased(projects.compile_commands(spark, str(root / "compile_commands.json")), str(root)))
+    assert [(r.file, r.paths) for r in found.collect()] == [("src/a.c", ["src", "inc", "sys"])]
+    store = Store(spark, str(tmp_path / "store"))
+    indexing.index(spark, store, str(root), 3)
+    paths = {r.id: r.path for r in store.table("file").collect()}
+    got = {r.raw_name: paths.get(r.target_file_id) for r in store.table("dependency").collect()}
+    assert got == {"p.h": "inc/p.h", "<q.h>": "sys/q.h", "@a/b": "web/lib/b.ts", "@a/deep/c": "web/deep/c/main.ts", "whole": "web/lib/b.ts", "@b/b": None, "example.org/m/pkg": "pkg/p.go", "com.x.User": "src/com/x/User.java"}
+
+
+def test_commits_of_two_writers(spark, tmp_path):
+    link = lambda *p: spark.createDataFrame(list(p), schema.columns("workspace_link"))
+    one, two = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
+    one.append("workspace_link", link((1, 2)))
+    two.version = lambda: 0  # as if it had begun before
+    with pytest.raises(RuntimeError):
+        two.append("workspace_link", link((8, 9)))
+    assert [tuple(r) for r in one.table("workspace_link").collect()] == [(1, 2)]
+    one.append("workspace_link", link((1, 3)))
+    assert len(one.manifest()["workspace_link"]) == 2 and one.table("workspace_link").count() == 2
+
+
+def test_change_of_a_workspace(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    api = Api(store)
+    ws = api.create_workspace("n", str(tmp_path / "t"))
+    file = spark.createDataFrame([(1, ws, "a.py", "python", 6, None, "h", False, False)], schema.columns("file"))
+    store.commit({"file": file}, ws)
+    api.change_workspace(ws, name="m", include=["*.py"])
+    assert [(r.name, r.include, r.revision) for r in api.workspace(ws).collect()] == [("m", ["*.py"], 1)]
+    assert [r.content_hash for r in store.table("file").collect()] == [None]  # so the next run parses it anew
+    assert api.status(ws).first().status == "idle"
+
+
+@pytest.mark.parametrize(
+    ("language", "text", "wanted"),
+    [
+        ("python", "def é(): # c\n  return 'a' + 1\n", ["keyword:0:0:3", "comment:0:10:3", "keyword:1:2:6", "string:1:9:3", "operator:1:13:1", "number:1:15:1"]),
+        ("c", "#define X 1\n/* a\nb */ int x = 2;", ["macro:0:0:11", "comment:1:0:4", "comment:2:0:4", "keyword:2:5:3", "operator:2:11:1", "number:2:13:1"]),
+        ("javascript", "let r = /a\"b/g; // z", ["keyword:0:0:3", "operator:0:6:1", "regexp:0:8:6", "comment:0:16:4"]),
+        ("bash", "# c\nif a; then echo $# \"x\"; fi", ["comment:0:0:3", "keyword:1:0:2", "keyword:1:6:4", "string:1:19:3", "keyword:1:24:2"]),
+        ("unknown", "if", []),
+    ],
+)
+def test_lexical_highlights(language, text, wanted):
+    assert [f"{kind}:{line}:{column}:{size}" for line, column, size, kind in highlight.tokens(text, language)] == wanted
+
+
 def test_csharp_names(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     write(tmp_path / "t", {"a.cs": "namespace N.Sub {\n class Tool {\n  public void Go() { }\n }\n}\n", "b.cs": "using N.Sub;\nusing Other = M.Thing;\nnamespace P {\n class Q : Tool {\n }\n class R : Other {\n }\n class S : Q {\n }\n}\n", "c.cs": "namespace M {\n class Thing {\n }\n}\nnamespace P {\n class T : Q {\n }\n}\n"})
