@@ -50,8 +50,8 @@ class Store:
         row = self.spark.read.text(f"{self.root}/manifests/{version}.json", wholetext=True).first()
         return json.loads(row["value"])
 
-    def table(self, name: str) -> DataFrame:
-        parts = self.manifest().get(name, {})
+    def table(self, name: str, version: int | None = None) -> DataFrame:
+        parts = self.manifest(version).get(name, {})
         out = schema.empty(self.spark, name)
         own = [int(k) for k in parts if k != ALL and not k.startswith("+")]
         for key, at in sorted(parts.items()):
@@ -61,12 +61,13 @@ class Store:
             out = out.unionByName(df)
         return out
 
-    def commit(self, tables: dict[str, DataFrame], workspace: int | None = None, added: dict[str, DataFrame] | None = None) -> int:
+    def commit(self, tables: dict[str, DataFrame], workspace: int | None = None, added: dict[str, DataFrame] | None = None, base: int | None = None) -> int:
         """A new version with these tables; of a split table only the workspace's rows, where one is given.
 
-        ``added`` holds rows that join those of tables that aren't split.
+        ``added`` holds rows that join those of tables that aren't split; ``base`` is
+        the version that the rows were made from, after which no other may have come.
         """
-        base = self.version()
+        base = self.version() if base is None else base
         manifest, new, own = self.manifest(base), base + 1, f"data/{base + 1}-{uuid.uuid4().hex}"
         for name, df in tables.items():
             key = str(workspace) if workspace is not None and name in BY_WORKSPACE else ALL
@@ -94,14 +95,17 @@ class Store:
     def append(self, name: str, rows: DataFrame) -> int:
         """Adds rows; what a table holds already is written anew only when its parts are many, or split by workspace."""
         if name in BY_WORKSPACE or len(self.manifest().get(name, {})) >= MAX_PARTS:
-            return self.commit({name: self.table(name).unionByName(rows)})
+            at = self.version()
+            return self.commit({name: self.table(name, at).unionByName(rows)}, base=at)
         return self.commit({}, added={name: rows})
 
     def upsert(self, name: str, rows: DataFrame, key: list[str]) -> int:
-        return self.commit({name: diff.upsert(self.table(name), rows, key)})
+        at = self.version()
+        return self.commit({name: diff.upsert(self.table(name, at), rows, key)}, base=at)
 
     def insert_missing(self, name: str, rows: DataFrame, key: list[str]) -> int:
-        return self.commit({name: diff.insert_missing(self.table(name), rows, key)})
+        at = self.version()
+        return self.commit({name: diff.insert_missing(self.table(name, at), rows, key)}, base=at)
 
     def delete_workspace(self, workspace_id: int) -> int:
         """A workspace with everything that hangs on it."""

@@ -225,6 +225,12 @@ def test_commits_of_two_writers(spark, tmp_path):
     assert [tuple(r) for r in one.table("workspace_link").collect()] == [(1, 2)]
     one.append("workspace_link", link((1, 3)))
     assert len(one.manifest()["workspace_link"]) == 2 and one.table("workspace_link").count() == 2
+    at = one.version()
+    changed = one.table("workspace_link", at).filter("target <> 2")
+    one.upsert("workspace_link", link((4, 5)), ["source"])
+    with pytest.raises(RuntimeError):
+        one.commit({"workspace_link": changed}, base=at)
+    assert sorted(map(tuple, one.table("workspace_link").collect())) == [(1, 2), (1, 3), (4, 5)]
 
 
 def test_change_of_a_workspace(spark, tmp_path):
