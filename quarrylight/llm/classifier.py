@@ -6,7 +6,10 @@ toxicity.  It is fitted on at most about SAMPLE labelled documents of SAMPLE_BYT
 chosen by hash, one row an id; that bound is the only sample taken.  Every document is
 then scored, the evidence is summed per host and per path of a host, the host
 posterior shrinks towards all documents and the path posterior towards its
-host, and the path posterior shifts the document's log-odds.
+host, and the path posterior shifts the document's log-odds.  How much either
+shrinks is estimated from the data: the concentration of a beta prior whose
+variance is that of the hosts' rates around the mean of all, and that of the
+paths' rates around their hosts', weighted by documents.
 
 Defined results for odd input: a null or empty text has the prior's evidence
 and is rejected (it holds no words); null hosts and paths are ''; labels that
@@ -34,8 +37,8 @@ BITS = 18
 SAMPLE = 8_000
 #: Bytes of packed features that the fit takes at most; labelled documents beyond, in order of their hash, are left out of it.
 SAMPLE_BYTES = 96 << 20
-#: Pseudo-documents by which a host shrinks towards all and a path towards its host.
-PRIOR = 50.0
+#: Within which the pseudo-documents lie by which a host shrinks towards all and a path towards its host.
+LEAST_PRIOR, MOST_PRIOR = 1.0, 1e4
 #: How far a site's log-odds shift a document's own.
 SITE_WEIGHT = 0.5
 #: Odds this near to even reject nothing, whatever rounding does.
@@ -184,6 +187,11 @@ def _logit(p: Column) -> Column:
     return F.log(inside / (1 - inside))
 
 
+def concentration(spread: float, variance: float) -> float:
+    """The size of the beta prior with a mean of p (1 - p) = ``spread`` and this variance, by moments."""
+    return round(min(max(spread / max(variance, 1e-9) - 1, LEAST_PRIOR), MOST_PRIOR), 6)
+
+
 def site_shifts(scored: DataFrame) -> tuple[DataFrame, int]:
     """(_host, _path, n) with the shift of either head's log-odds, and the sum of n.
 
@@ -192,14 +200,22 @@ def site_shifts(scored: DataFrame) -> tuple[DataFrame, int]:
     chance = lambda c: F.round(1e6 / (1 + F.exp(-F.col(c) / 1e6))).cast("long")
     paths = scored.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum(chance("_good")).alias("good"), F.sum(chance("_toxic")).alias("toxic"))
     paths = checkpoint(paths)
-    hosts = paths.groupBy("_host").agg(F.sum("n").alias("hn"), F.sum("good").alias("hgood"), F.sum("toxic").alias("htoxic"))
-    every = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("toxic").alias("toxic")).first()
+    hosts = checkpoint(paths.groupBy("_host").agg(F.sum("n").alias("hn"), F.sum("good").alias("hgood"), F.sum("toxic").alias("htoxic")))
+    # sums over sites of (sum of chances)**2 / documents, as whole millionths of a document
+    square = lambda c, n: F.sum(F.round(F.col(c) / 1e6 * F.col(c) / F.col(n)).cast("long"))
+    within = paths.agg(square("good", "n").alias("good"), square("toxic", "n").alias("toxic")).first()
+    among = hosts.agg(square("hgood", "hn").alias("good"), square("htoxic", "hn").alias("toxic")).first()
+    every = hosts.agg(F.sum("hn").alias("n"), F.sum("hgood").alias("good"), F.sum("htoxic").alias("toxic")).first()
+    n = max(every["n"] or 0, 1)
     joined = paths.join(hosts, "_host")
     out = []
     for head in ("good", "toxic"):
-        prior = F.lit((every[head] or 0) / 1e6 / max(every["n"] or 0, 1))
-        host = (F.col(f"h{head}") / 1e6 + PRIOR * prior) / (F.col("hn") + PRIOR)
-        path = (F.col(head) / 1e6 + PRIOR * host) / (F.col("n") + PRIOR)
+        mean, of_hosts, of_paths = (x / 1e6 / n for x in (every[head] or 0, among[head] or 0, within[head] or 0))
+        host_prior = concentration(mean * (1 - mean), of_hosts - mean * mean)
+        path_prior = concentration(mean - of_hosts, of_paths - of_hosts)
+        prior = F.lit(mean)
+        host = (F.col(f"h{head}") / 1e6 + host_prior * prior) / (F.col("hn") + host_prior)
+        path = (F.col(head) / 1e6 + path_prior * host) / (F.col("n") + path_prior)
         out.append((SITE_WEIGHT * (_logit(path) - _logit(prior))).alias(f"_{head}_shift"))
     return joined.select("_host", "_path", "n", *out), every["n"] or 0
 

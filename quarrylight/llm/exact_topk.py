@@ -31,7 +31,8 @@ from quarrylight.llm.graph import checkpoint, sized
 CANDIDATES, QUERIES = 32768, 8192
 #: Fewer candidates than this aren't split further to keep more tasks busy.
 FEW = 2048
-FIRST_RANKS = 32
+#: Ranks of each list that are read before the bound is first held against the kth score; each batch after reads twice as many.
+FIRST_RANKS = 2
 
 
 def _long(score) -> int:
@@ -61,6 +62,7 @@ class Lists:
         self.rows, self.ids, self.vectors = rows, ids, vectors
         self.largest = float(np.abs(vectors).max(initial=0))
         self.order = np.argsort(vectors, axis=0, kind="stable")
+        self.scored = 0
 
     def top(self, query: np.ndarray, own: int, k: int, floor: int | None = None) -> list[tuple[int, int]]:
         """The k best (score, id), ties to the smaller id, without the row ``own``; those below ``floor`` may lack."""
@@ -82,6 +84,7 @@ class Lists:
             else:
                 new = np.flatnonzero(~seen)
             seen[new] = True
+            self.scored += len(new)
             scores = self.scores(new, query, exact)
             keep = self.rows[new] != own
             scores, ids = scores[keep], self.ids[new][keep]

@@ -1,11 +1,16 @@
 """URL filters: explicit host/path rules, then rules mined by FP-growth.
 
-Labelled urls become transactions of url tokens plus one item for the label.
-Spark's FP-growth finds frequent combinations; those that imply the label with
-enough support and confidence are kept, stored under their rarest token (an
-inverted index), and matched by an equi-join on that token.  A single token
-needs ``min_pages`` labelled urls, however many there are, and is counted
-exactly; combinations need ``min_support`` of them as well.
+Urls become transactions of tokens.  Spark's FP-growth finds the combinations
+that at least ``min_pages`` bad urls share; a rule's confidence is then counted
+over all urls that hold its tokens, found through the rarest one, and those with
+``min_confidence`` or more are kept, without any that contains a kept one.  Kept
+rules are stored under their rarest token (an inverted index) and matched by an
+equi-join on that token.
+
+Where no labels are given, the urls that an explicit rule blocks are the bad
+ones, and all others, also those that no rule names, count as good: a token has
+to be bad wherever it occurs.  Tokens that the explicit rules are made of say
+nothing but the rule, and are left out.
 
 Defined results for odd input: a null url or one without ``://`` has host and
 path '' and is allowed; ties between explicit rules of one length go to the
@@ -83,43 +88,62 @@ def explicit_rule(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return hot_join(pages, best, ["host", "path"], "_n", total, F.monotonically_increasing_id()).withColumns({"rule": F.col("_fit.rule"), "rule_verdict": F.col("_fit.rule_verdict")}).drop("_fit", "_n")
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_pages: int = 20, min_confidence: float = 0.9) -> DataFrame:
+def made_of(rules: list[tuple[str, str]]) -> list[str]:
+    """The tokens that explicit rules are made of."""
+    out = set()
+    for rule, _ in rules:
+        host, _, path = rule.partition("/")
+        labels = [x for x in host.translate(str.maketrans(UPPER, LOWER)).split(".") if x]
+        out |= {f"h:{x}" for x in labels} | {f"d:{'.'.join(labels[-n:])}" for n in (2, 3) if len(labels) >= n} | {f"p:{x}" for x in path.split("/") if x}
+    return sorted(out)
+
+
+def mine_rules(labelled: DataFrame, min_pages: int = 20, min_confidence: float = 0.9, leave_out: list[str] | None = None) -> DataFrame:
     """(tokens array<string>, bad boolean) to mined rules (antecedent, anchor).
 
-    Of a rule's labelled urls min_confidence must be bad, and min_pages of them
-    in number; a combination of tokens must make up min_support of all as well.
+    At least ``min_pages`` bad urls must hold a rule's tokens, and
+    ``min_confidence`` of all urls that do must be bad.
     """
     from pyspark.ml.fpm import FPGrowth
 
     spark = labelled.sparkSession
-    labelled = checkpoint(labelled.select("tokens", "bad"))
-    n = labelled.count()
-    if n < min_pages:
-        return spark.createDataFrame([], "antecedent array<string>, anchor string")
-    tokens = labelled.select("bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("freq"), F.count_if("bad").alias("hits"))
-    tokens = checkpoint(tokens.filter(F.col("freq") >= min_pages))
-    single = tokens.filter((F.col("hits") >= min_pages) & (F.col("hits") >= min_confidence * F.col("freq"))).select(F.array("token").alias("antecedent"), F.col("token").alias("anchor"))
-    items = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
+    own = F.array_except("tokens", F.array(*map(F.lit, leave_out))) if leave_out else F.col("tokens")
+    labelled = checkpoint(labelled.select(own.alias("tokens"), "bad"))
+    counted = labelled.select("bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("freq"), F.count_if("bad").alias("hits"))
+    tokens = checkpoint(counted.filter(F.col("hits") >= min_pages).withColumn("sure", F.col("hits") >= min_confidence * F.col("freq")))
+    single = tokens.filter("sure").select(F.array("token").alias("antecedent"), F.col("token").alias("anchor"))
+    # only tokens of enough bad urls can be in a combination, and one with a sure token in it adds nothing
+    useful = tokens.filter("not sure").select("token", "freq", "hits")
+    if useful.isEmpty():
+        return single
+    numbered = labelled.filter("bad").select(F.monotonically_increasing_id().alias("url"), "tokens")
+    numbered = checkpoint(numbered)
+    kept = hot_join(numbered.select("url", F.explode("tokens").alias("token")), useful, ["token"], "hits", numbered.agg(F.sum(F.size("tokens"))).first()[0] or 0, F.col("url"), "inner")
+    items = checkpoint(kept.groupBy("url").agg(F.sort_array(F.collect_list("token")).alias("items")))  # a url's own tokens
+    n = items.count()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_pages / n), minConfidence=min_confidence, numPartitions=parts).fit(items)
-    several = (
-        model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") > 1))
-        .select("antecedent", F.explode("antecedent").alias("token"))
-        .join(tokens, "token")
-        .groupBy("antecedent")
-        .agg(F.min_by("token", F.struct("freq", "token")).alias("anchor"))
-    )
-    return single.unionByName(several)
-
-
-def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Urls of (url, tokens, ...), distinct, that hold every token of a mined rule."""
+    model = FPGrowth(itemsCol="items", minSupport=min_pages / n, minConfidence=1.0, numPartitions=parts).fit(items)
+    sets = model.freqItemsets.filter(F.size("items") > 1).select(F.sort_array("items").alias("antecedent"), F.col("freq").alias("hits"))
+    rarest = sets.select("antecedent", F.explode("antecedent").alias("token")).join(useful, "token").groupBy("antecedent").agg(F.min_by("token", F.struct("freq", "token")).alias("anchor"))
+    several = checkpoint(sets.join(rarest, "antecedent"))
+    if several.isEmpty():
+        return single
+    held = matches(labelled.select(F.monotonically_increasing_id().alias("url"), "tokens"), several.select("antecedent", "anchor"))
+    sure = checkpoint(held.groupBy("rule").agg(F.count("*").alias("freq")).join(several.withColumnRenamed("antecedent", "rule"), "rule").filter(F.col("hits") >= min_confidence * F.col("freq")).select(F.col("rule").alias("antecedent"), "anchor"))
+    # of rules that hold each other's tokens the smallest say it all
+    larger = sure.select(F.col("antecedent").alias("tokens"), F.col("antecedent").alias("url"))
+    redundant = matches(larger, sure).filter(F.size("rule") < F.size("url")).select(F.col("url").alias("antecedent")).distinct()
+    return single.unionByName(sure.join(redundant, "antecedent", "left_anti"))
+
+
+def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(url, rule): urls of (url, tokens), each once, that hold every token of a rule (antecedent, anchor), found through its anchor."""
     index = rules.groupBy("anchor").agg(F.collect_list("antecedent").alias("_rules"))
-    dealt = urls.select("*", F.explode("tokens").alias("anchor"))
+    dealt = checkpoint(urls.select("url", "tokens", F.explode("tokens").alias("anchor")).join(index.select("anchor"), "anchor", "left_semi"))
     sizes = checkpoint(dealt.groupBy("anchor").agg(F.count("*").alias("_size")).join(index, "anchor"))
     total = sizes.agg(F.sum("_size")).first()[0] or 0
-    held = hot_join(dealt, sizes, ["anchor"], "_size", total, F.col("url"), "inner").filter(F.exists("_rules", lambda r: F.size(F.array_except(r, F.col("tokens"))) == 0))
-    return held.select(*urls.columns).drop("tokens").distinct()
+    held = hot_join(dealt, sizes, ["anchor"], "_size", total, F.xxhash64("url"), "inner")
+    return held.select("url", F.explode(F.filter("_rules", lambda r: F.size(F.array_except(r, F.col("tokens"))) == 0)).alias("rule"))
 
 
 def _split(df: DataFrame) -> DataFrame:
@@ -136,7 +160,6 @@ def url_filters(
     labelled: DataFrame | None = None,
     rules: list[tuple[str, str]] = RULES,
     id_col: str = "page_id",
-    min_support: float = 0.005,
     min_pages: int = 20,
     min_confidence: float = 0.9,
 ) -> DataFrame:
@@ -144,18 +167,18 @@ def url_filters(
 
     The explicit rule that fits decides; else a mined rule that matches blocks;
     else the page is allowed.  Without ``labelled`` the explicit rules' own
-    verdicts are the labels: what nearly all urls that they block have in common,
-    and hardly any that they allow, is carried over to urls that no rule names.
+    verdicts are the labels, and urls that no rule names count as good.
     """
     judged = explicit_rule(_split(pages.select(F.col(id_col).alias("page_id"), "url")), rules)
     if labelled is None:
-        examples = judged.filter(F.col("rule").isNotNull()).select("host", "path", "url", (F.col("rule_verdict") == "block").alias("bad"))
+        examples = judged.filter(F.col("host") != "").select("host", "path", "url", F.coalesce(F.col("rule_verdict") == "block", F.lit(False)).alias("bad"))
     else:
         examples = _split(labelled.filter(F.col("url").isNotNull() & F.col("bad").isNotNull()).select("url", "bad"))
-    mined = checkpoint(mine_rules(examples.select(_tokens(), "bad"), min_support, min_pages, min_confidence))
+    mined = checkpoint(mine_rules(examples.select(_tokens(), "bad"), min_pages, min_confidence, made_of(rules) if labelled is None else None))
     # a url is matched once, however many rows have it
     urls = judged.filter(F.col("rule").isNull() & (F.col("host") != "")).groupBy("url", "host", "path").agg(F.count("*").alias("_n"))
-    blocked = checkpoint(matched(urls.select("url", "_n", _tokens()), mined).withColumn("mined", F.lit(True)))
+    hit = matches(urls.select("url", _tokens()), mined).select("url").distinct()
+    blocked = checkpoint(urls.select("url", "_n").join(hit, "url", "left_semi").withColumn("mined", F.lit(True)))
     total = blocked.agg(F.sum("_n")).first()[0] or 0
     return hot_join(judged, blocked, ["url"], "_n", total, F.monotonically_increasing_id()).select(
         F.col("page_id").alias(id_col),

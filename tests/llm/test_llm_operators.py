@@ -220,25 +220,34 @@ def test_url_rules_are_mined(spark):
     got = {r.page_id: r.verdict for r in url_filters.url_filters(pages, labelled, rules=[]).collect()}
     assert all((got[i] == "block") == b for i, b in enumerate(bad))
     assert [got[600 + i] for i in range(3)] == ["block", "allow", "block"]
-    assert brute_rules(spark, labelled) == {tuple(sorted(r.antecedent)) for r in url_filters.mine_rules(split(labelled), 0.005, 20, 0.9).collect()}
+    assert brute_rules(spark, labelled) == {tuple(sorted(r.antecedent)) for r in url_filters.mine_rules(split(labelled), 20, 0.9).collect()}
 
 
 def test_url_rules_are_mined_from_explicit_verdicts(spark):
-    """Urls that no rule names follow what the named ones have in common; ids, urls and column names repeat."""
-    urls = [f"http://h{i % 9}.{'com' if i % 2 else 'org'}/{'es' if i % 2 == 0 else 'fr'}/{i}" for i in range(200)] + ["http://a.net/es/1", "http://a.net/fr/1", None, None, "http://b.net/es/2", "http://b.net/es/2"]
+    """What nearly all urls that have it share with the blocked ones is carried over; what a rule is made of is not.  Ids, urls and column names repeat."""
+    urls = [f"http://h{i % 9}.{'com' if i % 2 else 'org'}/{'es' if i % 2 == 0 else 'fr'}/{i}{'?ad=1&x=2' if i % 2 == 0 else '?x=2'}" for i in range(200)]
+    urls += ["http://a.net/x/1?ad=1", "http://a.net/es/1", "http://a.net/fr/1", None, None, "http://b.net/x/2?ad=1", "http://b.net/x/2?ad=1", "http://c.org/fr/3", "http://d.net/x?x=2"]
     pages = spark.createDataFrame([(i % 50, u, "h", "p", "r", True) for i, u in enumerate(urls)], "page_id long, url string, host string, path string, rule string, mined boolean")
     rows = url_filters.url_filters(pages, rules=[("org/es/", "block"), ("com/fr/", "allow"), ("org/es/", "allow")]).collect()
     got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict, r.mined) for r in rows)
     wanted = Counter()
     for i, u in enumerate(urls):
         host, path = host_path(u)
-        rule = "org/es/" if host.endswith("org") else "com/fr/" if host.endswith("com") else None
-        verdict = "block" if path.startswith("/es/") else "allow"
-        wanted[(i % 50, host, path, rule, verdict, rule is None and verdict == "block")] += 1
+        rule = "org/es/" if host.endswith("org") and path.startswith("/es/") else "com/fr/" if host.endswith("com") else None
+        mined = rule is None and "ad=1" in (u or "")
+        wanted[(i % 50, host, path, rule, "block" if rule == "org/es/" or mined else "allow", mined)] += 1
     assert got == wanted
     assert url_filters.url_filters(pages.limit(0)).collect() == []
 
 
+def test_a_token_must_be_bad_wherever_it_occurs(spark):
+    """Half of the urls with a token aren't named by any rule, so it says nothing."""
+    urls = [f"http://h{i}.org/es/{i}?ad=1" for i in range(40)] + [f"http://h{i}.org/fr/{i}?ad=1" for i in range(40)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert not any(r.mined for r in url_filters.url_filters(pages, rules=[("org/es/", "block")]).collect())
+    assert url_filters.made_of([("A.b.org/es/x", "block")]) == ["d:a.b.org", "d:b.org", "h:a", "h:b", "h:org", "p:es", "p:x"]
+
+
 def split(labelled):
     host, path = url_filters.host_path(F.col("url"))
     return labelled.withColumns({"host": host, "path": path}).select(url_filters.url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"), "bad")
@@ -248,7 +257,7 @@ def brute_rules(spark, labelled):
     from itertools import combinations
 
     rows = split(labelled).collect()
-    n, least = len(rows), max(0.005 * len(rows), 20)
+    least = 20
     frequent = {t for t, c in Counter(t for r in rows for t in r.tokens).items() if c >= least}
     seen, hit = Counter(), Counter()
     for r in rows:
@@ -257,8 +266,8 @@ def brute_rules(spark, labelled):
             for c in combinations(own, k):
                 seen[c] += 1
                 hit[c] += r.bad
-    assert n
-    return {c for c in seen if hit[c] >= least and hit[c] / seen[c] >= 0.9}
+    sure = {c for c in seen if hit[c] >= least and hit[c] / seen[c] >= 0.9}
+    return {c for c in sure if not any(set(x) < set(c) for x in sure)}
 
 
 def test_packing(spark):
@@ -496,6 +505,40 @@ def test_classifier_holds_out(spark):
     assert wrong <= 9
 
 
+def test_site_posteriors_equal_plain_python(spark):
+    """Hosts and paths of unlike sizes and rates, nulls and repeats among them."""
+    rnd = random.Random(12)
+    rows = []
+    for h in range(9):
+        for p in range(1 + h % 3):
+            lean = rnd.gauss(0, 2)
+            rows += [(f"h{h}" if h else "", f"p{p}", int(1e6 * rnd.gauss(lean, 1)), int(1e6 * rnd.gauss(-lean, 2))) for _ in range(rnd.choice([1, 3, 40]))]
+    shifts, total = classifier.site_shifts(spark.createDataFrame(rows, "_host string, _path string, _good long, _toxic long"))
+    got = {(r._host, r._path): (r.n, r._good_shift, r._toxic_shift) for r in shifts.collect()}
+    assert total == len(rows) and set(got) == {r[:2] for r in rows}
+    logit = lambda p: math.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4)))
+    for k in (2, 3):
+        chance = [1 / (1 + math.exp(-r[k] / 1e6)) for r in rows]
+        mean = sum(chance) / len(rows)
+        hosts, paths = defaultdict(list), defaultdict(list)
+        for r, c in zip(rows, chance, strict=True):
+            hosts[r[0]].append(c)
+            paths[r[:2]].append(c)
+        rate = {h: sum(c) / len(c) for h, c in hosts.items()}
+        among = sum(len(c) * (rate[h] - mean) ** 2 for h, c in hosts.items()) / len(rows)
+        within = sum(len(c) * (sum(c) / len(c) - rate[p[0]]) ** 2 for p, c in paths.items()) / len(rows)
+        spread = sum(len(c) * rate[h] * (1 - rate[h]) for h, c in hosts.items()) / len(rows)
+        host_size, path_size = mean * (1 - mean) / among - 1, spread / within - 1
+        assert 1 < host_size < 1e4 and 1 < path_size < 1e4  # so that neither bound acts
+        for p, c in paths.items():
+            host = (sum(hosts[p[0]]) + host_size * mean) / (len(hosts[p[0]]) + host_size)
+            post = (sum(c) + path_size * host) / (len(c) + path_size)
+            assert got[p][0] == len(c) and got[p][k - 1] == pytest.approx(0.5 * (logit(post) - logit(mean)), abs=1e-3)
+    assert classifier.concentration(0.2, 0.0) == 1e4 and classifier.concentration(0.2, 0.19) == 1.0
+    empty, none = classifier.site_shifts(spark.createDataFrame([], "_host string, _path string, _good long, _toxic long"))
+    assert none == 0 and empty.collect() == []
+
+
 def test_classifier_odd_input(spark):
     texts = odd_texts()
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -542,5 +585,19 @@ def test_topk_in_many_blocks(spark, monkeypatch):
     assert {q: sorted(v) for q, v in got.items()} == brute_topk(rows)
 
 
+@pytest.mark.parametrize(("decay", "most"), [(0.5, 0.25), (0.8, 0.8), (1.0, 1.0)])
+def test_topk_reading_stops(decay, most):
+    """Where few dimensions weigh most, the bound falls below the kth score long before all rows are scored; where all weigh alike it can't."""
+    rng = np.random.default_rng(3)
+    vectors = np.floor(1024 * rng.standard_normal((4000, 16)) * decay ** np.arange(16))
+    lists = exact_topk.Lists(np.arange(4000), np.arange(4000), vectors)
+    for own in range(20):
+        found = lists.top(vectors[own], own, 10)
+        scores = vectors @ vectors[own]
+        wanted = sorted(((-int(s), i) for i, s in enumerate(scores) if i != own))[:10]
+        assert found == [(-s, i) for s, i in wanted]
+    assert lists.scored <= most * 20 * 4000
+
+
 def test_topk_empty(spark):
     assert exact_topk.exact_topk(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).collect() == []
