@@ -13,7 +13,10 @@ from quarrylight import schema
 from quarrylight.extract import highlight
 from quarrylight.functions import ranges
 from quarrylight.functions.text import modifier_mask
-from quarrylight.operators import diff, graph, intervals, paging, paths, refs, scope, search, summary
+from quarrylight.operators import diff, graph, intervals, paging, paths, refs, relations, scope, search, summary
+from quarrylight.plans import searching
+from quarrylight.sources import projects
+from quarrylight.sources.discovery import capture
 from quarrylight.sources.store import Store
 
 class Api:
@@ -23,13 +26,17 @@ class Api:
         self.store, self.spark = store, store.spark
 
     def _own(self, table: str, ws: int) -> DataFrame:
-        return self.store.table(table).filter(F.col("workspace_id") == ws)
+        return self.store.table(table, workspaces=[ws]).filter(F.col("workspace_id") == ws)
 
-    def _seen(self, table: str, ws: int) -> DataFrame:
-        """Rows of the workspace and of those it links to."""
+    def _visible(self, ws: int) -> list[int]:
         owners = self.spark.range(1).select(F.lit(ws).cast("long").alias("id"))
         pairs = scope.visibility(owners, "id", self.store.table("workspace_link").filter(F.col("source") == ws))
-        return self.store.table(table).join(pairs.select(F.col("owner").alias("workspace_id")).distinct(), "workspace_id", "left_semi")
+        return sorted(r["owner"] for r in pairs.select("owner").distinct().collect())  # the links of one workspace
+
+    def _seen(self, table: str, ws: int) -> DataFrame:
+        """Rows of the workspace and of those it links to, whose parts alone are read."""
+        seen = self._visible(ws)
+        return self.store.table(table, workspaces=seen).filter(F.col("workspace_id").isin(seen))
 
     # workspaces and jobs
     def health(self) -> DataFrame:
@@ -51,11 +58,12 @@ class Api:
         """Changes what is given.  New globs take effect with the next run; the stored hashes are forgotten, so it parses every file anew."""
         new = {"name": name, "include": include, "exclude": exclude}
         value = lambda v: F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, list) else F.lit(v)
-        own = F.col("id") == ws
-        changed = self.store.table("workspace").withColumns({k: F.when(own, value(v)).otherwise(F.col(k)) for k, v in new.items() if v is not None})
-        self.store.commit({"workspace": changed.withColumn("revision", F.when(own, F.col("revision") + 1).otherwise(F.col("revision")))})
-        if include is not None or exclude is not None:
-            self.store.commit({"file": diff.forget_hashes(self._own("file", ws), "content_hash", F.lit(True))}, ws)
+        own, at = F.col("id") == ws, self.store.version()
+        changed = self.store.table("workspace", at).withColumns({k: F.when(own, value(v)).otherwise(F.col(k)) for k, v in new.items() if v is not None})
+        changed = changed.withColumn("revision", F.when(own, F.col("revision") + 1).otherwise(F.col("revision")))
+        files = self.store.table("file", at, [ws]).filter(F.col("workspace_id") == ws)
+        forgotten = {"file": diff.forget_hashes(files, "content_hash", F.lit(True))} if include is not None or exclude is not None else {}
+        self.store.commit(forgotten, ws, base=at, whole={"workspace": changed})
 
     def status(self, ws: int) -> DataFrame:
         """The workspace's state by its newest job: idle without one, indexing while it runs, error when it failed, else ready."""
@@ -73,8 +81,9 @@ class Api:
         self.store.insert_missing("workspace_link", row, ["source", "target"])
 
     def unlink(self, source: int, target: int) -> None:
-        links = self.store.table("workspace_link")
-        self.store.commit({"workspace_link": links.filter((F.col("source") != source) | (F.col("target") != target))})
+        at = self.store.version()
+        links = self.store.table("workspace_link", at)
+        self.store.commit({"workspace_link": links.filter((F.col("source") != source) | (F.col("target") != target))}, base=at)
 
     def links(self, ws: int) -> DataFrame:
         return self.store.table("workspace_link").filter(F.col("source") == ws).select("target").orderBy("target")
@@ -85,12 +94,33 @@ class Api:
 
     def log_job(self, ws: int, job: int, job_type: str, status: str, **counts: int) -> None:
         c = {k: counts.get(k, 0) for k in ("total", "processed", "skipped", "errors", "warnings")}
-        row = self.spark.range(1).select(F.lit(job).cast("long").alias("id"), F.lit(ws).cast("long").alias("workspace_id"), F.lit(job_type).alias("job_type"), F.lit(status).alias("status"), *(F.lit(v).cast("long").alias(k) for k, v in c.items()), F.current_timestamp().alias("at"))
+        row = self.spark.range(1).select(F.lit(job).cast("long").alias("id"), F.lit(ws).cast("long").alias("workspace_id"), F.lit(job_type).alias("job_type"), F.lit(status).alias("status"), F.lit(None).cast("string").alias("stage"), *(F.lit(v).cast("long").alias(k) for k, v in c.items()), F.current_timestamp().alias("at"))
         self.store.append("index_job", row)
 
     def jobs(self, ws: int, limit: int = 20) -> DataFrame:
         return self.store.latest_jobs(ws, limit)
 
+    def job(self, ws: int, job: int) -> DataFrame:
+        """One job's state."""
+        return self.store.latest_jobs(ws, 1, job)
+
+    def job_history(self, ws: int, job: int) -> DataFrame:
+        """Every state and stage that a job has been in, oldest first."""
+        every = self.store.table("index_job").unionByName(self.store.log.rows())
+        return every.filter((F.col("workspace_id") == ws) & (F.col("id") == job)).orderBy("at")
+
+    def cancel(self, ws: int, job: int) -> bool:
+        """Asks a running job to stop; it commits nothing then.  False where it has ended."""
+        return self.store.cancel(job, ws)
+
+    def compile_command(self, ws: int, path: str) -> DataFrame:
+        """What the compile database at the workspace's root says of a file: search paths, macros and settings."""
+        root = self.workspace(ws).select("root").first()["root"]
+        if not capture(root, "compile_commands.json")[0]:
+            return self.spark.createDataFrame([], projects.CONTEXT)
+        contexts = projects.compile_commands(self.spark, f"{root.rstrip('/')}/compile_commands.json")
+        return projects.rebased(contexts, root).filter(F.col("file") == path)
+
     def summary(self, ws: int) -> DataFrame:
         """One row: active files, symbols, diagnostics by severity, and files per language."""
         files = self._own("file", ws).filter(~F.col("is_deleted"))
@@ -196,7 +226,7 @@ class Api:
 
     def _referencers(self, ws: int, symbol_id: int) -> DataFrame:
         one = self._seen("symbol", ws).filter(F.col("id") == symbol_id)
-        return refs.referencers(self._own("reference", ws), one, "id", "target_symbol_id", "name", "candidates", "id", "name", ["file_id", "source_symbol_id", "kind", "resolution", "start_line", "start_column"])
+        return refs.referencers_of_sets(self._own("reference", ws), self._own("candidate_set", ws), one, "id", "target_symbol_id", "name", "id", "name", ["file_id", "source_symbol_id", "kind", "resolution", "start_line", "start_column"])
 
     def references(self, ws: int, symbol_id: int, limit: int = 50, offset: int = 0) -> DataFrame:
         files = self._own("file", ws).select(F.col("id").alias("file_id"), "path")
@@ -215,7 +245,7 @@ class Api:
         if depth < 0 or max_nodes < 0 or max_edges < 0:
             raise ValueError("bounds must not be negative")
         seen = self._seen("symbol", ws).select("id", "name", "kind")
-        edges = self._seen("relation", ws)
+        edges = relations.expanded(self._seen("relation", ws), self._seen("candidate_set", ws))
         nodes, out, cut = graph.expand(edges, symbol_id, "source_symbol_id", "target_symbol_id", "kind", kinds, ["calls"], depth, min(max(max_nodes, 1), 500), min(max(max_edges, 1), 1000))
         return nodes.join(seen, "id", "left"), out, cut
 
@@ -224,7 +254,7 @@ class Api:
         """Files of the workspace alone, best first, with a snippet."""
         parsed = search.parse_query(query, ["text"])
         texts = self._own("file_content", ws)
-        hits = search.search(texts, parsed, "file_id", ["text"], folded=True)
+        hits = searching.hits(self.store, "file_content", [ws], parsed, texts)
         best = paging.page(hits, [F.col("rank"), F.col("id")], limit, offset)
         files = self._own("file", ws).select("id", "path")
         shown = best.join(texts.select(F.col("file_id").alias("id"), "text"), "id").join(files, "id")
@@ -233,7 +263,8 @@ class Api:
     def search_symbols(self, ws: int, query: str, limit: int = 50, offset: int = 0) -> DataFrame:
         """Full-text hits, else exact names, and calls of that name that lead nowhere."""
         symbols = self._seen("symbol", ws)
-        hits = search.with_fallback(search.search(symbols, query, "id", ["name", "qualified_name", "signature", "documentation"], folded=True), symbols, query, "id", "name")
+        parsed = search.parse_query(query, searching.INDEXED["symbol"][1])
+        hits = search.with_fallback(searching.hits(self.store, "symbol", self._visible(ws), parsed, symbols), symbols, query, "id", "name")
         unresolved = self._own("reference", ws).filter("target_symbol_id is null and kind = 'call'").withColumn("_id", F.coalesce("source_symbol_id", "id"))
         loose = search.loose_hits(unresolved, query, "_id", "name").distinct() if query else hits.limit(0)
         return paging.page(hits.unionByName(loose), [F.col("rank"), F.col("id")], limit, offset).join(symbols.select("id", "name", "qualified_name", "kind", "file_id"), "id", "left").orderBy("rank", "id")

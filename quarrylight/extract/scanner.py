@@ -38,7 +38,7 @@ KINDS = {"union": "struct", "record": "class", "module": "namespace"}
 DELIMITER = {"c": "::", "cpp": "::"}
 _IMPORTS = {
     "java": r"^[ \t]*import[ \t]+(?:static[ \t]+)?(?P<name>[\w.*]+)[ \t]*;",
-    "csharp": r"^[ \t]*(?:global[ \t]+)?using[ \t]+(?:static[ \t]+)?(?:(?P<alias>\w+)[ \t]*=[ \t]*)?(?P<name>[\w.]+)[ \t]*;",
+    "csharp": r"^[ \t]*(?P<global>global[ \t]+)?using[ \t]+(?P<static>static[ \t]+)?(?:(?P<alias>\w+)[ \t]*=[ \t]*)?(?P<name>[\w.]+)[ \t]*;",
 }
 
 
@@ -648,7 +648,7 @@ class Scan:
             elif before == "new" or (before == "::" and self.language == "java"):
                 note(t.text[i], "call" if before == "new" else "reference", scope_at(t.start[i]), self.byte(t.start[i]), self.byte(t.end[i]), SEEN)
         for m in re.finditer(_IMPORTS[self.language], self.text, re.MULTILINE) if self.language in _IMPORTS else ():
-            note(m["name"], "import", "", self.byte(m.start("name")), self.byte(m.end("name")), SEEN, metadata=json.dumps({"alias": m["alias"]}) if m.groupdict().get("alias") else None)
+            note(m["name"], "import", "", self.byte(m.start("name")), self.byte(m.end("name")), SEEN, metadata=json.dumps(said) if (said := _import_options(m)) else None)
 
     def imported(self, real: list[int], k: int) -> str | None:
         """The module that a string names, where it stands in an import."""

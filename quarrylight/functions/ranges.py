@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.functions import coordinates
+
 
 def line_spans(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
     """One row per line: (keys, line, start_byte, end_byte, text) without the line's CR LF.
 
     A final newline gives one more, empty line; an empty or null text has none.
+    A text's lines are made where it is read: no shuffle, no window.
     """
-    lines = F.split(F.col(text_col), "\n", -1)
-    exploded = df.filter(F.col(text_col) != "").select(*keys, F.posexplode(lines).alias("line", "_text"))
-    before = Window.partitionBy(*keys).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.coalesce(F.sum(F.octet_length("_text").cast("long") + 1).over(before), F.lit(0))
-    placed = exploded.withColumn("start_byte", at)
-    bare = F.regexp_replace("_text", "\r$", "")
-    return placed.select(*keys, "line", "start_byte", (F.col("start_byte") + F.octet_length(bare)).alias("end_byte"), bare.alias("text"))
+    return df.select(*keys, F.inline(coordinates.lines(F.col(text_col))))
 
 
 def slice_lines(text: Column, first: Column, last: Column) -> Column:

@@ -4,21 +4,34 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder that ``spark.checkpoint.dir`` names; one of our own only for a local master, where it is unset."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+def _shared(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; one of our own only for a local master, where it is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if not named and not context._jsc.sc().getCheckpointDir().isDefined():
+        if not re.match(r"local(\[|$)", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return named or context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage in the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of that name in the shared folder."""
+    return f"{_shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def closure(edges: DataFrame, starts: DataFrame, source: str, target: str, node: str, depth: int | None = None) -> DataFrame:
     """(root, node, level): what each start reaches, at its smallest level, in at most ``depth`` steps if given; roots lead to themselves at level 0.
 
@@ -77,6 +90,56 @@ def expand(edges: DataFrame, start: Column | int, source: str, target: str, kind
     return nodes, ends.select("source", "target", "kind", "level", "dangling"), cut
 
 
+def expand_many(edges: DataFrame, roots: DataFrame, source: str, target: str, kind: str, kinds: list[str] | None = None, incoming: list[str] | None = None, depth: int = 1, max_nodes: int | None = None, max_edges: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What :func:`expand` gives for one start, for all ``roots`` (root) at once: nodes (root, id, level), edges (root, source, target, kind, level, dangling) and cuts (root, cut).
+
+    The frontier is keyed by (root, node), so a level is one round of joins
+    however many roots there are.  Of each level only the first nodes and edges
+    that a root's caps leave room for are kept, and a root whose nodes and edges
+    both exceed their caps leaves the frontier.
+    """
+    depth = min(max(depth, 1), 10)
+    e = edges.select(F.col(source).alias("source"), F.col(target).alias("target"), F.col(kind).alias("kind")).filter("source is not null and target is not null").distinct()
+    forward = e.filter(F.col("kind").isin(kinds)) if kinds else e
+    backward = e.filter(F.col("kind").isin(incoming or ["calls"]))
+    front = checkpoint(roots.select(F.col("root").cast("long").alias("root")).filter("root is not null").distinct().withColumn("id", F.col("root")))
+    met, nodes, found, seen_edges = front, front.withColumn("level", F.lit(0)), None, None
+    counts = front.select("root", F.lit(1).cast("long").alias("nodes"), F.lit(0).cast("long").alias("edges"))
+    order = {"id": ["id"], "edge": ["source", "target", "kind"]}
+
+    def room(rows: DataFrame, cap: int | None, have: str, by: str) -> DataFrame:
+        """The first rows of each root that its cap still has room for."""
+        if cap is None:
+            return rows
+        rank = F.row_number().over(Window.partitionBy("root").orderBy(*order[by]))
+        return rows.withColumn("_rank", rank).filter(F.col("_rank") <= cap).join(counts, "root").filter(F.col("_rank") + F.col(have) <= cap).select(*rows.columns)
+
+    for level in range(1, depth + 1):
+        out = forward.join(front.withColumnRenamed("id", "source"), "source").select("root", "source", "target", "kind")
+        back = backward.join(front.withColumnRenamed("id", "target"), "target").select("root", "source", "target", "kind")
+        near = out.unionByName(back).distinct()
+        near = checkpoint(near if seen_edges is None else near.join(seen_edges, ["root", "source", "target", "kind"], "left_anti"))
+        ends = near.select("root", F.explode(F.array("source", "target")).alias("id")).distinct()
+        front = checkpoint(ends.join(met, ["root", "id"], "left_anti"))
+        kept = room(near, max_edges, "edges", "edge").withColumn("level", F.lit(level))
+        found = kept if found is None else found.unionByName(kept)
+        nodes = nodes.unionByName(room(front, max_nodes, "nodes", "id").withColumn("level", F.lit(level)))
+        grown = lambda df, name: df.groupBy("root").agg(F.count("*").alias(name))
+        counts = counts.join(grown(front, "_n"), "root", "left").join(grown(near, "_e"), "root", "left")
+        counts = checkpoint(counts.select("root", (F.col("nodes") + F.coalesce("_n", F.lit(0))).alias("nodes"), (F.col("edges") + F.coalesce("_e", F.lit(0))).alias("edges")))
+        if max_nodes is not None and max_edges is not None:
+            front = front.join(counts.filter((F.col("nodes") <= max_nodes) | (F.col("edges") <= max_edges)).select("root"), "root", "left_semi")
+        met, seen_edges = met.unionByName(front), near if seen_edges is None else seen_edges.unionByName(near)
+        if front.isEmpty():
+            break
+    over = lambda have, cap: F.lit(False) if cap is None else F.col(have) > cap
+    cuts = counts.select("root", (over("nodes", max_nodes) | over("edges", max_edges)).alias("cut"))
+    known = nodes.select("root", F.col("id").alias("_id"), F.lit(True).alias("_known"))
+    at = lambda df, end: df.join(known.withColumnsRenamed({"_id": end, "_known": f"_{end}"}), ["root", end], "left")
+    both = at(at(found, "source"), "target").withColumn("dangling", F.col("_source").isNull() | F.col("_target").isNull())
+    return nodes, both.select("root", "source", "target", "kind", "level", "dangling"), cuts
+
+
 def neighbours(edges: DataFrame, node: Column | int, source: str, target: str, kind: str) -> DataFrame:
     """(source, target, kind, way): a node's distinct edges, those from it (``out``) by kind and target, then those to it (``in``) by kind and source."""
     e = edges.select(F.col(source).alias("source"), F.col(target).alias("target"), F.col(kind).alias("kind")).filter((F.col("source") == node) | (F.col("target") == node)).distinct()

@@ -34,6 +34,21 @@ def referencers(
     return out.dropDuplicates([ref_id, "symbol_id"])
 
 
+def referencers_of_sets(references: DataFrame, sets: DataFrame, symbols: DataFrame, ref_id: str, target: str, name: str, symbol_id: str, symbol_name: str, extra: list[str] | None = None) -> DataFrame:
+    """As :func:`referencers`, where references hold the ``set_id`` of their candidates and ``sets`` (set_id, candidate) what these are.
+
+    The sets that hold an asked symbol are found first, then their references;
+    sets that hold none are read once and expanded never.
+    """
+    keep = [ref_id, *(extra or [])]
+    syms = symbols.select(F.col(symbol_id).alias("symbol_id"), F.col(symbol_name).alias("_name"))
+    direct = references.select(*keep, F.col(target).alias("symbol_id")).join(syms.select("symbol_id"), "symbol_id", "left_semi").select(*keep, "symbol_id")
+    by_name = references.filter(F.col(target).isNull()).select(*keep, F.col(name).alias("_name")).join(syms, "_name").select(*keep, "symbol_id")
+    holding = sets.select("set_id", F.col("candidate").alias("symbol_id")).join(syms.select("symbol_id"), "symbol_id", "left_semi")
+    listed = references.select(*keep, "set_id").join(holding, "set_id").select(*keep, "symbol_id")
+    return direct.unionByName(by_name).unionByName(listed).dropDuplicates([ref_id, "symbol_id"])
+
+
 def callers(calls: DataFrame, source: str, target: str) -> DataFrame:
     """Distinct (target, caller) pairs."""
     return calls.filter(F.col(source).isNotNull() & F.col(target).isNotNull()).select(F.col(target).alias("symbol_id"), F.col(source).alias("caller_id")).distinct()

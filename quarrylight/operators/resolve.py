@@ -85,3 +85,63 @@ def resolve_tiers(occurrences: DataFrame, tiers: list[tuple[str, float, list[str
         n.cast("long").alias("n_candidates"),
         b["all"].alias("candidates"),
     )
+
+
+def candidate_sets(candidates: DataFrame, keys: list[str], candidate: str, prefer: str | None = None, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Candidates by key, factorised: (keys, set_id, n, first) and (set_id, candidate).
+
+    A set is named by its content (its size and sums over two hashes of its
+    members), so keys of equal sets share one, which is stored once, in rows: no
+    set ever is one array.  ``first`` is the candidate of the least ``prefer``,
+    then the least.  Sets of fewer than ``least`` members have no name and no rows.
+    """
+    rank = F.col(prefer) if prefer else F.lit(0)
+    members = candidates.select(*keys, F.col(candidate).alias("candidate"), rank.alias("_rank")).filter(F.col("candidate").isNotNull()).groupBy(*keys, "candidate").agg(F.min("_rank").alias("_rank"))
+    part = lambda seed: F.sum(F.xxhash64("candidate", F.lit(seed)).cast("decimal(20,0)"))
+    content = F.when(F.count("*") >= least, F.xxhash64(F.count("*"), part(1), part(2), F.min("candidate"), F.max("candidate")))
+    named = members.groupBy(*keys).agg(content.alias("set_id"), F.count("*").alias("n"), F.min(F.struct("_rank", "candidate"))["candidate"].alias("first"))
+    # one key of each set stands for all
+    own = named.filter("set_id is not null").groupBy("set_id").agg(F.min(F.struct(*keys)).alias("_k")).select("set_id", *(F.col(f"_k.{k}").alias(k) for k in keys))
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(f"m.{k}").eqNullSafe(F.col(f"o.{k}"))
+    return named, members.alias("m").join(own.alias("o"), condition).select("set_id", "candidate")
+
+
+def first_tier(tiers: DataFrame, key: str) -> DataFrame:
+    """The candidates of each key's first tier, of :func:`candidate_tiers`."""
+    best = tiers.groupBy(key).agg(F.min("tier").alias("tier"))
+    return tiers.join(best, [key, "tier"])
+
+
+def resolve_factorised(occurrences: DataFrame, tiers: list[tuple[str, float, list[str], DataFrame]], candidate: str) -> tuple[DataFrame, DataFrame]:
+    """As :func:`resolve_tiers`, with the candidates as sets: occurrences with ``set_id``, and (set_id, candidate).
+
+    A name with many definitions and many uses costs a row for each of either;
+    :func:`set_pairs` makes their pairs where somebody reads them.
+    """
+    out, hits, sets = occurrences, [], None
+    for i, (reason, confidence, keys, candidates) in enumerate(tiers):
+        named, members = candidate_sets(candidates, keys, candidate)
+        hit = F.struct("n", F.col("first").alias("candidate"), F.lit(reason).alias("reason"), F.lit(confidence).alias("confidence"), "set_id")
+        out = out.join(named.select(*keys, hit.alias(f"_t{i}")), keys, "left")
+        hits.append(F.col(f"_t{i}"))
+        sets = members if sets is None else sets.unionByName(members)
+    b = F.coalesce(*hits)
+    n = F.coalesce(b["n"], F.lit(0))
+    resolved = out.select(
+        *occurrences.columns,
+        F.when(n == 0, "unresolved").when(n == 1, "resolved").otherwise("ambiguous").alias("resolution"),
+        b["candidate"].alias("target"),
+        F.when(n == 0, 0.0).when(n == 1, b["confidence"]).otherwise(0.5).alias("confidence"),
+        F.coalesce(b["reason"], F.lit("none")).alias("reason"),
+        n.cast("long").alias("n_candidates"),
+        b["set_id"].alias("set_id"),
+    )
+    return resolved, sets.distinct()
+
+
+def set_pairs(resolved: DataFrame, sets: DataFrame, key: str, candidates: DataFrame | None = None) -> DataFrame:
+    """(key, candidate) pairs of what is resolved; for some ``candidates`` (candidate) alone, if given, of whose sets nothing else is read."""
+    wanted = sets if candidates is None else sets.join(candidates.select("candidate").distinct(), "candidate", "left_semi")
+    return resolved.select(key, "set_id").join(wanted, "set_id").select(key, "candidate")

@@ -146,7 +146,7 @@ def parse_query(text: str, columns: list[str] | None = None) -> Query:
     """
     try:
         tree = _Parser(text).whole()
-        if _columns(tree) - set(columns or ()):
+        if columns_of(tree) - set(columns or ()):
             raise _Malformed
         return Query(tree)
     except _Malformed:
@@ -154,7 +154,8 @@ def parse_query(text: str, columns: list[str] | None = None) -> Query:
         return Query(("phrase", words, False) if len(words) > 1 else ("word", words[0]) if words else None)
 
 
-def _columns(tree: Tree | None) -> set[str]:
+def columns_of(tree: Tree | None) -> set[str]:
+    """The columns that an expression names."""
     found, left = set(), [tree] if tree else []
     while left:
         kind, *rest = left.pop()
@@ -168,6 +169,31 @@ def _columns(tree: Tree | None) -> set[str]:
     return found
 
 
+def patterns_of(tree: Tree | None) -> tuple[list[str], list[str]]:
+    """The words and the prefixes that an expression looks for, wherever they stand in it."""
+    words, prefixes, left = set(), set(), [tree] if tree else []
+    while left:
+        kind, *rest = left.pop()
+        if kind == "word":
+            words.add(rest[0])
+        elif kind == "prefix":
+            prefixes.add(rest[0])
+        elif kind == "phrase":
+            words.update(rest[0][:-1])
+            (prefixes if rest[1] else words).add(rest[0][-1])
+        elif kind in ("and", "or"):
+            left += rest[0]
+        else:
+            left += rest[1:] if kind == "in" else rest
+    return sorted(words), sorted(prefixes)
+
+
+def bm25_part(tf: Column, length: Column, df: int, n: int, mean: float) -> Column:
+    """What one term adds to a document's BM25."""
+    idf = F.log(F.lit(1 + (n - df + 0.5) / (df + 0.5)))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(float(max(mean, 1e-9)))))
+
+
 def postings(docs: DataFrame, id_col: str, text_cols: list[str], wanted: DataFrame | None = None, folded: bool = False) -> DataFrame:
     """The inverted index: (term, id, tf, length), one row per term and document; of the ``wanted`` terms (term) alone, if given."""
     text = F.concat_ws(" ", *text_cols)
@@ -226,7 +252,7 @@ def search(docs: DataFrame, query: Query | str, id_col: str, text_cols: list[str
     query = parse_query(query, text_cols) if isinstance(query, str) else query
     if not query:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("rank")).limit(0)
-    scored, used = query.scored(), sorted(_columns(query.tree))
+    scored, used = query.scored(), sorted(columns_of(query.tree))
     arrays = F.struct(tokens(F.concat_ws(" ", *text_cols), folded).alias("all"), *(tokens(F.col(c), folded).alias(f"in_{c}") for c in used))
 
     def measured(w: Column) -> Column:
@@ -242,9 +268,7 @@ def search(docs: DataFrame, query: Query | str, id_col: str, text_cols: list[str
     n, mean = row["n"], (row["words"] or 0) / max(row["n"], 1)
     score = F.lit(0.0)
     for i in range(len(scored)):
-        tf, df = F.col(f"m.tf{i}"), row[f"df{i}"]
-        idf = F.log(F.lit(1 + (n - df + 0.5) / (df + 0.5)))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("m.length") / F.lit(float(max(mean, 1e-9)))))
+        score = score + bm25_part(F.col(f"m.tf{i}"), F.col("m.length"), row[f"df{i}"], n, mean)
     return counted.filter(F.col("m.hit") & some).select("id", F.round(-score, 6).alias("rank"))
 
 

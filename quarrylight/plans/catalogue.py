@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylight import schema
-from quarrylight.functions import ranges, text
+from quarrylight.functions import coordinates, ranges, text
 from quarrylight.functions.text import tokens
-from quarrylight.operators import dedupe, diff, graph, intervals, paging, paths, refs, resolve, scope, search, summary
-from quarrylight.sources import discovery
+from quarrylight.operators import containment, dedupe, diff, graph, intervals, paging, paths, reach, refs, resolve, scope, search, summary
+from quarrylight.sources import discovery, fulltext, grams
+from quarrylight.sources.layers import Layers
+from quarrylight.sources.manifest import Manifests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -633,3 +635,174 @@ def detail_counts(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), "l_partkey", "l_orderkey")
     count = lambda c, name: lines.select("s_suppkey", c).distinct().groupBy("s_suppkey").agg(F.count("*").alias(name))
     return summary.composite(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey", {"callees": count("l_partkey", "callees"), "referencers": count("l_orderkey", "referencers")})
+
+
+# stored structures: written below the shared folder, then changed, then read
+
+
+_CHANGED = """changed AS (SELECT doc_id, CASE WHEN lang = 'de' THEN 'the version ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE lang IS DISTINCT FROM 'fr')"""
+
+
+def _changes(spark, sf_dir):
+    """Documents as they were, those that get another text, and those that go."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    other = docs.filter("lang = 'de'").withColumn("text", F.concat(F.lit("the version "), F.coalesce("text", F.lit(""))))
+    return docs.drop("lang"), other.drop("lang"), docs.filter("lang = 'fr'").select("doc_id")
+
+
+def _stored_index(spark, sf_dir):
+    docs, other, gone = _changes(spark, sf_dir)
+    index = fulltext.TextIndex(spark, graph.scratch(spark, "fulltext"), ["text"])
+    index.commit(docs, "doc_id")
+    index.commit(other, "doc_id", gone)
+    return index
+
+
+_STORED = _BM25.replace("documents", "changed")
+
+
+@query(f"WITH {_CHANGED}, {_STORED} SELECT doc_id, round(-({_bm25_term('the')} + {_bm25_term('version')}), 6) AS rank FROM d, t WHERE list_contains(ws, 'the') AND list_contains(ws, 'version')")
+def stored_search(spark, sf_dir):
+    """An index of the documents, then other texts for some and others removed: ranks are those of the texts as they are now."""
+    return _stored_index(spark, sf_dir).search("the version").select(F.col("id").alias("doc_id"), "rank")
+
+
+@query(f"""WITH {_CHANGED}, {_STORED}, s AS (SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' AS j FROM d)
+SELECT doc_id FROM s WHERE (list_contains(ws, 'the') AND list_contains(ws, 'version')) OR contains(j, ' de la ') OR (contains(j, ' apache lic') AND NOT (list_contains(ws, 'idiot') OR contains(j, ' under the ')))""")
+def stored_syntax(spark, sf_dir):
+    """Phrases, a phrase that ends in a prefix, NOT and OR, from the places in the stored postings."""
+    return _stored_index(spark, sf_dir).search('the version OR "de la" OR "apache lic"* NOT (idiot OR "under the")').select(F.col("id").alias("doc_id"))
+
+
+@query(ORACLES["query_columns"])
+def stored_columns(spark, sf_dir):
+    """Words that count in one column alone, by where each column ends."""
+    index = fulltext.TextIndex(spark, graph.scratch(spark, "fulltext"), ["p_name", "p_type", "p_brand"])
+    index.commit(table(spark, sf_dir, "part"), "p_partkey")
+    return index.search("p_name:s* OR p_type:economy NOT p_brand:1*").select(F.col("id").alias("p_partkey"))
+
+
+@query(f"WITH {_CHANGED} SELECT doc_id, sha256(coalesce(text, '')) AS h FROM changed")
+def merged_view(spark, sf_dir):
+    """A base, a change layer and deletion marks, read as one table."""
+    docs, other, gone = _changes(spark, sf_dir)
+    root = graph.scratch(spark, "layers")
+    layers = Layers(Manifests(spark, root), root, "doc_id bigint, text string", "doc_id")
+    held = [layers.write(docs, "base", 1)]
+    held.append(layers.write(other, "change", 2, other.select("doc_id").unionByName(gone)))
+    return layers.visible(held).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+
+
+@query(ORACLES["unresolved_bucketed"])
+def names_by_trigrams(spark, sf_dir):
+    """Names like a query, through the trigrams that it needs."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    word = part.agg(F.min("p_name")).first()[0].split(" ")[0]
+    index = grams.GramIndex(spark, graph.scratch(spark, "grams"))
+    index.commit(part, "p_partkey", "p_name")
+    return search.bucketed(index.containing(part, word, "p_partkey", "p_name"), word, "p_name")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, (SELECT count(*) FROM lineitem) AS total, (SELECT 5050 < count(*) FROM lineitem) AS has_more FROM lineitem ORDER BY l_partkey DESC, l_orderkey, l_linenumber LIMIT 50 OFFSET 5000")
+def deep_page(spark, sf_dir):
+    """A page far down a stored listing: its run alone is read."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return paging.listing(rows, [("l_partkey", False), ("l_orderkey", True), ("l_linenumber", True)], graph.scratch(spark, "listing"), 2000).page(50, 5000)
+
+
+@query("""WITH x AS (SELECT l_partkey AS p, l_orderkey AS o, l_linenumber AS n FROM lineitem ORDER BY p DESC, o, n LIMIT 1 OFFSET 3000)
+SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem, x WHERE l_partkey < p OR (l_partkey = p AND (l_orderkey > o OR (l_orderkey = o AND l_linenumber > n))) ORDER BY l_partkey DESC, l_orderkey, l_linenumber LIMIT 50""")
+def keyset_page(spark, sf_dir):
+    """The rows after one that a page before ended with."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    stored = paging.listing(rows, [("l_partkey", False), ("l_orderkey", True), ("l_linenumber", True)], graph.scratch(spark, "listing"), 2000)
+    last = stored.page(1, 3000).first()
+    return stored.after((last["l_partkey"], last["l_orderkey"], last["l_linenumber"]), 50)
+
+
+# each customer's orders as a chain that leads to the customer, their nation, and its region and back
+_CHAINS = """w AS (SELECT c_custkey * 10 + 1 AS s, 100 * c_nationkey::BIGINT + 3 AS t FROM customer UNION ALL SELECT 100 * n_nationkey::BIGINT + 3, 100 * n_regionkey::BIGINT + 4 FROM nation UNION ALL SELECT 100 * n_regionkey::BIGINT + 4, 100 * n_nationkey::BIGINT + 3 FROM nation
+UNION ALL SELECT o_orderkey * 10 + 2, coalesce(lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) * 10 + 2, o_custkey * 10 + 1) FROM orders)"""
+
+
+def _chained(spark, sf_dir):
+    customer, orders, nation = (table(spark, sf_dir, t) for t in ("customer", "orders", "nation"))
+    long = lambda c, k, by=10: (F.col(c).cast("long") * by + k)
+    following = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    out = customer.select(long("c_custkey", 1).alias("s"), long("c_nationkey", 3, 100).alias("t"))
+    out = out.unionByName(nation.select(long("n_nationkey", 3, 100).alias("s"), long("n_regionkey", 4, 100).alias("t")))
+    out = out.unionByName(nation.select(long("n_regionkey", 4, 100).alias("s"), long("n_nationkey", 3, 100).alias("t")))
+    return out.unionByName(orders.select("o_custkey", "o_orderkey", following.alias("next")).select(long("o_orderkey", 2).alias("s"), F.coalesce(long("next", 2), long("o_custkey", 1)).alias("t")))
+
+
+@query(f"WITH RECURSIVE {_CHAINS}, r AS (SELECT s AS root, t AS node FROM w UNION SELECT root, w.t FROM r JOIN w ON w.s = r.node) SELECT root, node FROM r")
+def reachable(spark, sf_dir):
+    """Everything that every node leads to, made from chain labels over the condensed graph."""
+    return reach.reach(_chained(spark, sf_dir), "s", "t").pairs()
+
+
+@query(f"""WITH RECURSIVE {_CHAINS}, n AS (SELECT s AS node FROM w UNION SELECT t FROM w), r AS (SELECT s AS root, t AS node FROM w UNION SELECT root, w.t FROM r JOIN w ON w.s = r.node)
+SELECT n.node, least(n.node, coalesce(min(a.node), n.node)) AS component FROM n LEFT JOIN (SELECT x.root, x.node FROM r x JOIN r y ON x.root = y.node AND x.node = y.root) a ON a.root = n.node GROUP BY n.node""")
+def strong_components(spark, sf_dir):
+    """Nodes that reach each other, by their least."""
+    return reach.components(_chained(spark, sf_dir), "s", "t")
+
+
+@query("""WITH m AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), h AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), k AS (SELECT l_orderkey, count(*) AS n FROM m GROUP BY 1),
+c AS (SELECT l_suppkey, l_orderkey, count(*) AS n FROM m JOIN h USING (l_partkey) GROUP BY 1, 2) SELECT l_suppkey AS owner, c.l_orderkey AS set FROM c JOIN k ON c.l_orderkey = k.l_orderkey AND c.n = k.n""")
+def containing_owners(spark, sf_dir):
+    """Suppliers that have delivered every part of an order, as a type has every method of an interface."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
+    return containment.contained_sets(lines, lines, "l_orderkey", "l_suppkey", "l_partkey")
+
+
+_MANY = f"""{_EDGES}, n0 AS (SELECT s AS root, s AS id FROM e UNION SELECT t, t FROM e WHERE t BETWEEN 0 AND 99), e1 AS (SELECT DISTINCT root, s, t, kind FROM n0 JOIN e ON (s = id AND kind = 'contains') OR (t = id AND kind = 'calls')),
+n1 AS (SELECT root, s AS id FROM e1 UNION SELECT root, t FROM e1), e2 AS (SELECT DISTINCT root, s, t, kind FROM n1 JOIN e ON (s = id AND kind = 'contains') OR (t = id AND kind = 'calls')),
+g AS (SELECT root, s, t, kind, min(level)::INTEGER AS level FROM (SELECT *, 1 AS level FROM e1 UNION ALL SELECT *, 2 FROM e2) GROUP BY root, s, t, kind),
+nodes AS (SELECT root, id, min(level) AS level FROM (SELECT root, id, 0 AS level FROM n0 UNION ALL SELECT root, s, level FROM g UNION ALL SELECT root, t, level FROM g) GROUP BY root, id),
+few AS (SELECT root, id FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY level, id) AS k FROM nodes) WHERE k <= 30), cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY level, s, t, kind) AS k FROM g) WHERE k <= 40)"""
+
+
+@query(f"WITH {_MANY} SELECT cut.root, s AS source, t AS target, kind, level, a.id IS NULL OR b.id IS NULL AS dangling FROM cut LEFT JOIN few a ON a.root = cut.root AND a.id = s LEFT JOIN few b ON b.root = cut.root AND b.id = t")
+def graph_expand_many(spark, sf_dir):
+    """As graph_expand_capped, around every region and nation at once."""
+    edges = _edges(spark, sf_dir)
+    _, found, _ = graph.expand_many(edges, edges.select(F.col("s").alias("root")).distinct(), "s", "t", "kind", ["contains"], ["calls"], depth=2, max_nodes=30, max_edges=40)
+    return found
+
+
+@query(f"WITH {_TIERS} SELECT * FROM rr")
+def factorised_resolution(spark, sf_dir):
+    """tiered_resolution, with each set of candidates stored once."""
+    resolved, _ = _factorised(spark, sf_dir)
+    return resolved.drop("set_id")
+
+
+def _factorised(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    occurrences = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_nationkey", "n_regionkey")
+    symbols = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_nationkey", "n_regionkey")
+    tiers = [("nation", 1.0, ["n_nationkey"], symbols), ("region", 0.9, ["n_regionkey"], symbols)]
+    resolved, sets = resolve.resolve_factorised(occurrences, tiers, "s_suppkey")
+    return resolved.drop("n_nationkey", "n_regionkey"), sets
+
+
+@query(f"""WITH {_TIERS}, p AS (SELECT c_custkey, s_suppkey FROM c JOIN s ON s_nationkey = c_nationkey UNION ALL SELECT c_custkey, s_suppkey FROM c JOIN s USING (n_regionkey) WHERE c_nationkey NOT IN (SELECT s_nationkey FROM s))
+SELECT s_suppkey AS symbol_id, count(*) AS referencers FROM p GROUP BY s_suppkey""")
+def factorised_referencers(spark, sf_dir):
+    """How many customers each supplier is a candidate of: sets are met with their references, and counted."""
+    resolved, sets = _factorised(spark, sf_dir)
+    uses = resolved.groupBy("set_id").agg(F.count("*").alias("uses"))
+    return sets.join(uses, "set_id").groupBy(F.col("candidate").alias("symbol_id")).agg(F.sum("uses").alias("referencers"))
+
+
+@query(r"""WITH o AS (SELECT doc_id, text, unnest(range(0, length(text) + 100, 97)) AS asked FROM documents WHERE text IS NOT NULL), h AS (SELECT doc_id, asked, least(asked, length(text)) AS point, left(text, least(asked, length(text))::BIGINT) AS head FROM o),
+l AS (SELECT *, regexp_extract(head, '[^\n]*$') AS own FROM h)
+SELECT doc_id, asked, (length(head) - length(replace(head, chr(10), '')))::INTEGER AS line, strlen(head)::BIGINT AS byte, point, (point + length(regexp_replace(head, '[^\x{10000}-\x{10FFFF}]', '', 'g')))::BIGINT AS utf16,
+strlen(own)::INTEGER AS byte_column, length(own)::INTEGER AS point_column, (length(own) + length(regexp_replace(own, '[^\x{10000}-\x{10FFFF}]', '', 'g')))::INTEGER AS utf16_column FROM l""")
+def bulk_coordinates(spark, sf_dir):
+    """Every 97th character of every document, and one beyond its end, as line and column in bytes, code points and UTF-16 units."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null").withColumn("starts", coordinates.line_starts(F.col("text")))
+    asked = docs.withColumn("offsets", F.sequence(F.lit(0).cast("long"), F.char_length("text") + 99, F.lit(97).cast("long")))
+    found = asked.select("doc_id", F.arrays_zip("offsets", coordinates.positions(F.col("text"), F.col("offsets"), "points", F.col("starts")).alias("at")).alias("z"))
+    return found.select("doc_id", F.explode("z").alias("z")).select("doc_id", F.col("z.offsets").alias("asked"), "z.at.*")

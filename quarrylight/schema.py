@@ -36,6 +36,8 @@ SEVERITIES = ["info", "warning", "error"]
 DIAGNOSTIC_SOURCES = ["filesystem", "parser", "adapter", "resolver", "database", "indexer"]
 JOB_TYPES = ["full", "incremental", "resolve", "rebuild_search"]
 JOB_STATES = ["queued", "running", "cancelling", "cancelled", "completed", "failed"]
+#: Job states that nothing follows.
+JOB_ENDS = ["cancelled", "completed", "failed"]
 WORKSPACE_STATES = ["idle", "indexing", "ready", "error"]
 #: What highlight tokens may be, and their modifiers, bit by bit.
 TOKEN_TYPES = [
@@ -51,13 +53,14 @@ TABLES: dict[str, str] = {
     "workspace_settings": "workspace_id bigint, languages array<string>, include_paths array<string>, defines array<string>, fingerprint string",
     "workspace_source_root": "workspace_id bigint, position int, path string",
     "workspace_link": "source bigint, target bigint",
-    "index_job": "id bigint, workspace_id bigint, job_type string, status string, total bigint, processed bigint, skipped bigint, errors bigint, warnings bigint, at timestamp",
+    "index_job": "id bigint, workspace_id bigint, job_type string, status string, stage string, total bigint, processed bigint, skipped bigint, errors bigint, warnings bigint, at timestamp",
     "file": "id bigint, workspace_id bigint, path string, language string, size bigint, mtime timestamp, content_hash string, is_binary boolean, is_deleted boolean",
     "file_content": "file_id bigint, workspace_id bigint, text string",
     "symbol": f"id bigint, workspace_id bigint, file_id bigint, symbol_key string, name string, qualified_name string, kind string, signature string, documentation string, scope string, scope_symbol_id bigint, is_definition boolean, {_RANGE}, body_start bigint, body_end bigint",
     "occurrence": f"id bigint, workspace_id bigint, file_id bigint, symbol_id bigint, kind string, name string, scope string, arity int, receiver string, metadata string, resolution string, confidence double, {_RANGE}",
-    "reference": "id bigint, workspace_id bigint, file_id bigint, source_symbol_id bigint, target_symbol_id bigint, kind string, name string, resolution string, confidence double, candidates array<bigint>, start_line int, start_column int",
-    "relation": "workspace_id bigint, source_symbol_id bigint, target_symbol_id bigint, kind string, target_name string, confidence double",
+    "reference": "id bigint, workspace_id bigint, file_id bigint, source_symbol_id bigint, target_symbol_id bigint, kind string, name string, resolution string, confidence double, set_id bigint, start_line int, start_column int",
+    "relation": "workspace_id bigint, source_symbol_id bigint, target_symbol_id bigint, set_id bigint, kind string, target_name string, confidence double",
+    "candidate_set": "set_id bigint, workspace_id bigint, candidate bigint",
     "dependency": "workspace_id bigint, source_file_id bigint, target_file_id bigint, raw_name string, kind string, resolution string, confidence double, reason string",
     "diagnostic": "id bigint, workspace_id bigint, file_id bigint, severity string, source string, code string, message string, start_line int, start_column int, at timestamp",
 }

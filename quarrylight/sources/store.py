@@ -4,14 +4,15 @@ A write goes to new directories; only when they are whole does a new manifest
 name them, so readers see the old tables or the new, and a lost executor or a
 failed job leaves the current version alone.  What a write doesn't touch is not
 copied: the manifest goes on naming the old directories.  A workspace's part of
-a table has a directory of its own, so indexing one leaves the others' alone.
+a table has layers of its own (see :mod:`quarrylight.sources.layers`): a commit
+compares its rows file by file with those that are visible and writes the files
+that differ beside them, so a change costs bytes in proportion to itself.
 Every commit writes below a name of its own, so of two writers at once the one
 that comes second fails and harms nothing.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,17 @@ from pyspark.sql import functions as F
 
 from quarrylight import schema
 from quarrylight.operators import dedupe, diff
-
-#: Tables that are split by workspace on disk.
-BY_WORKSPACE = {"file", "file_content", "symbol", "occurrence", "reference", "relation", "dependency", "diagnostic"}
+from quarrylight.operators.graph import checkpoint
+from quarrylight.sources.jobs import JobLog
+from quarrylight.sources.layers import Layers
+from quarrylight.sources.manifest import Manifests
+
+#: Tables that are split by workspace on disk, and the column whose rows change together.
+BY_WORKSPACE = {
+    "file": "id", "file_content": "file_id", "symbol": "file_id", "occurrence": "file_id", "reference": "file_id",
+    "relation": "source_symbol_id", "dependency": "source_file_id", "diagnostic": "file_id",
+    "candidate_set": "set_id",
+}
 ALL = "*"
 #: Directories of added rows that a table may have before they are made one.
 MAX_PARTS = 64
@@ -32,66 +41,67 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.manifests = Manifests(spark, self.root)
 
     def version(self) -> int:
         """The current version; 0 before the first."""
-        root = self._path(f"{self.root}/manifests")
-        names = [s.getPath().getName() for s in (self._fs.listStatus(root) if self._fs.exists(root) else [])]
-        return max((int(n[: -len(".json")]) for n in names if n.endswith(".json")), default=0)
-
-    def manifest(self, version: int | None = None) -> dict[str, dict[str, str]]:
-        """Table to workspace (or all) to directory."""
-        version = self.version() if version is None else version
-        if not version:
-            return {}
-        row = self.spark.read.text(f"{self.root}/manifests/{version}.json", wholetext=True).first()
-        return json.loads(row["value"])
-
-    def table(self, name: str, version: int | None = None) -> DataFrame:
+        return self.manifests.version()
+
+    def manifest(self, version: int | None = None) -> dict[str, dict]:
+        """Table to workspace (or all) to what holds its rows: layers, or a directory."""
+        return self.manifests.read(version)
+
+    def layers(self, name: str) -> Layers:
+        """How a workspace's part of a split table is written and read."""
+        return Layers(self.manifests, self.root, schema.columns(name), BY_WORKSPACE[name])
+
+    def table(self, name: str, version: int | None = None, workspaces: list[int] | None = None, keys: list | None = None) -> DataFrame:
+        """A table as of a version; of some ``workspaces`` alone, and of some ``keys`` (files, as a rule), only their parts are read."""
         parts = self.manifest(version).get(name, {})
         out = schema.empty(self.spark, name)
         own = [int(k) for k in parts if k != ALL and not k.startswith("+")]
+        split = name in BY_WORKSPACE
         for key, at in sorted(parts.items()):
-            df = self.spark.read.schema(schema.columns(name)).parquet(f"{self.root}/{at}")
-            if key == ALL and own:
-                df = df.filter(~F.col("workspace_id").isin(own))
+            if isinstance(at, list):
+                if workspaces is not None and int(key) not in workspaces:
+                    continue
+                df = self.layers(name).visible(at, keys)
+            else:
+                df = self.spark.read.schema(schema.columns(name)).parquet(f"{self.root}/{at}")
+                if key == ALL and own:
+                    df = df.filter(~F.col("workspace_id").isin(own))
+                if workspaces is not None and split:
+                    df = df.filter(F.col("workspace_id").isin(workspaces))
+                if keys is not None and split:
+                    df = df.filter(F.col(BY_WORKSPACE[name]).isin(keys))
             out = out.unionByName(df)
         return out
 
-    def commit(self, tables: dict[str, DataFrame], workspace: int | None = None, added: dict[str, DataFrame] | None = None, base: int | None = None) -> int:
+    def commit(self, tables: dict[str, DataFrame], workspace: int | None = None, added: dict[str, DataFrame] | None = None, base: int | None = None, whole: dict[str, DataFrame] | None = None) -> int:
         """A new version with these tables; of a split table only the workspace's rows, where one is given.
 
-        ``added`` holds rows that join those of tables that aren't split; ``base`` is
-        the version that the rows were made from, after which no other may have come.
+        ``added`` holds rows that join those of tables that aren't split, ``whole``
+        tables that aren't split beside a workspace's; ``base`` is the version that
+        the rows were made from, after which no other may have come.
         """
         base = self.version() if base is None else base
         manifest, new, own = self.manifest(base), base + 1, f"data/{base + 1}-{uuid.uuid4().hex}"
-        for name, df in tables.items():
-            key = str(workspace) if workspace is not None and name in BY_WORKSPACE else ALL
-            at = f"{own}/{name}" + ("" if key == ALL else f"/{key}")
-            self._write(name, df, at)
-            manifest[name] = {ALL: at} if key == ALL else manifest.get(name, {}) | {key: at}
+        for name, df in (tables | (whole or {})).items():
+            if workspace is not None and name in BY_WORKSPACE:
+                key, parts = str(workspace), manifest.get(name, {})
+                layers = self.layers(name).replace(parts.get(key, []), df, f"{own}/{name}/{key}", new, checkpoint)
+                manifest[name] = parts | {key: layers}
+            else:
+                self._write(name, df, f"{own}/{name}")
+                manifest[name] = {ALL: f"{own}/{name}"}
         for name, df in (added or {}).items():
             self._write(name, df, f"{own}/{name}+")
             manifest[name] = manifest.get(name, {}) | {f"+{new}": f"{own}/{name}+"}
-        return self._publish(manifest, new)
+        return self.manifests.publish(manifest, new)
 
     def _write(self, name: str, df: DataFrame, at: str) -> None:
         df.select(*(f.split()[0] for f in _fields(name))).write.parquet(f"{self.root}/{at}")
 
-    def _publish(self, manifest: dict, new: int) -> int:
-        draft, final = self._path(f"{self.root}/manifests/.{new}-{uuid.uuid4().hex}"), self._path(f"{self.root}/manifests/{new}.json")
-        stream = self._fs.create(draft, False)
-        stream.write(bytearray(json.dumps(manifest).encode()))
-        stream.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            self._fs.delete(draft, False)
-            raise RuntimeError(f"version {new} was written by someone else")
-        return new
-
     def append(self, name: str, rows: DataFrame) -> int:
         """Adds rows; what a table holds already is written anew only when its parts are many, or split by workspace."""
         if name in BY_WORKSPACE or len(self.manifest().get(name, {})) >= MAX_PARTS:
@@ -108,24 +118,45 @@ class Store:
         return self.commit({name: diff.insert_missing(self.table(name, at), rows, key)}, base=at)
 
     def delete_workspace(self, workspace_id: int) -> int:
-        """A workspace with everything that hangs on it."""
-        out = {}
-        for name, columns in schema.TABLES.items():
-            df = self.table(name)
+        """A workspace with everything that hangs on it; its parts of split tables are forgotten, not rewritten."""
+        at = self.version()
+        manifest, new, own = self.manifest(at), at + 1, f"data/{at + 1}-{uuid.uuid4().hex}"
+        for name, parts in manifest.items():
+            if name in BY_WORKSPACE:
+                manifest[name] = parts | {str(workspace_id): []}  # hides rows of a directory for all, too
+                continue
+            df = self.table(name, at)
             if name == "workspace":
-                out[name] = df.filter(F.col("id") != workspace_id)
+                kept = df.filter(F.col("id") != workspace_id)
             elif name == "workspace_link":
-                out[name] = df.filter((F.col("source") != workspace_id) & (F.col("target") != workspace_id))
-            elif "workspace_id" in columns:
-                out[name] = df.filter(F.col("workspace_id") != workspace_id)
-        return self.commit(out)
-
-    def latest_jobs(self, workspace_id: int, limit: int = 20) -> DataFrame:
-        """The run log holds a row per change of state; the newest of each job counts."""
-        jobs = self.table("index_job").filter(F.col("workspace_id") == workspace_id)
+                kept = df.filter((F.col("source") != workspace_id) & (F.col("target") != workspace_id))
+            elif "workspace_id" in schema.TABLES[name]:
+                kept = df.filter(F.col("workspace_id") != workspace_id)
+            else:
+                continue
+            self._write(name, kept, f"{own}/{name}")
+            manifest[name] = {ALL: f"{own}/{name}"}
+        return self.manifests.publish(manifest, new)
+
+    @property
+    def log(self) -> JobLog:
+        return JobLog(self.spark, self.root)
+
+    def latest_jobs(self, workspace_id: int, limit: int = 20, job: int | None = None) -> DataFrame:
+        """The newest state of each job, from the table of those that came through and the log of the others."""
+        jobs = self.table("index_job").unionByName(self.log.rows()).filter(F.col("workspace_id") == workspace_id)
+        jobs = jobs.filter(F.col("id") == job) if job is not None else jobs
         newest = jobs.groupBy("id").agg(F.max_by(F.struct(*[c for c in jobs.columns if c != "id"]), "at").alias("_r")).select("id", "_r.*")
         return newest.orderBy(F.desc("at"), "id").limit(limit)
 
+    def cancel(self, job: int, workspace_id: int) -> bool:
+        """Asks a run to stop; false where the job isn't known or has ended."""
+        row = self.latest_jobs(workspace_id, 1, job).first()
+        if row is None or row["status"] in schema.JOB_ENDS:
+            return False
+        self.log.cancel(job, workspace_id, row["job_type"])
+        return True
+
 
 def last_wins(rows: DataFrame, key: list[str], sequence: str) -> DataFrame:
     """Of the rows of a key the one written last."""

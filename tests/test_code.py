@@ -268,6 +268,22 @@ def test_csharp_names(spark, tmp_path):
     assert got == {("P.Q", "Tool"): ("N.Sub.Tool", "resolved"), ("P.R", "Other"): ("M.Thing", "resolved"), ("P.S", "Q"): ("P.Q", "resolved"), ("P.T", "Q"): ("P.Q", "resolved")}
 
 
+def test_csharp_usings(spark, tmp_path):
+    """Static and global usings, and names that begin with an alias."""
+    store = Store(spark, str(tmp_path / "store"))
+    write(tmp_path / "t", {
+        "lib.cs": "namespace N.Math {\n class Calc {\n  public static int Twice(int a) { return a; }\n }\n}\nnamespace G {\n class Shared { }\n}\n",
+        "global.cs": "global using G;\n",
+        "use.cs": "using static N.Math.Calc;\nusing M = N.Math;\nnamespace P {\n class Q : M.Calc {\n  int Run() { return Twice(2); }\n }\n class S : Shared { }\n}\n",
+        "other.cs": "namespace R {\n class Z {\n  int Run() { return Thrice(2); }\n }\n class Y : M.Calc { }\n}\n",
+    })
+    indexing.index(spark, store, str(tmp_path / "t"), 3)
+    names = {r.id: r.qualified_name for r in store.table("symbol").collect()}
+    got = {(r.scope, r.name): names.get(r.symbol_id) for r in store.table("occurrence").filter("kind in ('inheritance', 'implementation', 'call')").collect()}
+    assert got["P.Q.Run", "Twice"] == "N.Math.Calc.Twice" and got["P.S", "Shared"] == "G.Shared" and got["P.Q", "M.Calc"] == "N.Math.Calc"
+    assert got["R.Z.Run", "Thrice"] is None and got["R.Y", "M.Calc"] is None  # the alias is another file's
+
+
 def test_python_facts():
     f = py.extract("import a.b as c\n@deco\ndef é(x, *, y=1):\n    return self.z(x)\n", "p/m.py")
     names = [(s["qualified_name"], s["kind"]) for s in f.symbols]
