@@ -104,44 +104,58 @@ def mine_rules(labelled: DataFrame, min_pages: int = 20, min_confidence: float =
     At least ``min_pages`` bad urls must hold a rule's tokens, and
     ``min_confidence`` of all urls that do must be bad.
     """
-    from pyspark.ml.fpm import FPGrowth
-
-    spark = labelled.sparkSession
     own = F.array_except("tokens", F.array(*map(F.lit, leave_out))) if leave_out else F.col("tokens")
-    labelled = checkpoint(labelled.select(own.alias("tokens"), "bad"))
+    # read several times below; what is lost is computed again
+    labelled = labelled.select(own.alias("tokens"), "bad").persist()
     counted = labelled.select("bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("freq"), F.count_if("bad").alias("hits"))
-    tokens = checkpoint(counted.filter(F.col("hits") >= min_pages).withColumn("sure", F.col("hits") >= min_confidence * F.col("freq")))
+    tokens = counted.filter(F.col("hits") >= min_pages).withColumn("sure", F.col("hits") >= min_confidence * F.col("freq")).persist()
     single = tokens.filter("sure").select(F.array("token").alias("antecedent"), F.col("token").alias("anchor"))
     # only tokens of enough bad urls can be in a combination, and one with a sure token in it adds nothing
-    useful = tokens.filter("not sure").select("token", "freq", "hits")
-    if useful.isEmpty():
-        return single
-    numbered = labelled.filter("bad").select(F.monotonically_increasing_id().alias("url"), "tokens")
-    numbered = checkpoint(numbered)
-    kept = hot_join(numbered.select("url", F.explode("tokens").alias("token")), useful, ["token"], "hits", numbered.agg(F.sum(F.size("tokens"))).first()[0] or 0, F.col("url"), "inner")
-    items = checkpoint(kept.groupBy("url").agg(F.sort_array(F.collect_list("token")).alias("items")))  # a url's own tokens
-    n = items.count()
+    rules = checkpoint(single.unionByName(_combinations(labelled, tokens.filter("not sure").select("token", "freq", "hits"), min_pages, min_confidence)))
+    tokens.unpersist()
+    labelled.unpersist()
+    return rules
+
+
+def _combinations(labelled: DataFrame, useful: DataFrame, min_pages: int, min_confidence: float) -> DataFrame:
+    """The rules of two or more of the ``useful`` tokens (token, freq, hits)."""
+    from pyspark.ml.fpm import FPGrowth
+
+    spark = labelled.sparkSession
+    none = spark.createDataFrame([], "antecedent array<string>, anchor string")
+    total = useful.agg(F.sum("hits")).first()[0]
+    if not total:
+        return none
+    numbered = labelled.filter("bad").select(F.monotonically_increasing_id().alias("url"), F.explode("tokens").alias("token"))
+    kept = hot_join(numbered, useful, ["token"], "hits", total, F.col("url"), "inner")
+    items = kept.groupBy("url").agg(F.sort_array(F.collect_list("token")).alias("items")).select("items").persist()  # a url's own tokens
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    model = FPGrowth(itemsCol="items", minSupport=min_pages / n, minConfidence=1.0, numPartitions=parts).fit(items)
-    sets = model.freqItemsets.filter(F.size("items") > 1).select(F.sort_array("items").alias("antecedent"), F.col("freq").alias("hits"))
+    model = FPGrowth(itemsCol="items", minSupport=min(min_pages / items.count(), 1.0), minConfidence=1.0, numPartitions=parts).fit(items)
+    sets = checkpoint(model.freqItemsets.filter((F.size("items") > 1) & (F.col("freq") >= min_pages)).select(F.sort_array("items").alias("antecedent"), F.col("freq").alias("hits")))
+    items.unpersist()
     rarest = sets.select("antecedent", F.explode("antecedent").alias("token")).join(useful, "token").groupBy("antecedent").agg(F.min_by("token", F.struct("freq", "token")).alias("anchor"))
-    several = checkpoint(sets.join(rarest, "antecedent"))
-    if several.isEmpty():
-        return single
+    several = sets.join(rarest, "antecedent")
     held = matches(labelled.select(F.monotonically_increasing_id().alias("url"), "tokens"), several.select("antecedent", "anchor"))
-    sure = checkpoint(held.groupBy("rule").agg(F.count("*").alias("freq")).join(several.withColumnRenamed("antecedent", "rule"), "rule").filter(F.col("hits") >= min_confidence * F.col("freq")).select(F.col("rule").alias("antecedent"), "anchor"))
+    if held is None:
+        return none
+    counted = held.groupBy("rule").agg(F.count("*").alias("freq")).join(several.withColumnRenamed("antecedent", "rule"), "rule")
+    sure = checkpoint(counted.filter(F.col("hits") >= min_confidence * F.col("freq")).select(F.col("rule").alias("antecedent"), "anchor"))
     # of rules that hold each other's tokens the smallest say it all
-    larger = sure.select(F.col("antecedent").alias("tokens"), F.col("antecedent").alias("url"))
-    redundant = matches(larger, sure).filter(F.size("rule") < F.size("url")).select(F.col("url").alias("antecedent")).distinct()
-    return single.unionByName(sure.join(redundant, "antecedent", "left_anti"))
+    nested = matches(sure.select(F.col("antecedent").alias("url"), F.col("antecedent").alias("tokens")), sure)
+    if nested is None:
+        return none
+    redundant = nested.filter(F.size("rule") < F.size("url")).select(F.col("url").alias("antecedent")).distinct()
+    return sure.join(redundant, "antecedent", "left_anti")
 
 
-def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, rule): urls of (url, tokens), each once, that hold every token of a rule (antecedent, anchor), found through its anchor."""
+def matches(urls: DataFrame, rules: DataFrame) -> DataFrame | None:
+    """(url, rule): urls of (url, tokens), each once, that hold every token of a rule (antecedent, anchor), found through its anchor; None where no url holds any anchor."""
     index = rules.groupBy("anchor").agg(F.collect_list("antecedent").alias("_rules"))
-    dealt = checkpoint(urls.select("url", "tokens", F.explode("tokens").alias("anchor")).join(index.select("anchor"), "anchor", "left_semi"))
+    dealt = urls.select("url", "tokens", F.explode("tokens").alias("anchor"))
     sizes = checkpoint(dealt.groupBy("anchor").agg(F.count("*").alias("_size")).join(index, "anchor"))
-    total = sizes.agg(F.sum("_size")).first()[0] or 0
+    total = sizes.agg(F.sum("_size")).first()[0]
+    if not total:
+        return None
     held = hot_join(dealt, sizes, ["anchor"], "_size", total, F.xxhash64("url"), "inner")
     return held.select("url", F.explode(F.filter("_rules", lambda r: F.size(F.array_except(r, F.col("tokens"))) == 0)).alias("rule"))
 
@@ -174,10 +188,11 @@ def url_filters(
         examples = judged.filter(F.col("host") != "").select("host", "path", "url", F.coalesce(F.col("rule_verdict") == "block", F.lit(False)).alias("bad"))
     else:
         examples = _split(labelled.filter(F.col("url").isNotNull() & F.col("bad").isNotNull()).select("url", "bad"))
-    mined = checkpoint(mine_rules(examples.select(_tokens(), "bad"), min_pages, min_confidence, made_of(rules) if labelled is None else None))
+    mined = mine_rules(examples.select(_tokens(), "bad"), min_pages, min_confidence, made_of(rules) if labelled is None else None)
     # a url is matched once, however many rows have it
     urls = judged.filter(F.col("rule").isNull() & (F.col("host") != "")).groupBy("url", "host", "path").agg(F.count("*").alias("_n"))
-    hit = matches(urls.select("url", _tokens()), mined).select("url").distinct()
+    found = matches(urls.select("url", _tokens()), mined)
+    hit = mined.select(F.col("anchor").alias("url")).limit(0) if found is None else found.select("url").distinct()
     blocked = checkpoint(urls.select("url", "_n").join(hit, "url", "left_semi").withColumn("mined", F.lit(True)))
     total = blocked.agg(F.sum("_n")).first()[0] or 0
     return hot_join(judged, blocked, ["url"], "_n", total, F.monotonically_increasing_id()).select(
