@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,9 +24,28 @@ def _shared(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared folder."""
+    """Cuts lineage in the shared folder; the frame is computed once."""
     _shared(df.sparkSession)
-    return df.checkpoint()
+    held = df.persist()  # the checkpoint is a job of its own, which would compute everything again
+    out = held.checkpoint()
+    held.unpersist()
+    return out
+
+
+@contextmanager
+def holding() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that keeps frames which are read several times, until the block ends; what is lost of them is computed again."""
+    held: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        held.append(df.persist())
+        return held[-1]
+
+    try:
+        yield keep
+    finally:
+        for df in held:
+            df.unpersist()
 
 
 def scratch(spark: SparkSession, name: str) -> str:

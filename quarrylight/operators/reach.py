@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.operators.graph import checkpoint
+from quarrylight.operators.graph import checkpoint, holding
 
 
 def _empty(df: DataFrame, columns: str) -> DataFrame:
@@ -40,76 +40,71 @@ def _jumped(next_: DataFrame) -> DataFrame:
     Every node has one way on at most, and each is the way on of one at most.
     """
     at = checkpoint(next_.select("id", F.col("to").alias("end"), F.lit(1).cast("long").alias("hops"), F.least("id", "to").alias("least")))
-    total = at.count()
-    ended, span = _empty(at, "id bigint, end bigint, hops bigint, least bigint"), 1
-    while span < 2 * max(total, 1):
+    total, span = at.count(), 1
+    while total:
         on = at.select(F.col("id").alias("end"), F.col("end").alias("_end"), F.col("hops").alias("_hops"), F.col("least").alias("_least"))
         both = at.join(on, "end", "left")
-        moved = both.select("id", F.coalesce("_end", "end").alias("end"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), F.least("least", "_least").alias("least"), F.col("_end").isNull().alias("_done"))
-        moved = checkpoint(moved)
+        moved = checkpoint(both.select("id", F.coalesce("_end", "end").alias("end"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), F.least("least", "_least").alias("least"), F.col("_end").isNull().alias("_done")))
         left = moved.filter("not _done").count()
-        at = moved.drop("_done")
-        span *= 2
+        if left and span >= 2 * total:  # whose way is longer than there are nodes goes round
+            return moved.select("id", F.when(F.col("_done"), F.col("end")).alias("end"), "hops", "least")
+        at, span = moved.drop("_done"), 2 * span
         if not left:
-            return at
-    loops = checkpoint(moved.filter("not _done")).select("id", F.lit(None).cast("long").alias("end"), "hops", "least")
-    return moved.filter("_done").drop("_done").unionByName(loops)
+            break
+    return at
 
 
 def components(edges: DataFrame, source: str, target: str) -> DataFrame:
     """(node, component) for every node of an edge; nodes that reach each other share their least node."""
-    steps = checkpoint(_steps(edges, source, target))
-    raw = edges.select(F.col(source).cast("long").alias("node")).unionByName(edges.select(F.col(target).cast("long").alias("node"))).filter("node is not null").distinct()
-    ins, outs = steps.groupBy(F.col("t").alias("id")).agg(F.count("*").alias("n_in"), F.min("s").alias("from")), steps.groupBy(F.col("s").alias("id")).agg(F.count("*").alias("n_out"), F.min("t").alias("to"))
-    single = checkpoint(ins.join(outs, "id").filter("n_in = 1 and n_out = 1").select("id", "from", "to"))
-    inner = single.select("id")
-    run = _jumped(single.join(inner.select(F.col("id").alias("to")), "to", "left_semi").select("id", "to"))
-    cycles = checkpoint(run.filter("end is null").select(F.col("id").alias("node"), F.col("least").alias("component")))
-    # the last of each run, and the edge that the run stands for
-    last = single.select("id", F.col("id").alias("last")).join(run.select("id"), "id", "left_anti").unionByName(run.filter("end is not null").select("id", F.col("end").alias("last")))
-    first = single.join(inner.select(F.col("id").alias("from")), "from", "left_anti").select("id", "from")
-    ways = first.join(last, "id").join(single.select(F.col("id").alias("last"), "to"), "last").select("last", F.col("from").alias("s"), F.col("to").alias("t"))
-    ways = checkpoint(ways)
-    kept = steps.join(inner.select(F.col("id").alias("s")), "s", "left_anti").join(inner.select(F.col("id").alias("t")), "t", "left_anti")
-    small = checkpoint(kept.unionByName(ways.select("s", "t").filter("s <> t")).distinct())
-    found = checkpoint(_coloured(small))
-    # a run is part of a component where both its ends are
-    of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
-    sides = ways.join(of("s"), "s", "left").join(of("t"), "t", "left")
-    joined = sides.filter((F.col("s") == F.col("t")) | (F.col("_s") == F.col("_t"))).select("last", F.coalesce("_s", "s").alias("component"))
-    members = last.join(joined, "last").select(F.col("id").alias("node"), "component")
-    known = found.unionByName(members).unionByName(cycles)
-    ends = joined.select(F.col("component").alias("node"), "component").distinct()  # a node whose only cycle is a run
-    known = known.unionByName(ends.join(found.select("node"), "node", "left_anti"))
-    least = known.groupBy("component").agg(F.min("node").alias("least"))
-    named = known.join(least, "component").select("node", F.col("least").alias("component"))
-    return checkpoint(raw.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component")).distinct())
+    with holding() as keep:
+        steps = keep(_steps(edges, source, target))
+        raw = edges.select(F.explode(F.array(F.col(source).cast("long"), F.col(target).cast("long"))).alias("node")).filter("node is not null").distinct()
+        ins, outs = steps.groupBy(F.col("t").alias("id")).agg(F.count("*").alias("n_in"), F.min("s").alias("from")), steps.groupBy(F.col("s").alias("id")).agg(F.count("*").alias("n_out"), F.min("t").alias("to"))
+        single = keep(ins.join(outs, "id").filter("n_in = 1 and n_out = 1").select("id", "from", "to"))
+        inner = single.select("id")
+        run = _jumped(single.join(inner.select(F.col("id").alias("to")), "to", "left_semi").select("id", "to"))
+        cycles = run.filter("end is null").select(F.col("id").alias("node"), F.col("least").alias("component"))
+        # the last of each run, and the edge that the run stands for
+        last = single.select("id", F.col("id").alias("last")).join(run.select("id"), "id", "left_anti").unionByName(run.filter("end is not null").select("id", F.col("end").alias("last")))
+        first = single.join(inner.select(F.col("id").alias("from")), "from", "left_anti").select("id", "from")
+        ways = keep(first.join(last, "id").join(single.select(F.col("id").alias("last"), "to"), "last").select("last", F.col("from").alias("s"), F.col("to").alias("t")))
+        kept = steps.join(inner.select(F.col("id").alias("s")), "s", "left_anti").join(inner.select(F.col("id").alias("t")), "t", "left_anti")
+        found = keep(_coloured(kept.unionByName(ways.select("s", "t").filter("s <> t")).distinct()))
+        # a run is part of a component where both its ends are
+        of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+        sides = ways.join(of("s"), "s", "left").join(of("t"), "t", "left")
+        joined = sides.filter((F.col("s") == F.col("t")) | (F.col("_s") == F.col("_t"))).select("last", F.coalesce("_s", "s").alias("component"))
+        members = last.join(joined, "last").select(F.col("id").alias("node"), "component")
+        known = found.unionByName(members).unionByName(cycles)
+        ends = joined.select(F.col("component").alias("node"), "component").distinct()  # a node whose only cycle is a run
+        known = known.unionByName(ends.join(found.select("node"), "node", "left_anti"))
+        least = known.groupBy("component").agg(F.min("node").alias("least"))
+        named = known.join(least, "component").select("node", F.col("least").alias("component"))
+        return checkpoint(raw.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component")).distinct())
 
 
 def _coloured(steps: DataFrame) -> DataFrame:
     """(node, component) of the nodes that lie on a cycle, by trimming and by colours forwards and backwards."""
-    done = _empty(steps, "node bigint, component bigint")
+    done, before = _empty(steps, "node bigint, component bigint"), -1
     while True:
-        while True:  # what nothing enters or leaves lies on no cycle
-            n = steps.count()
-            on = steps.select(F.col("t").alias("id")).intersect(steps.select(F.col("s").alias("id")))
-            steps = checkpoint(steps.join(on.withColumnRenamed("id", "s"), "s", "left_semi").join(on.withColumnRenamed("id", "t"), "t", "left_semi"))
-            if steps.count() == n:
-                break
+        steps = checkpoint(steps)
+        n = steps.count()
         if not n:
             return done
-        colour = checkpoint(steps.select(F.col("s").alias("id")).distinct().withColumn("colour", F.col("id")))
-        while True:
+        if n != before:  # what nothing enters or leaves lies on no cycle
+            before = n
+            on = steps.select(F.col("t").alias("id")).intersect(steps.select(F.col("s").alias("id")))
+            steps = steps.join(on.withColumnRenamed("id", "s"), "s", "left_semi").join(on.withColumnRenamed("id", "t"), "t", "left_semi")
+            continue
+        colour, moved = steps.select(F.col("s").alias("id")).distinct().withColumn("colour", F.col("id")), True
+        while moved:
             over = steps.join(colour.withColumnsRenamed({"id": "s", "colour": "_c"}), "s").groupBy(F.col("t").alias("id")).agg(F.max("_c").alias("_c"))
             new = checkpoint(colour.join(over, "id", "left").select("id", F.greatest("colour", "_c").alias("colour"), (F.col("_c") > F.col("colour")).alias("_moved")))
-            moved = new.filter("_moved").isEmpty()
-            colour = new.drop("_moved")
-            if moved:
-                break
+            moved, colour = new.filter("_moved").count() > 0, new.drop("_moved")
         alike = steps.join(colour.withColumnsRenamed({"id": "s", "colour": "_a"}), "s").join(colour.withColumnsRenamed({"id": "t", "colour": "_b"}), "t").filter("_a = _b").select("s", "t")
         inside = checkpoint(alike)
         front = members = checkpoint(colour.filter("id = colour"))
-        while not front.isEmpty():
+        while front.count():
             back = inside.join(front.withColumnRenamed("id", "t"), "t").select(F.col("s").alias("id"), "colour").distinct()
             front = checkpoint(back.join(members.select("id"), "id", "left_anti"))
             members = members.unionByName(front)
@@ -117,7 +112,7 @@ def _coloured(steps: DataFrame) -> DataFrame:
         sizes = members.groupBy("colour").agg(F.count("*").alias("n")).filter("n > 1")
         done = done.unionByName(members.join(sizes.select("colour"), "colour", "left_semi").select(F.col("id").alias("node"), F.col("colour").alias("component")))
         gone = members.select("id")
-        steps = checkpoint(steps.join(gone.withColumnRenamed("id", "s"), "s", "left_anti").join(gone.withColumnRenamed("id", "t"), "t", "left_anti"))
+        steps = steps.join(gone.withColumnRenamed("id", "s"), "s", "left_anti").join(gone.withColumnRenamed("id", "t"), "t", "left_anti")
 
 
 @dataclass
@@ -167,7 +162,7 @@ def _chains(nodes: DataFrame, dag: DataFrame) -> DataFrame:
     # the successor that fewest want, so that more are accepted
     wish = dag.join(ins, "t").groupBy("s").agg(F.min(F.struct("_in", "t"))["t"].alias("t"))
     taken = wish.groupBy("t").agg(F.min("s").alias("s")).select(F.col("s").alias("id"), F.col("t").alias("to"))
-    run = _jumped(checkpoint(taken))
+    run = _jumped(taken)
     placed = nodes.join(run, "id", "left").select(F.col("id").alias("component"), F.coalesce("end", "id").alias("chain"), (-F.coalesce("hops", F.lit(0))).alias("place"))
     return checkpoint(placed)
 
@@ -191,6 +186,6 @@ def _labels(places: DataFrame, dag: DataFrame) -> DataFrame:
         spread = every.withColumn("first", F.min("first").over(later)).filter("first is not null").select(F.col("_c").alias("component"), "chain", "first")
         old = known.withColumnRenamed("first", "_old")
         fresh = checkpoint(spread.join(old, ["component", "chain"], "left").filter("_old is null or first < _old").drop("_old"))
-        if fresh.isEmpty():
+        if not fresh.count():
             return known
         known = checkpoint(known.unionByName(fresh).groupBy("component", "chain").agg(F.min("first").alias("first")))

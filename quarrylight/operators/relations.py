@@ -80,7 +80,10 @@ def imports(dependencies: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def satisfied(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """Go's types to the interfaces whose methods they all have, embedded interfaces left aside; by :func:`contained_sets` on names and numbers of parameters."""
-    go = symbols.join(files.filter("language = 'go'").select("file_id"), "file_id", "left_semi")
+    there = files.filter("language = 'go'").select("file_id")
+    if not there.limit(1).count():
+        return _single(symbols.limit(0).select("workspace_id", F.col("id").alias("source_symbol_id"), F.col("id").alias("target_symbol_id"), F.lit("implements").alias("kind"), F.col("name").alias("target_name"), F.lit(0.9).alias("confidence")))
+    go = symbols.join(there, "file_id", "left_semi")
     owners = go.filter("kind in ('interface', 'struct', 'class', 'type_alias')").select("workspace_id", F.col("id").alias("owner"), F.col("kind").alias("owner_kind"), F.col("qualified_name").alias("scope"), "name")
     methods = go.filter("kind = 'method'").select("workspace_id", "scope", F.concat_ws("/", "name", arity(F.col("signature")).cast("string")).alias("method"))
     held = methods.join(owners, ["workspace_id", "scope"]).withColumn("element", F.concat_ws(":", "workspace_id", "method"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions.text import tokens
-from quarrylight.operators.graph import checkpoint
+from quarrylight.operators.graph import holding
 from quarrylight.operators.search import Query, Tree, bm25_part, columns_of, parse_query, patterns_of
 from quarrylight.sources.layers import Layers
 from quarrylight.sources.manifest import Manifests
@@ -46,25 +46,25 @@ class TextIndex:
         """A version in which ``docs`` have taken the place of what it had by their ids, and ``removed`` (id) are gone."""
         base = self.manifests.version() if base is None else base
         state, at = self.state(base), f"segments/{base + 1}-{uuid.uuid4().hex}"
-        measured = checkpoint(docs.select(F.col(id_col).cast("long").alias("id"), *(tokens(F.col(c), self.folded).alias(f"in_{c}") for c in self.columns)))
-        words = F.concat(*(F.col(f"in_{c}") for c in self.columns))
-        sizes = F.array(*(F.size(f"in_{c}") for c in self.columns))
-        ends = F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda a, x: a + x))
-        fresh = measured.select("id", F.size(words).alias("length"), ends.alias("ends")).filter("length > 0")
-        listed = measured.select("id", F.size(words).alias("length"), F.posexplode(words).alias("place", "term"))
-        posted = checkpoint(listed.groupBy("term", "id").agg(F.first("length").alias("length"), F.sort_array(F.collect_list("place")).alias("places")).withColumn("tf", F.size("places")))
-        gone = None
-        n, total = state["n"], state["words"]
-        if state["documents"]:
-            gone = measured.select("id") if removed is None else measured.select("id").unionByName(removed.select(F.col(removed.columns[0]).cast("long").alias("id")))
-            gone = checkpoint(gone.distinct())
-            old = self.documents.visible(state["documents"]).join(gone, "id", "left_semi").agg(F.count("*"), F.sum(F.col("length").cast("long"))).first()
-            n, total = n - old[0], total - (old[1] or 0)
-        new = fresh.agg(F.count("*"), F.sum(F.col("length").cast("long"))).first()
-        after = {"n": n + new[0], "words": total + (new[1] or 0), "note": note}
-        for name, layers, rows in (("postings", self.postings, posted), ("documents", self.documents, fresh)):
-            segments = [*state[name], layers.write(rows, f"{at}/{name}", base + 1, gone)]
-            after[name] = layers.merged(segments, f"{at}/{name}-merged")
+        with holding() as keep:
+            measured = keep(docs.select(F.col(id_col).cast("long").alias("id"), *(tokens(F.col(c), self.folded).alias(f"in_{c}") for c in self.columns)))
+            words = F.concat(*(F.col(f"in_{c}") for c in self.columns))
+            sizes = F.array(*(F.size(f"in_{c}") for c in self.columns))
+            ends = F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda a, x: a + x))
+            fresh = measured.select("id", F.size(words).alias("length"), ends.alias("ends")).filter("length > 0")
+            listed = measured.select("id", F.size(words).alias("length"), F.posexplode(words).alias("place", "term"))
+            posted = keep(listed.groupBy("term", "id").agg(F.first("length").alias("length"), F.sort_array(F.collect_list("place")).alias("places")).withColumn("tf", F.size("places")))
+            gone, n, total = None, state["n"], state["words"]
+            if state["documents"]:
+                own = measured.select("id")
+                gone = keep((own if removed is None else own.unionByName(removed.select(F.col(removed.columns[0]).cast("long").alias("id")))).distinct())
+                old = self.documents.visible(state["documents"]).join(gone, "id", "left_semi").agg(F.count("*"), F.sum(F.col("length").cast("long"))).first()
+                n, total = n - old[0], total - (old[1] or 0)
+            new = fresh.agg(F.count("*"), F.sum(F.col("length").cast("long"))).first()
+            after = {"n": n + new[0], "words": total + (new[1] or 0), "note": note}
+            for name, layers, rows, size in (("postings", self.postings, posted, None), ("documents", self.documents, fresh, new[0])):
+                segments = [*state[name], layers.write(rows, f"{at}/{name}", base + 1, gone, size)]
+                after[name] = layers.merged(segments, f"{at}/{name}-merged")
         return self.manifests.publish(after, base + 1)
 
     def found(self, terms: list[str], prefixes: list[str] = (), version: int | None = None, state: dict | None = None) -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight.operators.graph import checkpoint, holding
 from quarrylight.sources.manifest import Manifests
 
 BUCKET = "_bucket"
@@ -35,9 +36,9 @@ class Layers:
         fields = self.spark.createDataFrame([], columns).schema
         self.names, self.key_type, self.by_type = fields.names, fields[key].dataType, fields[self.by].dataType
 
-    def write(self, rows: DataFrame, at: str, order: int, gone: DataFrame | None = None) -> dict:
-        """A layer with these rows, which takes away older rows of the keys in ``gone``."""
-        n = rows.count()
+    def write(self, rows: DataFrame, at: str, order: int, gone: DataFrame | None = None, n: int | None = None) -> dict:
+        """A layer with these rows (``n`` of them, if known), which takes away older rows of the keys in ``gone``."""
+        n = rows.count() if n is None else n
         buckets = max(1, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
         salts = max(1, -(-n // (buckets * FILE_ROWS)))
         dealt = rows.select(*self.names).withColumn(BUCKET, _bucket(F.col(self.by), buckets))
@@ -81,24 +82,20 @@ class Layers:
         return out.drop("_order")
 
     def changed(self, layers: list[dict], rows: DataFrame) -> DataFrame:
-        """The keys whose rows differ from the visible ones, by one aggregation of either and a full join."""
+        """(key, _n): the keys whose rows differ from the visible ones, and how many rows they have now, by one aggregation of either and a full join."""
         cells = [c for name in self.names for c in (F.col(name), F.col(name).isNull())]  # nulls leave a hash as it is
         summed = lambda df: df.groupBy(self.key).agg(F.count("*").alias("_n"), F.sum(F.xxhash64(*cells).cast("decimal(20,0)")).alias("_h"))
+        new = summed(rows)
+        if not layers:
+            return new.select(self.key, "_n")
         old = summed(self.visible(layers)).toDF("_key", "_old_n", "_old_h")
-        both = summed(rows).join(old, F.col(self.key).eqNullSafe(F.col("_key")), "full_outer")
+        both = new.join(old, F.col(self.key).eqNullSafe(F.col("_key")), "full_outer")
         differs = ~(F.col("_n").eqNullSafe(F.col("_old_n")) & F.col("_h").eqNullSafe(F.col("_old_h")))
-        return both.filter(differs).select(F.when(F.col("_n").isNotNull(), F.col(self.key)).otherwise(F.col("_key")).alias(self.key))
+        return both.filter(differs).select(F.when(F.col("_n").isNotNull(), F.col(self.key)).otherwise(F.col("_key")).alias(self.key), F.coalesce("_n", F.lit(0).cast("long")).alias("_n"))
 
-    def replace(self, layers: list[dict], rows: DataFrame, at: str, order: int, cut) -> list[dict]:
-        """Layers that show ``rows`` and nothing else; only keys whose rows differ are written.  ``cut`` checkpoints a frame."""
-        if not layers:
-            return [self.write(rows, at, order)]
-        keys = cut(self.changed(layers, rows))
-        if keys.isEmpty():
-            return layers
-        named = keys.withColumnRenamed(self.key, "_key")
-        fresh = cut(rows.join(named, F.col(self.key).eqNullSafe(F.col("_key")), "left_semi"))
-        return self.merged([*layers, self.write(fresh, at, order, keys)], f"{at}-merged")
+    def replace(self, layers: list[dict], rows: DataFrame, at: str, order: int) -> list[dict]:
+        """Layers that show ``rows`` and nothing else; only keys whose rows differ are written."""
+        return replaced({"": (self, layers, rows, at)}, order)[""]
 
     def merged(self, layers: list[dict], at: str) -> list[dict]:
         """The same rows in fewer layers, where the last ones have grown as heavy as the one before them."""
@@ -114,5 +111,29 @@ class Layers:
         return [*layers[:first], self.write(self.visible(run), at, run[-1]["order"], marks)]
 
 
+def replaced(tables: dict[str, tuple[Layers, list[dict], DataFrame, str]], order: int) -> dict[str, list[dict]]:
+    """:meth:`Layers.replace` for several tables (their writer, layers, rows and folder), whose changes are found by one query; keys are bigints."""
+    with holding() as keep:
+        rows, changes = {}, None
+        for name, (table, layers, df, _) in tables.items():
+            rows[name] = keep(df.select(*table.names))
+            part = table.changed(layers, rows[name]).select(F.lit(name).alias("_table"), F.col(table.key).cast("bigint").alias("_key"), "_n")
+            changes = part if changes is None else changes.unionByName(part)
+        changes = checkpoint(changes)
+        sizes = {r["_table"]: (r["keys"], r["n"]) for r in changes.groupBy("_table").agg(F.count("*").alias("keys"), F.sum("_n").alias("n")).collect()}
+        out = {}
+        for name, (table, layers, _, at) in tables.items():
+            keys, n = sizes.get(name, (0, 0))
+            if not layers:
+                out[name] = [table.write(rows[name], at, order, n=n)]
+            elif not keys:
+                out[name] = layers
+            else:
+                own = changes.filter(F.col("_table") == name).select("_key")
+                fresh = rows[name].join(own, F.col(table.key).eqNullSafe(F.col("_key")), "left_semi")
+                out[name] = table.merged([*layers, table.write(fresh, at, order, own.withColumnRenamed("_key", table.key), n)], f"{at}-merged")
+        return out
+
+
 def _bucket(value, buckets: int):
     return F.pmod(F.xxhash64(value), F.lit(buckets)).cast("int")

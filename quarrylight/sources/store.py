@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 
 from quarrylight import schema
 from quarrylight.operators import dedupe, diff
-from quarrylight.operators.graph import checkpoint
 from quarrylight.sources.jobs import JobLog
-from quarrylight.sources.layers import Layers
+from quarrylight.sources.layers import Layers, replaced
 from quarrylight.sources.manifest import Manifests
 
 #: Tables that are split by workspace on disk, and the column whose rows change together.
@@ -86,12 +85,14 @@ class Store:
         """
         base = self.version() if base is None else base
         manifest, new, own = self.manifest(base), base + 1, f"data/{base + 1}-{uuid.uuid4().hex}"
+        split = {name: df for name, df in tables.items() if workspace is not None and name in BY_WORKSPACE}
+        key = str(workspace)
+        if split:
+            held = {name: manifest.get(name, {}).get(key, []) for name in split}
+            made = replaced({name: (self.layers(name), held[name], df, f"{own}/{name}/{key}") for name, df in split.items()}, new)
+            manifest |= {name: manifest.get(name, {}) | {key: layers} for name, layers in made.items()}
         for name, df in (tables | (whole or {})).items():
-            if workspace is not None and name in BY_WORKSPACE:
-                key, parts = str(workspace), manifest.get(name, {})
-                layers = self.layers(name).replace(parts.get(key, []), df, f"{own}/{name}/{key}", new, checkpoint)
-                manifest[name] = parts | {key: layers}
-            else:
+            if name not in split:
                 self._write(name, df, f"{own}/{name}")
                 manifest[name] = {ALL: f"{own}/{name}"}
         for name, df in (added or {}).items():

@@ -104,8 +104,8 @@ def test_many_roots_cost_no_more_jobs(spark):
 
     def jobs(n):
         spark.sparkContext.setJobGroup(f"roots-{n}", "")
-        nodes, found, _ = graph.expand_many(edges, spark.range(n).withColumnRenamed("id", "root"), "s", "t", "kind", ["calls"], ["calls"], 2, 5, 5)
-        assert nodes.select("root").distinct().count() == n and found.count() >= 2 * n - 1
+        nodes, found, _ = graph.expand_many(edges, spark.range(1, n + 1).withColumnRenamed("id", "root"), "s", "t", "kind", ["calls"], ["calls"], 2, 5, 5)
+        assert nodes.select("root").distinct().count() == n and found.select("root").distinct().count() == n
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"roots-{n}"))
 
     one, many = jobs(1), jobs(1000)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylight import schema
 from quarrylight.api import Api
-from quarrylight.operators import graph, paging, search
+from quarrylight.operators import paging, search
 from quarrylight.plans import indexing, searching
 from quarrylight.sources import jobs, layers
 from quarrylight.sources.fulltext import TextIndex
@@ -30,7 +30,7 @@ def test_layers_equal_a_rewritten_table(spark, tmp_path, monkeypatch):
     rows = lambda held: spark.createDataFrame([(k, v, [len(v)]) for k, vs in held.items() for v in vs], table.columns)
     held, parts = {i: [f"v{j}" for j in range(i % 4)] for i in range(60)} | {None: ["null"]}, []
     for step in range(6):
-        parts = table.replace(parts, rows(held), f"d{step}", step + 1, graph.checkpoint)
+        parts = table.replace(parts, rows(held), f"d{step}", step + 1)
         assert plain(table.visible(parts)) == plain(rows(held))
         for _ in range(3):
             k = rnd.choice([*range(60), None])
