@@ -54,6 +54,12 @@ class Context:
     on: bool = False
 
 
+def _import_options(found: re.Match) -> dict:
+    """What an import says besides its name: an alias, and whether it opens a type or holds for every file."""
+    groups = found.groupdict()
+    return {name: groups[name] if name == "alias" else True for name in ("alias", "static", "global") if groups.get(name)}
+
+
 class Scan:
     def __init__(self, text: str, path: str, language: str):
         self.text, self.path, self.language = text, path, language
