@@ -15,7 +15,9 @@ Ranks and the syntax of queries are those of
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,30 @@ POSTINGS = "term string, id bigint, tf int, length int, places array<int>"
 DOCUMENTS = "id bigint, length int, ends array<int>"
 
 
+#: Postings of an Arrow batch.
+BATCH = 100_000
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, words) to the postings of each document, made where it is read."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for id_, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            places: dict[str, list[int]] = {}
+            for i, word in enumerate(words):
+                places.setdefault(word, []).append(i)
+            rows += ((term, id_, len(at), len(words), at) for term, at in places.items())
+            if len(rows) >= BATCH:
+                yield _batch(rows)
+                rows = []
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"term": pa.string(), "id": pa.int64(), "tf": pa.int32(), "length": pa.int32(), "places": pa.list_(pa.int32())}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
+
+
 class TextIndex:
     """An index of documents with a bigint id and some text columns below a root."""
 
@@ -52,8 +78,7 @@ class TextIndex:
             sizes = F.array(*(F.size(f"in_{c}") for c in self.columns))
             ends = F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda a, x: a + x))
             fresh = measured.select("id", F.size(words).alias("length"), ends.alias("ends")).filter("length > 0")
-            listed = measured.select("id", F.size(words).alias("length"), F.posexplode(words).alias("place", "term"))
-            posted = keep(listed.groupBy("term", "id").agg(F.first("length").alias("length"), F.sort_array(F.collect_list("place")).alias("places")).withColumn("tf", F.size("places")))
+            posted = keep(measured.select("id", words.alias("words")).mapInArrow(_posted, POSTINGS))
             gone, n, total = None, state["n"], state["words"]
             if state["documents"]:
                 own = measured.select("id")
