@@ -87,6 +87,43 @@ def resolve_tiers(occurrences: DataFrame, tiers: list[tuple[str, float, list[str
     )
 
 
+def resolve_counted(occurrences: DataFrame, key: str, tiers: list[tuple[str, float, list[str], DataFrame, bool]], candidate: str) -> DataFrame:
+    """As :func:`resolve_tiers`, for the number of candidates and the first one alone; a tier ends with whether an occurrence is left out of its own candidates.
+
+    Candidates are counted where their keys have them, so occurrences that share
+    many cost a row each and no pairs.  The few whose rows ask for several sets
+    are counted over the union of these.
+    """
+    out, hits = occurrences, []
+    for i, (reason, confidence, keys, candidates, others) in enumerate(tiers):
+        members = candidates.select(*keys, F.col(candidate).alias("_c")).filter("_c is not null").distinct()
+        first = members.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_c").alias("_first"))
+        asked = occurrences.select(F.col(key).alias("_key"), *keys).filter("_key is not null").distinct()
+        if others:
+            second = members.join(first, keys).filter("_c > _first").groupBy(*keys).agg(F.min("_c").alias("_second"))
+            own = members.withColumn("_key", F.col("_c")).withColumnRenamed("_c", "_own")
+            left = asked.join(own, ["_key", *keys], "left").join(first, keys).join(second, keys, "left")
+            found = left.select("_key", *keys, (F.col("_n") - F.col("_own").isNotNull().cast("long")).alias("_n"), F.when(F.col("_own") == F.col("_first"), F.col("_second")).otherwise(F.col("_first")).alias("_first")).filter("_n > 0")
+        else:
+            found = asked.join(first, keys)
+        every = found.groupBy("_key").agg(F.count("*").alias("_sets"), F.sum("_n").alias("_n"), F.min("_first").alias("_first"))
+        several = found.join(every.filter("_sets > 1").select("_key"), "_key", "left_semi").select("_key", *keys).join(members, keys)
+        union = (several.filter("_c <> _key") if others else several).groupBy("_key").agg(F.count_distinct("_c").alias("_union"))
+        counted = every.join(union, "_key", "left").select(F.col("_key").alias(key), F.struct(F.coalesce("_union", "_n").alias("n"), F.col("_first").alias("candidate"), F.lit(reason).alias("reason"), F.lit(confidence).alias("confidence")).alias(f"_t{i}"))
+        out = out.join(counted, key, "left")
+        hits.append(F.col(f"_t{i}"))
+    b = F.coalesce(*hits)
+    n = F.coalesce(b["n"], F.lit(0))
+    return out.select(
+        *occurrences.columns,
+        F.when(n == 0, "unresolved").when(n == 1, "resolved").otherwise("ambiguous").alias("resolution"),
+        b["candidate"].alias("target"),
+        F.when(n == 0, 0.0).when(n == 1, b["confidence"]).otherwise(0.5).alias("confidence"),
+        F.coalesce(b["reason"], F.lit("none")).alias("reason"),
+        n.cast("long").alias("n_candidates"),
+    )
+
+
 def candidate_sets(candidates: DataFrame, keys: list[str], candidate: str, prefer: str | None = None, least: int = 1) -> tuple[DataFrame, DataFrame]:
     """Candidates by key, factorised: (keys, set_id, n, first) and (set_id, candidate).
 

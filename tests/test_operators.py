@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import ranges, text
 from quarrylight.operators import dedupe, diff, graph, intervals, paging, paths, refs, resolve, scope, search, summary
+from quarrylight.plans import catalogue
 from quarrylight.streaming import incremental
 
 
@@ -278,3 +279,48 @@ def test_resolve_keeps_all_candidates(spark):
     refs_ = resolve.resolve_tiers(calls, [("near", 1.0, ["n"], symbols)], "s")
     found = refs.referencers(refs_, symbols, "id", "target", "n", "candidates", "s", "n").collect()
     assert {r.symbol_id for r in found} == set(range(100))
+
+
+def test_counted_candidates_equal_listed_ones(spark):
+    rnd = random.Random(5)
+    some = lambda n: rnd.choice([None, *range(n)])
+    uses = spark.createDataFrame([(some(25), some(4), some(5)) for _ in range(60)] + [(90, None, 2), (91, 9, None), (92, 8, 77), (93, 1, 1)], "o long, x int, y int").distinct()
+    far = spark.createDataFrame([(some(5), rnd.randrange(30)) for _ in range(20)] * 2, "y int, c long")
+    near = uses.select("x", F.col("o").alias("c"))
+    listed = resolve.candidate_tiers([("near", 1.0, uses.join(near, "x").filter("o <> c").select("o", "c")), ("far", 0.8, uses.join(far, "y").select("o", "c"))], "o", "c")
+    wanted = resolve.resolve(uses, "o", listed).drop("candidates")
+    got = resolve.resolve_counted(uses, "o", [("near", 1.0, ["x"], near, True), ("far", 0.8, ["y"], far, False)], "c")
+    assert got.columns == wanted.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, wanted.collect()))
+
+
+def test_alike_parts_are_counted_without_their_pairs(spark, tmp_path):
+    n = 30_000  # 900 million pairs
+    spark.range(n).selectExpr("id p_partkey", "'b' p_brand", "'t' p_type", "1 p_size").write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(1).selectExpr("id s_suppkey", "1 s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    rows = catalogue.candidate_tiers(spark, str(tmp_path))
+    read = _rows_joined(rows)
+    assert {(r.resolution, r.target, r.n_candidates) for r in rows.collect()} == {("ambiguous", 0, n - 1), ("ambiguous", 1, n - 1)}
+    assert read() < 20 * n
+
+
+def _rows_joined(df):
+    """A function that tells how many rows the joins of a frame that has run gave, as its final plan counts them."""
+
+    def read():
+        total, left = 0, [df._jdf.queryExecution().executedPlan()]
+        while left:
+            node = left.pop()
+            kind = node.getClass().getSimpleName()
+            if kind == "AdaptiveSparkPlanExec":
+                left.append(node.executedPlan())
+                continue
+            if kind.endswith("QueryStageExec"):
+                left.append(node.plan())
+                continue
+            if kind.endswith("JoinExec"):
+                total += node.metrics().apply("numOutputRows").value()
+            left += [node.children().apply(i) for i in range(node.children().size())]
+        return total
+
+    return read
