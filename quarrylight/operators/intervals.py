@@ -17,13 +17,20 @@ def smallest_enclosing(inner: DataFrame, outer: DataFrame, keys: list[str], inne
     An equi-join on the keys and a grid cell: an outer range is listed in every
     cell that it touches, an inner one only in the cell of its start, so a key
     with very many ranges is dealt out and only nearby ranges are compared.
+    Equal ranges are compared once, whoever has them, and the shortest length
+    is found before the range that has it, so that no sort of the pairs is needed.
     """
     cell = lambda c: F.floor(F.col(c) / grid)
-    o = outer.select(*keys, F.col(outer_id).alias("_outer"), F.col(start).alias("_os"), F.col(end).alias("_oe"), F.explode(F.sequence(cell(start), cell(end))).alias("_cell"))
-    i = inner.select(*keys, F.col(inner_id).alias("_inner"), F.col(start).alias("_is"), F.col(end).alias("_ie"), cell(start).alias("_cell"))
-    hit = i.join(o, [*keys, "_cell"]).filter((F.col("_os") <= F.col("_is")) & (F.col("_oe") >= F.col("_ie")))
-    best = hit.groupBy(*keys, "_inner").agg(F.min_by("_outer", F.struct(F.col("_oe") - F.col("_os"), "_outer")).alias("_best"))
-    return best.select(*keys, F.col("_inner").alias(inner_id), F.col("_best").alias(outer_id))
+    found = [*keys, "_is", "_ie"]
+    distinct = outer.groupBy(*keys, F.col(start).alias("_os"), F.col(end).alias("_oe")).agg(F.min(outer_id).alias("_outer"))
+    o = distinct.withColumn("_length", F.col("_oe") - F.col("_os")).withColumn("_cell", F.explode(F.sequence(cell("_os"), cell("_oe"))))
+    ranges = inner.select(*keys, F.col(inner_id).alias("_inner"), F.col(start).alias("_is"), F.col(end).alias("_ie"))
+    i = ranges.select(*found).distinct().withColumn("_cell", cell("_is"))
+    holds = (F.col("_os") <= F.col("_is")) & (F.col("_oe") >= F.col("_ie"))
+    shortest = i.join(o, [*keys, "_cell"]).filter(holds).groupBy(*found, "_cell").agg(F.min("_length").alias("_length"))
+    best = shortest.join(o, [*keys, "_cell", "_length"]).filter(holds).groupBy(*found, "_length").agg(F.min("_outer").alias("_outer"))
+    held = ranges.join(best, found).groupBy(*keys, "_inner").agg(F.min(F.struct("_length", "_outer"))["_outer"].alias("_best"))
+    return held.select(*keys, F.col("_inner").alias(inner_id), F.col("_best").alias(outer_id))
 
 
 def find_at(ranges: DataFrame, position: Column, start: str = "start", end: str = "end") -> DataFrame:

@@ -304,6 +304,18 @@ def test_alike_parts_are_counted_without_their_pairs(spark, tmp_path):
     assert read() < 20 * n
 
 
+def test_smallest_enclosing_compares_equal_ranges_once(spark):
+    inner = spark.range(3000).selectExpr("id i", "1 k", "5 + id % 3 start", "8 + id % 3 end")
+    outer = spark.range(3000).selectExpr("id o", "1 k", "id % 4 start", "20 - id % 2 end")
+    rows = intervals.smallest_enclosing(inner, outer, ["k"], "i", "o")
+    read = _rows_joined(rows)
+    assert {(r.i, r.o) for r in rows.collect()} == {(i, 3) for i in range(3000)}
+    assert read() < 20_000
+    odd = spark.createDataFrame([(1, 1, 4, 5), (1, 1, 40, 41), (2, 1, None, 3), (3, None, 1, 2), (4, 2, 1, 2)], "i long, k int, start long, end long")
+    held = spark.createDataFrame([(9, 1, 0, 6), (8, 1, 1, 7), (7, 1, 38, 42), (6, 1, None, 9), (5, None, 0, 9)], "o long, k int, start long, end long")
+    assert [(r.k, r.i, r.o) for r in intervals.smallest_enclosing(odd, held, ["k"], "i", "o").collect()] == [(1, 1, 7)]
+
+
 def _rows_joined(df):
     """A function that tells how many rows the joins of a frame that has run gave, as its final plan counts them."""
 
