@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Members of a part in :func:`pairs_by_name`, and the most tasks that its cells are dealt to.
+CELL_ROWS, MOST_TASKS = 3500, 4096
+
 
 def referencers(
     references: DataFrame,
@@ -60,7 +63,25 @@ def callees(calls: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def pairs_by_name(left: DataFrame, right: DataFrame, links: DataFrame, owner: str, name: str, member_id: str) -> DataFrame:
-    """(derived member, base member) of the same name for each (derived, base) link: the override pairs."""
+    """(derived member, base member) of the same name for each (derived, base) link: the override pairs.
+
+    The members of a name on either side are dealt to parts of CELL_ROWS, and
+    part meets part in a cell of its own, so neither a common name nor a few
+    small inputs put many pairs into one task.
+    """
     d = left.select(F.col(owner).alias("derived"), F.col(name).alias("name"), F.col(member_id).alias("derived_member"))
     b = right.select(F.col(owner).alias("base"), F.col(name).alias("name"), F.col(member_id).alias("base_member"))
-    return links.select("derived", "base").distinct().join(d, "derived").join(b, ["base", "name"]).select("derived", "base", "name", "derived_member", "base_member")
+    counted = lambda df, key, n: df.groupBy(key, "name").agg(F.count("*").alias(n))
+    sizes = links.select("derived", "base").distinct().join(counted(d, "derived", "_d"), "derived").join(counted(b, "base", "_b"), ["base", "name"])
+    parts = lambda n: F.ceil(F.col(n) / CELL_ROWS).cast("int")
+    cells = sizes.select("derived", "base", "name", parts("_d").alias("_ds"), parts("_b").alias("_bs"))
+    part = lambda member, n: F.pmod(F.xxhash64(member), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key = ["derived", "base", "name", "_i", "_j"]
+    ds = d.join(cells, ["derived", "name"]).withColumn("_i", part("derived_member", "_ds")).withColumn("_j", every("_bs")).select(*key, "derived_member")
+    bs = b.join(cells, ["base", "name"]).withColumn("_j", part("base_member", "_bs")).withColumn("_i", every("_ds")).select(*key, "base_member")
+    pairs = sizes.agg(F.sum(F.col("_d").cast("double") * F.col("_b"))).first()[0] or 0
+    tasks = min(int(pairs // CELL_ROWS**2) + 1, MOST_TASKS)
+    if tasks > 1:  # by bytes, which adaptive execution goes by, the inputs would often be one task
+        ds, bs = ds.repartition(tasks, *key), bs.repartition(tasks, *key)
+    return ds.join(bs, key).select("derived", "base", "name", "derived_member", "base_member")

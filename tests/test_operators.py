@@ -304,6 +304,18 @@ def test_alike_parts_are_counted_without_their_pairs(spark, tmp_path):
     assert read() < 20 * n
 
 
+def test_pairs_of_a_common_name_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(refs, "CELL_ROWS", 10)
+    rows = [(o, n, 1000 * o + i) for o in (1, 2, 3) for n, size in (("hot", 95), ("rare", 2 * o - 3)) for i in range(size)] + [(1, None, 7), (2, None, 8), (None, "hot", 9), (2, "hot", None), (1, "hot", 1000)]
+    members = spark.createDataFrame(rows, "o int, n string, m long")
+    links = spark.createDataFrame([(2, 1), (3, 1), (3, 2), (2, 1), (4, 1), (None, 1)], "derived int, base int")
+    got = refs.pairs_by_name(members, members, links, "o", "n", "m")
+    wanted = [(x, y, n, a, b) for x, y in ((2, 1), (3, 1), (3, 2)) for o, n, a in rows if o == x and n for p, k, b in rows if p == y and k == n]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, wanted))
+    used = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(used) > 50 and max(r["count"] for r in used) < len(wanted) / 10
+
+
 def test_smallest_enclosing_compares_equal_ranges_once(spark):
     inner = spark.range(3000).selectExpr("id i", "1 k", "5 + id % 3 start", "8 + id % 3 end")
     outer = spark.range(3000).selectExpr("id o", "1 k", "id % 4 start", "20 - id % 2 end")
