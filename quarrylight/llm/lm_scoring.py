@@ -1,7 +1,7 @@
 """Stupid-backoff language-model scores against the corpus itself.
 
-Count tables of word n-grams are partitioned by hash.  Documents are dealt to
-blocks; a block explodes its texts into n-grams and sends its distinct ones,
+Count tables of word n-grams are partitioned by ranges of hashes.  Documents are
+dealt to blocks in compressed pieces; a block explodes its texts into n-grams and sends its distinct ones,
 with their counts, to the parts of the table; a part adds up the counts of all
 blocks and answers each block for the n-grams it sent; the block joins the
 answers to its n-grams and sums the scores of each document.  So the exchange
@@ -27,16 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm import textops
 from quarrylight.llm.graph import bounded_batches
-from quarrylight.llm.postings import by_part
 
 BACKOFF = 0.4
 #: Text of a block; a worker holds its n-grams, some 12 times as much.
 BLOCK_BYTES = 8 << 20
+#: Text of a piece that is compressed and dealt to a block as one.
+PIECE_BYTES = 128 << 10
 
 
 def _grams(texts: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -61,37 +64,49 @@ def _grams(texts: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray, n
     return grams, row, per
 
 
-def _distinct(grams: list[np.ndarray], n_parts: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Sorted distinct n-grams of a block, their counts, and which of them each part gets."""
+def _distinct(grams: list[np.ndarray], n_parts: int) -> tuple[np.ndarray, np.ndarray, list[slice]]:
+    """Sorted distinct n-grams of a block, their counts, and which of them each part gets: those of a range of hashes."""
     every = np.concatenate(grams)
     keys, counts = np.unique(every[every != 0], return_counts=True)
-    parts = (textops.mix(keys) % np.uint64(n_parts)).astype(np.int64)
-    return keys, counts, by_part(parts, n_parts)
+    parts = (keys >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)
+    cuts = np.searchsorted(parts, np.arange(n_parts + 1, dtype=np.uint64)).tolist()
+    return keys, counts, [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+_HEAD = np.dtype([("n", "<u4"), ("steps", "<u4"), ("first", "<u8"), ("low", "u1"), ("odd", "u1")])
 
 
 def _packed(keys: np.ndarray) -> bytes:
-    """Sorted distinct keys: of many, the high bits as steps from key to key, one bit each, and the low bytes as they are."""
-    n = len(keys)
-    low = 6 if n >= 4096 else 7 if n >= 32 else 8
-    out = [np.array([low, n], "<u4").tobytes()]
-    if low < 8:
-        bits = np.zeros((1 << 64 - 8 * low) + n, np.uint8)
-        bits[(keys >> np.uint64(8 * low)).astype(np.int64) + np.arange(n)] = 1
-        out.append(np.packbits(bits).tobytes())
-    out.append(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :low].tobytes())
-    return b"".join(out)
+    """Sorted distinct keys, less the first: their low bits as they are, as many as gaps have on average, and the high bits as steps from key to key, one bit each."""
+    n, odd = len(keys), int((keys & np.uint64(1)).all())
+    if not n:
+        return np.zeros(1, _HEAD).tobytes()
+    above = keys - keys[0] >> np.uint64(odd)  # the lowest bit of odd keys says nothing
+    low = max(int(above[-1]) // n, 1).bit_length() - 1
+    high = (above >> np.uint64(low)).astype(np.int64) + np.arange(n)
+    bits = np.zeros(int(high[-1]) + 1, np.uint8)
+    bits[high] = 1
+    whole, rest = divmod(low, 8)
+    parts = [np.array([(n, len(bits), keys[0], low, odd)], _HEAD).tobytes(), np.packbits(bits).tobytes(), above.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :whole].tobytes()]
+    if rest:
+        last = (above >> np.uint64(8 * whole)).astype(np.uint8)
+        parts.append(np.packbits(np.unpackbits(last[:, None], axis=1, count=rest, bitorder="little")).tobytes())
+    return b"".join(parts)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    low, n = np.frombuffer(data, "<u4", 2).tolist()
-    size = -(-((1 << 64 - 8 * low) + n) // 8) if low < 8 else 0
+    n, steps, first, low, odd = np.frombuffer(data, _HEAD, 1)[0].tolist()
+    at = _HEAD.itemsize
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, -(-steps // 8), at), count=steps)) - np.arange(n)
+    at += -(-steps // 8)
+    whole, rest = divmod(low, 8)
     out = np.zeros((n, 8), np.uint8)
-    out[:, :low] = np.frombuffer(data, np.uint8, n * low, 8 + size).reshape(-1, low)
-    keys = out.view("<u8").ravel()
-    if low < 8:
-        at = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, size, 8)))
-        keys = keys | (at - np.arange(n)).astype(np.uint64) << np.uint64(8 * low)
-    return keys
+    out[:, :whole] = np.frombuffer(data, np.uint8, n * whole, at).reshape(-1, whole)
+    if rest:
+        bits = np.unpackbits(np.frombuffer(data, np.uint8, -(-n * rest // 8), at + n * whole), count=n * rest)
+        out[:, whole] = np.packbits(bits.reshape(n, rest), axis=1, bitorder="little").ravel()
+    above = out.view("<u8").ravel() | high.astype(np.uint64) << np.uint64(low)
+    return (above << np.uint64(odd)) + np.uint64(first)
 
 
 def _small(counts: np.ndarray) -> bytes:
@@ -118,21 +133,44 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([len(words.starts)], pa.int64()), pa.array([len(words.bytes)], pa.int64())], ["n", "size"])
 
 
+def _pieces(n_blocks: int, most: int):
+    """Runs of a task's documents with about ``most`` bytes of text, compressed, dealt to the blocks in turn from a place of the task's own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = int(TaskContext.get().partitionId() * 0.6180339887498949 % 1 * n_blocks)
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+            cuts = [0, *(np.flatnonzero(np.diff(size // most)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
+                    out.write_batch(batch.slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "data"])
+                at = (at + 1) % n_blocks
+
+    return run
+
+
 def _sorted(block: pa.Table) -> pa.Table:
-    """Rows in an order that doesn't depend on how they arrived."""
-    return block.sort_by([("id", "ascending"), ("text", "ascending")])
+    """A block's rows in an order that doesn't depend on how its pieces arrived."""
+    rows = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in block["data"]])
+    return rows.sort_by([("id", "ascending"), ("text", "ascending")])
 
 
 def _send(order: int, n_parts: int):
     def run(block: pa.Table) -> pa.Table:
+        number = block["block"][0].as_py()
         block = _sorted(block)
         grams, _, _ = _grams(block["text"].combine_chunks(), order)
         keys, counts, parts = _distinct(grams, n_parts)
-        parts_used = [p for p, own in enumerate(parts) if len(own)]
+        parts_used = [p for p, own in enumerate(parts) if own.stop > own.start]
         return pa.table(
             {
                 "part": pa.array(parts_used, pa.int32()),
-                "block": pa.array([block["block"][0].as_py()] * len(parts_used), pa.int32()),
+                "block": pa.array([number] * len(parts_used), pa.int32()),
                 "keys": pa.array([_packed(keys[parts[p]]) for p in parts_used], pa.binary()),
                 "counts": pa.array([_small(counts[parts[p]]) for p in parts_used], pa.binary()),
             }
@@ -166,7 +204,7 @@ def _score(order: int, n_parts: int, leave_out: bool, total: int):
         counts = np.zeros(len(keys), np.int64)
         given = dict(zip(answers["part"].to_pylist(), answers["counts"].to_pylist(), strict=True))
         for p, own in enumerate(parts):
-            if len(own):
+            if own.stop > own.start:
                 counts[own] = _large(given[p])
         n = total - (per[row] if leave_out else 0)
         seen = [_corpus_counts(g, row, keys, counts, leave_out) for g in grams]
@@ -214,7 +252,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total, size = (x or 0 for x in source.select("text").mapInArrow(_count_words, "n long, size long").agg(F.sum("n"), F.sum("size")).first())
     n = blocks or max(-(-size // BLOCK_BYTES), docs.sparkSession.sparkContext.defaultParallelism)
-    dealt = source.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int"))
+    dealt = source.mapInArrow(_pieces(n, max(1, min(PIECE_BYTES, size // (8 * n)))), "block int, data binary")
     kind = source.schema["id"].dataType.simpleString()
     sent = dealt.groupBy("block").applyInArrow(_send(order, n), "part int, block int, keys binary, counts binary")
     answers = sent.groupBy("part").applyInArrow(_answer, "block int, part int, counts binary")

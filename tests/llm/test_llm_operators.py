@@ -601,3 +601,22 @@ def test_topk_reading_stops(decay, most):
 
 def test_topk_empty(spark):
     assert exact_topk.exact_topk(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).collect() == []
+
+
+def test_lm_keys_take_little_more_than_their_information():
+    rng = np.random.default_rng(0)
+    for n, shift in ((0, 0), (1, 0), (2, 60), (31, 0), (500, 12), (30_000, 7), (5000, 44)):
+        for odd in (0, 1):
+            keys = np.unique(rng.integers(0, 2**64 - 1, n, np.uint64, endpoint=True) >> np.uint64(shift) | np.uint64(odd))
+            assert (lm_scoring._unpacked(lm_scoring._packed(keys)) == keys).all()
+    assert (lm_scoring._unpacked(lm_scoring._packed(np.array([1, 2**64 - 1], np.uint64))) == np.array([1, 2**64 - 1], np.uint64)).all()
+    # a block's three million keys over 100 parts: each part's share in under 45 bits a key
+    keys = np.unique(rng.integers(0, 2**64 - 1, 3_000_000, np.uint64) | np.uint64(1))
+    same, _, parts = lm_scoring._distinct([keys], 100)
+    assert sum(len(lm_scoring._packed(same[p])) for p in parts) < len(keys) * 45 / 8
+
+
+def test_lm_texts_travel_compressed(spark):
+    docs = spark.range(2000).selectExpr("id doc_id", "repeat(concat('some words of a text ', id, ' '), 20) text")
+    sizes = docs.repartition(2).mapInArrow(lm_scoring._pieces(7, 20_000), "block int, data binary").selectExpr("block", "length(data) n").collect()
+    assert {r.block for r in sizes} == set(range(7)) and sum(r.n for r in sizes) < 200_000
