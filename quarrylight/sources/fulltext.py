@@ -36,18 +36,23 @@ BATCH = 100_000
 
 
 def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, words) to the postings of each document, made where it is read."""
+    """(id, words) to the postings of each document, made where it is read, one document at a time."""
     for batch in batches:
+        ids, words = batch.columns
         rows: list[tuple] = []
-        for id_, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for i in range(batch.num_rows):
             places: dict[str, list[int]] = {}
-            for i, word in enumerate(words):
-                places.setdefault(word, []).append(i)
-            rows += ((term, id_, len(at), len(words), at) for term, at in places.items())
-            if len(rows) >= BATCH:
-                yield _batch(rows)
-                rows = []
-        yield _batch(rows)
+            own = words[i].as_py()
+            for at, word in enumerate(own):
+                places.setdefault(word, []).append(at)
+            id_, length = ids[i].as_py(), len(own)
+            del own
+            rows += ((term, id_, len(at), length, at) for term, at in places.items())
+            while len(rows) >= BATCH:
+                yield _batch(rows[:BATCH])
+                del rows[:BATCH]
+        if rows:
+            yield _batch(rows)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -73,21 +78,23 @@ class TextIndex:
         base = self.manifests.version() if base is None else base
         state, at = self.state(base), f"segments/{base + 1}-{uuid.uuid4().hex}"
         with holding() as keep:
-            measured = keep(docs.select(F.col(id_col).cast("long").alias("id"), *(tokens(F.col(c), self.folded).alias(f"in_{c}") for c in self.columns)))
-            words = F.concat(*(F.col(f"in_{c}") for c in self.columns))
-            sizes = F.array(*(F.size(f"in_{c}") for c in self.columns))
-            ends = F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda a, x: a + x))
-            fresh = measured.select("id", F.size(words).alias("length"), ends.alias("ends")).filter("length > 0")
-            posted = keep(measured.select("id", words.alias("words")).mapInArrow(_posted, POSTINGS))
+            split = docs.select(F.col(id_col).cast("long").alias("id"), *(tokens(F.col(c), self.folded).alias(f"in_{c}") for c in self.columns))
+            inside = [F.col(f"in_{c}") for c in self.columns]
+            source = split.select("id", F.concat(*inside).alias("words"), F.array(*(F.size(x) for x in inside)).alias("sizes"))
+            ends = F.transform("sizes", lambda _, i: F.aggregate(F.slice("sizes", 1, i + 1), F.lit(0), lambda a, x: a + x))
+            # only numbers are kept: words and postings, many times as large, are made where they are written
+            measured = keep(source.select("id", F.size("words").alias("length"), ends.alias("ends"), F.size(F.array_distinct("words")).alias("terms")))
+            fresh = measured.select("id", "length", "ends").filter("length > 0")
+            posted = source.select("id", "words").mapInArrow(_posted, POSTINGS)
             gone, n, total = None, state["n"], state["words"]
             if state["documents"]:
                 own = measured.select("id")
                 gone = keep((own if removed is None else own.unionByName(removed.select(F.col(removed.columns[0]).cast("long").alias("id")))).distinct())
                 old = self.documents.visible(state["documents"]).join(gone, "id", "left_semi").agg(F.count("*"), F.sum(F.col("length").cast("long"))).first()
                 n, total = n - old[0], total - (old[1] or 0)
-            new = fresh.agg(F.count("*"), F.sum(F.col("length").cast("long"))).first()
+            new = measured.filter("length > 0").agg(F.count("*"), F.sum(F.col("length").cast("long")), F.sum(F.col("terms").cast("long"))).first()
             after = {"n": n + new[0], "words": total + (new[1] or 0), "note": note}
-            for name, layers, rows, size in (("postings", self.postings, posted, None), ("documents", self.documents, fresh, new[0])):
+            for name, layers, rows, size in (("postings", self.postings, posted, new[2] or 0), ("documents", self.documents, fresh, new[0])):
                 segments = [*state[name], layers.write(rows, f"{at}/{name}", base + 1, gone, size)]
                 after[name] = layers.merged(segments, f"{at}/{name}-merged")
         return self.manifests.publish(after, base + 1)

@@ -3,7 +3,9 @@
 import random
 import threading
 import time
+from contextlib import contextmanager
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from quarrylight import schema
 from quarrylight.api import Api
 from quarrylight.operators import paging, search
 from quarrylight.plans import indexing, searching
-from quarrylight.sources import jobs, layers
+from quarrylight.sources import fulltext, jobs, layers
 from quarrylight.sources.fulltext import TextIndex
 from quarrylight.sources.grams import GramIndex, needed
 from quarrylight.sources.layers import Layers
@@ -259,3 +261,24 @@ def test_compile_command_of_a_file(spark, tmp_path):
     row = api.compile_command(ws, "a.c").first()
     assert (row.include, row.standard, [m.name for m in row.macros]) == (["inc"], "c11", ["X"])
     assert api.compile_command(ws, "b.c").count() == 0
+
+
+def test_commit_keeps_numbers_only_and_batches_are_bounded(spark, tmp_path, monkeypatch):
+    kept, real = [], fulltext.holding
+
+    @contextmanager
+    def watched():
+        with real() as keep:
+            yield lambda df: kept.append(df.dtypes) or keep(df)
+
+    monkeypatch.setattr(fulltext, "holding", watched)
+    monkeypatch.setattr(fulltext, "BATCH", 10)
+    index = fulltext.TextIndex(spark, str(tmp_path), ["a", "b"])
+    index.commit(spark.createDataFrame([(i, f"x y z w{i}", "x u v") for i in range(50)] + [(60, None, "--"), (61, "", "x x")], "id long, a string, b string"), "id")
+    assert kept and not [kind for dtypes in kept for name, kind in dtypes if "string" in kind or name == "places"]
+    state = index.state()
+    assert (state["n"], state["words"], sum(x["rows"] for x in state["postings"])) == (51, 352, 301)
+    assert index.postings.visible(state["postings"]).count() == 301
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9), pa.int64()), pa.array([[f"t{i}" for i in range(d * 5)] for d in range(9)])], ["id", "words"])
+    sizes = [b.num_rows for b in fulltext._posted(iter([batch]))]
+    assert sum(sizes) == 180 and max(sizes) == 10
