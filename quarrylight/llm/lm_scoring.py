@@ -101,7 +101,7 @@ def _unpacked(data: bytes) -> np.ndarray:
     at += -(-steps // 8)
     whole, rest = divmod(low, 8)
     out = np.zeros((n, 8), np.uint8)
-    out[:, :whole] = np.frombuffer(data, np.uint8, n * whole, at).reshape(-1, whole)
+    out[:, :whole] = np.frombuffer(data, np.uint8, n * whole, at).reshape(n, whole)
     if rest:
         bits = np.unpackbits(np.frombuffer(data, np.uint8, -(-n * rest // 8), at + n * whole), count=n * rest)
         out[:, whole] = np.packbits(bits.reshape(n, rest), axis=1, bitorder="little").ravel()
