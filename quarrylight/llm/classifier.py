@@ -132,7 +132,7 @@ def fit(flat: np.ndarray, sizes: np.ndarray, targets: np.ndarray, rounds: int =
     row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     # features whose share differs little between the two kinds would only be learnt by heart
     good, bad = targets.sum(), len(targets) - targets.sum()
-    seen, within = (np.bincount(x, minlength=1 << BITS) for x in (flat, flat[targets[row] == 1]))
+    seen, within = (np.bincount(x, minlength=1 << BITS) for x in (flat, flat[(targets == 1)[row]]))
     rate = seen / len(targets)
     apart = (within / good - (seen - within) / bad) / np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / good + 1 / bad))
     telling = (np.abs(apart) >= min(least_z, 0.6 * np.sqrt(len(targets)))) & (seen >= 3)  # z can't pass the root of n
@@ -165,6 +165,13 @@ def _heads(rows: pa.Table) -> list[np.ndarray]:
     return [fit(flat, np.diff(at) // 4, (rows[c].to_numpy() > 0).astype(np.float64)) for c in ("good", "toxic")]
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sample, all of it, to one row: the weights of both heads, packed."""
+    if some := list(batches):
+        heads = _heads(pa.Table.from_batches(some).sort_by("key"))
+        yield pa.RecordBatch.from_arrays([pa.array([h.astype(np.float32).tobytes()], pa.binary()) for h in heads], ["good", "toxic"])
+
+
 def _score(heads: list[np.ndarray]):
     """(id, host, path, text), the id being one column or a whole row, to (id, host, path, n_words, log-odds of each head in millionths)."""
     tables = [h.astype(np.float32) for h in heads]
@@ -234,9 +241,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).dropna().join(few, "_id")
     texts = texts.groupBy("_id", "good", "toxic").agg(F.min("_text").alias("_text")).select(F.xxhash64("_id", "_text").alias("key"), "good", "toxic", "_text")
     held = texts.mapInArrow(_sample_features, "key long, good int, toxic int, features binary")
-    # the sample is at most about ``sample`` rows, so one task may add up its bytes
+    # the sample is at most about ``sample`` rows, so one task may add up its bytes and fit on it: the driver gets the weights only
     bounded = held.withColumn("_sum", F.sum(F.octet_length("features")).over(Window.orderBy("key", "good", "toxic"))).filter(F.col("_sum") <= sample_bytes).drop("_sum")
-    return _heads(bounded.toArrow().sort_by("key"))
+    fitted = bounded.coalesce(1).mapInArrow(_fitted, "good binary, toxic binary").collect()
+    return [np.frombuffer(w, np.float32) for w in fitted[0]] if fitted else [np.zeros((1 << BITS) + 1, np.float32)] * 2
 
 
 def _scored(source: DataFrame, heads: list[np.ndarray]) -> DataFrame:

@@ -18,6 +18,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
     Where the setting is missing, a folder of our own serves a local master, as
     in tests; on a cluster, where executors couldn't read it, that is an error.
+    Spark computes the frame once, as it writes the files; nothing is cached on the way.
     The shuffle files that led here go when the driver's garbage does, so that
     is collected at once: otherwise they stay until its heap happens to fill.
     """
@@ -26,10 +27,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    held = df.persist()  # the checkpoint is a job of its own, which would compute everything again
-    out = held.checkpoint()
-    held.unpersist(True)
-    del df, held
+    out = df.checkpoint()
+    del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return out
@@ -50,18 +49,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = checkpoint(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     before = _fingerprint(edges)
     while before[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .filter("u <> v")
-            .unionByName(low.select("u", F.col("m").alias("v")))
-            .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-            .distinct()
-        )
+        # every u has a row in large, so its edge to m needs no pass of its own
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        small = large.join(low, "u").select(F.inline(ends)).filter("u <> v").distinct()
         edges = checkpoint(small)
         now = _fingerprint(edges)
         if now == before:

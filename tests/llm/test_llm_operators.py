@@ -138,6 +138,41 @@ def test_components_of_a_long_path(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
 
 
+def test_components_of_hubs_and_random_links(spark):
+    rnd = random.Random(8)
+    links = [(rnd.randrange(90), rnd.randrange(90)) for _ in range(60)] + [(200, 200 + i) for i in range(1, 60)] + [(260, 259), (5, 5)]
+    root = {x: x for pair in links if pair[0] != pair[1] for x in pair}
+    for _ in range(len(links)):
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = graph.components(spark.createDataFrame(links + links[:5], "a long, b long")).collect()
+    assert sorted((r.node, r.root) for r in got) == sorted(root.items())
+
+
+def test_checkpoint_takes_no_job_for_a_cache(spark):
+    """One job for the shuffle and one that writes: the driver keeps a record of every task."""
+    spark.sparkContext.setJobGroup("checkpoint", "counted")
+    out = graph.checkpoint(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("checkpoint")
+    spark.sparkContext.setJobGroup("others", "not counted")
+    assert len(jobs) == 2 and out.count() == 7
+
+
+def test_classifier_is_fitted_off_the_driver(spark, monkeypatch):
+    def here(*_):
+        raise AssertionError("fitted by the driver")
+
+    texts = [" ".join(f"{'good' if i % 2 else 'bad'}word{(i + k) % 9}" for k in range(30)) for i in range(200)]
+    docs, labels = frame(spark, texts), spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    row, feature, _ = classifier.features(docs.filter(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id", "text")).select("text").toArrow()["text"].combine_chunks())
+    targets = np.array([r.doc_id % 2 for r in docs.orderBy(F.xxhash64("doc_id", "text")).collect()], np.float64)
+    wanted = classifier.fit(feature.astype(np.uint32), np.bincount(row), targets)
+    monkeypatch.setattr(classifier, "fit", here)
+    good, toxic = classifier.train(docs, labels)
+    assert wanted.any() and np.array_equal(good, wanted) and not toxic.any()
+
+
 def test_quality_rules_measures(spark):
     texts = odd_texts()
     got = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, texts)).collect()}
