@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8 << 20
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, cached: bool = True) -> DataFrame:
     """Cuts lineage with files in the folder that ``spark.checkpoint.dir`` names.
 
     Where the setting is missing, a folder of our own serves a local master, as
     in tests; on a cluster, where executors couldn't read it, that is an error.
-    Spark computes the frame once, as it writes the files; nothing is cached on the way.
+    Spark computes the frame once, as it writes the files.  A cache on the way costs a
+    job, but tells Spark the frame's true size, so that it may broadcast a small one.
     The shuffle files that led here go when the driver's garbage does, so that
     is collected at once: otherwise they stay until its heap happens to fill.
     """
@@ -27,13 +28,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    out = df.checkpoint()
-    del df
+    held = df.persist() if cached else df
+    out = held.checkpoint()
+    if cached:
+        held.unpersist(True)
+    del df, held
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return out
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A checkpoint without the cache."""
+    return checkpoint(df, cached=False)
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
     return row["n"], row["h"]
@@ -46,7 +55,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     which takes about the logarithm of the longest path; each step is one
     aggregation and one join on the node, so no node's neighbours meet in one row.
     """
-    edges = checkpoint(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    edges = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     before = _fingerprint(edges)
     while before[0]:
         both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
@@ -56,7 +65,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # every u has a row in large, so its edge to m needs no pass of its own
         ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
         small = large.join(low, "u").select(F.inline(ends)).filter("u <> v").distinct()
-        edges = checkpoint(small)
+        edges = written(small)
         now = _fingerprint(edges)
         if now == before:
             break

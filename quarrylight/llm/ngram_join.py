@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm import textops
-from quarrylight.llm.graph import bounded_batches, checkpoint, components
+from quarrylight.llm.graph import bounded_batches, components, written
 from quarrylight.llm.skew import hot_join
 
 WORD_CHAR = r"[^\x20\x09-\x0D]"
@@ -201,15 +201,15 @@ def _among_dense(dense: DataFrame, texts: DataFrame, width: int, percent: int) -
     1 - t of its shingles rare here has a prefix after all.  The rest are groups
     of near copies.
     """
-    whole = checkpoint(dense.join(texts, "cls").select("cls", "text").mapInArrow(_whole_sets(width), "cls long, set binary").join(dense, "cls"))
+    whole = written(dense.join(texts, "cls").select("cls", "text").mapInArrow(_whole_sets(width), "cls long, set binary").join(dense, "cls"))
     raw = whole.select("cls", "set").mapInArrow(_unpack, "token long, cls long, pos int")
     shared = raw.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     total = dense.agg(F.sum("n")).first()[0] or 0
-    posts = checkpoint(hot_join(raw, shared, ["token"], "df", total, F.col("cls"), "inner"))
-    plan = checkpoint(_plan(posts, dense, percent, whole=True))
-    links = checkpoint(_linked(verify(_sparse_pairs(posts, plan, percent), texts, width), percent))
+    posts = written(hot_join(raw, shared, ["token"], "df", total, F.col("cls"), "inner"))
+    plan = written(_plan(posts, dense, percent, whole=True))
+    links = written(_linked(verify(_sparse_pairs(posts, plan, percent), texts, width), percent))
     sets = whole.join(plan.filter(~F.col("free")).select("cls"), "cls", "left_semi")
-    return links if sets.isEmpty() else links.unionByName(checkpoint(_dense_links(sets, posts, texts, width, percent)))
+    return links if sets.isEmpty() else links.unionByName(written(_dense_links(sets, posts, texts, width, percent)))
 
 
 def _dense_links(sets: DataFrame, posts: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -229,22 +229,22 @@ def _dense_links(sets: DataFrame, posts: DataFrame, texts: DataFrame, width: int
     prefix shingle with them.
     """
     spare = F.col("n") - F.ceil(F.col("n") * percent / 100)
-    prefix = checkpoint(posts.join(sets.select("cls", "n"), "cls").filter(F.col("pos") <= spare).select("token", "cls", "n", "df"))
+    prefix = written(posts.join(sets.select("cls", "n"), "cls").filter(F.col("pos") <= spare).select("token", "cls", "n", "df"))
     hot = prefix.groupBy("cls").agg(F.max_by("token", F.struct("df", "token")).alias("h"))
-    members = checkpoint(sets.join(hot, "cls"))
+    members = written(sets.join(hot, "cls"))
     total = members.count()
     sizes = members.groupBy("h").agg(F.count("*").alias("size"))
     held = members.select("h", "set").mapInArrow(_tally, "h long, token long, n long").groupBy("h", "token").agg(F.sum("n").alias("n"))
     inner = hot_join(held, sizes, ["h"], "size", total, F.col("token")).filter("2 * n > size")
-    centres = checkpoint(inner.groupBy("h", "size").agg(F.sort_array(F.collect_list("token")).alias("centre")))
+    centres = written(inner.groupBy("h", "size").agg(F.sort_array(F.collect_list("token")).alias("centre")))
     alike = components(_alike(centres), "a", "b").withColumnRenamed("node", "h")
     grouped = centres.join(alike, "h", "left").withColumn("g", F.coalesce("root", "h"))
     best = grouped.groupBy("g").agg(F.max_by("centre", F.struct("size", "h")).alias("centre"))
     to_centre = grouped.select("h", "g", "size").join(best, "g").select("h", "g", "centre", "size")
     near = hot_join(members, to_centre, ["h"], "size", total, F.col("cls")).select("cls", "n", "set", "g", "centre").mapInArrow(_differences(percent), "cls long, n long, g long, slack long, far boolean, diff binary")
-    near = checkpoint(near)
+    near = written(near)
     tops = near.groupBy("g").agg(F.max(F.struct("slack", "cls")).alias("top"), F.count("*").alias("size"))
-    placed = checkpoint(hot_join(near, tops, ["g"], "size", total, F.col("cls")).withColumn("out", F.col("slack") + F.col("top.slack") < 0))
+    placed = written(hot_join(near, tops, ["g"], "size", total, F.col("cls")).withColumn("out", F.col("slack") + F.col("top.slack") < 0))
     star = placed.filter(~F.col("out") & (F.col("cls") != F.col("top.cls"))).select(F.col("cls").alias("a"), F.col("top.cls").alias("b"))
     return star.unionByName(_outsider_links(placed, total, percent)).unionByName(_far_links(placed, prefix, texts, width, percent))
 
@@ -372,19 +372,19 @@ def _classes(source: DataFrame, width: int, percent: int) -> tuple[DataFrame, in
     # copies meet in their class before any shingle is dealt out; one row's key stands for the class's text
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key", "head")).alias("m")
     copies = signed.filter("n > 0").groupBy("cls", "n").agg(first, F.count("*").alias("rows"))
-    classes = checkpoint(copies.select("cls", "n", "rows", F.col("m.doc_id").alias("least_id"), "m.key", "m.head"))
+    classes = written(copies.select("cls", "n", "rows", F.col("m.doc_id").alias("least_id"), "m.key", "m.head"))
     n_rows, n_heads = (x or 0 for x in classes.agg(F.sum("rows"), F.sum(F.octet_length("head"))).first())
     raw = classes.select("cls", "head").mapInArrow(_unpack, "token long, cls long, pos int")
     shared = raw.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    posts = checkpoint(hot_join(raw, shared, ["token"], "df", n_heads // 8, F.col("cls"), "inner"))
-    plan = checkpoint(_plan(posts, classes, percent))
-    pairs = checkpoint(_sparse_pairs(posts, plan, percent))
+    posts = written(hot_join(raw, shared, ["token"], "df", n_heads // 8, F.col("cls"), "inner"))
+    plan = written(_plan(posts, classes, percent))
+    pairs = written(_sparse_pairs(posts, plan, percent))
     dense = plan.filter(~F.col("free")).select("cls", "n")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(dense.select("cls")).distinct()
     reps = classes.join(needed, "cls", "left_semi").select("key", "cls", "rows")
     found = hot_join(source.select("key", "text"), reps, ["key"], "rows", n_rows, F.monotonically_increasing_id(), "inner")
-    texts = checkpoint(found.select("cls", "text").mapInArrow(_of_class(width), "cls long, text string").groupBy("cls").agg(F.first("text").alias("text")))
-    links = checkpoint(_linked(verify(pairs, texts, width), percent))
+    texts = written(found.select("cls", "text").mapInArrow(_of_class(width), "cls long, text string").groupBy("cls").agg(F.first("text").alias("text")))
+    links = written(_linked(verify(pairs, texts, width), percent))
     if not dense.isEmpty():
         links = links.unionByName(_among_dense(dense, texts, width, percent))
     ids = components(links).withColumnRenamed("node", "cls").join(classes.select("cls", "least_id", "key"), "cls")
@@ -392,7 +392,7 @@ def _classes(source: DataFrame, width: int, percent: int) -> tuple[DataFrame, in
     merged = ids.join(least, "root").select("cls", F.col("m.least_id").alias("least"), F.col("m.key").alias("first_key"))
     # a table of its own, so that what reads it reads it once
     known = classes.select("cls", "rows", "least_id", "key").join(merged, "cls", "left")
-    return checkpoint(known.select("cls", "rows", "least_id", "key", F.coalesce("least", "least_id").alias("component_id"), F.coalesce("first_key", "key").alias("component_key"))), n_rows
+    return written(known.select("cls", "rows", "least_id", "key", F.coalesce("least", "least_id").alias("component_id"), F.coalesce("first_key", "key").alias("component_key"))), n_rows
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
@@ -420,7 +420,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = docs.select("*", key)
     wordless = ~F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(WORD_CHAR)
     kept = known.filter("key = component_key").select(F.col("key").alias("__key"))
-    often = checkpoint(source.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("__key")).join(kept, "__key", "left_semi"))
+    often = written(source.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("__key")).join(kept, "__key", "left_semi"))
     once = keyed.join(kept.withColumn("__kept", F.lit(True)), "__key", "left").filter(F.col("__kept") | wordless).drop("__kept")
     if not often.isEmpty():
         once = once.join(often, "__key", "left_anti").unionByName(keyed.join(often, "__key", "left_semi").dropDuplicates(["__key"]))

@@ -150,10 +150,10 @@ def test_components_of_hubs_and_random_links(spark):
     assert sorted((r.node, r.root) for r in got) == sorted(root.items())
 
 
-def test_checkpoint_takes_no_job_for_a_cache(spark):
+def test_written_frame_takes_no_job_for_a_cache(spark):
     """One job for the shuffle and one that writes: the driver keeps a record of every task."""
     spark.sparkContext.setJobGroup("checkpoint", "counted")
-    out = graph.checkpoint(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    out = graph.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
     jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("checkpoint")
     spark.sparkContext.setJobGroup("others", "not counted")
     assert len(jobs) == 2 and out.count() == 7
